@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import bpe_stream, byte_cnn, license_scan, prefix_forest, url_filter
+from codelake.llm import bpe_stream, byte_cnn, cross_polytope, jaccard_join, license_scan, prefix_forest, url_filter
 from codelake.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("n_tried")
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op5_bpe_stream, op8_license_scan, op10_byte_cnn)
+    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op8_license_scan, op10_byte_cnn)
 }
 
 URL_SQL = r"""
