@@ -165,25 +165,31 @@ class Transducer:
             at = end
         yield text[at:] if at else text
 
-    def _plain(self, text: str) -> list[tuple[bytes, bytes, int]]:
+    def _words(self, text: str) -> list[str]:
         if text.isascii():
-            words = self.ascii_words.findall(text.lower())
-        else:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            words = self.words.findall(text.replace("Σ", "σ").lower())
-        memo, known = self.memo, self._known
-        return [memo.get(w) or known(w) for w in words]
+            return self.ascii_words.findall(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return self.words.findall(text.replace("Σ", "σ").lower())
 
-    def stream(self, text: str | None) -> Iterator[list[tuple[bytes, bytes, int]]]:
-        """Lists of (ids as little-endian bytes, surface, number of ids), one list for each stretch of the text."""
+    def pieces(self, text: str | None) -> Iterator[list[str] | int]:
+        """The words of a text, stretch by stretch, and between them the ids of special tokens."""
         for chunk in self._chunks(text or ""):
             at = 0
             for m in self.marks.finditer(chunk) if "<" in chunk else ():
-                yield self._plain(chunk[at : m.start()])
-                yield [(struct.pack("<I", self.special[m[0]]), m[0].encode(), 1)]
+                yield self._words(chunk[at : m.start()])
+                yield self.special[m[0]]
                 at = m.end()
-            yield self._plain(chunk[at:] if at else chunk)
+            yield self._words(chunk[at:] if at else chunk)
+
+    def stream(self, text: str | None) -> Iterator[list[tuple[bytes, bytes, int]]]:
+        """Lists of (ids as little-endian bytes, surface, number of ids), one list for each stretch of the text."""
+        memo, known = self.memo, self._known
+        for part in self.pieces(text):
+            if isinstance(part, int):
+                yield [(struct.pack("<I", part), self.surface[part].encode(), 1)]
+            else:
+                yield [memo.get(w) or known(w) for w in part]
 
     def encode_bytes(self, text: str | None) -> bytes:
         return b"".join(x[0] for part in self.stream(text) for x in part)

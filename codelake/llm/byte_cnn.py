@@ -12,19 +12,20 @@ get the same result, empty tables give empty tables, other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 CLASSES = 64
-#: The most labelled rows that training takes, and the windows of each. Rows are taken in the order of a hash of their id.
+#: About the most labelled rows that training takes (never over twice as many), and the windows of each. A hash of the id chooses.
 TRAIN_ROWS = 6000
 TRAIN_WINDOWS = 2
 LETTER = regex.compile(r"\p{L}")
@@ -142,19 +143,21 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, batch: int = 64,
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Train on documents with a language and a text whose crc32(doc_id as text) mod 5 is not 0: at most `rows` of them, in the order of a hash of the id.
+    """Train on documents with a language and a text whose crc32(doc_id as text) mod 5 is not 0: about `rows` of them.
 
-    Executors cut a few windows out of each text, at places that a hash chooses, so the driver gets a bounded sample.
+    A share of the hash range of ids gives about that many rows, and the limit guards the bound where one id is
+    repeated. Executors cut a few windows out of each text, at places that a hash chooses.
     """
     part = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(encode(CAST(doc_id AS STRING), 'UTF-8')) % 5 <> 0")
     places = f"transform(sequence(1, {TRAIN_WINDOWS}), k -> substring(text, CAST(1 + pmod(xxhash64(doc_id, k), greatest(1, length(text) - {WINDOW - 1})) AS INT), {WINDOW}))"
-    few = part.select("lang", F.expr(places).alias("windows"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "windows").limit(rows)
+    share = min(1.0, rows / max(1, part.count()))
+    few = part.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", F.expr(places).alias("windows")).limit(2 * rows)
     got = few.select("lang", F.explode("windows").alias("text")).toPandas()
     return train(got["text"].tolist(), got["lang"].tolist())
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text. Only the text is an input."""
+def judge(net: Network) -> Callable[[Column], Column]:
+    """A function from a text column to a struct of lang_pred and score."""
     net.prepare()
 
     @F.pandas_udf("lang_pred string, score double")
@@ -187,9 +190,20 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             langs[i], scores[i] = net.names[int(q.argmax())], min(1.0, float(q.max()))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    return lambda text: judged(text)
+
+
+def predict(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every whole text. Only the text is an input."""
     held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), judged("text").alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held.alias("held_out"), judge(net)(F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
+
+
+def confident(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """The rows of docs whose language the network tells with a score of at least `least`; rows without a letter go."""
+    judged = docs.withColumn("_language", judge(fit(docs))(F.col("text")))
+    return judged.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= least)).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, prefix_forest, suffix_dedup, url_filter
+from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, packing, prefix_forest, suffix_dedup, url_filter
 from codelake.llm.common import table
 
 
@@ -44,12 +44,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op10_byte_cnn)
+    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn)
 }
 
 URL_SQL = r"""
