@@ -61,8 +61,8 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([h % np.uint64(BUCKETS), np.uint64(BUCKETS) + pair, thrice, share])).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
-    """Log ratio of the target model to the raw model for every bucket."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell target text from raw text, and the log ratio of the two models there."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     n = known.count()
@@ -85,15 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
         yield pd.DataFrame({"bucket": np.append(at, -1), "target": np.append(target[at], n_target), "raw": np.append(raw[at], n_raw)})
 
     counted = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInPandas(count, "bucket int, target long, raw long")
-    got = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).where("raw > 0").toPandas()
-    target, raw = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    body = got[got["bucket"] >= 0]
-    target[body["bucket"]], raw[body["bucket"]] = body["target"], body["raw"]
-    total = got[got["bucket"] < 0]
-    part = float(total["target"].sum()) / max(1.0, float(total["raw"].sum())) or 1.0
-    smooth = np.where(np.arange(2 * BUCKETS) < BUCKETS, SMOOTH, SMOOTH_PAIRS)
-    ratio = np.log((target + smooth * part) / (part * (raw + smooth)))
-    return np.where(np.abs(ratio) < DEAD, 0, ratio).astype(np.float32)
+    sums = cut(counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).where("raw > 0"))
+    total = sums.where("bucket < 0").first()
+    part = total["target"] / total["raw"] if total and total["target"] else 1.0
+    smooth = F.when(F.col("bucket") < BUCKETS, SMOOTH).otherwise(SMOOTH_PAIRS)
+    ratio = F.log((F.col("target") + smooth * part) / (part * (F.col("raw") + smooth)))
+    # at most one row a bucket, and only of those that say something
+    telling = sums.where("bucket >= 0").select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= DEAD).toPandas()
+    return telling["bucket"].to_numpy(dtype=np.int32), telling["ratio"].to_numpy(dtype=np.float32)
 
 
 def gumbel(id_: Column, seed: int) -> Column:
@@ -102,27 +101,30 @@ def gumbel(id_: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(keys: DataFrame, k: int) -> int:
-    """The k-th largest of a column of longs `key`, by 16 bits at a time: four counts over all rows, at most 65536 groups each."""
-    top = 0
-    for shift in (48, 32, 16, 0):
-        digit = F.expr(f"CAST(shiftright(key, {shift}) AS LONG)")
-        here = keys if shift == 48 else keys.where(F.expr(f"shiftright(key, {shift + 16})") == F.lit(top))
-        for r in sorted(here.groupBy(digit.alias("d")).count().collect(), key=lambda r: -r["d"]):
+def kth_largest(keys: DataFrame, k: int, digit: int = 11) -> int:
+    """The k-th largest of a column of longs `key`, a few bits at a time: each step counts the rows by the next bits, in at most 2048 groups."""
+    here, top = keys, 0
+    for shift in range(55, -1, -digit):
+        counts = here.groupBy(F.shiftright("key", shift).alias("d")).count().collect()
+        for r in sorted(counts, key=lambda r: -r["d"]):
             if k <= r["count"]:
                 top = r["d"]
                 break
             k -= r["count"]
+        here = keys.where(F.shiftright("key", shift) == F.lit(top))
     return top
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected for every row of docs(doc_id, text)."""
-    weights = fit(docs, labels)
+    buckets, ratios = fit(docs, labels)
 
     @F.pandas_udf("double")
-    def importance(text: pd.Series) -> pd.Series:
-        return pd.Series([float(weights[features(t)].sum(dtype=np.float64)) for t in text], dtype="float64")
+    def importance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = np.zeros(2 * BUCKETS, dtype=np.float32)
+        weights[buckets] = ratios
+        for texts in batches:
+            yield pd.Series([float(weights[features(t)].sum(dtype=np.float64)) for t in texts], dtype="float64")
 
     scored = cut(
         docs.select("doc_id", importance("text").alias("log_weight"))
