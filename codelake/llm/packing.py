@@ -201,7 +201,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
         for n, pieces in enumerate(Shard(held, idf, mean).fill(window)):
             offset = 0
             for i, used, took in pieces:
-                rows.append((i, used, took, crc(held[i][used : used + took]), 2 * ((key[0] << 34) + n) + 1, offset))
+                rows.append((i, used, took, crc(held[i][used : used + took]), 2 * ((int(key[0]) << 34) + n) + 1, offset))
                 offset += took
         out = pd.DataFrame(rows, columns=["i", "start", "length", "ids_crc32", "sequence_id", "offset"])
         at = out.pop("i").to_numpy()
