@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.common import cut, shuffle_partitions
+from codelake.llm.common import Stored, shuffle_partitions
 
 SPAN = 400
 LEAD = 64
@@ -102,8 +102,8 @@ def anchors(raw: np.ndarray, span: int = SPAN, lead: int = LEAD) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def multikey_order(symbols: np.ndarray) -> np.ndarray:
-    """The order of rows of symbols: three-way quicksort by one symbol after another, only rows equal so far going on to the next."""
+def multikey_order(symbols: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    """The order of keys, given as rows of symbols: three-way quicksort by one symbol after another, only rows equal so far going on to the next; a few rows are compared as they are."""
     order = np.arange(len(symbols))
     todo = [(0, len(symbols), 0)]
     while todo:
@@ -113,10 +113,15 @@ def multikey_order(symbols: np.ndarray) -> np.ndarray:
             key = symbols[part, depth]
             if hi - lo <= 4096:
                 at = np.argsort(key, kind="stable")
-                order[lo:hi], key = part[at], key[at]
+                order[lo:hi] = part[at]
+                key = key[at]
                 edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [hi - lo]])
-                long = np.flatnonzero(np.diff(edges) > 1)
-                todo += [(lo + int(edges[i]), lo + int(edges[i + 1]), depth + 1) for i in long]
+                for i in np.flatnonzero(np.diff(edges) > 1):
+                    a, b = lo + int(edges[i]), lo + int(edges[i + 1])
+                    if b - a <= 64:
+                        order[a:b] = sorted(order[a:b].tolist(), key=keys.__getitem__)
+                    else:
+                        todo.append((a, b, depth + 1))
                 break
             pivot = np.partition(key, len(key) // 2)[len(key) // 2]
             less, equal = key < pivot, key == pivot
@@ -145,7 +150,7 @@ def _matrix(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def sorted_with_prefixes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The order of the keys, and how many bytes each has in common with the next in that order."""
     m, size = _matrix(keys)
-    order = multikey_order(m.view(">u8"))
+    order = multikey_order(m.view(">u8"), keys)
     m, size = m[order], size[order]
     common = np.zeros(max(0, len(keys) - 1), dtype=np.int64)
     for at in range(0, len(common), 4096):
@@ -234,8 +239,9 @@ def _at_edges(found: DataFrame) -> list:
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs(rid, text) -> (rid, lo, hi): window starts lo to hi of rid whose bytes also start elsewhere."""
+    """docs(rid, text) -> (rid, spans): for each rid that has any, the ranges lo to hi of window starts whose bytes also start elsewhere."""
     spark = docs.sparkSession
+    stored = Stored(spark)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,19 +257,27 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             if out:
                 yield pd.DataFrame(dict(zip(["rid", "m", "a", "b", "lead", "whole"], map(np.concatenate, zip(*out)))))
 
-    runs = cut(docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
+    runs = stored.keep("runs", docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
     leads = runs.groupBy("lead").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n")
-    open_ = cut(runs.join(leads, "lead"))
+    open_ = stored.keep("open", runs.join(leads, "lead"))
+    del runs, leads
+    stored.drop("runs")
     wholes = open_.groupBy("lead", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "m")).alias("rep"))
-    judged = cut(open_.join(wholes, ["lead", "whole"]).withColumn("ask", F.col("mixed") & (F.struct("rid", "m") == F.col("rep"))).select("rid", "m", "a", "b", "lead", "n", "ask"))
+    judged = stored.keep("judged", open_.join(wholes, ["lead", "whole"]).withColumn("ask", F.col("mixed") & (F.struct("rid", "m") == F.col("rep"))).select("rid", "m", "a", "b", "lead", "n", "ask"))
+    del open_, wholes
+    stored.drop("open")
     whole = judged.where("n > 1").select("rid", F.col("a").alias("lo"), F.col("b").alias("hi"))
 
     asked = judged.where("ask").groupBy("rid").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
-    around = cut(docs.join(asked, "rid").mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
+    around = stored.keep("around", docs.join(asked, "rid").mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
+    del asked
+    stored.drop()
     buckets = max(shuffle_partitions(spark), math.ceil(around.count() / BUCKET_ROWS))
 
     suffix = around.select("rid", "m", "a", "b", "lead", "body", F.expr("substring(body, m - a + 1)").alias("suffix"))
-    right = cut(suffix.repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _right_neighbours(it, span), NEIGHBOUR))
+    right = stored.keep("right", suffix.repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _right_neighbours(it, span), NEIGHBOUR))
+    del suffix
+    stored.drop()
     fixes, rows = [], _at_edges(right)
     for x, y in zip(rows, rows[1:]):
         if x["pid"] != y["pid"]:
@@ -272,7 +286,7 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
             far, near = _shared(x["m"], x["a"], x["b"], y["m"], y["a"], y["b"], left, common, span)
             fixes += [(r["rid"], r["m"], common, r["m"] - near, r["m"] - far) for r in (x, y)]
     fixed = spark.createDataFrame(fixes, "rid long, m int, reach int, lo int, hi int")
-    before = cut(around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
+    before = stored.keep("before", around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
     more, rows = [], _at_edges(before)
     for x, y in zip(rows, rows[1:]):
         if x["pid"] != y["pid"]:
@@ -290,12 +304,12 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         F.max(F.when(F.col("lo4") <= F.col("hi4"), F.struct(F.col("lo4").alias("lo"), F.col("hi4").alias("hi")))).alias("s4"),
     )
     # what neighbours confirm, and the widest range in which anything could agree
-    ranged = cut(
-        merged.select(
-            "rid", "m", "lead", "a", F.array_compact(F.array("s1", "s2", "s3", "s4")).alias("shared"),
-            F.greatest("a", F.col("m") - F.col("before_reach")).alias("first"), F.least("b", F.col("m") + F.col("reach") - span).alias("last"),
-        )
-    )
+    ranged = stored.keep("ranged", merged.select(
+        "rid", "m", "lead", "a", F.array_compact(F.array("s1", "s2", "s3", "s4")).alias("shared"),
+        F.greatest("a", F.col("m") - F.col("before_reach")).alias("first"), F.least("b", F.col("m") + F.col("reach") - span).alias("last"),
+    ))
+    del merged, lengths, edges, lefts, right, before
+    stored.drop("right", "before")
     confirmed = ranged.select("rid", F.explode("shared").alias("s")).select("rid", "s.lo", "s.hi")
     settled = "first > last OR exists(shared, s -> s.lo <= first AND s.hi >= last)"
     unsettled = ranged.where(f"NOT ({settled})").select("lead").distinct()
@@ -311,10 +325,15 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 if out:
                     yield pd.DataFrame(dict(zip(["rid", "lo", "h1", "h2"], map(np.concatenate, zip(*out)))))
 
-    each = cut(windows.mapInPandas(hashed, "rid long, lo int, h1 long, h2 long"))
+    each = stored.keep("each", windows.mapInPandas(hashed, "rid long, lo int, h1 long, h2 long"))
+    del windows, unsettled
+    stored.drop("around")
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = each.join(twice, ["h1", "h2"]).select("rid", "lo", F.col("lo").alias("hi"))
-    return whole.union(confirmed).union(counted)
+    spans = stored.keep("spans", whole.union(confirmed).union(counted).distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    del judged, ranged, each, whole, confirmed, twice, counted, around
+    stored.drop("judged", "ranged", "each")
+    return spans
 
 
 def _merged_runs(lo: np.ndarray, hi: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -341,9 +360,7 @@ def kept_bytes(raw: bytes, spans: list | np.ndarray | None, span: int) -> tuple[
 
 def _with_spans(docs: DataFrame, span: int) -> DataFrame:
     """docs with their repeated windows; docs has a column rid."""
-    found = repeats(docs.select("rid", F.coalesce("text", F.lit("")).alias("text")), span)
-    spans = found.distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(spans, "rid", "left")
+    return docs.join(repeats(docs.select("rid", F.coalesce("text", F.lit("")).alias("text")), span), "rid", "left")
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
