@@ -77,7 +77,7 @@ def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
     norms, qnorms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
     forest = Forest(vectors / norms[:, None], trees)
     out = []
-    for i, found in enumerate(forest.candidates(queries / qnorms[:, None], max(k + 1, math.ceil(wanted * len(ids))))):
+    for i, found in enumerate(forest.candidates(queries / qnorms[:, None], max((k + 1) * trees, math.ceil(wanted * len(ids))))):
         found = found[ids[found] != query_ids[i]]
         score = (vectors[found] * queries[i]).sum(1) / (norms[found] * qnorms[i])
         if len(found) > k:  # ties at the edge stay in for the order by id
