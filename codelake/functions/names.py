@@ -99,3 +99,10 @@ def package_of(fqcn: Column) -> Column:
 def shown_node(cls: Column, method: Column, file: Column, line: Column) -> Column:
     """`OrderService.find (OrderService.java:12)`."""
     return F.concat(F.substring_index(cls, ".", -1), F.lit("."), bare_method(method), F.lit(" ("), F.substring_index(file, "/", -1), F.lit(":"), line.cast("string"), F.lit(")"))
+
+
+def shown_endpoint(verb: Column, path: Column, cls: Column, method: Column) -> Column:
+    """`GET /api/orders (OrderController.list)`, without what is not known."""
+    mapped = F.concat_ws(" ", F.nullif(verb, F.lit("")), F.nullif(path, F.lit("")))
+    where = F.concat_ws(".", F.substring_index(cls, ".", -1), bare_method(method))
+    return F.when(mapped == "", where).otherwise(F.concat(mapped, F.lit(" ("), where, F.lit(")")))

@@ -117,3 +117,11 @@ def top_entries(asked: DataFrame, lines: DataFrame) -> DataFrame:
         *FILE_LINE, F.concat(F.lit("/"), F.regexp_replace(F.nullif(F.col("base"), F.lit("")), "^/+", "")).alias("class_base_path"), "http_method", path.alias("rest_path"),
         F.when(path.isNotNull(), F.concat_ws(" ", "http_method", path)).alias("rest_summary"), "javadoc",
     )
+
+
+def flagged_nodes(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Call-graph nodes(key, class, method, file, line, ...) with the flags of the lines they stand on; false where the source is not at hand."""
+    flags = node_flags(lines).withColumnsRenamed({"path": "file", "line_no": "line"}).drop("project")
+    names = [c for c in flags.columns if c not in ("file", "line")]
+    joined = nodes.drop(*names).join(flags, ["file", "line"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in names if c.startswith("is_")})

@@ -81,3 +81,13 @@ def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
     held = points.join(symbols, "path").where((spot >= F.struct(F.col("start_line").alias("l"), F.col("start_char").alias("c"))) & (spot <= F.struct(F.col("end_line").alias("l"), F.col("end_char").alias("c"))))
     size = F.struct(F.col("end_line") - F.col("start_line"), F.col("end_char") - F.col("start_char"))
     return held.withColumn("r", F.row_number().over(Window.partitionBy("path", "line", "character").orderBy(size, "sym_id"))).where("r = 1").drop("r")
+
+
+def mapper_anchors(hits: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Table hits in mapper XML -> (the interface methods of a table's statements, each at its first line; the lines that lead nowhere, with the reason)."""
+    spots = hits.where("source LIKE 'mybatis%'").select("project", F.lower("table").alias("table"), F.col("file").alias("path"), F.col("line").alias("line_no")).distinct()
+    linked = mapper_methods(spots.select("project", "path", "line_no").distinct(), files).withColumnsRenamed({"xml_file": "path", "xml_line": "line_no"})
+    told = spots.join(linked, ["project", "path", "line_no"])
+    first = F.row_number().over(Window.partitionBy("project", "table", "java_file", "statement_id").orderBy("path", "line_no"))
+    found = told.where("ok").withColumn("r", first).where("r = 1").select("project", "table", "java_file", "statement_id", "line", "character", F.col("path").alias("xml_file"), F.col("line_no").alias("xml_line"))
+    return found, told.where("NOT ok").select("project", "table", F.col("path").alias("xml_file"), F.col("line_no").alias("xml_line"), "reason")

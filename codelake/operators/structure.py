@@ -42,14 +42,14 @@ def types_in(source: str | None) -> list[tuple[str, int, str, int]]:
 
 
 def top_level_types(files: DataFrame, most_files: int | None = None) -> DataFrame:
-    """project, package, file, name, kind, kind_label, line. Braces, strings and comments need a scan of the text, in batches and only of files that declare a type."""
+    """project, package, file, nth, name, kind, kind_label, line. Braces, strings and comments need a scan of the text, in batches and only of files that declare a type."""
 
     @F.pandas_udf(TYPES)
     def types(text: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("name", "kind", "kind_label", "line"), t)) for t in types_in(s)] for s in text])
 
     sources = java_files(files, most=most_files).where(matches(F.col("text"), r"\b(class|interface|enum|record)\s"))
-    found = sources.select("project", F.col("path").alias("file"), F.explode(types("text")).alias("t")).select("project", "file", "t.*")
+    found = sources.select("project", F.col("path").alias("file"), F.posexplode(types("text")).alias("nth", "t")).select("project", "file", "nth", "t.*")
     packages = lines(sources).where("line_no <= 80").where(matches(F.col("text"), p.PACKAGE)).groupBy("project", F.col("path").alias("file")).agg(F.min_by(F.regexp_extract("text", p.PACKAGE, 1), "line_no").alias("package"))
     return found.join(packages, ["project", "file"], "left").withColumn("package", F.coalesce("package", F.lit("")))
 
@@ -62,7 +62,7 @@ def by_package(types: DataFrame) -> DataFrame:
 def file_type_names(files: DataFrame) -> DataFrame:
     """(project, path, fqcn): the full name of the first top-level type of every source."""
     t = top_level_types(files)
-    return t.groupBy("project", F.col("file").alias("path")).agg(F.min_by(F.concat_ws(".", F.nullif("package", F.lit("")), "name"), "line").alias("fqcn"))
+    return t.groupBy("project", F.col("file").alias("path")).agg(F.min_by(F.concat_ws(".", F.nullif("package", F.lit("")), "name"), "nth").alias("fqcn"))
 
 
 def modules(files: DataFrame) -> DataFrame:

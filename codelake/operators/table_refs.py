@@ -129,3 +129,8 @@ def manifest(files: DataFrame, user_tables: DataFrame | None = None) -> dict[str
         "unresolved": unresolved(hits, listed),
         "extracted_only": extracted_only(hits, listed),
     }
+
+
+def rows_of_table(hits: DataFrame, table: str) -> DataFrame:
+    """The hits of one physical table, whatever the spelling."""
+    return physical_hits(hits).where(F.lower("physical_table") == physical_table(F.lower(F.lit(table))))

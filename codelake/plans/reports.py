@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.functions import names
 from codelake.plans import call_graph
+from codelake.sources.files import report_payload
 
 DIAGRAM_ENDPOINTS = 48
 REPORT_EDGES, REPORT_KEY_METHODS, REPORT_BEANS, REPORT_LEAVES = 200, 28, 60, 40
@@ -26,6 +27,12 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, payload) of the saved reports below a folder, JSON and Markdown, each file once."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,md}").text(folder, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), report_payload(F.col("value")).alias("payload")).where("payload IS NOT NULL").dropDuplicates(["path"])
+
+
 def hit_text(hits: DataFrame) -> DataFrame:
     """`file:line:text`, long lines cut at 200 characters."""
     return hits.select(F.concat_ws(":", "file", F.col("line").cast("string"), F.substring(F.rtrim("text"), 1, 200)).alias("value"))

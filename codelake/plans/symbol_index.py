@@ -98,6 +98,20 @@ def keyword_methods(symbols: DataFrame, needle: str) -> DataFrame:
     return found.withColumn("tier", tier).orderBy("tier", F.length("name"), "path", "sel_line")
 
 
+def resolved_keyword(symbols: DataFrame, needle: str, text_methods: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(path, method_line, name, way) that a keyword means: methods of that name, else the first method of a class of that name, else methods around text hits; only the best way that finds any."""
+    methods = symbols.where(F.col("kind") == METHOD_KIND)
+    bare = F.trim(F.substring_index("name", "(", 1))
+    row = lambda df, way: df.select("path", (F.col("sel_line") + 1).alias("method_line"), "name", F.lit(way).alias("way"))
+    first = F.row_number().over(Window.partitionBy("path", "container").orderBy("sel_line", "sel_char"))
+    of_class = methods.withColumn("r", first).where("r = 1").join(class_symbols(symbols, needle).select("path", F.col("name").alias("container")), ["path", "container"], "left_semi")
+    every = row(methods.where(bare == needle), 0).union(row(of_class, 1))
+    if text_methods is not None:
+        every = every.union(text_methods.select("path", "method_line", "name", F.lit(2)))
+    best = every.join(F.broadcast(every.agg(F.min("way").alias("best"))), F.col("way") == F.col("best")).drop("best")
+    return best if most is None else best.orderBy("path", "method_line").limit(most)
+
+
 def hit_methods(candidates: DataFrame, symbols: DataFrame, skip_rest: DataFrame | None = None, skip_interfaces: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """candidates(path, hit, candidate, rank) -> path, method line: the method at the first candidate line that is inside one, each once, the likeliest files first."""
     methods = symbols.where(F.col("kind") == METHOD_KIND)

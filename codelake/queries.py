@@ -11,7 +11,7 @@ from codelake import samples
 from codelake.functions import names
 from codelake.functions import predicates as q
 from codelake.operators import entry_points, java_context, links, structure, table_refs, text_search
-from codelake.plans import call_graph
+from codelake.plans import call_graph, reports, symbol_index
 from codelake.sources import files as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,3 +461,130 @@ def sample_trace_down(spark, sf_dir):
 def sample_business(spark, sf_dir):
     nodes, edges = samples.call_graph(spark)
     return call_graph.business_scores(nodes, edges).select("key", "business_score", F.array_join("business_signals", ",").alias("signals"))
+
+
+@query("SELECT * FROM (VALUES ('database', true, 1::BIGINT, 'OrderStore.load()'), ('other', false, 3::BIGINT, 'Helper.go(),OrderController.list(),OrderService.find()')) t(kind, is_leaf, nodes, methods)")
+def sample_sinks(spark, sf_dir):
+    return call_graph.sink_buckets(*samples.call_graph(spark)).withColumn("methods", F.array_join("methods", ","))
+
+
+@query("SELECT * FROM (VALUES ('A'), ('  B'), ('    C'), ('    D'), ('      B (cycle)')) t(line)")
+def sample_tree(spark, sf_dir):
+    return call_graph.shown_tree(samples.call_graph(spark)[1], "A", spark).select("line")
+
+
+@query("SELECT * FROM (VALUES ('A', 0, 0::BIGINT), ('B', 1, 1::BIGINT), ('D', 2, 2::BIGINT)) t(key, depth, ordinal)")
+def sample_node_cap(spark, sf_dir):
+    return call_graph.trace_down(samples.call_graph(spark)[1], "A", spark, max_nodes=3)[0]
+
+
+@query("SELECT 2::BIGINT AS chain_count, 'cycle=1,rest_endpoint=1' AS stop_reasons, 'A,B' AS tops")
+def sample_chain_summary(spark, sf_dir):
+    nodes, edges = samples.call_graph(spark)
+    s = reports.chain_summary(call_graph.trace_up(edges, nodes, spark.createDataFrame([("C",)], "key string")))
+    return s.select("chain_count", F.array_join(F.transform(F.map_entries("stop_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("stop_reasons"), F.array_join("tops", ",").alias("tops"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Orders'), (2, 'ghost'), (3, 'extra')) t(ordinal, name)")
+def listed_tables(spark, sf_dir):
+    return source.listed_tables(spark, "Orders # main\n# all\n\nghost\n", "ORDERS，extra, ghost")
+
+
+def _manifest(spark):
+    return table_refs.manifest(samples.project(spark), source.listed_tables(spark, "", "ORDERS,ghost"))
+
+
+@query("SELECT 'ghost' AS name")
+def manifest_unresolved(spark, sf_dir):
+    return _manifest(spark)["unresolved"].select("name")
+
+
+@query("SELECT * FROM (VALUES ('customer'), ('region'), ('stale')) t(\"table\")")
+def manifest_extracted_only(spark, sf_dir):
+    return _manifest(spark)["extracted_only"]
+
+
+@query("SELECT * FROM (VALUES ('ORDERS', 3::BIGINT), ('customer', 2::BIGINT), ('region', 1::BIGINT), ('stale', 1::BIGINT)) t(canonical, anchors)")
+def manifest_by_name(spark, sf_dir):
+    return _manifest(spark)["anchors_by_table"].select("canonical", F.size("anchors").cast("long").alias("anchors"))
+
+
+@query("SELECT * FROM (VALUES (1, 'orders'), (2, 'ghost')) t(ordinal, physical_table)")
+def manifest_physical(spark, sf_dir):
+    return _manifest(spark)["canonical_physical"]
+
+
+@query(f"SELECT * FROM (VALUES ('{HOME}OrderDao.java', 4, 'purge'), ('{HOME}OrderDao.java', 7, 'purge'), ('{HOME}Orders.java', 3, NULL)) t(file, line, java_method)")
+def rows_of_table(spark, sf_dir):
+    return table_refs.rows_of_table(table_refs.table_hits(samples.project(spark)), "app.ORDERS").select("file", "line", "java_method")
+
+
+@query(f"SELECT * FROM (VALUES (true, 'customer', '{HOME}OrderMapper.java', 'findAll', 4, 5)) t(ok, \"table\", java_file, statement_id, line, xml_line)")
+def mapper_anchors(spark, sf_dir):
+    files = samples.project(spark)
+    found, lost = links.mapper_anchors(table_refs.xml_hits(files), files)
+    none = F.lit(None)
+    return found.select(F.lit(True).alias("ok"), "table", "java_file", "statement_id", "line", "xml_line").union(lost.select(F.lit(False), "table", none.cast("string"), none.cast("string"), none.cast("int"), "xml_line"))
+
+
+@query("SELECT * FROM (VALUES (5, 1), (8, 2), (4, 3)) t(candidate, \"rank\")")
+def method_candidates(spark, sf_dir):
+    lines = source.lines(samples.project(spark).where("name = 'OrderServiceImpl.java'"))
+    return text_search.method_candidates(lines.where("line_no = 5"), lines).select("candidate", "rank")
+
+
+@query("""SELECT * FROM (VALUES ('k1', 'Jobs.java', 4, false, true, true, '@KafkaListener'), ('k2', 'OrderController.java', 9, true, false, false, ''), ('k3', 'Gone.java', 1, false, false, false, NULL)) t(key, name, line, is_rest, is_message_listener, is_async_method, listeners)""")
+def node_flags(spark, sf_dir):
+    nodes = spark.createDataFrame([("k1", f"{HOME}Jobs.java", 4), ("k2", f"{HOME}OrderController.java", 9), ("k3", "Gone.java", 1)], "key string, file string, line int")
+    flagged = java_context.flagged_nodes(nodes, source.lines(samples.project(spark).where("project = 'shop'")))
+    return flagged.select("key", F.substring_index("file", "/", -1).alias("name"), "line", "is_rest", "is_message_listener", "is_async_method", F.array_join("listener_markers", ",").alias("listeners"))
+
+
+@query("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll'), ('findAll', 'findAll'), ('save', 'save'), ('count', 'count')) t(caller, callee)")
+def derived_calls(spark, sf_dir):
+    """Calls guessed from the text: names before a bracket that some source declares."""
+    edges = symbol_index.derived_edges(source.lines(source.java_files(samples.project(spark))))
+    return edges.select(F.substring_index("src_key", ":", -1).alias("caller"), F.col("dst_name").alias("callee")).distinct()
+
+
+@query("SELECT * FROM (VALUES ('GET_api_orders', 'GET /api/orders (OrderController.list)'), ('POST_api_orders', 'POST /api/orders (OrderController.create)')) t(slug, shown)")
+def endpoint_names(spark, sf_dir):
+    e = reports.endpoint_ids(entry_points.rest_map(samples.project(spark)))
+    return e.select("slug", names.shown_endpoint(*[F.col(c) for c in ("http_method", "path", "class_name", "method_name")]).alias("shown"))
+
+
+@query(f"SELECT * FROM (VALUES ('{HOME}Jobs.java', 'com.example.Jobs'), ('{HOME}Kinds.java', 'p.A'), ('{HOME}OrderController.java', 'com.example.OrderController'), ('{HOME}OrderDao.java', 'com.example.OrderDao'), ('{HOME}OrderMapper.java', 'com.example.OrderMapper'), ('{HOME}OrderServiceImpl.java', 'com.example.OrderServiceImpl'), ('{HOME}Orders.java', 'com.example.Orders'), ('{HOME}OrdersRepository.java', 'com.example.OrdersRepository')) t(path, fqcn)")
+def file_type_names(spark, sf_dir):
+    return structure.file_type_names(samples.project(spark)).select("path", "fqcn")
+
+
+POINT_QUERIES = {
+    "documentSymbol": {"path": "web/OrderController.java"}, "workspaceSymbol": {"query": "ordercon|list"}, "definition": {"path": "x.java", "line": 3, "character": 5}, "references": {"path": "x.java", "line": 3, "character": 5}, "hover": {"path": "x.java", "line": 3, "character": 5},
+    "implementation": {"path": "x.java", "line": 3, "character": 5}, "incomingCalls": {"path": "web/OrderController.java", "line": 6, "character": 1}, "outgoingCalls": {"path": "web/OrderController.java", "line": 6, "character": 1}, "typeHierarchy": {"path": "web/OrderController.java", "line": 2, "character": 1},
+}
+
+
+@query("SELECT * FROM (VALUES ('documentSymbol', 3::BIGINT), ('workspaceSymbol', 2::BIGINT), ('definition', 1::BIGINT), ('references', 2::BIGINT), ('hover', 1::BIGINT), ('implementation', 1::BIGINT), ('incomingCalls', 0::BIGINT), ('outgoingCalls', 1::BIGINT), ('typeHierarchy', 2::BIGINT)) t(operation, results)")
+def point_queries(spark, sf_dir):
+    """Every operation over the index, and how many results each has."""
+    index = samples.symbol_index(spark)
+    out = None
+    for op, where in POINT_QUERIES.items():
+        n = symbol_index.analyze(index, op, **where).agg(F.count("*").alias("results")).select(F.lit(op).alias("operation"), "results")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query("SELECT * FROM (VALUES ('list', 5, 0), ('OrderController', 5, 1)) t(needle, method_line, way)")
+def resolved_keywords(spark, sf_dir):
+    symbols = samples.symbol_index(spark)["symbols"]
+    found = [symbol_index.resolved_keyword(symbols, n).select(F.lit(n).alias("needle"), "method_line", "way") for n in ("list", "OrderController", "nothing")]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("SELECT 'shop' AS project, count(*) AS hits FROM (VALUES (1), (2)) t")
+def saved_report(spark, sf_dir):
+    """The JSON inside a Markdown report, read back."""
+    text = F.lit("# Report\n\n## Raw JSON\n\n```json\n{\"project\": \"shop\", \"hits\": [1, 2]}\n```\n")
+    payload = F.from_json(source.report_payload(text), "project string, hits array<int>")
+    return spark.range(1).select(payload.alias("p")).select("p.project", F.size("p.hits").cast("long").alias("hits"))

@@ -105,3 +105,17 @@ def call_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
     edges = spark.createDataFrame([("A", "B", "find"), ("B", "C", "load"), ("B", "D", "go"), ("D", "B", "find")], "src_key string, dst_key string, dst_name string")
     return nodes, edges
+
+
+def symbol_index(spark: SparkSession) -> dict[str, DataFrame]:
+    """A small index as an indexer would write it; positions count from 0."""
+    nodes, edges = call_graph(spark)
+    symbols = spark.createDataFrame(
+        [("A", "web/OrderController.java", "list()", 6, "OrderController", 4, 2, 4, 0, 6, 1), ("A2", "web/OrderController.java", "drop()", 6, "OrderController", 7, 2, 7, 0, 8, 1), ("K", "web/OrderController.java", "OrderController", 5, "", 1, 0, 1, 0, 9, 1)],
+        "sym_id string, path string, name string, kind int, container string, sel_line int, sel_char int, start_line int, start_char int, end_line int, end_char int",
+    )
+    return {
+        "symbols": symbols, "refs": spark.createDataFrame([("x.java", 2, 4, "A", False), ("web/OrderController.java", 4, 2, "A", True)], "path string, line int, character int, target_key string, is_decl boolean"),
+        "hover": spark.createDataFrame([("A", "lists")], "key string, contents string"), "call_nodes": nodes, "call_edges": edges, "impl_edges": spark.createDataFrame([("A", "I")], "decl_key string, impl_key string"),
+        "type_edges": spark.createDataFrame([("K", "Base"), ("Sub", "K")], "sub_key string, super_key string"),
+    }
