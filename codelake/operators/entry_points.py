@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from codelake.functions import patterns as p
 from codelake.functions.names import mapping_path
 from codelake.functions.predicates import entry_kinds, group, has_mappings, is_controller_text, matches, starts_with_any, stripped
-from codelake.sources.files import by_file, java_files, lines
+from codelake.sources.files import by_file, java_files, lines, package_name
 
 
 def entry_points(files: DataFrame, most_files: int | None = None) -> DataFrame:
     """project, kind, file, line, preview of every line that begins execution, and of public methods of controllers."""
-    sources = java_files(files, most=most_files)
-    controllers = sources.where(is_controller_text(F.col("text"))).select("project", "path", F.lit(True).alias("controller"))
-    each = lines(sources).join(controllers, ["project", "path"], "left")
-    public = F.when(F.coalesce("controller", F.lit(False)) & matches(F.col("text"), p.PUBLIC_METHOD_LINE), F.lit("controller_public_method"))
+    each = lines(java_files(files, most=most_files).withColumn("controller", is_controller_text(F.col("text"))), keep=["controller"])
+    public = F.when(F.col("controller") & matches(F.col("text"), p.PUBLIC_METHOD_LINE), F.lit("controller_public_method"))
     kinds = F.concat(F.array_compact(F.array(public)), entry_kinds(F.col("text")))
     return each.select("project", F.explode(kinds).alias("kind"), F.col("path").alias("file"), F.col("line_no").alias("line"), F.substring(stripped(F.col("text")), 1, 240).alias("preview"))
 
@@ -38,9 +36,8 @@ def rest_map(files: DataFrame, most_files: int | None = None) -> DataFrame:
     Annotations wait for the class, method or other code below them. Each such line ends a segment of its file, so
     what belongs to it is one group: a running count of segment ends, and an aggregate per segment.
     """
-    sources = java_files(files, most=most_files).where(has_mappings(F.col("text")))
-    s = stripped(F.col("text"))
-    each = lines(sources).withColumn("s", s)
+    sources = java_files(files, most=most_files).where(has_mappings(F.col("text"))).withColumn("package", package_name(F.col("text"), 120))
+    each = lines(sources, keep=["package"]).withColumn("s", stripped(F.col("text")))
     annotation = F.startswith("s", F.lit("@"))
     kind = (
         F.when(annotation, "annotation")
@@ -56,7 +53,7 @@ def rest_map(files: DataFrame, most_files: int | None = None) -> DataFrame:
         .groupBy("project", "path", "segment")
         .agg(
             F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "annotation", F.struct("line_no", "text")))), lambda x: x["text"]).alias("notes"),
-            of_end(F.col("kind")).alias("kind"), of_end(F.col("line_no")).alias("line_no"), of_end(F.col("text")).alias("text"),
+            of_end(F.col("kind")).alias("kind"), of_end(F.col("line_no")).alias("line_no"), of_end(F.col("text")).alias("text"), F.first("package").alias("package"),
         )
         .where("kind IN ('class', 'method')")
     )
@@ -64,8 +61,7 @@ def rest_map(files: DataFrame, most_files: int | None = None) -> DataFrame:
     of_class = F.when(F.col("kind") == "class", F.struct(group(F.col("text"), p.CLASS_LINE).alias("name"), F.coalesce(_first_literal(F.regexp_extract(base_note, r"@RequestMapping\s*(\([^)]*\))?", 1)), F.lit("")).alias("base")))
     methods = segments.withColumn("class", F.last(of_class, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))).where("kind = 'method'")
     methods = methods.withColumn("method_name", group(F.col("text"), p.METHOD_LINE)).where(~F.col("method_name").isin(p.NOT_METHODS))
-    packages = lines(sources).where(f"line_no <= 120 AND text RLIKE r'{p.PACKAGE}'").groupBy("project", "path").agg(F.min_by(F.regexp_extract("text", p.PACKAGE, 1), "line_no").alias("package"))
-    found = methods.join(packages, ["project", "path"], "left").withColumn("mapping", F.explode(F.regexp_extract_all(F.array_join("notes", "\n"), F.lit(p.MAPPING), 0)))
+    found = methods.withColumn("mapping", F.explode(F.regexp_extract_all(F.array_join("notes", "\n"), F.lit(p.MAPPING), 0)))
     note, parens = F.regexp_extract("mapping", p.MAPPING, 1), F.regexp_extract("mapping", p.MAPPING, 2)
     name = F.col("class.name")
     return found.select(

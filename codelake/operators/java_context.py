@@ -9,7 +9,7 @@ from pyspark.sql.window import WindowSpec
 from codelake.functions import patterns as p
 from codelake.functions.names import entry_path
 from codelake.functions.predicates import any_of, group, is_bare_brace, is_method_line, markers, matches, method_at, starts_with_any, stripped
-from codelake.sources.files import around, by_file
+from codelake.sources.files import around, by_file, of_files
 
 FILE_LINE = ["project", "path", "line_no"]
 
@@ -63,6 +63,7 @@ def javadocs(asked: DataFrame, lines: DataFrame) -> DataFrame:
     The method is the first signature within 16 lines down, else the nearest within 48 up. A closing brace right
     above it means there is no comment.
     """
+    lines = of_files(lines, asked)
     text = F.col("text")
     at = lambda c: F.when(c, F.col("line_no"))
     told = lines.select(
@@ -88,6 +89,7 @@ def javadocs(asked: DataFrame, lines: DataFrame) -> DataFrame:
 
 def top_entries(asked: DataFrame, lines: DataFrame) -> DataFrame:
     """asked(project, path, line_no) -> class_base_path, http_method, rest_path, rest_summary, javadoc of the method that each line belongs to."""
+    lines = of_files(lines, asked)
     text, s = F.col("text"), stripped(F.col("text"))
     by = ["project", "path"]
     signature = matches(s, r"^(public|private|protected|static)") & F.contains(s, F.lit("("))

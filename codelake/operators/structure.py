@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions import patterns as p
 from codelake.functions.predicates import matches
-from codelake.sources.files import gradle_includes, java_files, lines, poms
+from codelake.sources.files import gradle_includes, java_files, package_name, poms
 
 KIND = {"class": 5, "record": 5, "interface": 11, "enum": 10}
 NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)", re.S)
@@ -49,9 +48,8 @@ def top_level_types(files: DataFrame, most_files: int | None = None) -> DataFram
         return pd.Series([[dict(zip(("name", "kind", "kind_label", "line"), t)) for t in types_in(s)] for s in text])
 
     sources = java_files(files, most=most_files).where(matches(F.col("text"), r"\b(class|interface|enum|record)\s"))
-    found = sources.select("project", F.col("path").alias("file"), F.posexplode(types("text")).alias("nth", "t")).select("project", "file", "nth", "t.*")
-    packages = lines(sources).where("line_no <= 80").where(matches(F.col("text"), p.PACKAGE)).groupBy("project", F.col("path").alias("file")).agg(F.min_by(F.regexp_extract("text", p.PACKAGE, 1), "line_no").alias("package"))
-    return found.join(packages, ["project", "file"], "left").withColumn("package", F.coalesce("package", F.lit("")))
+    package = F.coalesce(package_name(F.col("text"), 80), F.lit("")).alias("package")
+    return sources.select("project", package, F.col("path").alias("file"), F.posexplode(types("text")).alias("nth", "t")).select("project", "package", "file", "nth", "t.*")
 
 
 def by_package(types: DataFrame) -> DataFrame:

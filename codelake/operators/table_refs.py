@@ -54,8 +54,9 @@ def _hit(found: Column, source: str, confidence: str) -> list[Column]:
 
 def java_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     """Tables in entity annotations and in SQL of string literals, these with the method around them."""
-    each = lines(java_files(files, most=most))
+    # whole files without a trace of SQL or of an entity are left out before windows move any line
     text = F.col("text")
+    each = lines(java_files(files, most=most).where(matches(text, p.SQL_HINT) | F.contains(text, F.lit("@Table("))))
     notes = each.where(F.contains(text, F.lit("@Table(")) & ~F.contains(text, F.lit("@TableField"))).select("project", *_hit(annotated_tables(text), "entity_annotation", "high"))
     literals = F.concat(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), F.regexp_extract_all(text, F.lit(p.SINGLE_QUOTED), 1))
     # the cheap test of the line comes first; most lines have no SQL in them
@@ -117,7 +118,7 @@ def first_per_method(hits: DataFrame) -> DataFrame:
 def manifest(files: DataFrame, user_tables: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a manifest: hits, canonical names, anchors by name and by physical table, unresolved and extracted-only names."""
     hits = table_hits(files)
-    listed = hits.select(F.col("table").alias("name")).distinct().withColumn("ordinal", F.row_number().over(Window.orderBy(F.lower("name"), "name"))) if user_tables is None else user_tables
+    listed = hits.select(F.col("table").alias("name")).distinct().withColumn("ordinal", F.struct(F.lower("name"), F.col("name").alias("raw"))) if user_tables is None else user_tables
     named, placed = canonical_names(hits, listed), physical_hits(hits)
     first = F.row_number().over(Window.partitionBy("physical_table").orderBy("ordinal"))
     return {

@@ -41,10 +41,11 @@ def read_files(spark: SparkSession, root: str, globs: str = "*.{java,xml,gradle,
     return as_files(raw.select(F.lit(project).alias("project"), F.when(F.startswith("full", F.lit(base)), F.substring("full", len(base) + 1, 1 << 20)).otherwise(F.col("full")).alias("path"), "text"))
 
 
-def as_files(df: DataFrame) -> DataFrame:
-    """files from any (project, path, text), without build output; a path comes once."""
+def as_files(df: DataFrame, overlapping: bool = False) -> DataFrame:
+    """files from any (project, path, text), without build output. Where roots overlap a path can come several times, and only then are the texts shuffled to keep it once."""
     skipped = F.exists(F.split("path", "/"), lambda x: x.isin(p.SKIPPED_FOLDERS))
-    named = df.where(~skipped).dropDuplicates(["project", "path"])
+    named = df.where(~skipped)
+    named = named.dropDuplicates(["project", "path"]) if overlapping else named
     name = F.substring_index("path", "/", -1)
     return named.select("project", "path", name.alias("name"), F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("").alias("ext"), "text")
 
@@ -52,8 +53,9 @@ def as_files(df: DataFrame) -> DataFrame:
 def main_sources(files: DataFrame) -> DataFrame:
     """Only what lies under `src/main` folders, in projects that have any; the whole tree of the others."""
     inside = F.rlike(F.concat(F.lit("/"), F.col("path")), F.lit("/src/main/"))
-    standard = files.groupBy("project").agg(F.max(inside).alias("standard"))
-    return files.join(standard, "project").where(~F.col("standard") | inside).drop("standard")
+    standard = files.where(inside).select("project").distinct()
+    # only texts outside `src/main` meet the list of projects; the rest passes without a shuffle
+    return files.where(inside).unionByName(files.where(~inside).join(standard, "project", "left_anti"))
 
 
 def java_files(files: DataFrame, name: str = r".*\.java", most: int | None = None) -> DataFrame:
@@ -72,9 +74,21 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """lines(project, path, line_no, text), numbered from 1."""
-    return files.select("project", "path", F.posexplode(split_lines(F.col("text"))).alias("n", "text")).select("project", "path", (F.col("n") + 1).alias("line_no"), "text")
+def lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """lines(project, path, line_no, text), numbered from 1, with the columns of the file to `keep`."""
+    kept = keep or []
+    return files.select("project", "path", *kept, F.posexplode(split_lines(F.col("text"))).alias("n", "text")).select("project", "path", (F.col("n") + 1).alias("line_no"), "text", *kept)
+
+
+def package_name(text: Column, most_lines: int) -> Column:
+    """The package that a source declares within its first lines, else null."""
+    head = F.slice(split_lines(text), 1, most_lines)
+    return F.regexp_extract(F.get(F.filter(head, lambda x: F.rlike(x, F.lit(p.PACKAGE))), F.lit(0)), p.PACKAGE, 1)
+
+
+def of_files(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """The lines of the files that are asked about, before windows move them."""
+    return lines.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi")
 
 
 def around(c: Column, before: int, after: int, how=F.max) -> Column:
@@ -96,13 +110,19 @@ def listed_tables(spark: SparkSession, text: str = "", inline: str = "") -> Data
     return _named_once(pieces.select((F.col("part").cast("long") * 1_000_000_000 + F.col("i")).alias("ordinal"), name.alias("name")))
 
 
+def xml_values(text: Column, tag: str) -> Column:
+    """The texts of all elements of a name, whatever their namespace prefix, in document order. Read by pattern, since a file that is not well formed must not stop the job."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"<(?:[\w.\-]+:)?{tag}(?:\s[^>]*)?>([^<]*)</"), 1), lambda x: stripped(x))
+
+
 def poms(files: DataFrame) -> DataFrame:
     """(project, path, artifact_id, packaging, pom_name, modules) of Maven files: the first artifactId of the document, the last packaging, whatever the namespace."""
-    text = lambda tag: F.transform(F.expr(f"xpath(text, \"//*[local-name()='{tag}']/text()\")"), lambda x: F.trim(x))
-    return files.where("name = 'pom.xml'").select(
-        "project", "path",
-        F.get(text("artifactId"), F.lit(0)).alias("artifact_id"), F.try_element_at(text("packaging"), F.lit(-1)).alias("packaging"), F.get(text("name"), F.lit(0)).alias("pom_name"),
-        F.filter(F.transform(F.expr("xpath(text, \"//*[local-name()='modules']/*[local-name()='module']/text()\")"), lambda x: F.trim(x)), lambda x: x != "").alias("modules"),
+    bare = files.where("name = 'pom.xml'").select("project", "path", F.regexp_replace("text", r"(?s)<!--.*?-->", "").alias("text"))
+    text = F.col("text")
+    listed = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)<(?:[\w.\-]+:)?modules(?:\s[^>]*)?>(.*?)</(?:[\w.\-]+:)?modules>"), 1), "")
+    return bare.select(
+        "project", "path", F.get(xml_values(text, "artifactId"), F.lit(0)).alias("artifact_id"), F.try_element_at(xml_values(text, "packaging"), F.lit(-1)).alias("packaging"),
+        F.get(xml_values(text, "name"), F.lit(0)).alias("pom_name"), F.filter(xml_values(listed, "module"), lambda x: x != "").alias("modules"),
     )
 
 

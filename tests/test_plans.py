@@ -89,20 +89,14 @@ def test_flags_and_candidates(spark):
 
 
 def index(spark):
-    nodes, edges = samples.call_graph(spark)
-    symbols = spark.createDataFrame([("A", "web/OrderController.java", "list()", 6, "OrderController", 4, 2, 4, 0, 6, 1), ("K", "web/OrderController.java", "OrderController", 5, "", 1, 0, 1, 0, 9, 1)], "sym_id string, path string, name string, kind int, container string, sel_line int, sel_char int, start_line int, start_char int, end_line int, end_char int")
-    refs = spark.createDataFrame([("x.java", 2, 4, "A", False), ("web/OrderController.java", 4, 2, "A", True)], "path string, line int, character int, target_key string, is_decl boolean")
-    return {
-        "symbols": symbols, "refs": refs, "hover": spark.createDataFrame([("A", "lists")], "key string, contents string"), "call_edges": edges,
-        "call_nodes": nodes.withColumn("line", F.lit(9)), "impl_edges": spark.createDataFrame([("A", "I")], "decl_key string, impl_key string"), "type_edges": spark.createDataFrame([("K", "Base"), ("Sub", "K")], "sub_key string, super_key string"),
-    }
+    return {**samples.symbol_index(spark), "call_nodes": samples.call_graph(spark)[0].withColumn("line", F.lit(9))}
 
 
 def test_point_queries(spark):
     i = index(spark)
     ask = lambda op, **o: symbol_index.analyze(i, op, **o).collect()
     at = {"path": "x.java", "line": 3, "character": 5}
-    assert len(ask("documentSymbol", path="web/OrderController.java")) == 2
+    assert len(ask("documentSymbol", path="web/OrderController.java")) == 3
     assert [r["name"] for r in ask("workspaceSymbol", query="ordercon|list")] == ["OrderController", "list()"]
     assert ask("definition", **at)[0]["sym_id"] == "A" and len(ask("references", **at)) == 2
     assert ask("hover", **at)[0]["contents"] == "lists" and ask("implementation", **at)[0]["impl_key"] == "I"
