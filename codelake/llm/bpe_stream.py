@@ -81,8 +81,12 @@ class Transducer:
         self.window = max(256, 4 * self.lookahead)
         self.letter = byte_letters()
         split = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split.replace(r"\s", SPACE))
+        self.split, self.words, self.late_lower = split, None, {}
         self.ascii_words = re.compile(split.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}a-z0-9]"))
+        # texts of Latin letters and common punctuation, without superscript digits and fractions, need no Unicode tables
+        latin = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+        self.beyond_latin = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2000-\u206f]")
+        self.latin_words = re.compile(split.replace(r"[\p{L}]", f"[{latin}]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{latin}0-9]"))
         self.marks = re.compile("|".join(f"({re.escape(s)})" for s in self.special) or "(?!)")
         self.safe = re.compile(f"[{SPACE}]")
         self.memo: dict[str, tuple[bytes, bytes, int]] = {}
@@ -169,8 +173,27 @@ class Transducer:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return self.words.findall(text.replace("Σ", "σ").lower())
+            from tokenizers import normalizers  # its tables of combining marks are older than the standard library's
+
+            text = normalizers.NFC().normalize_str(text)
+        text = text.replace("Σ", "σ").lower()
+        if not self.beyond_latin.search(text):
+            return self.latin_words.findall(text)
+        self.words = self.words or self._all_words()
+        return self.words.findall(text.translate(self.late_lower) if self.late_lower else text)
+
+    def _all_words(self) -> regex.Pattern:
+        """The splitting pattern over all of Unicode. Characters that are letters or digits to the regex library and not yet to the standard library are as old as the tokenizers library says."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        new = [c for c in map(chr, range(0x250, 0x110000)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+        lower = normalizers.Lowercase()
+        self.late_lower = str.maketrans({c: x for c in new if (x := lower.normalize_str(c)) != c})
+        inside = {x for x, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(new))}
+        late = "".join(regex.escape(c) for c in new if c not in inside)
+        known = lambda kind: f"[[\\p{{{kind}}}]--[{late}]]" if late else f"[\\p{{{kind}}}]"
+        other = f"[[^{SPACE}\\p{{L}}\\p{{N}}]||[{late}]]" if late else f"[^{SPACE}\\p{{L}}\\p{{N}}]"
+        return regex.compile(self.split.replace(r"[^\s\p{L}\p{N}]", other).replace(r"[\p{L}]", known("L")).replace(r"[\p{N}]", known("N")), regex.V1)
 
     def pieces(self, text: str | None) -> Iterator[list[str] | int]:
         """The words of a text, stretch by stretch, and between them the ids of special tokens."""

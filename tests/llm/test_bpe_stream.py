@@ -38,6 +38,16 @@ def test_long_words_of_tokens(both):
         assert t.digest(word) == expected(lib, word)
 
 
+def test_letters_of_many_scripts(both):
+    random.seed(4)
+    t, lib = both
+    for top in (0x100, 0x250, 0x2100, 0x3100, 0x1F650):
+        for _ in range(60):
+            codes = [random.choice([random.randrange(0x20, top), random.randrange(0x20, 0x100)]) for _ in range(80)]
+            text = "".join(chr(c) for c in codes if not 0xD800 <= c < 0xE000)
+            assert t.digest(text) == expected(lib, text)
+
+
 def test_chunks_do_not_matter(both, monkeypatch):
     monkeypatch.setattr(bpe_stream, "CHUNK", 7)
     for text in CASES:
