@@ -11,13 +11,14 @@ from codelake.llm.common import cut
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Link the larger (or not larger) neighbours of every node to the smallest node next to it.
 
-    The smallest neighbour is a combinable aggregate joined back, so a hub's edges are never gathered in one group.
+    The smallest neighbour is a combinable aggregate, written and then joined back, so that a hub's edges are never
+    gathered in one group and Spark can split the join where a hub's key is hot.
     """
     if small:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
+    least = cut(near.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")))
     joined = near.join(least, "u")
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(least.select("u", F.col("low").alias("v")))

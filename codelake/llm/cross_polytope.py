@@ -143,7 +143,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     kind = dict(nodes.dtypes)["embedding"]
     full = cut(nodes.mapInPandas(hashed, f"node long, embedding {kind}, weight long, dim int, codes array<long>"))
     entries = full.select("dim", "node", F.posexplode("codes").alias("k", "code")).select("dim", "node", F.expr(f"CAST(k DIV {1 + probes} AS INT)").alias("t"), "code")
-    crowd = entries.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
+    # written before it is joined back, so that Spark can split the join at a hot bucket
+    crowd = cut(entries.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1").select("dim", "t", "code", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")))
     dealt = (
         entries.join(crowd, ["dim", "t", "code"])
         .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "parts").cast("int"))
@@ -155,7 +156,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = tree.join(nodes.select("node", "low"), "node")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
     of_node = cut(nodes.select("node", "weight", "low").join(links, "node", "left").join(named.select("node", "root").join(lows, "root").select("node", "component_id"), "node", "left"))
     out = rows.select("vec_id", "node").join(of_node, "node", "left")
     return out.select(

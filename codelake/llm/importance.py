@@ -38,21 +38,11 @@ DEAD = 1.6
 SLACK = 2.5
 TEMPERATURE = 0.05
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-_memo: dict[str, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
     """The buckets of a text's unigrams (below BUCKETS) and bigrams (from BUCKETS on), each once; a word after itself is one n-gram whatever the word, and so are one that comes three times running and the share of such bigrams."""
-    words = TOKENS.findall(text or "")
-    if len(_memo) > 1_000_000:
-        _memo.clear()
-    get, out = _memo.get, []
-    for w in words:
-        x = get(w)
-        if x is None:
-            x = _memo[w] = xxhash.xxh32_intdigest(w)
-        out.append(x)
-    h = np.array(out, dtype=np.uint64)
+    h = np.array(list(map(xxhash.xxh32_intdigest, TOKENS.findall(text or ""))), dtype=np.uint64)
     again = h[:-1] == h[1:]
     thrice = np.full(int((again[:-1] & again[1:]).any()), BUCKETS + 1, dtype=np.uint64)
     share = np.full(min(1, len(again)), BUCKETS + 2 + int(8 * again.mean()) if len(again) else 0, dtype=np.uint64)

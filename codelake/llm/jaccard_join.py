@@ -41,7 +41,6 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(17)
 XORS = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
 ODDS = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_memo: dict[str, int] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -51,17 +50,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = WORDS.findall(text.lower())
-    if len(_memo) > 1_000_000:
-        _memo.clear()
-    get, h = _memo.get, xxhash.xxh64_intdigest
-    out = []
-    for w in words:
-        x = get(w)
-        if x is None:
-            x = _memo[w] = h(w)
-        out.append(x)
-    return np.array(out, dtype=np.uint64)
+    return np.array(list(map(xxhash.xxh64_intdigest, WORDS.findall(text.lower()))), dtype=np.uint64)
 
 
 def grams(text: str | None, n: int = GRAM) -> np.ndarray:
@@ -213,9 +202,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     rows = cut(docs.mapInPandas(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, bands array<long>"))
     classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.any_value("bands").alias("bands")))
     bands = classes.select("cls", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("v")).where("n > 1").drop("n")
+    # aggregates are written before they are joined back, so that Spark can split the join at a hot key
+    shared = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("v")).where("n > 1").drop("n"))
     groups = components(bands.join(shared, "band").select(F.col("cls").alias("u"), "v"))
-    crowd = groups.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    crowd = cut(groups.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
     asked = groups.join(crowd, "root").join(classes.select(F.col("cls").alias("node"), "low", "weight"), "node").select(F.col("node").alias("cls"), "low", "weight", "root", "parts")
     texts = docs.join(asked, docs["doc_id"] == asked["low"]).select("cls", "weight", "root", "parts", "text")
     payload = texts.mapInPandas(_payload, "cls long, weight long, root long, parts int, sig binary, grams binary")
@@ -228,7 +218,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     found = cut(blocks.mapInPandas(lambda it: _compare(_distinct(it), threshold, tolerance), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).join(classes.select(F.col("cls").alias("node"), "low"), "node")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
     of_class = cut(
         classes.select(F.col("cls").alias("node"), "weight", "low").join(links, "node", "left").join(named.select("node", "root").join(lows, "root").select("node", "component_id"), "node", "left")
     )

@@ -39,7 +39,7 @@ K1, B = 1.2, 0.75
 class Ids(dict):
     """Word -> its ids as bytes, by the tokenizers library's own model; unknown words are encoded when they come."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()

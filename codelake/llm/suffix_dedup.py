@@ -258,14 +258,15 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 yield pd.DataFrame(dict(zip(["rid", "m", "a", "b", "lead", "whole"], map(np.concatenate, zip(*out)))))
 
     runs = stored.keep("runs", docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
-    leads = runs.groupBy("lead").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n")
+    # counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
+    leads = stored.keep("leads", runs.groupBy("lead").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n"))
     open_ = stored.keep("open", runs.join(leads, "lead"))
     del runs, leads
-    stored.drop("runs")
-    wholes = open_.groupBy("lead", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "m")).alias("rep"))
+    stored.drop("runs", "leads")
+    wholes = stored.keep("wholes", open_.groupBy("lead", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "m")).alias("rep")))
     judged = stored.keep("judged", open_.join(wholes, ["lead", "whole"]).withColumn("ask", F.col("mixed") & (F.struct("rid", "m") == F.col("rep"))).select("rid", "m", "a", "b", "lead", "n", "ask"))
     del open_, wholes
-    stored.drop("open")
+    stored.drop("open", "wholes")
     whole = judged.where("n > 1").select("rid", F.col("a").alias("lo"), F.col("b").alias("hi"))
 
     asked = judged.where("ask").groupBy("rid").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
@@ -328,11 +329,11 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     each = stored.keep("each", windows.mapInPandas(hashed, "rid long, lo int, h1 long, h2 long"))
     del windows, unsettled
     stored.drop("around")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     counted = each.join(twice, ["h1", "h2"]).select("rid", "lo", F.col("lo").alias("hi"))
     spans = stored.keep("spans", whole.union(confirmed).union(counted).distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     del judged, ranged, each, whole, confirmed, twice, counted, around
-    stored.drop("judged", "ranged", "each")
+    stored.drop("judged", "ranged", "each", "twice")
     return spans
 
 
