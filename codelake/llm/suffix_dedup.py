@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -233,9 +233,35 @@ def _contexts(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFra
             yield pd.DataFrame(rows, columns=["rid", "m", "a", "b", "lead", "body", "before"])
 
 
-def _at_edges(found: DataFrame) -> list:
-    """The first and last rows of the buckets in order: two a bucket, whatever the number of rows."""
-    return found.where("edge > 0").orderBy("pid", F.col("edge") % 2 == 0).collect()
+def _across_edges(found: DataFrame, compare: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
+    """What compare says of the last row of each bucket and the first row of the next one that is not empty. Only the numbers of the buckets pass through the driver."""
+    edges = found.where("edge > 0")
+    pids = sorted(r["pid"] for r in edges.select("pid").distinct().collect())
+    following = edges.sparkSession.createDataFrame(list(zip(pids, pids[1:])), "pid int, next int")
+    last = edges.where("edge >= 2").join(following, "pid")
+    first = edges.where("edge % 2 = 1").select(*[F.col(c).alias("next" if c == "pid" else f"{c}_") for c in edges.columns])
+    return last.join(first, "next").mapInPandas(compare, kind)
+
+
+def _right_across(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """Two suffixes on either side of an edge: how far they agree, and the windows of each that both share (lo above hi: none)."""
+    for pdf in batches:
+        out = []
+        for x in pdf.itertuples(index=False):
+            at, at_ = x.m - x.a, x.m_ - x.a_
+            common, left = common_prefix(x.body[at:], x.body_[at_:]), common_prefix(x.body[:at][::-1], x.body_[:at_][::-1])
+            far, near = _shared(x.m, x.a, x.b, x.m_, x.a_, x.b_, left, common, span)
+            out += [(rid, m, common, m - near, m - far) for rid, m in ((x.rid, x.m), (x.rid_, x.m_))]
+        yield pd.DataFrame(out, columns=["rid", "m", "reach", "lo", "hi"])
+
+
+def _left_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for x in pdf.itertuples(index=False):
+            common = max(0, common_prefix(x.body, x.body_) - 8)
+            out += [(x.rid, x.m, common), (x.rid_, x.m_, common)]
+        yield pd.DataFrame(out, columns=["rid", "m", "before_reach"])
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -279,21 +305,9 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     right = stored.keep("right", suffix.repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _right_neighbours(it, span), NEIGHBOUR))
     del suffix
     stored.drop()
-    fixes, rows = [], _at_edges(right)
-    for x, y in zip(rows, rows[1:]):
-        if x["pid"] != y["pid"]:
-            common = common_prefix(bytes(x["body"])[x["m"] - x["a"] :], bytes(y["body"])[y["m"] - y["a"] :])
-            left = common_prefix(bytes(x["body"])[: x["m"] - x["a"]][::-1], bytes(y["body"])[: y["m"] - y["a"]][::-1])
-            far, near = _shared(x["m"], x["a"], x["b"], y["m"], y["a"], y["b"], left, common, span)
-            fixes += [(r["rid"], r["m"], common, r["m"] - near, r["m"] - far) for r in (x, y)]
-    fixed = spark.createDataFrame(fixes, "rid long, m int, reach int, lo int, hi int")
+    fixed = _across_edges(right, lambda it: _right_across(it, span), "rid long, m int, reach int, lo int, hi int")
     before = stored.keep("before", around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
-    more, rows = [], _at_edges(before)
-    for x, y in zip(rows, rows[1:]):
-        if x["pid"] != y["pid"]:
-            common = max(0, common_prefix(bytes(x["body"]), bytes(y["body"])) - 8)
-            more += [(r["rid"], r["m"], common) for r in (x, y)]
-    more = spark.createDataFrame(more, "rid long, m int, before_reach int")
+    more = _across_edges(before, _left_across, "rid long, m int, before_reach int")
 
     lengths = right.select("rid", "m", "lead", "a", "b", "reach", F.lit(0).alias("before_reach"), "lo1", "hi1", "lo2", "hi2", F.lit(1).alias("lo3"), F.lit(0).alias("hi3"), F.lit(1).alias("lo4"), F.lit(0).alias("hi4"))
     none = [F.lit(None).cast("int").alias(c) for c in ("a", "b")]
