@@ -6,8 +6,12 @@ two over its n-grams, and Gumbel top-k over importances takes the sample: it is
 chances in proportion to the weights, by adding noise to the log weights and keeping the k largest.
 
 - An n-gram counts once a document; unigrams and bigrams of words and punctuation have buckets of their own.
-- Counts are smoothed towards a ratio of 1, and ratios between exp(-DEAD) and exp(DEAD) count as 1: what both kinds of
-  text use alike says nothing, however long the text.
+- The ratios of all n-grams that labelled rows hold count, for a text or against it. Counts are smoothed a little, and
+  each log ratio is weighed by its support: one from r rows counts r / (r + SUPPORT) of itself.
+- Length is set against evidence: the part `CENTRE` of the mean log ratio of n-grams in target text is taken off each,
+  or a bad word would be drowned by the rest of a long text; then what hash collisions alone bring a text of as many
+  n-grams is taken off the sum, and the sum is divided by their spread. A text of unseen words has about mean 0 and
+  spread below 1 at any length.
 - k is the number of documents whose importance is at least `-SLACK`, and the noise is scaled by `TEMPERATURE`.
 - Noise is a hash of id and seed, so a sample is the same whenever it is drawn again. Ties go to the smaller id.
 
@@ -33,8 +37,10 @@ from codelake.llm.common import cut
 BUCKETS = 1 << 19
 RESERVED = 11  # buckets of bigrams that no hash falls into: a word after itself, three times running, and the share of such bigrams in eighths
 FIT_ROWS = 40_000
-SMOOTH, SMOOTH_PAIRS = 4.0, 50.0
-DEAD = 1.6
+SMOOTH, SMOOTH_PAIRS = 0.02, 0.02
+DEAD = 0.0  # log ratios below it in size are left out: none is
+SUPPORT, SUPPORT_PAIRS = 10.0, 50.0
+CENTRE = 0.5
 SLACK = 2.5
 TEMPERATURE = 0.05
 TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -51,8 +57,8 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([h % np.uint64(BUCKETS), np.uint64(BUCKETS) + pair, thrice, share])).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that tell target text from raw text, and the log ratio of the two models there."""
+def counts(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The buckets that labelled rows hold, how many target rows and rows of any kind hold each, and the share of target rows."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     n = known.count()
@@ -78,11 +84,55 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.nd
     sums = cut(counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).where("raw > 0"))
     total = sums.where("bucket < 0").first()
     part = total["target"] / total["raw"] if total and total["target"] else 1.0
-    smooth = F.when(F.col("bucket") < BUCKETS, SMOOTH).otherwise(SMOOTH_PAIRS)
-    ratio = F.log((F.col("target") + smooth * part) / (part * (F.col("raw") + smooth)))
-    # at most one row a bucket, and only of those that say something
-    telling = sums.where("bucket >= 0").select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= DEAD).toPandas()
-    return telling["bucket"].to_numpy(dtype=np.int32), telling["ratio"].to_numpy(dtype=np.float32)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({c: [pdf[c].to_numpy(dtype=np.int32).tobytes()] for c in ("bucket", "target", "raw")})
+
+    # at most one count a bucket, whatever the number of documents, as bytes
+    got = sums.where("bucket >= 0").mapInPandas(packed, "bucket binary, target binary, raw binary").collect()
+    return *(np.frombuffer(b"".join(r[c] for r in got), dtype=np.int32) for c in ("bucket", "target", "raw")), part
+
+
+def log_ratios(buckets: np.ndarray, target: np.ndarray, raw: np.ndarray, part: float) -> np.ndarray:
+    smooth = np.where(buckets < BUCKETS, SMOOTH, SMOOTH_PAIRS)
+    return np.log((target + smooth * part) / (part * (raw + smooth)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that labelled rows hold, and the log ratio of target text to raw text there."""
+    buckets, target, raw, part = counts(docs, labels, rows)
+    ratios = log_ratios(buckets, target, raw, part)
+    telling = np.abs(ratios) >= DEAD
+    return buckets[telling], ratios[telling].astype(np.float32)
+
+
+class Model:
+    """Weights of the n-grams, and what collisions bring."""
+
+    def __init__(self, buckets: np.ndarray, target: np.ndarray, raw: np.ndarray, part: float):
+        single = buckets < BUCKETS
+        ratios = log_ratios(buckets, target, raw, part)
+        ratios[np.abs(ratios) < DEAD] = 0
+        support = raw / (raw + np.where(single, SUPPORT, SUPPORT_PAIRS))
+        weights = ratios * support
+        self.mean, self.square = np.zeros(2), np.zeros(2)
+        for kind, at in enumerate((single, ~single)):
+            if held := float((target * support)[at].sum()):
+                weights[at] -= CENTRE * float((target * weights)[at].sum()) / held * support[at]
+            # over all buckets: most are empty
+            self.mean[kind], self.square[kind] = weights[at].sum() / BUCKETS, (weights[at] ** 2).sum() / BUCKETS
+        self.buckets, self.weights = buckets, weights.astype(np.float32)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(2 * BUCKETS, dtype=np.float32)
+        out[self.buckets] = self.weights
+        return out
+
+    def score(self, f: np.ndarray, dense: np.ndarray) -> float:
+        """The weight of a text of features f, less what collisions bring, in units of their spread (of 1 in short texts)."""
+        n = np.array([(singles := int(np.searchsorted(f, BUCKETS))), len(f) - singles])
+        return float((dense[f].sum(dtype=np.float64) - n @ self.mean) / np.sqrt(1 + n @ self.square))
 
 
 def gumbel(id_: Column, seed: int) -> Column:
@@ -107,14 +157,13 @@ def kth_largest(keys: DataFrame, k: int, digit: int = 11) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected for every row of docs(doc_id, text)."""
-    buckets, ratios = fit(docs, labels)
+    model = Model(*counts(docs, labels))
 
     @F.pandas_udf("double")
     def importance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = np.zeros(2 * BUCKETS, dtype=np.float32)
-        weights[buckets] = ratios
+        dense = model.dense()
         for texts in batches:
-            yield pd.Series([float(weights[features(t)].sum(dtype=np.float64)) for t in texts], dtype="float64")
+            yield pd.Series([model.score(features(t), dense) for t in texts], dtype="float64")
 
     scored = cut(
         docs.select("doc_id", importance("text").alias("log_weight"))

@@ -70,6 +70,30 @@ def test_ratios_equal_a_plain_count(graded):
     assert sorted(buckets.tolist()) == at.tolist() and np.allclose(ratios[np.argsort(buckets)], want[at], atol=1e-5)
 
 
+def test_ngrams_speak_for_a_text_too(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 4 != 0
+        rows.append((i, prose(rng, 60) + (" lantern harbour" if good and i % 3 else "") + (" gloomy" if not good and i % 8 else "")))
+        labels.append((i, int(good), 0))
+    rows += [(900, "lantern harbour lantern harbour"), (901, "gloomy"), (902, "lantern harbour"), (903, "quite unseen text"), (904, None)]
+    got = {r["doc_id"]: r["log_weight"] for r in importance.resample(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[902] > 0.1 and got[900] > 0.1 and got[901] < -1 and abs(got[903]) < 0.1 and got[904] == 0
+
+
+def test_long_texts_are_not_judged_by_collisions(spark):
+    # bad words are common among the labelled rows, and a long text of unseen words hits many of their buckets
+    rng = random.Random(9)
+    words = [f"bad{i}" for i in range(300)]
+    rows = [(i, prose(rng, 40) + (" " + " ".join(words) if i % 4 == 0 else "")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    rows += [(1000 + n, " ".join(f"new{k}w{n}" for k in range(50_000 if n < 4 else 200_000))) for n in range(6)]
+    got = {r["doc_id"]: r for r in importance.resample(docs_of(spark, rows), labels).collect()}
+    assert all(got[1000 + n]["selected"] for n in range(6))
+    assert not any(got[i]["selected"] for i in range(0, 240, 4)) and all(got[i]["selected"] for i in range(240) if i % 4)
+
+
 def test_gumbel_top_k(spark):
     keys = [random.Random(1).randrange(-(2**40), 2**40) for _ in range(500)] + [7] * 20
     df = spark.createDataFrame([(k,) for k in keys], "key long")
