@@ -2,7 +2,8 @@
 
 Each table of hashes rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the
 signed axis nearest to it; a table's code joins the axes of a few rotations. Besides its own bucket a vector probes
-those reached by its least certain axis. Vectors that share a bucket of any table are compared by cosine in double
+those reached by its least certain axis. Larger tables of vectors take more rotations, and as many more tables of hashes
+as keep the chance of missing a pair at the threshold at `MISS` at most. Vectors that share a bucket of any table are compared by cosine in double
 precision and linked at the threshold or above it.
 
 Equal vectors are one node with a weight, so thousands of copies cost one row. A bucket's nodes are dealt into chunks
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,8 @@ from codelake.llm.common import cut, group_starts, pairs_within, roots, shuffle_
 from codelake.llm.components import components
 
 THRESHOLD = 0.95
-TABLES = 8
+TABLES = 8  # at least
+MISS = 0.001
 PROBES = 1
 CHUNK = 256
 SEED = 5
@@ -76,6 +79,28 @@ def codes(x: np.ndarray, axes: int, tables: int = TABLES, probes: int = PROBES,
     return out
 
 
+def axes_for(n: int, dim: int) -> int:
+    """Rotations a table of hashes takes for n vectors."""
+    return max(2, math.ceil(math.log(max(2, n)) / math.log(2 * max(2, dim)) - 0.5))
+
+
+@lru_cache(maxsize=64)
+def tables_for(dim: int, axes: int, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> int:
+    """The tables with which a pair at the threshold is missed with a chance of at most MISS: one table's chance is measured on random pairs, less two standard errors. The same on every executor."""
+    if dim < 2:
+        return tables
+    rng = np.random.default_rng(SEED)
+    a, b = rng.normal(size=(2, 500, dim))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.sqrt((b * b).sum(1, keepdims=True))
+    x, y = (codes(v, axes, 8, probes, SEED + 1) for v in (a, threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b))
+    hits = (x[:, :, :, None] == y[:, :, None, :]).any((2, 3))
+    p = hits.mean()
+    p = min(1 - 1e-9, max(1 / hits.size, p - 2 * math.sqrt(p * (1 - p) / hits.size)))
+    return max(tables, math.ceil(math.log(MISS) / math.log(1 - p)))
+
+
 def first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first table in which rows of a and b (n, tables, codes) share a bucket, and the smallest code they share there."""
     none = np.iinfo(np.int64).max
@@ -95,14 +120,14 @@ def first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 BLOCK = ["dim", "t", "code", "i", "j"]
 
 
-def _compare(batches: Iterator[pd.DataFrame], threshold: float, tables: int) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], threshold: float, probes: int) -> Iterator[pd.DataFrame]:
     """Blocks of nodes -> node, links (the weight of what it links with, counted here), root (the smallest node it hangs together with here)."""
     for pdf in whole_groups(batches, BLOCK):
         for dim, part in pdf.groupby("dim", sort=False):
             part = part.reset_index(drop=True)
             x = np.stack(part["embedding"]).astype(np.float64)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            own = np.stack(part["codes"]).reshape(len(part), tables, -1)
+            own = np.stack(part["codes"]).reshape(len(part), -1, 1 + probes)
             t, code, node, weight, chunk = (part[c].to_numpy() for c in ("t", "code", "node", "weight", "chunk"))
             cross = (part["i"] != part["j"]).to_numpy()
             left, right = [], []
@@ -126,8 +151,8 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float, tables: int) ->
                 yield pd.DataFrame({"node": node[at], "links": links[at], "root": node[low[at]]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, axes: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding); axes follow the number of vectors unless given."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.when(usable_vector("embedding"), F.col("embedding")).alias("embedding")).withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     nodes = cut(rows.where("node IS NOT NULL").groupBy("node", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight")))
@@ -136,8 +161,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
-                axes = max(2, math.ceil(math.log(max(2, n)) / math.log(2 * max(2, dim)) - 0.5))
-                got = codes(np.stack(part["embedding"]).astype(np.float64), axes, tables, probes)
+                k = axes or axes_for(n, dim)
+                got = codes(np.stack(part["embedding"]).astype(np.float64), k, tables_for(dim, k, threshold, tables, probes), probes)
                 yield pd.DataFrame({"node": part["node"], "embedding": part["embedding"], "weight": part["weight"], "dim": dim, "codes": list(got.reshape(len(part), -1))})
 
     kind = dict(nodes.dtypes)["embedding"]
@@ -152,7 +177,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
         .select("node", "t", "code", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
     blocks = dealt.join(full, "node").repartition(shuffle_partitions(spark), *BLOCK).sortWithinPartitions(*BLOCK)
-    found = cut(blocks.mapInPandas(lambda it: _compare(it, threshold, tables), "node long, links long, root long"))
+    found = cut(blocks.mapInPandas(lambda it: _compare(it, threshold, probes), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = tree.join(nodes.select("node", "low"), "node")

@@ -85,6 +85,19 @@ def test_near_duplicates_of_nothing(spark):
     assert cross_polytope.near_duplicates(table(spark, ODD)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("axes", [3, 4])
+def test_recall_with_the_axes_of_large_tables(spark, axes):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, 0.9501 * a + np.sqrt(1 - 0.9501**2) * b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = cross_polytope.near_duplicates(df, axes=axes).where("n_links > 0").count()
+    assert got >= 998  # of 1000 vectors in 500 pairs
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     assert np.allclose((cross_polytope.hadamard(x) ** 2).sum(1), (x * x).sum(1))
