@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ BUCKET_ROWS = 20_000
 _RNG = np.random.default_rng(23)
 SYMBOLS = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+WORDS = re.compile(r"\w+")
 PLACE = np.uint64((1 << 24) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -394,9 +396,57 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return marked.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with their repeated bytes gone from text, and n_chars counted anew where there is such a column; a character cut in two goes whole."""
-    marked = _with_spans(docs.withColumn("rid", F.xxhash64("doc_id", "text")), span)
+def word_windows(text: str, spans: list, words: int, span: int) -> tuple[np.ndarray, ...]:
+    """Start, end and two hashes of the strings from one word to the `words`-th, of which all windows of span bytes are in spans."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    at = np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF), dtype=np.int64)])
+    place = np.array([m.span() for m in WORDS.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    start, end = at[place[: max(0, len(place) - words + 1), 0]], at[place[words - 1 :, 1]]
+    change = np.zeros(len(raw) + 2, dtype=np.int64)
+    for s in spans:
+        change[s["lo"]] += 1
+        change[s["hi"] + 1] -= 1
+    seen = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
+    ok = seen[end - span + 1] - seen[start] == end - span + 1 - start
+    start, end = start[ok], end[ok]
+    return start, end, *(Hashes(raw, k).of(start, end).view(np.int64) for k in (0, 1))
+
+
+def _with_passages(docs: DataFrame, words: int) -> DataFrame:
+    """docs with the strings of `words` words that stand anywhere else too, as ranges of windows of the span returned by passage_span; docs has a column rid."""
+    span = passage_span(words)
+    stored = Stored(docs.sparkSession)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rid, text, spans in pdf[["rid", "text", "spans"]].itertuples(index=False):
+                got = word_windows(text, spans, words, span)
+                if len(got[0]):
+                    yield pd.DataFrame(dict(zip(["lo", "hi", "h1", "h2"], got))).assign(rid=rid, hi=got[1] - span)
+
+    asked = _with_spans(docs.select("rid", "text"), span).where("spans IS NOT NULL")
+    each = stored.keep("each", asked.mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
+    twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    spans = stored.keep("spans", each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    del asked, each, twice
+    stored.drop("each", "twice")
+    return docs.join(spans, "rid", "left")
+
+
+def passage_span(words: int) -> int:
+    """The fewest bytes that so many words can have: one each, and one between any two."""
+    return 2 * words - 1
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+    """docs with their repeated bytes gone from text, and n_chars counted anew where there is such a column; a character cut in two goes whole. With words, what goes is every passage of at least so many whole words that stands elsewhere too, however few bytes it has; at least 33, as the span has to be longer than LEAD."""
+    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    if words is not None:
+        span = passage_span(words)
+        if span <= LEAD:
+            raise ValueError(f"passages of {words} words can be shorter than {LEAD} bytes")
+    marked = _with_spans(rows, span) if words is None else _with_passages(rows, words)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:

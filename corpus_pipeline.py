@@ -12,6 +12,9 @@ from codelake.llm import byte_cnn, importance, jaccard_join, packing, suffix_ded
 from codelake.llm.common import cut, table
 
 
+PASSAGE_WORDS = 51  # repeated passages of more than 50 words go
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return importance.selected(docs, table(spark, sf_dir, "labels"))
 
@@ -25,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

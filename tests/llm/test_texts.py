@@ -217,6 +217,21 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
 
 
+def test_passages_of_more_than_fifty_words_go(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeoßé") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for k, n in enumerate([30, 45, 50, 51, 52, 55, 58, 60, 51, 80]):
+        passage = " ".join(rng.choice("abcdefgh") for _ in range(n)) if k == 8 else text(n)  # 51 words of one letter too
+        for half in (0, 1):
+            before, after = text(70) + f" x{k}{half} ", f" y{k}{half} " + text(70)
+            rows.append((2 * k + half, before + passage + after))
+            want[2 * k + half] = before + ("" if n > 50 else passage) + after
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs_of(spark, rows), "").collect()}
+    assert got == want
+
+
 def test_pipeline_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
