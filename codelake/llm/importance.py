@@ -155,8 +155,8 @@ def kth_largest(keys: DataFrame, k: int, digit: int = 11) -> int:
     return top
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, selected for every row of docs(doc_id, text)."""
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, log_weight, gumbel_key, selected for every row of docs(doc_id, text), and before them the columns to carry."""
     model = Model(*counts(docs, labels))
 
     @F.pandas_udf("double")
@@ -166,24 +166,24 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: flo
             yield pd.Series([model.score(features(t), dense) for t in texts], dtype="float64")
 
     scored = cut(
-        docs.select("doc_id", importance("text").alias("log_weight"))
+        docs.select(*carry, "doc_id", importance("text").alias("log_weight"))
         .withColumn("gumbel_key", F.col("log_weight") + temperature * gumbel(F.col("doc_id"), seed))
         .withColumn("key", F.round(F.col("gumbel_key") * float(1 << 24)).cast("long"))
     )
     k = scored.where(F.col("log_weight") >= -SLACK).count()
     if not k:
-        return scored.select("doc_id", "log_weight", "gumbel_key", F.lit(False).alias("selected"))
+        return scored.select(*carry, "doc_id", "log_weight", "gumbel_key", F.lit(False).alias("selected"))
     last = kth_largest(scored.select("key"), k)
     above = scored.where(F.col("key") > last).count()
     ties = scored.where(F.col("key") == last).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"))
     # among ties at the k-th place the smaller ids stay
     edge = -kth_largest(ties.select((-F.col("key")).alias("key")), k - above)
     chosen = (F.col("key") > last) | ((F.col("key") == last) & (F.coalesce("doc_id", F.lit(2**63 - 1)) <= edge))
-    return scored.select("doc_id", "log_weight", "gumbel_key", chosen.alias("selected"))
+    return scored.select(*carry, "doc_id", "log_weight", "gumbel_key", chosen.alias("selected"))
 
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the sample takes."""
-    weights = cut(resample(docs, labels))
-    gone = weights.where("NOT selected").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of docs that the sample takes; rows are told apart by a 64-bit hash of id and text, as ids may be null or stand for several texts."""
+    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    gone = cut(resample(marked, labels, carry=("_row",))).where("NOT selected").select("_row").distinct()
+    return marked.join(gone, "_row", "left_anti").select(*docs.columns)

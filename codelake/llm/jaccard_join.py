@@ -172,6 +172,8 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = [grams(t) for t in part["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
             out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cls": pd.array([pd.NA] * len(part), dtype="Int64"), "bands": [None] * len(part)})
+            if "_row" in part:
+                out["_row"] = part["_row"].to_numpy()
             if full:
                 keys = band_keys(signatures([sets[i] for i in full]))
                 out.loc[full, "cls"] = [class_name(sets[i]) for i in full]
@@ -195,11 +197,12 @@ def _payload(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield part.iloc[ok][["cls", "weight", "root", "parts"]].assign(sig=[x.tobytes() for x in sig], grams=[sets[i].tobytes() for i in ok])
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, n_links, component_id, kept for every row of docs(doc_id, text)."""
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, by_row: bool = False) -> DataFrame:
+    """doc_id, n_links, component_id, kept for every row of docs(doc_id, text); by_row also takes and gives a key _row, and gives the component itself (null without a word or an id), which its smallest id need not tell from others."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    rows = cut(docs.mapInPandas(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, bands array<long>"))
+    key = ["_row"] if by_row else []
+    docs = docs.select("doc_id", "text", *key)
+    rows = cut(docs.mapInPandas(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, bands array<long>" + ", _row long" * by_row))
     classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.any_value("bands").alias("bands")))
     bands = classes.select("cls", F.explode("bands").alias("band"))
     # aggregates are written before they are joined back, so that Spark can split the join at a hot key
@@ -220,13 +223,15 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     named = components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).join(classes.select(F.col("cls").alias("node"), "low"), "node")
     lows = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
     of_class = cut(
-        classes.select(F.col("cls").alias("node"), "weight", "low").join(links, "node", "left").join(named.select("node", "root").join(lows, "root").select("node", "component_id"), "node", "left")
+        classes.select(F.col("cls").alias("node"), "weight", "low").join(links, "node", "left").join(named.select("node", "root").join(lows, "root").select("node", "component_id", *["root"] * by_row), "node", "left")
     )
-    out = rows.select("doc_id", F.col("cls").alias("node")).join(of_class, "node", "left")
+    out = rows.select("doc_id", *key, F.col("cls").alias("node")).join(of_class, "node", "left")
     return out.select(
         "doc_id",
         F.coalesce(F.col("links") + F.col("weight") - 1, F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "low", "doc_id").alias("component_id"),
+        *key,
+        *[F.coalesce("root", "node").alias("component")] * by_row,
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -243,10 +248,13 @@ def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that a document of the same component with a smaller id stands for; the columns of docs."""
-    judged = cut(jaccard_join(docs))
-    out = docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return out
-    return out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """docs without those that a document of the same component with a smaller id stands for; of the rows of a component that share its smallest id one stays. The columns of docs. Rows are told apart by a 64-bit hash of id and text."""
+    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    linked = cut(jaccard_join(marked, by_row=True).where("component IS NOT NULL").select("_row", "component", "kept"))
+    stays = linked.where("kept").groupBy("component").agg(F.min("_row").alias("_row")).select("_row")
+    gone = linked.select("_row").distinct().join(stays, "_row", "left_anti")
+    out = marked.join(gone, "_row", "left_anti")
+    again = linked.groupBy("_row").count().where("count > 1").select("_row")
+    if not again.isEmpty():
+        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)

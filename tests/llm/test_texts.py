@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codelake.llm import byte_cnn, importance, license_scan, packing
+from codelake.llm import byte_cnn, importance, jaccard_join, license_scan, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -217,6 +217,20 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
 
 
+def test_rows_are_judged_not_ids(spark, graded):
+    docs, labels = graded
+    rng = random.Random(21)
+    bad, clean = prose(rng, 40).replace(" ", "$$$ ") + " idiot idiot", [prose(rng, 40) for _ in range(3)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, bad), (5000, clean[2]), (5000, bad)]
+    got = importance.selected(docs.unionByName(docs_of(spark, rows)), labels).where("doc_id IS NULL OR doc_id = 5000").collect()
+    assert {(None, clean[0]), (None, clean[1]), (5000, clean[2])} <= {(r["doc_id"], r["text"]) for r in got} and bad not in {r["text"] for r in got}
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, d), (5, d), (6, c + " z"), (7, b), (8, a), (8, a), (None, a), (None, a)]
+    got = jaccard_join.one_of_each(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (2, b), (4, c), (4, d), (0, a), (0, a)])
+
+
 def test_passages_of_more_than_fifty_words_go(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdeoßé") for _ in range(rng.randrange(3, 8)))
