@@ -19,8 +19,9 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property, lru_cache
+from operator import itemgetter
 
 import pandas as pd
 import regex
@@ -89,7 +90,7 @@ class Transducer:
         self.latin_words = re.compile(split.replace(r"[\p{L}]", f"[{latin}]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{latin}0-9]"))
         self.marks = re.compile("|".join(f"({re.escape(s)})" for s in self.special) or "(?!)")
         self.safe = re.compile(f"[{SPACE}]")
-        self.memo: dict[str, tuple[bytes, bytes, int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     # -- encoding ---------------------------------------------------------
 
@@ -149,10 +150,10 @@ class Transducer:
             held[-1] += self.suffix
             yield from self._merged(held) if len(held) < 24 else self._merged_long(held)
 
-    def _known(self, word: str) -> tuple[bytes, bytes, int]:
-        """Ids and surface of one word, kept for the next time it comes."""
+    def _known(self, word: str) -> bytes:
+        """Ids of one word as little-endian bytes, kept for the next time it comes."""
         tokens = list(self.word_tokens(word))
-        got = (struct.pack(f"<{len(tokens)}I", *(self.vocab[t] for t in tokens)), " ".join(tokens).encode(), len(tokens))
+        got = struct.pack(f"<{len(tokens)}I", *(self.vocab[t] for t in tokens))
         if len(word) <= 64:
             if len(self.memo) >= CACHE:
                 self.memo.clear()
@@ -205,50 +206,95 @@ class Transducer:
                 at = m.end()
             yield self._words(chunk[at:] if at else chunk)
 
-    def stream(self, text: str | None) -> Iterator[list[tuple[bytes, bytes, int]]]:
-        """Lists of (ids as little-endian bytes, surface, number of ids), one list for each stretch of the text."""
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """The ids of a text as little-endian bytes, one stretch of it after another."""
         memo, known = self.memo, self._known
         for part in self.pieces(text):
             if isinstance(part, int):
-                yield [(struct.pack("<I", part), self.surface[part].encode(), 1)]
+                yield struct.pack("<I", part)
             else:
-                yield [memo.get(w) or known(w) for w in part]
+                yield b"".join([memo.get(w) or known(w) for w in part])
 
     def encode_bytes(self, text: str | None) -> bytes:
-        return b"".join(x[0] for part in self.stream(text) for x in part)
+        return b"".join(self.stream(text))
 
     # -- decoding ---------------------------------------------------------
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text pieces for ids, as they come. The state is whether a token came before, and the bytes of an unfinished character.
-
-        The vocabulary file names no decoder, and so the library puts a space between the surfaces of tokens.
-        """
-        first = True
+        """Text pieces for ids, as they come; see Decoder."""
+        state = Decoder(self)
         for i in ids:
-            if i in self.surface:
-                yield self.surface[i] if first else " " + self.surface[i]
-                first = False
+            yield state.surfaces((i,)).decode()
 
     def readable(self, ids: Iterable[int]) -> Iterator[str]:
-        """The words themselves: surfaces back to bytes, bytes to characters as soon as each is whole, word ends to spaces."""
-        byte = {c: b for b, c in enumerate(self.letter)}
-        state = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        """The words themselves, as far as their characters are whole; see Decoder."""
+        state = Decoder(self)
         for i in ids:
-            s = self.surface[i]
+            yield state.text((i,))
+        yield state.text((), final=True)
+
+    @cached_property
+    def surface_bytes(self) -> list[bytes | None]:
+        """The surface of each id; None where the vocabulary has a gap."""
+        return [self.surface[i].encode() if i in self.surface else None for i in range(max(self.surface) + 1)]
+
+    @cached_property
+    def text_bytes(self) -> list[bytes | None]:
+        """What each id stands for: its letters back to bytes, the end of a word to a space."""
+        byte = {c: b for b, c in enumerate(self.letter)}
+        out: list[bytes | None] = [None] * (max(self.surface) + 1)
+        for i, s in self.surface.items():
             ends = bool(self.suffix) and s.endswith(self.suffix)
-            yield state.decode(bytes(byte[c] for c in (s[: -len(self.suffix)] if ends else s))) + " " * ends
-        yield state.decode(b"", final=True)
+            out[i] = bytes(byte[c] for c in (s[: -len(self.suffix)] if ends else s)) + b" " * ends
+        return out
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text; constant memory but for the chunk in hand."""
-        ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the ids, of what the library decodes them to, and of the text they stand for. Each stretch is decoded from its ids as it comes, in constant memory but for the stretch in hand."""
+        ids, out, plain, n, state = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0, Decoder(self)
         for part in self.stream(text):
-            if part:
-                ids.update(b"".join([x[0] for x in part]))
-                out.update((b" " if n else b"") + b" ".join([x[1] for x in part]))
-                n += sum([x[2] for x in part])
-        return n, ids.hexdigest(), out.hexdigest()
+            ids.update(part)
+            numbers = memoryview(part).cast("I").tolist()
+            out.update(state.surfaces(numbers))
+            plain.update(state.text(numbers).encode())
+            n += len(numbers)
+        plain.update(state.text((), final=True).encode())
+        return n, ids.hexdigest(), out.hexdigest(), plain.hexdigest()
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        return self.digests(text)[:3]
+
+
+class Decoder:
+    """Ids to text, as they come. Ids outside the vocabulary stand for nothing.
+
+    Two states are carried from one stretch of ids to the next: whether a token came before, as the library puts a
+    space between the surfaces of tokens (the vocabulary file names no decoder); and the bytes of a character that is
+    not whole yet, where tokens are turned back into the text they stand for.
+    """
+
+    def __init__(self, t: Transducer):
+        self.surface, self.bytes = t.surface_bytes, t.text_bytes
+        self.started, self.open = False, codecs.getincrementaldecoder("utf-8")(errors="replace")
+
+    def surfaces(self, ids: Sequence[int]) -> bytes:
+        """What the library's decode adds for these ids, in UTF-8."""
+        try:
+            got = itemgetter(*ids)(self.surface) if len(ids) > 1 else [self.surface[i] for i in ids]
+            out = b" ".join(got)
+        except (IndexError, TypeError):  # ids outside the vocabulary
+            got = [self.surface[i] for i in ids if 0 <= i < len(self.surface) and self.surface[i] is not None]
+            out = b" ".join(got)
+        lead = b" " if self.started and got else b""
+        self.started = self.started or bool(got)
+        return lead + out
+
+    def text(self, ids: Sequence[int], final: bool = False) -> str:
+        """The characters that these ids make whole."""
+        try:
+            raw = b"".join(itemgetter(*ids)(self.bytes)) if len(ids) > 1 else b"".join([self.bytes[i] for i in ids])
+        except (IndexError, TypeError):
+            raw = b"".join([self.bytes[i] for i in ids if 0 <= i < len(self.bytes) and self.bytes[i] is not None])
+        return self.open.decode(raw, final=final)
 
 
 @lru_cache(maxsize=2)
@@ -284,12 +330,12 @@ def decode(docs: DataFrame, vocabulary: str | None = None, ids: str = "ids", out
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 of every whole text; the last is of the words that the ids stand for, each with a space after it."""
     path = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string")
     def both(s: pd.Series) -> pd.DataFrame:
         t = transducer(path)
-        return pd.DataFrame([t.digest(x) for x in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([t.digests(x) for x in s], columns=["n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"])
 
     return docs.select("doc_id", both(F.col("text")).alias("d")).select("doc_id", "d.*")

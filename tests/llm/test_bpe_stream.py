@@ -60,6 +60,15 @@ def test_decoder_states(both):
     ids = lib.encode(text, add_special_tokens=False).ids
     assert "".join(t.decode(ids)) == lib.decode(ids, skip_special_tokens=False)
     assert "".join(t.readable(ids)).strip() == "grüße 日本 ok"
+    for step in (1, 2, 5):
+        state = bpe_stream.Decoder(t)
+        parts = [ids[i : i + step] for i in range(0, len(ids), step)]
+        assert b"".join(state.surfaces(p) for p in parts).decode() == lib.decode(ids, skip_special_tokens=False)
+        assert "".join(state.text(p) for p in parts) + state.text((), final=True) == "grüße 日本 ok "
+    odd = [ids[0], 10**6, -1, *ids[1:]]
+    assert bpe_stream.Decoder(t).surfaces(odd) == bpe_stream.Decoder(t).surfaces(ids) and bpe_stream.Decoder(t).text(odd) == bpe_stream.Decoder(t).text(ids)
+    # what the query hashes: the words, each with a space after it
+    assert t.digests(text)[3] == hashlib.sha256("grüße 日本 ok ".encode()).hexdigest()
 
 
 def test_tables(spark, sf_dir):
