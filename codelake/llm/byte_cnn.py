@@ -7,7 +7,8 @@ softmax layer, and the mean over a text's windows is its prediction. A filter's
 for each byte under it; for speed the tables of neighbouring bytes are added up once into tables of pairs.
 
 Rows whose text is null or has no letter get `und` with a score of 0. Texts are judged one by one: repeated rows
-get the same result, empty tables give empty tables, other columns are not read.
+get the same result, empty tables give empty tables, other columns are not read. Of equal probabilities the language
+that comes first in the alphabet wins.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelake.llm.common import unused
+
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -205,5 +208,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def confident(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of docs whose language the network tells with a score of at least `least`; rows without a letter go."""
-    judged = docs.withColumn("_language", judge(fit(docs))(F.col("text")))
-    return judged.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= least)).select(*docs.columns)
+    name = unused(docs, "_language")
+    judged = docs.withColumn(name, judge(fit(docs))(F.col("text")))
+    return judged.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).select(*docs.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 import tempfile
@@ -20,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder is used as it is; only an unset one (tests, one machine) gets a folder of its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
+    """The cluster's shared folder is used as it is; only a local session (tests, one machine) gets a folder of its own where it is unset."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,26 +33,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Stored:
     """Tables kept for a while in the shared checkpoint folder, as compressed Parquet, and dropped when they have served."""
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # files of shuffles go with the write that needed them
+
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
         self.spark = spark
         self.base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/codelake-{uuid.uuid4().hex}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables, and let Spark delete the files of shuffles that nothing refers to any more."""
+        """Delete tables, or all that was kept."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        for path in [f"{self.base}/{name}" for name in names] or [self.base]:
+            path = jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,6 +5,9 @@ toxic), one for raw text (labelled rows of any kind, as they come). A document's
 two over its n-grams, and Gumbel top-k over importances takes the sample: it is drawn without replacement, with
 chances in proportion to the weights, by adding noise to the log weights and keeping the k largest.
 
+Both models are fitted on the same rows. A raw model from other rows than the target's was measured too: whatever
+stands in many copies among the one and by chance not among the other then outweighs every word (README).
+
 - An n-gram counts once a document; unigrams and bigrams of words and punctuation have buckets of their own.
 - The ratios of all n-grams that labelled rows hold count, for a text or against it. Counts are smoothed a little, and
   each log ratio is weighed by its support: one from r rows counts r / (r + SUPPORT) of itself.
@@ -12,7 +15,8 @@ chances in proportion to the weights, by adding noise to the log weights and kee
   or a bad word would be drowned by the rest of a long text; then what hash collisions alone bring a text of as many
   n-grams is taken off the sum, and the sum is divided by their spread. A text of unseen words has about mean 0 and
   spread below 1 at any length.
-- k is the number of documents whose importance is at least `-SLACK`, and the noise is scaled by `TEMPERATURE`.
+- k is the size that rejection sampling would give on average: a document counts min(1, weight x e^SLACK). Noise has
+  temperature 1, so documents near the edge are drawn in proportion to their weights, not cut off.
 - Noise is a hash of id and seed, so a sample is the same whenever it is drawn again. Ties go to the smaller id.
 
 Fitting takes at most about `FIT_ROWS` labelled rows, chosen by a hash of their id; scores, k and the cut cover all
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.common import cut
+from codelake.llm.common import cut, unused
 
 BUCKETS = 1 << 19
 RESERVED = 11  # buckets of bigrams that no hash falls into: a word after itself, three times running, and the share of such bigrams in eighths
@@ -41,8 +45,8 @@ SMOOTH, SMOOTH_PAIRS = 0.02, 0.02
 DEAD = 0.0  # log ratios below it in size are left out: none is
 SUPPORT, SUPPORT_PAIRS = 10.0, 50.0
 CENTRE = 0.5
-SLACK = 2.5
-TEMPERATURE = 0.05
+SLACK = 1.0
+TEMPERATURE = 1.0
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -155,7 +159,7 @@ def kth_largest(keys: DataFrame, k: int, digit: int = 11) -> int:
     return top
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: float = TEMPERATURE, slack: float = SLACK, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected for every row of docs(doc_id, text), and before them the columns to carry."""
     model = Model(*counts(docs, labels))
 
@@ -170,7 +174,9 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: flo
         .withColumn("gumbel_key", F.col("log_weight") + temperature * gumbel(F.col("doc_id"), seed))
         .withColumn("key", F.round(F.col("gumbel_key") * float(1 << 24)).cast("long"))
     )
-    k = scored.where(F.col("log_weight") >= -SLACK).count()
+    # summed in whole millionths, so that k is the same whatever the order of rows
+    chance = F.round(F.least(F.lit(1.0), F.exp(F.col("log_weight") + slack)) * 1_000_000).cast("long")
+    k = round((scored.agg(F.sum(chance)).first()[0] or 0) / 1_000_000)
     if not k:
         return scored.select(*carry, "doc_id", "log_weight", "gumbel_key", F.lit(False).alias("selected"))
     last = kth_largest(scored.select("key"), k)
@@ -184,6 +190,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, temperature: flo
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the sample takes; rows are told apart by a 64-bit hash of id and text, as ids may be null or stand for several texts."""
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    gone = cut(resample(marked, labels, carry=("_row",))).where("NOT selected").select("_row").distinct()
-    return marked.join(gone, "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    gone = cut(resample(marked, labels, carry=(row,))).where("NOT selected").select(row).distinct()
+    return marked.join(gone, row, "left_anti").select(*docs.columns)

@@ -300,13 +300,11 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     asked = judged.where("ask").groupBy("rid").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
     around = stored.keep("around", docs.join(asked, "rid").mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
     del asked
-    stored.drop()
     buckets = max(shuffle_partitions(spark), math.ceil(around.count() / BUCKET_ROWS))
 
     suffix = around.select("rid", "m", "a", "b", "lead", "body", F.expr("substring(body, m - a + 1)").alias("suffix"))
     right = stored.keep("right", suffix.repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _right_neighbours(it, span), NEIGHBOUR))
     del suffix
-    stored.drop()
     fixed = _across_edges(right, lambda it: _right_across(it, span), "rid long, m int, reach int, lo int, hi int")
     before = stored.keep("before", around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
     more = _across_edges(before, _left_across, "rid long, m int, before_reach int")
