@@ -1,17 +1,23 @@
 """N-gram Jaccard self-join of documents with Bayesian candidate pruning (BayesLSH; Satuluri and Parthasarathy, 2012).
 
 A document is the set of its word 5-grams (words: runs of letters, digits and `_`, lower-cased; a shorter text is one
-gram of all its words). Documents of equal sets form a class, and only classes are compared. Bands of MinHash values
-give candidates; the graph "shares a band" falls into candidate groups, each class is sent once to its group, and
-groups are cut into blocks of bounded size so that a group of thousands is many units of work. In a block, pairs
-are compared a few MinHash values at a time and dropped as soon as the probability that they reach the threshold,
-given the matches so far, falls below the tolerance; what is left is verified exactly on the sets. Blocks return a
-count of links and a local root for each class, never the pairs.
+gram of all its words). Documents of equal sets form a class, and only classes are compared. Pairs of classes that share
+a band of MinHash values are candidates. They are compared a few MinHash values at a time and dropped as soon as the
+probability that they reach the threshold, given the matches so far, falls below the tolerance; what is left is
+verified exactly on the sets.
+
+1. Within each band, half of the bits of the MinHash values travel and candidates are pruned; the survivors' components
+   are groups, so that boilerplate that many unlike texts share does not chain them together. Bands of the same classes
+   are looked at once; the classes of a band too large for one block are a group as they are.
+2. Each class's set is sent to its group. Groups are cut into blocks of bounded size (two chunks each), so a group of
+   thousands is many units of work; a group of n chunks sends each set n times. Blocks prune and verify the candidates
+   and return a count of links and a local root for each class, never the pairs.
 
 Defined results: null ids, null texts and texts without a word link with nothing (n_links 0, a component of their
 own); repeated rows are documents of their own, linked with each other; an empty table gives an empty table; very long
-texts are taken whole; other columns are not read. Sets hold 64-bit hashes of grams, and a class is named by a 64-bit
-hash of its set.
+texts are taken whole; other columns are not read. A similarity of just the threshold links; components are named by
+their smallest id, and of several rows with that id all count as kept. Sets hold 64-bit hashes of grams, and a class is
+named by a 64-bit hash of its set.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.common import cut, group_starts, pairs_within, roots, shuffle_partitions, whole_groups
+from codelake.llm.common import cut, group_starts, pairs_within, roots, shuffle_partitions, unused, whole_groups
 from codelake.llm.components import components
 
 GRAM = 5
@@ -126,6 +132,44 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return total[inverse[: len(a)], inverse[len(a) :]].astype(np.int64)
 
 
+def share_a_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of MinHash values agree in any band."""
+    return (x[:, : BANDS * ROWS] == y[:, : BANDS * ROWS]).reshape(len(x), BANDS, ROWS).all(2).any(1)
+
+
+def _survivors(batches: Iterator[pd.DataFrame], threshold: float, tolerance: float) -> Iterator[pd.DataFrame]:
+    """Bands of classes with half the bits of their MinHash values -> each class that some other may resemble, and the first class it hangs together with. Half the bits agree wherever all do, so nothing is lost."""
+    least = least_matches(threshold, tolerance)
+    for part in whole_groups(batches, ["band"], 5000):
+        half = np.frombuffer(b"".join(part["half"]), dtype=np.uint16).reshape(len(part), HASHES)
+        left, right = [], []
+        for a, b in pairs_within(group_starts(part, ["band"]), 200_000):
+            matches = np.zeros(len(a), dtype=np.int64)
+            for n in sorted(least):
+                matches += (half[a, n - STEP : n] == half[b, n - STEP : n]).sum(1)
+                ok = matches >= least[n]
+                a, b, matches = a[ok], b[ok], matches[ok]
+            left.append(a)
+            right.append(b)
+        if left and sum(map(len, left)):
+            a, b = np.concatenate(left), np.concatenate(right)
+            cls, low, at = part["cls"].to_numpy(), roots(len(part), a, b), np.unique(np.concatenate([a, b]))
+            yield pd.DataFrame({"u": cls[at], "v": cls[low[at]]})
+
+
+def candidate_groups(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """classes(cls, bands, half) -> (node, root): the classes that may have a link, and the groups within which all links are."""
+    spark = classes.sparkSession
+    bands = classes.select("cls", F.explode("bands").alias("band"))
+    members = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("v"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.sum(F.hash("cls").cast("long")).alias("x2")).where("n > 1")
+    # aggregates are written before they are joined back, so that Spark can split the join at a hot key
+    shared = cut(members.groupBy("n", "v", "x1", "x2").agg(F.min("band").alias("band")).select("band", "n", "v"))
+    small = bands.join(shared.where(F.col("n") <= CHUNK).select("band"), "band").join(classes.select("cls", "half"), "cls")
+    pruned = small.repartition(shuffle_partitions(spark), "band").sortWithinPartitions("band", "cls").mapInPandas(lambda it: _survivors(it, threshold, tolerance), "u long, v long")
+    crowded = bands.join(shared.where(F.col("n") > CHUNK).select("band", "v"), "band").select(F.col("cls").alias("u"), "v")
+    return components(pruned.union(crowded))
+
+
 BLOCK = ["root", "i", "j"]
 
 
@@ -148,6 +192,8 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float, tolerance: float
                 matches += (sig[a, n - STEP : n] == sig[b, n - STEP : n]).sum(1)
                 ok = matches >= least[n]
                 a, b, matches = a[ok], b[ok], matches[ok]
+            ok = share_a_band(sig[a], sig[b])
+            a, b = a[ok], b[ok]
             block = np.searchsorted(starts, a, side="right")
             for edge in np.split(np.arange(len(a)), np.flatnonzero(np.diff(block)) + 1):
                 if len(edge):
@@ -165,22 +211,22 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float, tolerance: float
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, text -> doc_id, class, band keys (null without an id or a word)."""
+    """doc_id, text -> doc_id, class, band keys, half the bits of the MinHash values (null without an id or a word)."""
     for pdf in batches:
         for lo in range(0, len(pdf), 500):
             part = pdf.iloc[lo : lo + 500]
             sets = [grams(t) for t in part["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cls": pd.array([pd.NA] * len(part), dtype="Int64"), "bands": [None] * len(part)})
+            out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cls": pd.array([pd.NA] * len(part), dtype="Int64"), "bands": [None] * len(part), "half": [None] * len(part)})
             if "_row" in part:
                 out["_row"] = part["_row"].to_numpy()
             if full:
-                keys = band_keys(signatures([sets[i] for i in full]))
+                sig = signatures([sets[i] for i in full])
                 out.loc[full, "cls"] = [class_name(sets[i]) for i in full]
-                bands = out["bands"].to_numpy(copy=True)
-                for i, k in zip(full, keys):
-                    bands[i] = k
-                out["bands"] = bands
+                bands, half = out["bands"].to_numpy(copy=True), out["half"].to_numpy(copy=True)
+                for i, k, x in zip(full, band_keys(sig), sig.astype(np.uint16)):
+                    bands[i], half[i] = k, x.tobytes()
+                out["bands"], out["half"] = bands, half
             out.loc[out["doc_id"].isna(), "cls"] = pd.NA
             yield out
 
@@ -202,12 +248,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     spark = docs.sparkSession
     key = ["_row"] if by_row else []
     docs = docs.select("doc_id", "text", *key)
-    rows = cut(docs.mapInPandas(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, bands array<long>" + ", _row long" * by_row))
-    classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.any_value("bands").alias("bands")))
-    bands = classes.select("cls", F.explode("bands").alias("band"))
-    # aggregates are written before they are joined back, so that Spark can split the join at a hot key
-    shared = cut(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("v")).where("n > 1").drop("n"))
-    groups = components(bands.join(shared, "band").select(F.col("cls").alias("u"), "v"))
+    rows = cut(docs.mapInPandas(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, cls long, bands array<long>, half binary" + ", _row long" * by_row))
+    classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.any_value("bands").alias("bands"), F.any_value("half").alias("half")))
+    groups = candidate_groups(classes, threshold, tolerance)
     crowd = cut(groups.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
     asked = groups.join(crowd, "root").join(classes.select(F.col("cls").alias("node"), "low", "weight"), "node").select(F.col("node").alias("cls"), "low", "weight", "root", "parts")
     texts = docs.join(asked, docs["doc_id"] == asked["low"]).select("cls", "weight", "root", "parts", "text")
@@ -249,12 +292,14 @@ def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that a document of the same component with a smaller id stands for; of the rows of a component that share its smallest id one stays. The columns of docs. Rows are told apart by a 64-bit hash of id and text."""
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    linked = cut(jaccard_join(marked, by_row=True).where("component IS NOT NULL").select("_row", "component", "kept"))
+    # the key goes by a name of its own only in what is handed to the join, which reads no other columns
+    key = unused(docs, "_row")
+    marked = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    linked = cut(jaccard_join(marked.select("doc_id", "text", F.col(key).alias("_row")), by_row=True).where("component IS NOT NULL").select("_row", "component", "kept"))
     stays = linked.where("kept").groupBy("component").agg(F.min("_row").alias("_row")).select("_row")
-    gone = linked.select("_row").distinct().join(stays, "_row", "left_anti")
-    out = marked.join(gone, "_row", "left_anti")
-    again = linked.groupBy("_row").count().where("count > 1").select("_row")
+    gone = linked.select("_row").distinct().join(stays, "_row", "left_anti").withColumnRenamed("_row", key)
+    out = marked.join(gone, key, "left_anti")
+    again = linked.groupBy("_row").count().where("count > 1").select(F.col("_row").alias(key))
     if not again.isEmpty():
-        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)
