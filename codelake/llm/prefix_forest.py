@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by a hash-prefix forest (LSH forest; Bawa, Condie and Ganesan, 2005).
 
-Vectors are dealt into shards of about `SHARD_ROWS`. A shard keeps, for each of `TREES` trees, its vectors' long hash
-strings (signs of 64 random projections) in one sorted array. A query descends every tree to its longest matching
-prefix, a range of that array; then all trees give up one bit at a time together until the ranges hold enough
-candidates. Only those are compared, by cosine in double precision. Queries come in blocks, and each (block, shard)
-pair is a task's unit of work, so neither a common vector nor a large query set lands in one task; the best of
-each shard are merged by a ranking that keeps k rows a partition before it shuffles.
-
-How many candidates are enough is a share of the shard (`WANTED`). Independent directions in 64 dimensions have no
-near neighbours to speak of (the fifth best is at about 65 degrees), so a high recall needs a large share; data with
-close neighbours find them among the longest prefixes and could do with a far smaller one.
+Vectors are dealt into shards of about `SHARD_ROWS` (fewer where they are long). A shard keeps, for each of `TREES`
+trees, its vectors' long hash strings (signs of 64 random projections) in one sorted array. A query descends every tree
+to its longest matching prefix, a range of that array; then all trees give up one bit at a time together until the
+ranges hold `WANTED` entries. Only those are compared: by cosine in single precision, and the best of them, with all
+that rounding could put among them, in double precision. The query set meets all shards in blocks: each (block, shard)
+pair is one unit of work, so neither a common vector nor a large query set lands in one task; the best of each shard
+are merged by a ranking that keeps k rows a partition before it shuffles.
+
+`WANTED` is a number for each query and shard, whatever the shard holds; a shard with fewer entries than that is
+searched whole. Independent directions in 64 dimensions have no near neighbours to speak of (the fifth best of 50 000 is
+at about 58 degrees), so a high recall of these takes about a quarter of a full shard; data with close neighbours find
+them among the longest prefixes and can do with a far smaller number.
 
 Null vectors, and those that are zero or hold null or non-finite components, neither ask nor answer. Vectors of
 different lengths are not compared. Repeated rows stay separate rows, but a query never returns its own id. Ties go to
@@ -27,21 +29,22 @@ from pyspark.sql import functions as F
 
 from codelake.llm.common import usable_vector
 
-TREES = 24
+TREES = 64
 BITS = 64
-SHARD_ROWS = 2048
-QUERY_ROWS = 2048
-WANTED = 1.2
+SHARD_ROWS = 16_384
+SHARD_VALUES = 1 << 20
+QUERY_ROWS = 8192
+WANTED = 6144
 SEED = 11
 RESULT = "query_id long, vec_id long, score double"
 
 
 class Forest:
-    """The sorted hash strings of one shard."""
+    """The sorted hash strings of one shard; vectors of unit length."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.planes = rng.normal(size=(trees, vectors.shape[1], BITS))
+        self.planes = rng.normal(size=(trees, vectors.shape[1], BITS)).astype(np.float32)
         self.order, self.keys = [], []
         for t in range(trees):
             h = self.strings(vectors, t)
@@ -50,48 +53,66 @@ class Forest:
         self.n = len(vectors)
 
     def strings(self, vectors: np.ndarray, tree: int) -> np.ndarray:
-        bits = (vectors @ self.planes[tree] > 0).astype(np.uint8)
-        return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64)
+        return np.packbits(vectors @ self.planes[tree] > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+    def ranges(self, h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the strings that begin like h (trees, queries) stand in each tree, for a prefix length of each query."""
+        low_bits = np.array([(1 << (BITS - i)) - 1 for i in range(BITS + 1)], dtype=np.uint64)[length]
+        first = np.stack([np.searchsorted(k, x, "left") for k, x in zip(self.keys, h & ~low_bits)])
+        return first, np.stack([np.searchsorted(k, x, "right") for k, x in zip(self.keys, h | low_bits)])
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
-        """For each query the rows under its prefixes, at the longest common length that gives `wanted` of them over all trees."""
+    def candidates(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query the range under the longest prefix, of one length in all trees, that gives `wanted` entries.
+
+        The ascent from the longest matches is one bit at a time in all trees at once; as ranges only grow on the way,
+        the length at which it ends is found by halving.
+        """
         h = np.stack([self.strings(queries, t) for t in range(len(self.keys))])
-        lo, hi = np.zeros(h.shape, dtype=np.int64), np.full(h.shape, self.n)
-        open_ = np.ones(h.shape[1], dtype=bool)
-        for length in range(BITS, 0, -1):
-            if not open_.any():
-                break
-            low_bits = np.uint64((1 << (BITS - length)) - 1)
-            at = np.flatnonzero(open_)
-            first, last = h[:, at] & ~low_bits, h[:, at] | low_bits
-            a = np.stack([np.searchsorted(k, f, "left") for k, f in zip(self.keys, first)])
-            b = np.stack([np.searchsorted(k, f, "right") for k, f in zip(self.keys, last)])
-            enough = (b - a).sum(0) >= wanted
-            lo[:, at[enough]], hi[:, at[enough]] = a[:, enough], b[:, enough]
-            open_[at[enough]] = False
-        return [np.unique(np.concatenate([self.order[t][lo[t, q] : hi[t, q]] for t in range(len(self.keys))])) for q in range(h.shape[1])]
-
-
-def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, wanted: float, trees: int = TREES) -> pd.DataFrame:
+        enough, too_long = np.zeros(h.shape[1], dtype=np.int64), np.full(h.shape[1], BITS + 1)
+        while (too_long - enough > 1).any():
+            length = (enough + too_long) // 2
+            first, last = self.ranges(h, length)
+            ok = (last - first).sum(0) >= wanted
+            enough, too_long = np.where(ok, length, enough), np.where(ok, too_long, length)
+        return self.ranges(h, enough)
+
+
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from first to last."""
+    return np.cumsum(x * y, axis=1)[:, -1]
+
+
+def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, wanted: int, trees: int = TREES) -> pd.DataFrame:
     """The k best candidates of one shard for each query."""
-    norms, qnorms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
-    forest = Forest(vectors / norms[:, None], trees)
-    out = []
-    for i, found in enumerate(forest.candidates(queries / qnorms[:, None], max((k + 1) * trees, math.ceil(wanted * len(ids))))):
+    squares, qsquares = dots(vectors, vectors), dots(queries, queries)
+    unit, qunit = ((v / np.sqrt(s)[:, None]).astype(np.float32) for v, s in ((vectors, squares), (queries, qsquares)))
+    forest = Forest(unit, trees)
+    first, last = forest.candidates(qunit, wanted)
+    seen = np.zeros(len(ids), dtype=bool)
+    got: list[tuple[np.ndarray, ...]] = []
+    for i in range(len(query_ids)):
+        for order, a, b in zip(forest.order, first[:, i], last[:, i]):
+            seen[order[a:b]] = True
+        found = np.flatnonzero(seen)
+        seen[found] = False
         found = found[ids[found] != query_ids[i]]
-        score = (vectors[found] * queries[i]).sum(1) / (norms[found] * qnorms[i])
-        if len(found) > k:  # ties at the edge stay in for the order by id
-            found, score = found[keep := score >= np.partition(score, -k)[-k]], score[keep]
+        near = unit[found] @ qunit[i]
+        if len(found) > k:  # what rounding, or a tie that the ids decide, could put among the k best
+            found = found[near >= np.partition(near, -k)[-k] - 1e-4]
+        both = squares[found] * qsquares[i]
+        size = np.where((both > 0) & np.isfinite(both), np.sqrt(both), np.sqrt(squares[found]) * np.sqrt(qsquares[i]))
+        score = dots(vectors[found], queries[i][None]) / size
         best = np.lexsort((ids[found], -score))[:k]
-        out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[found][best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        got.append((np.full(len(best), query_ids[i]), ids[found][best], score[best]))
+    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_id", "vec_id", "score"], zip(*got))})
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, wanted: float = WANTED, trees: int = TREES) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, wanted: int = WANTED, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row of queries(vec_id, embedding) among vectors(vec_id, embedding)."""
-    take = lambda df: df.where(usable_vector("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
+    take = lambda df: df.where(usable_vector("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     queries, vectors = take(queries), take(vectors)
-    shards = max(1, math.ceil(vectors.count() / SHARD_ROWS))
+    n, longest = vectors.agg(F.count("*"), F.max("dim")).first()
+    shards = max(1, math.ceil(n / max(1, min(SHARD_ROWS, SHARD_VALUES // (longest or 1)))))
     blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
     q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     v = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -99,7 +120,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, wanted: float = W
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest_in_shard(left["vec_id"].to_numpy(), np.stack(left["embedding"]), right["vec_id"].to_numpy(), np.stack(right["embedding"]), k, wanted, trees)
+        x, y = (np.stack(df["embedding"]).astype(np.float64) for df in (left, right))
+        return nearest_in_shard(left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), y, k, max((k + 1) * trees, wanted), trees)
 
     keys = ["dim", "block", "shard"]
     best = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, RESULT)
