@@ -3,8 +3,12 @@
 Each table of hashes rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the
 signed axis nearest to it; a table's code joins the axes of a few rotations. Besides its own bucket a vector probes
 those reached by its least certain axis. Larger tables of vectors take more rotations, and as many more tables of hashes
-as keep the chance of missing a pair at the threshold at `MISS` at most. Vectors that share a bucket of any table are compared by cosine in double
-precision and linked at the threshold or above it.
+as keep the chance of missing a pair at the threshold at `MISS` at most.
+
+1. Buckets first hold names and 128 signs of random projections (16 bytes). Those whose signs differ from all others'
+   in the bucket by more than a pair at the threshold does (but for one in a million) leave it.
+2. Vectors are sent to the buckets in which they are left, compared by cosine in double precision and linked at the
+   threshold or above it.
 
 Equal vectors are one node with a weight, so thousands of copies cost one row. A bucket's nodes are dealt into chunks
 and every two chunks meet in a block of bounded size, so a crowded bucket is many small units of work. A pair is
@@ -12,8 +16,8 @@ counted only in the first table and bucket in which it meets; blocks return a co
 never the pairs. Components come from the local roots.
 
 Vectors that are null, zero or hold null or non-finite components, and vectors of different lengths, link with
-nothing. Repeated rows are vectors of their own, linked with each other. Every row comes back; an empty table gives
-an empty table; other columns are not read.
+nothing. Repeated rows are vectors of their own, linked with each other. A cosine of just the threshold links. Every
+row comes back; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ THRESHOLD = 0.95
 TABLES = 8  # at least
 MISS = 0.001
 PROBES = 1
-CHUNK = 256
+CHUNK = 1024
+SIGNS = 128
 SEED = 5
 
 
@@ -117,9 +122,49 @@ def first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table, code
 
 
+def signs(x: np.ndarray, seed: int = SEED + 2) -> np.ndarray:
+    """(n, 2) 64-bit words: on which side of random planes each vector lies."""
+    planes = np.random.default_rng(seed).normal(size=(x.shape[1], SIGNS))
+    return np.packbits(x @ planes > 0, axis=1).view(np.int64)
+
+
+def most_different(threshold: float, lost: float = 1e-6) -> int:
+    """The fewest differing signs that a pair at the threshold exceeds with a chance of at most `lost`."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    total = 0.0
+    for n in range(SIGNS + 1):
+        total += math.comb(SIGNS, n) * p**n * (1 - p) ** (SIGNS - n)
+        if 1 - total <= lost:
+            return n
+    return SIGNS
+
+
 BLOCK = ["dim", "t", "code", "i", "j"]
 
 
+def _alike(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Blocks of nodes with their signs -> the nodes that another of the block may be near to."""
+    for part in whole_groups(batches, BLOCK):
+        words, chunk, cross = part[["s0", "s1"]].to_numpy().astype(np.int64).view(np.uint64), part["chunk"].to_numpy(), (part["i"] != part["j"]).to_numpy()
+        near = np.zeros(len(part), dtype=bool)
+        for a, b in pairs_within(group_starts(part, BLOCK)):
+            ok = (np.bitwise_count(words[a] ^ words[b]).sum(1) <= most) & ~(cross[a] & (chunk[a] == chunk[b]))
+            near[a[ok]] = near[b[ok]] = True
+        yield part.loc[near, ["dim", "t", "code", "node"]]
+
+
+def _dealt(entries: DataFrame, chunk: int) -> DataFrame:
+    """Entries (dim, t, code, node, ...) of the buckets that hold several, dealt into blocks of two chunks each."""
+    # written before it is joined back, so that Spark can split the join at a hot bucket
+    crowd = cut(entries.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1").select("dim", "t", "code", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
+    other = entries.join(crowd, ["dim", "t", "code"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return other.select(*entries.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def _blocks(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(shuffle_partitions(dealt.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK)
+
+
 def _compare(batches: Iterator[pd.DataFrame], threshold: float, probes: int) -> Iterator[pd.DataFrame]:
     """Blocks of nodes -> node, links (the weight of what it links with, counted here), root (the smallest node it hangs together with here)."""
     for pdf in whole_groups(batches, BLOCK):
@@ -131,7 +176,7 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float, probes: int) ->
             t, code, node, weight, chunk = (part[c].to_numpy() for c in ("t", "code", "node", "weight", "chunk"))
             cross = (part["i"] != part["j"]).to_numpy()
             left, right = [], []
-            for a, b in pairs_within(group_starts(part, BLOCK), 100_000):
+            for a, b in pairs_within(group_starts(part, BLOCK), max(1, 6_400_000 // x.shape[1])):
                 ok = ~(cross[a] & (chunk[a] == chunk[b]))
                 a, b = a[ok], b[ok]
                 close = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
@@ -153,7 +198,6 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: float, probes: int) ->
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, axes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding); axes follow the number of vectors unless given."""
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.when(usable_vector("embedding"), F.col("embedding")).alias("embedding")).withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     nodes = cut(rows.where("node IS NOT NULL").groupBy("node", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight")))
     n = nodes.count()
@@ -162,21 +206,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
                 k = axes or axes_for(n, dim)
-                got = codes(np.stack(part["embedding"]).astype(np.float64), k, tables_for(dim, k, threshold, tables, probes), probes)
-                yield pd.DataFrame({"node": part["node"], "embedding": part["embedding"], "weight": part["weight"], "dim": dim, "codes": list(got.reshape(len(part), -1))})
+                x = np.stack(part["embedding"]).astype(np.float64)
+                got, side = codes(x, k, tables_for(dim, k, threshold, tables, probes), probes), signs(x)
+                yield pd.DataFrame({"node": part["node"], "embedding": part["embedding"], "weight": part["weight"], "dim": dim, "codes": list(got.reshape(len(part), -1)), "s0": side[:, 0], "s1": side[:, 1]})
 
     kind = dict(nodes.dtypes)["embedding"]
-    full = cut(nodes.mapInPandas(hashed, f"node long, embedding {kind}, weight long, dim int, codes array<long>"))
-    entries = full.select("dim", "node", F.posexplode("codes").alias("k", "code")).select("dim", "node", F.expr(f"CAST(k DIV {1 + probes} AS INT)").alias("t"), "code")
-    # written before it is joined back, so that Spark can split the join at a hot bucket
-    crowd = cut(entries.groupBy("dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1").select("dim", "t", "code", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")))
-    dealt = (
-        entries.join(crowd, ["dim", "t", "code"])
-        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "parts").cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("node", "t", "code", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    )
-    blocks = dealt.join(full, "node").repartition(shuffle_partitions(spark), *BLOCK).sortWithinPartitions(*BLOCK)
+    full = cut(nodes.mapInPandas(hashed, f"node long, embedding {kind}, weight long, dim int, codes array<long>, s0 long, s1 long"))
+    entries = full.select("dim", "node", "s0", "s1", F.posexplode("codes").alias("k", "code")).select("dim", F.expr(f"CAST(k DIV {1 + probes} AS INT)").alias("t"), "code", "node", "s0", "s1")
+    most = most_different(threshold)
+    near = _blocks(_dealt(entries, 4 * CHUNK)).mapInPandas(lambda it: _alike(it, most), "dim int, t int, code long, node long")
+    left = cut(near.distinct())
+    blocks = _blocks(_dealt(left, CHUNK).join(full.drop("dim", "s0", "s1"), "node"))
     found = cut(blocks.mapInPandas(lambda it: _compare(it, threshold, probes), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
