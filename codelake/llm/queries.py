@@ -83,4 +83,50 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN pattern IS NULL THE
 FROM own
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL}
+#: All pairs: an oracle for small tables. Vectors that take part, and their cosines.
+VECTORS_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) AS dim FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)"""
+
+NEAREST_SQL = f"""{VECTORS_SQL}
+, pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+#: What both joins have in common, once links(x, y) are known: counts, the smallest id within reach, and who stays.
+LINKED_SQL = """
+, reach(node, r) AS (
+  SELECT x, y FROM links UNION SELECT reach.node, links.y FROM reach JOIN links ON reach.r = links.x
+), low AS (SELECT node, min(r) AS r FROM reach GROUP BY node), counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT {id}, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least({id}, coalesce(r, {id})) AS component_id, least({id}, coalesce(r, {id})) = {id} AS kept
+FROM {table} LEFT JOIN low ON node = {id} LEFT JOIN counted ON x = {id}
+"""
+
+NEAR_VECTORS_SQL = f"""{VECTORS_SQL}
+, links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.dim = b.dim AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+)""" + LINKED_SQL.format(id="vec_id", table="embeddings")
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE shared.n::DOUBLE / (a.n + b.n - shared.n) >= 0.8
+)""" + LINKED_SQL.format(id="doc_id", table="documents")
+
+ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL}
