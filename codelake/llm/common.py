@@ -44,7 +44,8 @@ def unused(df: DataFrame, name: str) -> str:
 class Stored:
     """Tables kept for a while in the shared checkpoint folder, as compressed Parquet, and dropped when they have served."""
 
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # files of shuffles go with the write that needed them
+    #: While a table is written: files of shuffles go as soon as it is, and range partitioning takes smaller samples (its keys are long).
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.rangeExchange.sampleSizePerPartition": "20"}
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
@@ -52,15 +53,17 @@ class Stored:
         self.base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/codelake-{uuid.uuid4().hex}"
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
+        before = {key: self.spark.conf.get(key, None) for key in self.SETTINGS}
+        for key, value in self.SETTINGS.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
         finally:
-            if before is None:
-                self.spark.conf.unset(self.CLEANUP)
-            else:
-                self.spark.conf.set(self.CLEANUP, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -5,18 +5,24 @@ Sorting every suffix would move each byte hundreds of times, so the suffixes sor
 the smallest hash of `LEAD` bytes among those in a window of SPAN bytes. Equal windows have the same anchor in the
 same place, so windows can be equal only if their anchors' suffixes begin alike, and no repeat is lost.
 
-1. Each document's windows fall into runs with a common anchor. Anchors whose leading bytes stand nowhere else are
-   done. Runs whose whole surroundings stand elsewhere repeat as a whole.
-2. The other runs' suffixes are range-partitioned by their bytes with sampled splitters, each bucket is sorted by a
-   multikey quicksort over eight-byte symbols, and neighbours are compared, those on either side of a bucket's
-   edge included. That confirms the windows that neighbours share, and bounds how far any other suffix agrees to the right.
-   The same sort of the reversed bytes before the anchors bounds the agreement to the left.
-3. Where these bounds leave windows that neighbours do not settle, the windows themselves are counted by hash.
+1. Each document's windows fall into runs with a common anchor. Anchors whose leading bytes (by hash) stand nowhere
+   else are done. Runs of one document with equal bytes confirm each other; one of them goes on.
+2. Neighbouring runs that are left form segments, cut where an anchor's hash says so, and so at the same places of equal
+   texts. Segments are range-partitioned by their suffixes with sampled splitters, each bucket is sorted by a multikey
+   quicksort over eight-byte symbols, and neighbours are compared byte by byte, those on either side of a bucket's edge
+   included. That confirms whole documents and passages at one comparison each.
+3. Runs that segments left open, and one of each class of equal runs that could answer them, are sorted one by one in the
+   same way. Neighbours that share windows confirm them, and bound how far any other suffix agrees to the right. The
+   same sort of the reversed bytes before the anchors bounds the agreement to the left.
+4. Windows within these bounds that are still open, and may repeat by a count of their hashes, are sorted themselves;
+   those equal to a neighbour repeat.
+
+So hashes only say what cannot repeat; what repeats is decided by comparing bytes in sorted order.
 
 Defined results: null texts are empty; texts shorter than SPAN keep every byte; repeated rows repeat each other and so
-lose all windows; very long texts are worked through in slabs that overlap; an empty table gives an empty table; other
-columns are not read. Strings are told apart by 64-bit hashes among those with equal leading hashes, and rows by a
-64-bit hash of id and text.
+lose all windows; strings at the very start or end of a text count like others; very long texts are worked through in
+slabs that overlap; an empty table gives an empty table; other columns are not read. Rows are told apart by a 64-bit
+hash of id and text.
 """
 
 from __future__ import annotations
@@ -28,19 +34,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.common import Stored, shuffle_partitions
+from codelake.llm.common import Stored, cut, shuffle_partitions
 
 SPAN = 400
+PASSAGE_WORDS = 51
 LEAD = 64
 SLAB = 1 << 20
 BUCKET_ROWS = 20_000
+BUCKET_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 16
+LOOK = 8  # neighbours on either side that are compared where the next one leaves windows open
 _RNG = np.random.default_rng(23)
 SYMBOLS = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORDS = re.compile(r"\w+")
+IS_WORD = np.array([chr(i).isalnum() or chr(i) == "_" for i in range(128)] + [False] * 128)
 PLACE = np.uint64((1 << 24) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -162,16 +173,92 @@ def sorted_with_prefixes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(common, np.minimum(size[:-1], size[1:]))
 
 
-def _shared(m1: int, a1: int, b1: int, m2: int, a2: int, b2: int, left: int, right: int, span: int) -> tuple[int, int]:
-    """First and last distance from window start to anchor of the windows that two anchors share, given how far they agree."""
-    return max(span - right, m1 - b1, m2 - b2), min(left, m1 - a1, m2 - a2)
+def suffix_order(suffixes: list[bytes], first: int = 512) -> np.ndarray:
+    """The order of suffixes of any length: by multikey quicksort of their first bytes, and where these are equal as they are."""
+    if not suffixes:
+        return np.zeros(0, dtype=np.int64)
+    heads = [x[:first] for x in suffixes]
+    m, _ = _matrix(heads)
+    order = multikey_order(m.view(">u8"), heads)
+    at = 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or heads[order[i]] != heads[order[at]]:
+            if i - at > 1 and len(heads[order[at]]) == first:
+                order[at:i] = sorted(order[at:i].tolist(), key=suffixes.__getitem__)
+            at = i
+    return order
+
+
+def shared_windows(m1: int, a1: int, b1: int, body1: bytes, m2: int, a2: int, b2: int, body2: bytes, span: int, right: int | None = None) -> tuple[int, int, int]:
+    """How far two suffixes agree from their anchors m on, and the first and last distance from window start to anchor of the windows that both share (first above last: none). Bodies begin at a."""
+    if right is None:
+        right = common_prefix(body1[m1 - a1 :], body2[m2 - a2 :])
+    left = common_prefix(body1[: m1 - a1][::-1], body2[: m2 - a2][::-1])
+    return right, max(span - right, m1 - b1, m2 - b2), min(left, m1 - a1, m2 - a2)
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges lo to hi of window starts, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-NEIGHBOUR = "rid long, m int, lead long, reach int, lo1 int, hi1 int, lo2 int, hi2 int, pid int, edge int, a int, b int, body binary"
+def _pairs(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"lo": lo, "hi": hi} for lo, hi in ranges]
 
 
-def _right_neighbours(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
-    """A bucket of suffixes, sorted: how far each agrees with a neighbour, the windows shared with either, and the bucket's first and last suffix with their bytes."""
+def _covers(ranges: list[tuple[int, int]], lo: int, hi: int) -> bool:
+    return any(x <= lo and hi <= y for x, y in ranges)
+
+
+RANGES = "array<struct<lo: int, hi: int>>"
+RUNS = "array<struct<a: int, m: int, b: int, lead: bigint, whole: bigint>>"
+FOUND = f"rid long, m int, a int, b int, reach int, shared {RANGES}, pid int, edge int, body binary"
+
+
+def _segments(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """Texts with their open runs -> segments: the bytes of neighbouring runs, and what the document alone confirms (done)."""
+    every = max(2, 1344 // max(1, (span - LEAD) // 2))  # a segment is cut at one anchor in so many
+    rows, size = [], 0
+    columns = ["rid", "m", "a", "b", "body", "runs", "done"]
+    for pdf in batches:
+        for rid, text, runs, again in pdf[["rid", "text", "runs", "again"]].itertuples(index=False):
+            raw = text.encode("utf-8", "surrogatepass")
+            runs = sorted(runs, key=lambda r: r["a"])
+            seen: dict[tuple[int, int], dict] = {}
+            done: list[tuple[int, int]] = [(r["a"], r["b"]) for r in runs] if again else []
+            left = []
+            for r in runs:
+                first = seen.setdefault((r["lead"], r["whole"]), r)
+                if first is not r and raw[r["a"] : r["b"] + span] == raw[first["a"] : first["b"] + span]:
+                    done += [(r["a"], r["b"]), (first["a"], first["b"])]
+                else:
+                    left.append(r)
+            done = merged(done)
+            begin = len(rows)
+            at = 0
+            for i in range(1, len(left) + 1):
+                if i == len(left) or left[i]["a"] != left[i - 1]["b"] + 1 or left[i]["lead"] % every == 0 or left[i]["b"] - left[at]["a"] > SEGMENT_BYTES:
+                    lo, hi = left[at]["a"], left[i - 1]["b"]
+                    rows.append((rid, left[at]["m"], lo, hi, raw[lo : hi + span], left[at:i], _pairs([(max(x, lo), min(y, hi)) for x, y in done if x <= hi and y >= lo])))
+                    size += hi + span - lo
+                    at = i
+            if done and len(rows) > begin:  # all that the document alone confirms goes with its first segment
+                rows[begin] = (*rows[begin][:-1], _pairs(done))
+            if size > BUCKET_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _compare_neighbours(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """A bucket of suffixes, sorted: how far each agrees with a neighbour, the windows it shares with neighbours, and the bucket's first and last suffix with their bytes."""
     from pyspark import TaskContext
 
     held = [p for p in batches if len(p)]
@@ -180,29 +267,81 @@ def _right_neighbours(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd
     pdf = pd.concat(held, ignore_index=True)
     m, a, b = (pdf[c].to_numpy(dtype=np.int64) for c in "mab")
     body = pdf["body"].tolist()
-    order, common = sorted_with_prefixes([x[i:] for x, i in zip(body, m - a)])
-    pdf, m, a, b = pdf.iloc[order].reset_index(drop=True), m[order], a[order], b[order]
-    body = [body[i] for i in order]
+    suffix = [x[i:] for x, i in zip(body, (m - a).tolist())]
+    order = suffix_order(suffix)
+    pdf, m, a, b = pdf.iloc[order].reset_index(drop=True), m[order].tolist(), a[order].tolist(), b[order].tolist()
+    body, suffix = [body[i] for i in order], [suffix[i] for i in order]
     n = len(pdf)
+    common = [common_prefix(x, y) for x, y in zip(suffix, suffix[1:])]
     reach = np.zeros(n, dtype=np.int64)
     reach[:-1] = common
     reach[1:] = np.maximum(reach[1:], common)
-    lo, hi = np.ones((2, n), dtype=np.int64), np.zeros((2, n), dtype=np.int64)
-    for i in np.flatnonzero(common >= LEAD):
-        left = common_prefix(body[i][: m[i] - a[i]][::-1], body[i + 1][: m[i + 1] - a[i + 1]][::-1])
-        far, near = _shared(m[i], a[i], b[i], m[i + 1], a[i + 1], b[i + 1], left, int(common[i]), span)
-        if far <= near:
-            lo[1, i], hi[1, i] = m[i] - near, m[i] - far
-            lo[0, i + 1], hi[0, i + 1] = m[i + 1] - near, m[i + 1] - far
+    shared: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    agree = common
+    for step in range(1, LOOK + 1):
+        todo = [i for i, c in enumerate(agree) if c >= min(LEAD, span)]
+        if not todo:
+            break
+        for i in todo:
+            j = i + step
+            if step > 1 and _covers(shared[i], a[i], b[i]) and _covers(shared[j], a[j], b[j]):
+                continue
+            _, far, near = shared_windows(m[i], a[i], b[i], body[i], m[j], a[j], b[j], body[j], span, agree[i])
+            if far <= near:
+                shared[i] = merged([*shared[i], (m[i] - near, m[i] - far)])
+                shared[j] = merged([*shared[j], (m[j] - near, m[j] - far)])
+        agree = [min(x, y) for x, y in zip(agree, common[step:])]
     edge = np.zeros(n, dtype=np.int32)
     edge[0] += 1
     edge[-1] += 2
-    out = pdf[["rid", "m", "lead"]].assign(reach=reach, lo1=lo[0], hi1=hi[0], lo2=lo[1], hi2=hi[1], pid=TaskContext.get().partitionId(), edge=edge, a=a, b=b)
-    yield out.assign(body=[x if e else None for x, e in zip(body, edge)])
+    yield pd.DataFrame({"rid": pdf["rid"], "m": m, "a": a, "b": b, "reach": reach, "shared": [_pairs(x) for x in shared], "pid": TaskContext.get().partitionId(), "edge": edge, "body": [x if e else None for x, e in zip(body, edge)]})
+
+
+def _compare_across(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """Two suffixes on either side of an edge: how far they agree, and the windows of each that both share."""
+    for pdf in batches:
+        out = []
+        for x in pdf.itertuples(index=False):
+            right, far, near = shared_windows(x.m, x.a, x.b, x.body, x.m_, x.a_, x.b_, x.body_, span)
+            out += [(rid, m, a, right, _pairs([(m - near, m - far)] if far <= near else [])) for rid, m, a in ((x.rid, x.m, x.a), (x.rid_, x.m_, x.a_))]
+        yield pd.DataFrame(out, columns=["rid", "m", "a", "reach", "shared"])
+
+
+def _across_edges(found: DataFrame, compare: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
+    """What compare says of the last row of each bucket and the first row of the next one that is not empty. Only the numbers of the buckets pass through the driver."""
+    edges = found.where("edge > 0")
+    pids = sorted(r["pid"] for r in edges.select("pid").distinct().collect())
+    following = edges.sparkSession.createDataFrame(list(zip(pids, pids[1:])), "pid int, next int")
+    last = edges.where("edge >= 2").join(following, "pid")
+    first = edges.where("edge % 2 = 1").select(*[F.col(c).alias("next" if c == "pid" else f"{c}_") for c in edges.columns])
+    return last.join(first, "next").mapInPandas(compare, kind)
+
+
+def _open_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments with what has been confirmed of them -> their runs, and whether each is still open."""
+    for pdf in batches:
+        out = []
+        for rid, seg, runs, done, shared in pdf[["rid", "a", "runs", "done", "shared"]].itertuples(index=False):
+            sure = merged([(s["lo"], s["hi"]) for x in (done, shared if shared is not None else ()) for s in x])
+            out += [(rid, seg, r["m"], r["a"], r["b"], r["lead"], r["whole"], not _covers(sure, r["a"], r["b"])) for r in runs]
+        yield pd.DataFrame(out, columns=["rid", "seg", "m", "a", "b", "lead", "whole", "open"])
+
+
+def _contexts(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """Segments with the runs that are in question -> the bytes around each anchor."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), 200):
+            rows = []
+            for rid, seg, body, runs in pdf.iloc[lo : lo + 200][["rid", "seg", "body", "runs"]].itertuples(index=False):
+                for r in runs:
+                    part = body[r["a"] - seg : r["b"] - seg + span]
+                    before = r["lead"].to_bytes(8, "big", signed=True) + part[: r["m"] - r["a"]][::-1]
+                    rows.append((rid, r["m"], r["a"], r["b"], r["lead"], part, before))
+            yield pd.DataFrame(rows, columns=["rid", "m", "a", "b", "lead", "body", "before"])
 
 
 def _left_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same for the reversed bytes before the anchors, within equal leading bytes: how far each agrees with a neighbour."""
+    """The sorted reversed bytes before the anchors, within equal leading bytes: how far each agrees with a neighbour."""
     from pyspark import TaskContext
 
     held = [p for p in batches if len(p)]
@@ -221,57 +360,53 @@ def _left_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out.assign(body=[keys[i] if e else None for i, e in zip(order, edge)])
 
 
-def _contexts(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
-    """Texts with the runs that are in question -> the bytes around each anchor."""
+def _left_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for lo in range(0, len(pdf), 200):
-            rows = []
-            for rid, text, runs in pdf.iloc[lo : lo + 200][["rid", "text", "runs"]].itertuples(index=False):
-                raw = text.encode("utf-8", "surrogatepass")
-                for r in runs:
-                    body = raw[r["a"] : r["b"] + span]
-                    before = r["lead"].to_bytes(8, "big", signed=True) + body[: r["m"] - r["a"]][::-1]
-                    rows.append((rid, r["m"], r["a"], r["b"], r["lead"], body, before))
-            yield pd.DataFrame(rows, columns=["rid", "m", "a", "b", "lead", "body", "before"])
+        out = []
+        for x in pdf.itertuples(index=False):
+            common = max(0, common_prefix(x.body, x.body_) - 8)
+            out += [(x.rid, x.m, common), (x.rid_, x.m_, common)]
+        yield pd.DataFrame(out, columns=["rid", "m", "before_reach"])
 
 
-def _across_edges(found: DataFrame, compare: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
-    """What compare says of the last row of each bucket and the first row of the next one that is not empty. Only the numbers of the buckets pass through the driver."""
-    edges = found.where("edge > 0")
-    pids = sorted(r["pid"] for r in edges.select("pid").distinct().collect())
-    following = edges.sparkSession.createDataFrame(list(zip(pids, pids[1:])), "pid int, next int")
-    last = edges.where("edge >= 2").join(following, "pid")
-    first = edges.where("edge % 2 = 1").select(*[F.col(c).alias("next" if c == "pid" else f"{c}_") for c in edges.columns])
-    return last.join(first, "next").mapInPandas(compare, kind)
+def _equal_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A bucket of windows, sorted: those equal to a neighbour, and the bucket's first and last."""
+    from pyspark import TaskContext
+
+    held = [p for p in batches if len(p)]
+    if not held:
+        return
+    pdf = pd.concat(held, ignore_index=True)
+    keys = pdf["body"].tolist()
+    order = suffix_order(keys)
+    keys = [keys[i] for i in order]
+    same = np.array([x == y for x, y in zip(keys, keys[1:])], dtype=bool)
+    twice = np.append(same, False) | np.insert(same, 0, False)
+    edge = np.zeros(len(keys), dtype=np.int32)
+    edge[0] += 1
+    edge[-1] += 2
+    keep = twice | (edge > 0)
+    out = pdf.iloc[order][["rid", "lo"]].assign(twice=twice, pid=TaskContext.get().partitionId(), edge=edge, body=[k if e else None for k, e in zip(keys, edge)])
+    yield out[keep]
 
 
-def _right_across(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
-    """Two suffixes on either side of an edge: how far they agree, and the windows of each that both share (lo above hi: none)."""
+def _equal_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for x in pdf.itertuples(index=False):
-            at, at_ = x.m - x.a, x.m_ - x.a_
-            common, left = common_prefix(x.body[at:], x.body_[at_:]), common_prefix(x.body[:at][::-1], x.body_[:at_][::-1])
-            far, near = _shared(x.m, x.a, x.b, x.m_, x.a_, x.b_, left, common, span)
-            out += [(rid, m, common, m - near, m - far) for rid, m in ((x.rid, x.m), (x.rid_, x.m_))]
-        yield pd.DataFrame(out, columns=["rid", "m", "reach", "lo", "hi"])
+        yield pd.DataFrame([r for x in pdf.itertuples(index=False) if x.body == x.body_ for r in ((x.rid, x.lo), (x.rid_, x.lo_))], columns=["rid", "lo"])
 
 
-def _left_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for x in pdf.itertuples(index=False):
-            common = max(0, common_prefix(x.body, x.body_) - 8)
-            out += [(x.rid, x.m, common), (x.rid_, x.m_, common)]
-        yield pd.DataFrame(out, columns=["rid", "m", "before_reach"])
+def _buckets(df: DataFrame, size: Column) -> int:
+    """Buckets of a bounded number of rows and bytes each."""
+    n, size = df.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return max(shuffle_partitions(df.sparkSession), math.ceil(n / BUCKET_ROWS), math.ceil((size or 0) / BUCKET_BYTES))
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs(rid, text) -> (rid, spans): for each rid that has any, the ranges lo to hi of window starts whose bytes also start elsewhere."""
-    spark = docs.sparkSession
-    stored = Stored(spark)
+    stored = Stored(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["rid", "m", "a", "b", "lead", "whole"]
         for pdf in batches:
             out, n = [], 0
             for rid, text in zip(pdf["rid"], pdf["text"]):
@@ -280,74 +415,97 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                     out.append((np.full(len(got[0]), rid), *got))
                     n += len(got[0])
                 if n > 200_000:
-                    yield pd.DataFrame(dict(zip(["rid", "m", "a", "b", "lead", "whole"], map(np.concatenate, zip(*out)))))
+                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
                     out, n = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(["rid", "m", "a", "b", "lead", "whole"], map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
 
+    # 1. what can repeat; counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
     runs = stored.keep("runs", docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
-    # counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
-    leads = stored.keep("leads", runs.groupBy("lead").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n"))
-    open_ = stored.keep("open", runs.join(leads, "lead"))
-    del runs, leads
+    leads = stored.keep("leads", runs.groupBy("lead").count().where("count > 1").select("lead"))
+    open_ = runs.join(leads, "lead").groupBy("rid").agg(F.collect_set(F.struct("a", "m", "b", "lead", "whole")).alias("runs"), F.count("*").alias("n"))
+    segments = stored.keep(
+        "segments",
+        docs.join(open_.select("rid", "runs", (F.col("n") > F.size("runs")).alias("again")), "rid").mapInPandas(lambda it: _segments(it, span), f"rid long, m int, a int, b int, body binary, runs {RUNS}, done {RANGES}"),
+    )
     stored.drop("runs", "leads")
-    wholes = stored.keep("wholes", open_.groupBy("lead", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "m")).alias("rep")))
-    judged = stored.keep("judged", open_.join(wholes, ["lead", "whole"]).withColumn("ask", F.col("mixed") & (F.struct("rid", "m") == F.col("rep"))).select("rid", "m", "a", "b", "lead", "n", "ask"))
-    del open_, wholes
-    stored.drop("open", "wholes")
-    whole = judged.where("n > 1").select("rid", F.col("a").alias("lo"), F.col("b").alias("hi"))
-
-    asked = judged.where("ask").groupBy("rid").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
-    around = stored.keep("around", docs.join(asked, "rid").mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
-    del asked
-    buckets = max(shuffle_partitions(spark), math.ceil(around.count() / BUCKET_ROWS))
-
-    suffix = around.select("rid", "m", "a", "b", "lead", "body", F.expr("substring(body, m - a + 1)").alias("suffix"))
-    right = stored.keep("right", suffix.repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _right_neighbours(it, span), NEIGHBOUR))
-    del suffix
-    fixed = _across_edges(right, lambda it: _right_across(it, span), "rid long, m int, reach int, lo int, hi int")
+
+    # 2. segments against their neighbours
+    suffix, size = F.expr("substring(body, m - a + 1)"), F.col("b") - F.col("a") + span
+    keyed = segments.select("rid", "m", "a", "b", "body", F.substring(suffix, 1, 2 * LEAD).alias("head"), F.xxhash64(suffix).alias("h"))
+    found = stored.keep("found", keyed.repartitionByRange(_buckets(segments, size), "head", "h", "rid", "m").drop("head", "h").mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
+    across = f"rid long, m int, a int, reach int, shared {RANGES}"
+    fixed = _across_edges(found, lambda it: _compare_across(it, span), across)
+    first = stored.keep("first", found.select("rid", "a", "shared").union(fixed.select("rid", "a", "shared")).where("size(shared) > 0").groupBy("rid", "a").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")))
+    stored.drop("found")
+    known = segments.select("rid", F.explode("done").alias("s")).union(first.select("rid", F.explode("shared"))).select("rid", "s.lo", "s.hi")
+
+    # 3. the runs that are left against theirs
+    runs = stored.keep("left", segments.select("rid", "a", "runs", "done").join(first, ["rid", "a"], "left").mapInPandas(_open_runs, "rid long, seg int, m int, a int, b int, lead long, whole long, open boolean"))
+    asking = stored.keep("asking", runs.where("open").select("lead").distinct())
+    classes = runs.where("NOT open").groupBy("lead", "whole").agg(F.min(F.struct("rid", "seg", "m", "a", "b")).alias("r"))
+    answers = classes.select("r.*", "lead").join(asking, "lead", "left_semi").select("rid", "seg", "m", "a", "b", "lead")
+    needed = runs.where("open").select("rid", "seg", "m", "a", "b", "lead").union(answers).groupBy("rid", "seg").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
+    bodies = segments.select("rid", F.col("a").alias("seg"), "body").join(needed, ["rid", "seg"])
+    around = stored.keep("around", bodies.mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
+    stored.drop("left", "asking")
+    buckets = _buckets(around, size)
+    right = stored.keep("right", around.select("rid", "m", "a", "b", "body", suffix.alias("suffix")).repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
+    fixed = _across_edges(right, lambda it: _compare_across(it, span), across)
     before = stored.keep("before", around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
     more = _across_edges(before, _left_across, "rid long, m int, before_reach int")
-
-    lengths = right.select("rid", "m", "lead", "a", "b", "reach", F.lit(0).alias("before_reach"), "lo1", "hi1", "lo2", "hi2", F.lit(1).alias("lo3"), F.lit(0).alias("hi3"), F.lit(1).alias("lo4"), F.lit(0).alias("hi4"))
-    none = [F.lit(None).cast("int").alias(c) for c in ("a", "b")]
-    edges = fixed.select("rid", "m", F.lit(None).cast("long").alias("lead"), *none, "reach", F.lit(0), *[F.lit(x) for x in (1, 0, 1, 0)], F.col("lo"), F.col("hi"), F.col("lo"), F.col("hi"))
-    lefts = before.select("rid", "m", "before_reach").union(more).select("rid", "m", F.lit(None).cast("long"), *none, F.lit(0), "before_reach", *[F.lit(x) for x in (1, 0) * 4])
-    merged = lengths.union(edges).union(lefts).groupBy("rid", "m").agg(
-        *[F.max(c).alias(c) for c in ("lead", "a", "b", "reach", "before_reach")],
-        *[F.min(F.when(F.col(f"lo{k}") <= F.col(f"hi{k}"), F.struct(F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")))).alias(f"s{k}") for k in (1, 2, 3)],
-        F.max(F.when(F.col("lo4") <= F.col("hi4"), F.struct(F.col("lo4").alias("lo"), F.col("hi4").alias("hi")))).alias("s4"),
-    )
+    none = F.array().cast(RANGES)
+    both = (
+        right.select("rid", "m", "reach", F.lit(0).alias("before_reach"), "shared")
+        .union(fixed.select("rid", "m", "reach", F.lit(0), "shared"))
+        .union(before.select("rid", "m", F.lit(0), "before_reach", none))
+        .union(more.select("rid", "m", F.lit(0), "before_reach", none))
+        .groupBy("rid", "m").agg(F.max("reach").alias("reach"), F.max("before_reach").alias("before_reach"), F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+    )
     # what neighbours confirm, and the widest range in which anything could agree
-    ranged = stored.keep("ranged", merged.select(
-        "rid", "m", "lead", "a", F.array_compact(F.array("s1", "s2", "s3", "s4")).alias("shared"),
-        F.greatest("a", F.col("m") - F.col("before_reach")).alias("first"), F.least("b", F.col("m") + F.col("reach") - span).alias("last"),
+    ranged = stored.keep("ranged", both.join(around.select("rid", "m", "a", "b", "lead").distinct(), ["rid", "m"]).select(
+        "rid", "m", "lead", "a", "shared", F.greatest("a", F.col("m") - F.col("before_reach")).alias("first"), F.least("b", F.col("m") + F.col("reach") - span).alias("last"),
     ))
-    del merged, lengths, edges, lefts, right, before
     stored.drop("right", "before")
     confirmed = ranged.select("rid", F.explode("shared").alias("s")).select("rid", "s.lo", "s.hi")
+
+    # 4. single windows that neither tells apart
     settled = "first > last OR exists(shared, s -> s.lo <= first AND s.hi >= last)"
-    unsettled = ranged.where(f"NOT ({settled})").select("lead").distinct()
-    windows = ranged.where("first <= last").join(unsettled, "lead", "left_semi").select("rid", "m", "a", "first", "last").join(around.select("rid", "m", "body"), ["rid", "m"])
+    unsettled = stored.keep("unsettled", ranged.where(f"NOT ({settled})").select("lead").distinct())
+    windows = ranged.where("first <= last").join(unsettled, "lead", "left_semi").join(around.select("rid", "m", "a", "body"), ["rid", "m", "a"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 out = []
-                for rid, a, first, last, body in pdf.iloc[lo : lo + 1000][["rid", "a", "first", "last", "body"]].itertuples(index=False):
-                    raw = np.frombuffer(body, dtype=np.uint8)[first - a : last - a + span]
-                    out.append((np.full(last - first + 1, rid), np.arange(first, last + 1), Hashes(raw).all(span).view(np.int64), Hashes(raw, 1).all(span).view(np.int64)))
+                for rid, m, a, first, last, shared, body in pdf.iloc[lo : lo + 1000][["rid", "m", "a", "first", "last", "shared", "body"]].itertuples(index=False):
+                    h = Hashes(np.frombuffer(body, dtype=np.uint8)[first - a : last - a + span]).all(span).view(np.int64)
+                    at = np.arange(first, last + 1)
+                    sure = np.zeros(len(at), dtype=bool)
+                    for s in shared:
+                        sure |= (at >= s["lo"]) & (at <= s["hi"])
+                    out.append((np.full(len(at), rid), np.full(len(at), m), np.full(len(at), a), at, h, sure))
                 if out:
-                    yield pd.DataFrame(dict(zip(["rid", "lo", "h1", "h2"], map(np.concatenate, zip(*out)))))
+                    yield pd.DataFrame(dict(zip(["rid", "m", "a", "lo", "h", "sure"], map(np.concatenate, zip(*out)))))
 
-    each = stored.keep("each", windows.mapInPandas(hashed, "rid long, lo int, h1 long, h2 long"))
-    del windows, unsettled
-    stored.drop("around")
-    twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    counted = each.join(twice, ["h1", "h2"]).select("rid", "lo", F.col("lo").alias("hi"))
-    spans = stored.keep("spans", whole.union(confirmed).union(counted).distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    del judged, ranged, each, whole, confirmed, twice, counted, around
-    stored.drop("judged", "ranged", "each", "twice")
+    each = stored.keep("each", windows.mapInPandas(hashed, "rid long, m int, a int, lo int, h long, sure boolean"))
+    # an open window is asked if its hash stands twice; one window that is sure already answers
+    place = F.struct("rid", "m", "a", "lo")
+    twice = stored.keep("twice", each.groupBy("h").agg(F.count("*").alias("n"), F.min("sure").alias("all_sure"), F.min(F.when(F.col("sure"), place)).alias("r")).where("n > 1 AND NOT all_sure").select("h", "r"))
+    wanted = each.where("NOT sure").join(twice.select("h"), "h").select("rid", "m", "a", "lo").union(twice.where("r IS NOT NULL").select("r.*")).groupBy("rid", "m", "a").agg(F.collect_set("lo").alias("at"))
+
+    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 200):
+                rows = [(rid, int(w), body[w - a : w - a + span]) for rid, a, body, at in pdf.iloc[lo : lo + 200][["rid", "a", "body", "at"]].itertuples(index=False) for w in at]
+                yield pd.DataFrame(rows, columns=["rid", "lo", "body"])
+
+    singles = stored.keep("singles", around.select("rid", "m", "a", "body").dropDuplicates(["rid", "m", "a"]).join(wanted, ["rid", "m", "a"]).mapInPandas(single, "rid long, lo int, body binary"))
+    stored.drop("around", "each", "twice", "unsettled")
+    equal = stored.keep("equal", singles.repartitionByRange(_buckets(singles, F.lit(span)), "body", "rid", "lo").mapInPandas(_equal_neighbours, "rid long, lo int, twice boolean, pid int, edge int, body binary"))
+    last = equal.where("twice").select("rid", "lo").union(_across_edges(equal, _equal_across, "rid long, lo int")).select("rid", "lo", F.col("lo").alias("hi"))
+    spans = cut(known.union(confirmed).union(last).distinct().groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    stored.drop()
     return spans
 
 
@@ -373,46 +531,66 @@ def kept_bytes(raw: bytes, spans: list | np.ndarray | None, span: int) -> tuple[
     return b"".join(raw[e:s] for e, (s, _) in zip(ends, runs)) + raw[ends[-1] :], len(runs)
 
 
-def _with_spans(docs: DataFrame, span: int) -> DataFrame:
-    """docs with their repeated windows; docs has a column rid."""
-    return docs.join(repeats(docs.select("rid", F.coalesce("text", F.lit("")).alias("text")), span), "rid", "left")
-
+def digests(docs: DataFrame, span: int = SPAN, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text), and n_passages, n_passage_bytes: maximal runs of strings of `words` words that stand anywhere else too, which span does not always reach, and their bytes."""
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    found, again = repeats(texts, span), passages(texts, words)
+    marked = rows.join(found, "rid", "left").join(again.withColumnRenamed("spans", "passages"), "rid", "left")
+    short = passage_span(words)
 
-def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
-    marked = _with_spans(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")), span)
-
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def digest(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+    def digest(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s in zip(text, spans):
+        for t, s, p in zip(text, spans, passages):
             raw = (t or "").encode("utf-8", "surrogatepass")
             kept, n = kept_bytes(raw, s, span)
-            out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rest, m = kept_bytes(raw, p, short)
+            out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), m, len(raw) - len(rest)))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
+
+    return marked.select("doc_id", digest("text", "spans", "passages").alias("d")).select("doc_id", "d.*")
+
+
+def passage_span(words: int) -> int:
+    """Bytes that so many words have in all but the tersest text: three a word, and one between any two. Strings with fewer are looked at as they are."""
+    return 4 * words - 1
+
 
-    return marked.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
+def may_be_terse(raw: np.ndarray, words: int, span: int) -> bool:
+    """Whether a string of so many words and fewer bytes than span can be in a text: every run of ASCII word characters and every other character may be a word."""
+    ascii_word = IS_WORD[raw]
+    start = (raw >= 0xC0) | (ascii_word & ~np.concatenate([[False], ascii_word[:-1]]))
+    at = np.flatnonzero(start)
+    return bool((at[words - 1 :] - at[: max(0, len(at) - words + 1)] < span).any())
 
 
-def word_windows(text: str, spans: list, words: int, span: int) -> tuple[np.ndarray, ...]:
-    """Start, end and two hashes of the strings from one word to the `words`-th, of which all windows of span bytes are in spans."""
+def word_windows(text: str, spans: list | None, words: int, span: int) -> tuple[np.ndarray, ...]:
+    """Start, end and two hashes of the strings from one word to the `words`-th of which all windows of span bytes are in spans, or that are shorter."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if spans is None and not may_be_terse(raw, words, span):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     at = np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF), dtype=np.int64)])
     place = np.array([m.span() for m in WORDS.finditer(text)], dtype=np.int64).reshape(-1, 2)
     start, end = at[place[: max(0, len(place) - words + 1), 0]], at[place[words - 1 :, 1]]
     change = np.zeros(len(raw) + 2, dtype=np.int64)
-    for s in spans:
+    for s in spans if spans is not None else ():
         change[s["lo"]] += 1
         change[s["hi"] + 1] -= 1
     seen = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-    ok = seen[end - span + 1] - seen[start] == end - span + 1 - start
+    n = np.maximum(end - span + 1 - start, 0)
+    ok = seen[start + n] - seen[start] == n
     start, end = start[ok], end[ok]
     return start, end, *(Hashes(raw, k).of(start, end).view(np.int64) for k in (0, 1))
 
 
-def _with_passages(docs: DataFrame, words: int) -> DataFrame:
-    """docs with the strings of `words` words that stand anywhere else too, as ranges of windows of the span returned by passage_span; docs has a column rid."""
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs(rid, text) -> (rid, spans): the strings of `words` words that stand anywhere else too, as ranges of windows of passage_span bytes (lo to hi + span).
+
+    A string whose windows of passage_span bytes do not all repeat cannot repeat. Those that are left, and the terse
+    ones, are told apart by 128-bit hashes.
+    """
     span = passage_span(words)
     stored = Stored(docs.sparkSession)
 
@@ -423,34 +601,28 @@ def _with_passages(docs: DataFrame, words: int) -> DataFrame:
                 if len(got[0]):
                     yield pd.DataFrame(dict(zip(["lo", "hi", "h1", "h2"], got))).assign(rid=rid, hi=got[1] - span)
 
-    asked = _with_spans(docs.select("rid", "text"), span).where("spans IS NOT NULL")
-    each = stored.keep("each", asked.mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
+    each = stored.keep("each", docs.join(repeats(docs, span), "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
     twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    spans = stored.keep("spans", each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    del asked, each, twice
-    stored.drop("each", "twice")
-    return docs.join(spans, "rid", "left")
-
-
-def passage_span(words: int) -> int:
-    """The fewest bytes that so many words can have: one each, and one between any two."""
-    return 2 * words - 1
+    spans = cut(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    stored.drop()
+    return spans
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
-    """docs with their repeated bytes gone from text, and n_chars counted anew where there is such a column; a character cut in two goes whole. With words, what goes is every passage of at least so many whole words that stands elsewhere too, however few bytes it has; at least 33, as the span has to be longer than LEAD."""
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    """docs with their repeated bytes gone from text, and n_chars counted anew where there is such a column; a character cut in two goes whole. With words, what goes is every passage of at least so many whole words that stands elsewhere too, however few bytes it has; at least 17, as its windows have to be longer than LEAD."""
     if words is not None:
         span = passage_span(words)
-        if span <= LEAD:
-            raise ValueError(f"passages of {words} words can be shorter than {LEAD} bytes")
-    marked = _with_spans(rows, span) if words is None else _with_passages(rows, words)
+    if span <= LEAD:
+        raise ValueError(f"strings of {span} bytes are too short for anchors of {LEAD}")
+    # whatever else docs holds travels in one column, out of the way of this module's names
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("rest"))
+    texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    marked = rows.join(repeats(texts, span) if words is None else passages(texts, words), "rid", "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else kept_bytes(t.encode("utf-8", "surrogatepass"), s, span)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
 
-    out = marked.withColumn("text", kept("text", "spans"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    out = marked.select("rest", kept("text", "spans").alias("text"))
+    counted = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[F.col("text") if c.lower() == "text" else counted.alias(c) if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -25,6 +26,21 @@ def brute(rows, span):
     return sorted(out)
 
 
+def brute_passages(rows, words):
+    texts = [(i, t or "", [m.span() for m in re.finditer(r"\w+", t or "")]) for i, t in rows]
+    count = Counter(t[w[j][0] : w[j + words - 1][1]] for _, t, w in texts for j in range(len(w) - words + 1))
+    out = []
+    for i, t, w in texts:
+        gone = [False] * len(t)
+        for j in range(len(w) - words + 1):
+            a, b = w[j][0], w[j + words - 1][1]
+            if count[t[a:b]] > 1:
+                gone[a:b] = [True] * (b - a)
+        runs = sum(1 for j in range(len(t)) if gone[j] and (j == 0 or not gone[j - 1]))
+        out.append((i, runs, sum(len(c.encode()) for c, g in zip(t, gone) if g)))
+    return sorted(out)
+
+
 @pytest.fixture(scope="module")
 def rows():
     random.seed(3)
@@ -48,7 +64,9 @@ def test_equals_every_window(spark, rows, monkeypatch, bucket, slab):
         assert a[0] == 0 and b[-1] == len(raw) - S.SPAN and (a[1:] == b[:-1] + 1).all() and (m >= b).all() and (m <= a + S.SPAN - S.LEAD).all()
         return
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, rid int, m int").repartition(5)
-    assert sorted(tuple(r) for r in S.digests(df).collect()) == brute(rows, 400)
+    got = S.digests(df).collect()
+    assert sorted(tuple(r)[:5] for r in got) == brute(rows, 400)
+    assert sorted((r["doc_id"], r["n_passages"], r["n_passage_bytes"]) for r in got) == brute_passages(rows, 51)
 
 
 def test_text_without_repeats(spark, rows):
@@ -61,6 +79,31 @@ def test_text_without_repeats(spark, rows):
         assert abs(len((r["text"] or "").encode()) - want[r["doc_id"]]) <= 4 and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
 
 
+def test_other_columns_keep_their_values(spark, rows):
+    df = spark.createDataFrame([(i, t, 7, "s", 2, "p", "r") for i, t in rows[:20] + rows[5:6]], "doc_id long, text string, rid long, spans string, m int, passages string, rest string")
+    for out in (S.without_repeats(df), S.without_repeats(df, words=51)):
+        assert out.columns == df.columns and out.count() == 21
+        assert {tuple(r)[2:] for r in out.collect()} == {(7, "s", 2, "p", "r")}
+    with pytest.raises(ValueError):
+        S.without_repeats(df, words=10)
+
+
+def test_a_group_of_copies_and_periodic_texts(spark):
+    random.seed(9)
+    base = "".join(random.choice("abcdefghij ") for _ in range(3000))
+    rows = [(k, base) for k in range(40)] + [(100 + k, base[: 1000 + k] + "".join(random.choice("xyz") for _ in range(700)) + base[1200 + 9 * k :]) for k in range(30)]
+    rows += [(200, "ab" * 4000), (201, "ab" * 300 + "c" + "ab" * 300), (202, "x" * 5000), (203, base + base[:700]), (204, "y" + base[5:450])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r)[:5] for r in S.digests(df).collect()) == brute(rows, 400)
+
+
+def test_terse_strings_of_words():
+    raw = lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
+    for text in ("a " * 51, "ä—b " * 51, "日" * 60, "ab " * 20 + "x y " * 26):
+        assert S.may_be_terse(raw(text), 51, 203)
+    assert not S.may_be_terse(raw("a " * 50), 51, 203) and not S.may_be_terse(raw("word " * 400), 51, 203) and not S.may_be_terse(raw(""), 51, 203)
+
+
 def test_nothing_in_nothing_out(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.digests(df).count() == 0 and S.without_repeats(df).count() == 0
