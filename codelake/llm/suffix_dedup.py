@@ -42,9 +42,10 @@ from codelake.llm.common import Stored, cut, shuffle_partitions
 SPAN = 400
 PASSAGE_WORDS = 51
 LEAD = 64
-SLAB = 1 << 20
-BUCKET_ROWS = 20_000
-BUCKET_BYTES = 8 << 20
+SLAB = 1 << 17
+TOGETHER = 1 << 15  # bytes of short texts that are worked through at once: arrays of that size stay in the cache
+BUCKET_ROWS = 10_000
+BUCKET_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 16
 LOOK = 8  # neighbours on either side that are compared where the next one leaves windows open
 _RNG = np.random.default_rng(23)
@@ -90,21 +91,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _places(part: np.ndarray, span: int, lead: int) -> tuple[Hashes, np.ndarray, np.ndarray]:
+    """The hashes of some bytes, those of all their strings of `lead` bytes, and the anchor of every window."""
+    h = Hashes(part)
+    heads = h.all(lead)
+    low = (heads & ~PLACE) | np.arange(len(heads), dtype=np.uint64)
+    width, size = span - lead + 1, 1
+    while size * 2 <= width:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < width:
+        low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
+    return h, heads, (low & PLACE).astype(np.int64)
+
+
 def anchors(raw: np.ndarray, span: int = SPAN, lead: int = LEAD) -> tuple[np.ndarray, ...]:
     """Runs of windows with a common anchor: anchor, first and last window start, hash of the leading bytes, hash of all bytes of the run's windows."""
     parts = []
     for at in range(0, max(0, len(raw) - span + 1), SLAB):
-        part = raw[at : at + SLAB + span - 1]
-        h = Hashes(part)
-        heads = h.all(lead)
-        low = (heads & ~PLACE) | np.arange(len(heads), dtype=np.uint64)
-        width, size = span - lead + 1, 1
-        while size * 2 <= width:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < width:
-            low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-        place = (low & PLACE).astype(np.int64)
+        h, heads, place = _places(raw[at : at + SLAB + span - 1], span, lead)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         last = np.append(first[1:], len(place)) - 1
         m = place[first]
@@ -115,6 +120,38 @@ def anchors(raw: np.ndarray, span: int = SPAN, lead: int = LEAD) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def anchors_of_many(texts: list[bytes], span: int = SPAN, lead: int = LEAD) -> tuple[np.ndarray, ...]:
+    """The runs of many texts, worked through together: the number of the text, then as anchors() gives them."""
+    size = np.array([len(t) for t in texts])
+    parts = [(np.full(len(got[0]), i), *got) for i in np.flatnonzero(size > TOGETHER) for got in [anchors(np.frombuffer(texts[i], dtype=np.uint8), span, lead)]]
+    few: list[int] = []
+    held = 0
+    for i in [*np.flatnonzero((size >= span) & (size <= TOGETHER)).tolist(), -1]:
+        if few and (i < 0 or held + size[i] > TOGETHER):
+            parts.append(_together([texts[k] for k in few], np.array(few), span, lead))
+            few, held = [], 0
+        if i >= 0:
+            few.append(i)
+            held += size[i]
+    if not parts:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _together(texts: list[bytes], numbers: np.ndarray, span: int, lead: int) -> tuple[np.ndarray, ...]:
+    """Texts end to end; windows that reach into the next text are left out, so every run is as if its text stood alone."""
+    size = np.array([len(t) for t in texts])
+    begin = np.cumsum(size) - size
+    h, heads, place = _places(np.frombuffer(b"".join(texts), dtype=np.uint8), span, lead)
+    owner = np.repeat(np.arange(len(texts)), size)[: len(place)]
+    window = np.flatnonzero(np.arange(len(place)) <= (begin + size - span)[owner])
+    place, owner = place[window], owner[window]
+    first = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0) | (np.diff(owner) != 0)) + 1])
+    a, b, m, own = window[first], window[np.append(first[1:], len(window)) - 1], place[first], owner[first]
+    whole = h.of(a, b + span) + (b - a).astype(np.uint64)
+    return numbers[own], m - begin[own], a - begin[own], b - begin[own], heads[m].view(np.int64), whole.view(np.int64)
+
+
 def multikey_order(symbols: np.ndarray, keys: list[bytes]) -> np.ndarray:
     """The order of keys, given as rows of symbols: three-way quicksort by one symbol after another, only rows equal so far going on to the next; a few rows are compared as they are."""
     order = np.arange(len(symbols))
@@ -217,38 +254,39 @@ def _covers(ranges: list[tuple[int, int]], lo: int, hi: int) -> bool:
 
 
 RANGES = "array<struct<lo: int, hi: int>>"
-RUNS = "array<struct<a: int, m: int, b: int, lead: bigint, whole: bigint>>"
+RUN = {"a": "int", "m": "int", "b": "int", "lead": "bigint", "whole": "bigint"}
+RUNS = ", ".join(f"r{c} array<{kind}>" for c, kind in RUN.items())
 FOUND = f"rid long, m int, a int, b int, reach int, shared {RANGES}, pid int, edge int, body binary"
 
 
 def _segments(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
-    """Texts with their open runs -> segments: the bytes of neighbouring runs, and what the document alone confirms (done)."""
+    """Texts with their open runs, in order -> segments: the bytes of neighbouring runs, and what the document alone confirms (done)."""
     every = max(2, 1344 // max(1, (span - LEAD) // 2))  # a segment is cut at one anchor in so many
     rows, size = [], 0
-    columns = ["rid", "m", "a", "b", "body", "runs", "done"]
+    columns = ["rid", "m", "a", "b", "body", *(f"r{c}" for c in RUN), "done"]
     for pdf in batches:
-        for rid, text, runs, again in pdf[["rid", "text", "runs", "again"]].itertuples(index=False):
+        for rid, text, again, *runs in pdf[["rid", "text", "again", *(f"r{c}" for c in RUN)]].itertuples(index=False):
             raw = text.encode("utf-8", "surrogatepass")
-            runs = sorted(runs, key=lambda r: r["a"])
-            seen: dict[tuple[int, int], dict] = {}
-            done: list[tuple[int, int]] = [(r["a"], r["b"]) for r in runs] if again else []
-            left = []
-            for r in runs:
-                first = seen.setdefault((r["lead"], r["whole"]), r)
-                if first is not r and raw[r["a"] : r["b"] + span] == raw[first["a"] : first["b"] + span]:
-                    done += [(r["a"], r["b"]), (first["a"], first["b"])]
-                else:
-                    left.append(r)
-            done = merged(done)
+            a, m, b, lead, whole = runs
+            left = np.ones(len(a), dtype=bool)
+            sure = np.full(len(a), bool(again))
+            order = np.lexsort((a, whole, lead))
+            same = (lead[order[1:]] == lead[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
+            first = order[0]
+            for i in np.flatnonzero(same) if same.any() else ():
+                first = order[i] if i == 0 or not same[i - 1] else first
+                k = order[i + 1]
+                if raw[a[k] : b[k] + span] == raw[a[first] : b[first] + span]:
+                    sure[k] = sure[first] = True
+                    left[k] = False
+            done = merged(list(zip(a[sure].tolist(), b[sure].tolist())))
+            a, m, b, lead, whole = (x[left] for x in runs)
             begin = len(rows)
-            at = 0
-            for i in range(1, len(left) + 1):
-                if i == len(left) or left[i]["a"] != left[i - 1]["b"] + 1 or left[i]["lead"] % every == 0 or left[i]["b"] - left[at]["a"] > SEGMENT_BYTES:
-                    lo, hi = left[at]["a"], left[i - 1]["b"]
-                    rows.append((rid, left[at]["m"], lo, hi, raw[lo : hi + span], left[at:i], _pairs([(max(x, lo), min(y, hi)) for x, y in done if x <= hi and y >= lo])))
-                    size += hi + span - lo
-                    at = i
-            if done and len(rows) > begin:  # all that the document alone confirms goes with its first segment
+            for i, j in _stretches(a, b, lead, every):
+                lo, hi = int(a[i]), int(b[j - 1])
+                rows.append((rid, m[i], lo, hi, raw[lo : hi + span], a[i:j], m[i:j], b[i:j], lead[i:j], whole[i:j], _pairs([(max(x, lo), min(y, hi)) for x, y in done if x <= hi and y >= lo])))
+                size += hi + span - lo
+            if done:  # all that the document alone confirms goes with its first segment
                 rows[begin] = (*rows[begin][:-1], _pairs(done))
             if size > BUCKET_BYTES:
                 yield pd.DataFrame(rows, columns=columns)
@@ -257,6 +295,17 @@ def _segments(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=columns)
 
 
+def _stretches(a: np.ndarray, b: np.ndarray, lead: np.ndarray, every: int) -> Iterator[tuple[int, int]]:
+    """Runs i to j - 1 that make up a segment: neighbours, cut where an anchor's hash says so or the segment grows too long."""
+    edges = np.concatenate([[0], np.flatnonzero((a[1:] != b[:-1] + 1) | (lead[1:] % every == 0)) + 1, [len(a)]]).tolist()
+    for i, j in zip(edges, edges[1:]):
+        while b[j - 1] - a[i] > SEGMENT_BYTES and j - i > 1:
+            k = i + max(1, int(np.searchsorted(b[i:j], a[i] + SEGMENT_BYTES)))
+            yield i, k
+            i = k
+        yield i, j
+
+
 def _compare_neighbours(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
     """A bucket of suffixes, sorted: how far each agrees with a neighbour, the windows it shares with neighbours, and the bucket's first and last suffix with their bytes."""
     from pyspark import TaskContext
@@ -317,26 +366,15 @@ def _across_edges(found: DataFrame, compare: Callable[[Iterator[pd.DataFrame]],
     return last.join(first, "next").mapInPandas(compare, kind)
 
 
-def _open_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments with what has been confirmed of them -> their runs, and whether each is still open."""
-    for pdf in batches:
-        out = []
-        for rid, seg, runs, done, shared in pdf[["rid", "a", "runs", "done", "shared"]].itertuples(index=False):
-            sure = merged([(s["lo"], s["hi"]) for x in (done, shared if shared is not None else ()) for s in x])
-            out += [(rid, seg, r["m"], r["a"], r["b"], r["lead"], r["whole"], not _covers(sure, r["a"], r["b"])) for r in runs]
-        yield pd.DataFrame(out, columns=["rid", "seg", "m", "a", "b", "lead", "whole", "open"])
-
-
 def _contexts(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
     """Segments with the runs that are in question -> the bytes around each anchor."""
     for pdf in batches:
         for lo in range(0, len(pdf), 200):
             rows = []
-            for rid, seg, body, runs in pdf.iloc[lo : lo + 200][["rid", "seg", "body", "runs"]].itertuples(index=False):
-                for r in runs:
-                    part = body[r["a"] - seg : r["b"] - seg + span]
-                    before = r["lead"].to_bytes(8, "big", signed=True) + part[: r["m"] - r["a"]][::-1]
-                    rows.append((rid, r["m"], r["a"], r["b"], r["lead"], part, before))
+            for rid, seg, body, *runs in pdf.iloc[lo : lo + 200][["rid", "seg", "body", "ra", "rm", "rb", "rlead"]].itertuples(index=False):
+                for a, m, b, lead in zip(*(x.tolist() for x in runs)):
+                    part = body[a - seg : b - seg + span]
+                    rows.append((rid, m, a, b, lead, part, lead.to_bytes(8, "big", signed=True) + part[: m - a][::-1]))
             yield pd.DataFrame(rows, columns=["rid", "m", "a", "b", "lead", "body", "before"])
 
 
@@ -406,27 +444,19 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     stored = Stored(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["rid", "m", "a", "b", "lead", "whole"]
         for pdf in batches:
-            out, n = [], 0
-            for rid, text in zip(pdf["rid"], pdf["text"]):
-                got = anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), span)
-                if len(got[0]):
-                    out.append((np.full(len(got[0]), rid), *got))
-                    n += len(got[0])
-                if n > 200_000:
-                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
-                    out, n = [], 0
-            if out:
-                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
+            for lo in range(0, len(pdf), 2000):
+                part = pdf.iloc[lo : lo + 2000]
+                n, *got = anchors_of_many([t.encode("utf-8", "surrogatepass") for t in part["text"]], span)
+                yield pd.DataFrame({"rid": part["rid"].to_numpy()[n], **dict(zip(["m", "a", "b", "lead", "whole"], got))})
 
     # 1. what can repeat; counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
     runs = stored.keep("runs", docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
     leads = stored.keep("leads", runs.groupBy("lead").count().where("count > 1").select("lead"))
-    open_ = runs.join(leads, "lead").groupBy("rid").agg(F.collect_set(F.struct("a", "m", "b", "lead", "whole")).alias("runs"), F.count("*").alias("n"))
+    open_ = runs.join(leads, "lead").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(*RUN))).alias("runs"), F.count("*").alias("n"))
+    apart = [F.col(f"runs.{c}").alias(f"r{c}") for c in RUN]
     segments = stored.keep(
-        "segments",
-        docs.join(open_.select("rid", "runs", (F.col("n") > F.size("runs")).alias("again")), "rid").mapInPandas(lambda it: _segments(it, span), f"rid long, m int, a int, b int, body binary, runs {RUNS}, done {RANGES}"),
+        "segments", docs.join(open_.select("rid", (F.col("n") > F.size("runs")).alias("again"), *apart), "rid").mapInPandas(lambda it: _segments(it, span), f"rid long, m int, a int, b int, body binary, {RUNS}, done {RANGES}")
     )
     stored.drop("runs", "leads")
 
@@ -441,12 +471,14 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     known = segments.select("rid", F.explode("done").alias("s")).union(first.select("rid", F.explode("shared"))).select("rid", "s.lo", "s.hi")
 
     # 3. the runs that are left against theirs
-    runs = stored.keep("left", segments.select("rid", "a", "runs", "done").join(first, ["rid", "a"], "left").mapInPandas(_open_runs, "rid long, seg int, m int, a int, b int, lead long, whole long, open boolean"))
+    told = segments.select("rid", F.col("a").alias("seg"), "done", F.explode(F.arrays_zip(*(f"r{c}" for c in RUN))).alias("r")).select("rid", "seg", "done", *[F.col(f"r.r{c}").alias(c) for c in RUN])
+    covered = "exists(done, s -> s.lo <= a AND s.hi >= b) OR coalesce(exists(shared, s -> s.lo <= a AND s.hi >= b), false)"
+    runs = stored.keep("left", told.join(first.withColumnRenamed("a", "seg"), ["rid", "seg"], "left").select("rid", "seg", *RUN, (~F.expr(covered)).alias("open")))
     asking = stored.keep("asking", runs.where("open").select("lead").distinct())
     classes = runs.where("NOT open").groupBy("lead", "whole").agg(F.min(F.struct("rid", "seg", "m", "a", "b")).alias("r"))
     answers = classes.select("r.*", "lead").join(asking, "lead", "left_semi").select("rid", "seg", "m", "a", "b", "lead")
     needed = runs.where("open").select("rid", "seg", "m", "a", "b", "lead").union(answers).groupBy("rid", "seg").agg(F.collect_set(F.struct("m", "a", "b", "lead")).alias("runs"))
-    bodies = segments.select("rid", F.col("a").alias("seg"), "body").join(needed, ["rid", "seg"])
+    bodies = segments.select("rid", F.col("a").alias("seg"), "body").join(needed.select("rid", "seg", *[F.col(f"runs.{c}").alias(f"r{c}") for c in ("a", "m", "b", "lead")]), ["rid", "seg"])
     around = stored.keep("around", bodies.mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
     stored.drop("left", "asking")
     buckets = _buckets(around, size)
