@@ -439,9 +439,8 @@ def _buckets(df: DataFrame, size: Column) -> int:
     return max(shuffle_partitions(df.sparkSession), math.ceil(n / BUCKET_ROWS), math.ceil((size or 0) / BUCKET_BYTES))
 
 
-def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs(rid, text) -> (rid, spans): for each rid that has any, the ranges lo to hi of window starts whose bytes also start elsewhere."""
-    stored = Stored(docs.sparkSession)
+def open_runs(docs: DataFrame, span: int, stored: Stored) -> DataFrame:
+    """docs(rid, text) -> (rid, n, runs): of each document the runs whose anchors' leading bytes stand anywhere else too, in order; all others cannot repeat. n counts repeated rows' runs again."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -450,10 +449,26 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 n, *got = anchors_of_many([t.encode("utf-8", "surrogatepass") for t in part["text"]], span)
                 yield pd.DataFrame({"rid": part["rid"].to_numpy()[n], **dict(zip(["m", "a", "b", "lead", "whole"], got))})
 
-    # 1. what can repeat; counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
+    # counts are stored before they are joined back: a join of two plain exchanges is one whose hot keys Spark can split
     runs = stored.keep("runs", docs.where(F.octet_length("text") >= span).mapInPandas(scan, "rid long, m int, a int, b int, lead long, whole long"))
     leads = stored.keep("leads", runs.groupBy("lead").count().where("count > 1").select("lead"))
-    open_ = runs.join(leads, "lead").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(*RUN))).alias("runs"), F.count("*").alias("n"))
+    return runs.join(leads, "lead").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(*RUN))).alias("runs"), F.count("*").alias("n"))
+
+
+def may_repeat(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs(rid, text) -> (rid, spans): the ranges of window starts that step 1 leaves open. All that repeat are in them, and some that do not."""
+    stored = Stored(docs.sparkSession)
+    spans = F.transform("runs", lambda r: F.struct(r["a"].alias("lo"), r["b"].alias("hi")))
+    out = cut(open_runs(docs, span, stored).select("rid", spans.alias("spans")))
+    stored.drop()
+    return out
+
+
+def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs(rid, text) -> (rid, spans): for each rid that has any, the ranges lo to hi of window starts whose bytes also start elsewhere."""
+    stored = Stored(docs.sparkSession)
+    # 1. what can repeat
+    open_ = open_runs(docs, span, stored)
     apart = [F.col(f"runs.{c}").alias(f"r{c}") for c in RUN]
     segments = stored.keep(
         "segments", docs.join(open_.select("rid", (F.col("n") > F.size("runs")).alias("again"), *apart), "rid").mapInPandas(lambda it: _segments(it, span), f"rid long, m int, a int, b int, body binary, {RUNS}, done {RANGES}")
@@ -462,8 +477,8 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     # 2. segments against their neighbours
     suffix, size = F.expr("substring(body, m - a + 1)"), F.col("b") - F.col("a") + span
-    keyed = segments.select("rid", "m", "a", "b", "body", F.substring(suffix, 1, 2 * LEAD).alias("head"), F.xxhash64(suffix).alias("h"))
-    found = stored.keep("found", keyed.repartitionByRange(_buckets(segments, size), "head", "h", "rid", "m").drop("head", "h").mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
+    keyed = segments.select("rid", "m", "a", "b", "body").repartitionByRange(_buckets(segments, size), F.substring(suffix, 1, 2 * LEAD), F.xxhash64(suffix), "rid", "m")
+    found = stored.keep("found", keyed.mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
     across = f"rid long, m int, a int, reach int, shared {RANGES}"
     fixed = _across_edges(found, lambda it: _compare_across(it, span), across)
     first = stored.keep("first", found.select("rid", "a", "shared").union(fixed.select("rid", "a", "shared")).where("size(shared) > 0").groupBy("rid", "a").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")))
@@ -482,7 +497,7 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     around = stored.keep("around", bodies.mapInPandas(lambda it: _contexts(it, span), "rid long, m int, a int, b int, lead long, body binary, before binary"))
     stored.drop("left", "asking")
     buckets = _buckets(around, size)
-    right = stored.keep("right", around.select("rid", "m", "a", "b", "body", suffix.alias("suffix")).repartitionByRange(buckets, "suffix", "rid", "m").drop("suffix").mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
+    right = stored.keep("right", around.select("rid", "m", "a", "b", "body").repartitionByRange(buckets, suffix, "rid", "m").mapInPandas(lambda it: _compare_neighbours(it, span), FOUND))
     fixed = _across_edges(right, lambda it: _compare_across(it, span), across)
     before = stored.keep("before", around.select("rid", "m", "before").repartitionByRange(buckets, "before", "rid", "m").mapInPandas(_left_neighbours, "rid long, m int, before_reach int, pid int, edge int, body binary"))
     more = _across_edges(before, _left_across, "rid long, m int, before_reach int")
@@ -564,10 +579,10 @@ def kept_bytes(raw: bytes, spans: list | np.ndarray | None, span: int) -> tuple[
 
 
 def digests(docs: DataFrame, span: int = SPAN, words: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text), and n_passages, n_passage_bytes: maximal runs of strings of `words` words that stand anywhere else too, which span does not always reach, and their bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text), and n_passages, n_passage_bytes: maximal runs of strings of `words` words that stand anywhere else too, which span does not always reach, and their bytes. These two columns come from hashes; the others from the sorted suffixes."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
-    found, again = repeats(texts, span), passages(texts, words)
+    found, again = repeats(texts, span), passages(texts, words, sort=False)
     marked = rows.join(found, "rid", "left").join(again.withColumnRenamed("spans", "passages"), "rid", "left")
     short = passage_span(words)
 
@@ -617,11 +632,12 @@ def word_windows(text: str, spans: list | None, words: int, span: int) -> tuple[
     return start, end, *(Hashes(raw, k).of(start, end).view(np.int64) for k in (0, 1))
 
 
-def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS, sort: bool = True) -> DataFrame:
     """docs(rid, text) -> (rid, spans): the strings of `words` words that stand anywhere else too, as ranges of windows of passage_span bytes (lo to hi + span).
 
-    A string whose windows of passage_span bytes do not all repeat cannot repeat. Those that are left, and the terse
-    ones, are told apart by 128-bit hashes.
+    A string whose windows of passage_span bytes do not all repeat, by the sorted suffix table, cannot repeat. Those that
+    are left, and the terse ones, are told apart by 128-bit hashes. Without `sort` step 1 alone says which windows may
+    repeat: less work, more strings to tell apart, the same result.
     """
     span = passage_span(words)
     stored = Stored(docs.sparkSession)
@@ -633,7 +649,7 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
                 if len(got[0]):
                     yield pd.DataFrame(dict(zip(["lo", "hi", "h1", "h2"], got))).assign(rid=rid, hi=got[1] - span)
 
-    each = stored.keep("each", docs.join(repeats(docs, span), "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
+    each = stored.keep("each", docs.join((repeats if sort else may_repeat)(docs, span), "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
     twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     spans = cut(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     stored.drop()
