@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from codelake.operators import entry_points, structure, table_refs, text_search
-from codelake.plans import call_graph, project_design, reports, symbol_index
+from codelake.plans import call_graph, project_design, reports, symbol_index, trace_starts
 from codelake.sources import files as source
 
 INDEX = ("symbols", "refs", "hover", "call_nodes", "call_edges", "impl_edges", "type_edges")
@@ -38,6 +38,11 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--tables-file")
         c.add_argument("--tables", default="")
         c.add_argument("--out", default="design")
+        c.add_argument("--skip-interfaces", action="store_true", help="starts from text hits: not in files of interfaces")
+        c.add_argument("--skip-rest", action="store_true", help="starts from text hits: not at web mappings")
+        c.add_argument("--max-entries", type=int, help="the most starts from text hits")
+        c.add_argument("--fold-accessors", action="store_true", help="downward: accessors that call nothing are listed with their callers")
+        c.add_argument("--keywords", nargs="*", default=[], help="bundle: keywords whose callers are traced")
     return top
 
 
@@ -47,16 +52,15 @@ def _index(spark: SparkSession, folder: str | None) -> dict:
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in INDEX}
 
 
-def _seeds(index: dict, a: argparse.Namespace):
+def _seeds(index: dict, a: argparse.Namespace, files):
+    """(key) of what a trace starts from: a place, a class and a method, or keywords."""
     mode, left, right = symbol_index.one_entry(a.query or None, a.class_name, a.method, a.file or None, a.line or None)
     nodes = index["call_nodes"]
-    bare = F.trim(F.substring_index("method", "(", 1))
     if mode == "file_line":
-        return nodes.where((F.col("file") == left) & (F.col("line") <= right)).orderBy(F.desc("line")).limit(1).select("key")
+        return trace_starts.nodes_at(nodes.sparkSession.createDataFrame([(left, right)], "file string, line int"), nodes, above=None).select("key")
     if mode == "class_method":
-        return nodes.where((F.substring_index("class", ".", -1) == left.rsplit(".", 1)[-1]) & (bare == right)).select("key")
-    wanted = text_search.needles_of(left)
-    return nodes.where(bare.isin(wanted) | F.substring_index("class", ".", -1).isin(wanted)).select("key")
+        return nodes.where((trace_starts.simple_class() == left.rsplit(".", 1)[-1]) & (trace_starts.bare_method() == right)).select("key")
+    return trace_starts.keyword_starts(nodes, left, files, a.skip_interfaces, a.skip_rest, a.max_entries).select("key")
 
 
 def _output(spark: SparkSession, a: argparse.Namespace):
@@ -66,18 +70,25 @@ def _output(spark: SparkSession, a: argparse.Namespace):
         if a.command == "analyze":
             return symbol_index.analyze(index, a.operation, a.file, a.line, a.char, a.query)
         edges = call_graph.with_implementations(index["call_edges"], index["impl_edges"])
-        seeds = _seeds(index, a)
+        files = source.read_files(spark, source.project_root(a.path))
+        seeds = _seeds(index, a, files)
         if a.command == "callchain-up":
             chains = call_graph.trace_up(edges, index["call_nodes"], seeds, a.max_depth if a.max_depth is not None else 20)
+            chains = trace_starts.with_top_entries(chains, index["call_nodes"], source.lines(source.java_files(files)))
             return reports.chain_report(chains, {"query": a.query or f"{a.class_name}.{a.method}"}) if a.format == "markdown" else chains
         starts = [r["key"] for r in seeds.limit(2).collect()]
         if len(starts) != 1:
             raise ValueError("a downward trace needs exactly one start; found " + ("several" if starts else "none"))
         nodes, found, stats = call_graph.trace_down(edges, starts[0], spark, a.max_depth if a.max_depth is not None else 8, a.max_nodes, a.max_branches)
-        return reports.subgraph_report(starts[0], nodes.join(index["call_nodes"], "key"), found, stats, spark) if a.format == "markdown" else found
+        full = nodes.join(index["call_nodes"], "key")
+        if a.fold_accessors:
+            full, found, folded = call_graph.folded_accessors(full, found, starts[0])
+            if a.format != "markdown":
+                return found.select("src_key", "dst_key", "is_implementation", F.lit(None).cast("string").alias("bean"), F.lit(None).cast("array<string>").alias("accessors")).union(folded.select("key", F.lit(None).cast("string"), F.lit(None).cast("boolean"), "bean", "accessors"))
+        return reports.subgraph_report(starts[0], full, found, stats, spark) if a.format == "markdown" else found
     files = source.read_files(spark, source.project_root(a.path))
     if a.command == "java-grep":
-        hits = text_search.search(source.lines(source.java_files(files)), a.query, a.max_hits)
+        hits = text_search.search(source.java_files(files), a.query, a.max_hits)
         return reports.hit_text(hits) if a.format == "text" else hits
     if a.command == "entrypoints":
         return entry_points.entry_points(files, a.max_files).orderBy("file", "line", "kind")
@@ -94,7 +105,8 @@ def _output(spark: SparkSession, a: argparse.Namespace):
     if a.command == "db-tables":
         hits = table_refs.table_hits(files)
         return reports.anchor_ids(table_refs.canonical_names(hits, listed) if listed is not None else hits).orderBy("file", "line", "nth")
-    bundle = project_design.write_bundle(spark, files, a.out, listed, _index(spark, a.index) if a.index else None)
+    options = project_design.Options(queries=tuple(a.keywords))
+    bundle = project_design.write_bundle(spark, files, a.out, listed, _index(spark, a.index) if a.index else None, options)
     return "\n".join([f"{k}: {v}" for k, v in bundle.summary.items()] + [f"warning: {w}" for w in bundle.warnings])
 
 

@@ -11,28 +11,42 @@ from codelake.functions.predicates import matches, stripped
 from codelake.operators.java_context import enclosing_methods
 from codelake.sources.files import java_files, lines, xml_files
 
-NESTING = 12
 HIDDEN = "\x01"
+ESCAPE = r"\\u+[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|(?s)\\.|[^\\]+|\\$"
+PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "a": "\x07", "v": "\x0b", "\n": ""}
 
 
 def unescaped(literal: Column) -> Column:
-    """A string literal as the program sees it."""
-    for code, plain in ((r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\([\"'\\])", "$1")):
-        literal = F.regexp_replace(literal, code, plain)
-    return literal
+    """A string literal as the program sees it: characters by number (four or two hexadecimal or up to three octal digits), control characters, and quotes and backslashes."""
+
+    def one(x: Column) -> Column:
+        digits = F.coalesce(*[F.nullif(F.regexp_extract(x, e, 1), F.lit("")) for e in (r"^\\u+([0-9a-fA-F]{4})$", r"^\\x([0-9a-fA-F]{2})$")], F.conv(F.nullif(F.regexp_extract(x, r"^\\([0-7]{1,3})$", 1), F.lit("")), 8, 16))
+        named = F.substring(x, 2, 1)
+        for code, plain in PLAIN.items():
+            named = F.when(F.substring(x, 2, 1) == code, plain).otherwise(named)
+        return F.when(~F.startswith(x, F.lit("\\")) | (F.length(x) < 2), x).when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 4, "0")), "UTF-16BE")).otherwise(named)
+
+    pieces = F.regexp_extract_all(literal, F.lit(ESCAPE), 0)
+    return F.when(F.contains(literal, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(literal)
 
 
 def outer_sql(sql: Column) -> Column:
-    """A statement without its string literals and with what stands in parentheses hidden, innermost first, `NESTING` levels deep."""
+    """A statement without its string literals and with what stands in parentheses hidden, however deep: the depth is counted from bracket to bracket."""
     sql = F.regexp_replace(sql, r"'(?:[^']|'')*'|\"[^\"]*\"", "''")
-    for _ in range(NESTING):
-        sql = F.regexp_replace(sql, r"\([^()]*\)", HIDDEN)
-    return sql
+    state = lambda depth, out: F.struct(depth.alias("depth"), out.alias("out"))
 
+    def step(s: Column, x: Column) -> Column:
+        outside = s["depth"] == 0
+        return state(
+            s["depth"] + F.when(x == "(", 1).when(x == ")", -1).otherwise(0),
+            F.when(outside & (x == "("), F.concat(s["out"], F.lit(HIDDEN))).when(outside & (x != ")"), F.concat(s["out"], x)).otherwise(s["out"]),
+        )
 
-def sql_tables(sql: Column) -> Column:
-    """The tables that a piece of SQL names: after FROM, JOIN, INTO and UPDATE, then after commas of the outer FROM; without schemas, reserved words and names that WITH defines."""
-    outer = outer_sql(sql)
+    told = F.aggregate(F.regexp_extract_all(sql, F.lit(r"[()]|[^()]+"), 0), state(F.lit(0), F.lit("")), step)["out"]
+    return F.when(F.rlike(sql, F.lit("[()]")), told).otherwise(sql)
+
+
+def _named(sql: Column, outer: Column) -> Column:
     with_list = F.regexp_extract(outer, rf"(?i)\bWITH\s+(?:RECURSIVE\s+)?((?:[\s,]*\w+\s+AS\s*{HIDDEN})+)", 1)
     defined = F.transform(F.regexp_extract_all(with_list, F.lit(rf"(?i)(\w+)\s+AS\s*{HIDDEN}"), 1), F.lower)
     body = F.regexp_extract(outer, r"(?is)\bFROM\s+(.*)$", 1)
@@ -40,7 +54,20 @@ def sql_tables(sql: Column) -> Column:
     listed = F.transform(F.slice(F.split(clause, ","), 2, 1 << 20), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)", 1))
     named = F.concat(F.regexp_extract_all(sql, F.lit(p.SQL_TABLE), 1), F.filter(listed, lambda x: x != ""))
     real = F.filter(named, lambda x: ~F.upper(x).isin(p.SQL_RESERVED) & (F.contains(x, F.lit(".")) | ~F.array_contains(defined, F.lower(x))))
-    return F.when(matches(sql, p.SQL_HINT), F.transform(real, lambda x: F.substring_index(x, ".", -1))).otherwise(F.array().cast("array<string>"))
+    return F.transform(real, lambda x: F.substring_index(x, ".", -1))
+
+
+def tables_of_each(statements: Column) -> Column:
+    """The tables that an array of pieces of SQL names, in order: after FROM, JOIN, INTO and UPDATE, then after commas of the outer FROM; without schemas, reserved words and names that WITH defines."""
+    # pieces without a trace of SQL go first; the outer statement is an array of its own, so that it is made once for each
+    likely = F.filter(statements, lambda x: matches(x, p.SQL_HINT))
+    both = F.transform(likely, lambda x: F.struct(x.alias("sql"), outer_sql(x).alias("outer")))
+    return F.flatten(F.transform(both, lambda s: _named(s["sql"], s["outer"])))
+
+
+def sql_tables(sql: Column) -> Column:
+    """The tables that a piece of SQL names."""
+    return tables_of_each(F.array(sql))
 
 
 def annotated_tables(text: Column) -> Column:
@@ -60,7 +87,7 @@ def java_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     notes = each.where(F.contains(text, F.lit("@Table(")) & ~F.contains(text, F.lit("@TableField"))).select("project", *_hit(annotated_tables(text), "entity_annotation", "high"))
     literals = F.concat(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), F.regexp_extract_all(text, F.lit(p.SINGLE_QUOTED), 1))
     # the cheap test of the line comes first; most lines have no SQL in them
-    named = F.flatten(F.transform(literals, lambda x: sql_tables(unescaped(x))))
+    named = tables_of_each(F.transform(literals, unescaped))
     sql = enclosing_methods(each).where(matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
     return notes.unionByName(sql, allowMissingColumns=True)
 
@@ -70,7 +97,7 @@ def xml_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     each = lines(xml_files(files, most=most))
     text = F.col("text")
     attributes = F.transform(F.regexp_extract_all(text, F.lit(p.TABLE_ATTRIBUTE), 1), F.trim)
-    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), sql_tables))
+    quoted = tables_of_each(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1))
     return each.select("project", *_hit(attributes, "mybatis_xml", "high")).unionByName(each.where(matches(text, p.SQL_HINT)).select("project", *_hit(quoted, "mybatis_sql_literal", "medium")))
 
 

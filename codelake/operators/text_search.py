@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codelake.functions import patterns as p
 from codelake.functions.predicates import has_needle, hit_score, matches
+from codelake.sources import files as source
+from codelake.sources.store import written
 
 
 def needles_of(query: str) -> list[str]:
@@ -19,17 +21,24 @@ def needles_of(query: str) -> list[str]:
 def hits(lines: DataFrame, needles: list[str]) -> DataFrame:
     """Lines that hold a needle as written; where there is none in the whole table, those that hold one whatever the case.
 
-    Which of the two it is, is one flag that the plan computes, so a case-sensitive miss costs no second job.
+    Both kinds are found in one pass and written, being few; which of them it is, is then read from what was written.
     """
-    found = lines.where(has_needle(F.col("text"), needles)).withColumn("exact", has_needle(F.col("text"), needles, case_sensitive=True))
-    any_exact = found.agg(F.coalesce(F.max("exact"), F.lit(False)).alias("any_exact"))
-    return found.join(F.broadcast(any_exact), F.col("exact") | ~F.col("any_exact")).drop("exact", "any_exact")
+    found = written(lines.where(has_needle(F.col("text"), needles)).withColumn("exact", has_needle(F.col("text"), needles, case_sensitive=True)))
+    if found.where("exact").limit(1).count():
+        found = found.where("exact")
+    return found.drop("exact")
+
+
+def of_files(files: DataFrame, needles: list[str]) -> DataFrame:
+    """The lines of those files(project, path, text) in which a needle stands: only these are cut into lines."""
+    return source.lines(files.where(has_needle(F.col("text"), needles)))
 
 
 def search(lines: DataFrame, query: str, most: int | None = 200, by_score: bool = True) -> DataFrame:
-    """file, line, text, score of the hits of a query, best first; the cap comes after the order, so it is the same on every run."""
+    """file, line, text, score of the hits of a query in lines(project, path, line_no, text), or in whole files(project, path, text), best first; the cap comes after the order, so it is the same on every run."""
     needles = needles_of(query)
-    scored = hits(lines, needles).select(F.col("path").alias("file"), F.col("line_no").alias("line"), "text", hit_score(F.col("path"), F.col("text")).alias("score"))
+    each = lines if "line_no" in lines.columns else of_files(lines, needles)
+    scored = hits(each, needles).select(F.col("path").alias("file"), F.col("line_no").alias("line"), "text", hit_score(F.col("path"), F.col("text")).alias("score"))
     ordered = scored.orderBy(F.desc("score"), "file", "line") if by_score else scored.orderBy("file", "line")
     return ordered.limit(most) if most is not None else ordered
 

@@ -6,25 +6,15 @@ checkpoint folder, so a lost executor costs one level and plans stay short.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.functions import predicates as q
+from codelake.sources.store import written
 
 STOPS = [("is_rest", "rest_endpoint"), ("is_message_listener", "message_listener"), ("is_scheduled_task", "scheduled_task"), ("is_async_method", "async_method"), ("is_abstract_class", "abstract_class")]
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, computed once; the folder is the cluster's, and one of its own only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def with_implementations(edges: DataFrame, implementations: DataFrame) -> DataFrame:
     """edges, and for declarations that call nothing themselves edges to what implements them."""
     calling = edges.select("src_key").distinct()
@@ -61,7 +51,7 @@ def trace_up(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: in
     for depth in range(max_depth + 1):
         told = now.join(flags, now["at"] == flags["key"], "left").drop("key").join(called, "at", "left")
         reason = F.when(F.array_contains("before", F.col("at")), "cycle").otherwise(F.coalesce("node_stop", F.when(F.lit(depth >= max_depth), "max_depth"), F.when(F.col("has_callers").isNull(), "no_incoming")))
-        told = _written(told.select("seed", F.concat("before", F.array("at")).alias("chain"), "at", reason.alias("stop_reason")))
+        told = written(told.select("seed", F.concat("before", F.array("at")).alias("chain"), "at", reason.alias("stop_reason")))
         done.append(told.where("stop_reason IS NOT NULL").select("seed", "chain", "stop_reason"))
         rest = told.where("stop_reason IS NULL")
         n = rest.count()
@@ -84,43 +74,53 @@ def first_branches(edges: DataFrame, most: int) -> DataFrame:
     return ranked.where(F.col("branch") <= most)
 
 
-def trace_down(edges: DataFrame, seed: str, spark: SparkSession, max_depth: int = 8, max_nodes: int = 500, max_branches: int = 32) -> tuple[DataFrame, DataFrame, dict]:
-    """(nodes(key, depth, ordinal), edges(src_key, dst_key), stats): breadth first along the calls.
+def trace_down_all(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, max_nodes: int = 500, max_branches: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes(seed, key, depth, ordinal), edges(seed, src_key, dst_key, is_implementation), stats(seed, node_count, edge_count, expanded_count, stop_reason)) of all seeds(key) at once: breadth first along the calls.
 
-    Nodes are admitted level by level in the order of (caller, branch) until there are `max_nodes`; edges to nodes
-    that were not admitted stay in the result. Every node is expanded once.
+    Each seed has limits of its own. Nodes are admitted level by level in the order of (caller, branch) until a seed has
+    `max_nodes`; edges to nodes that were not admitted stay in the result. Every node is expanded once. An edge marked
+    as `is_implementation` stays marked. A level is one join and one ranking for all seeds.
     """
-    ways = _written(first_branches(edges.select("src_key", "dst_key", "dst_name", *[c for c in ("ord",) if c in edges.columns]), max_branches))
-    nodes = spark.createDataFrame([(seed, 0, 0)], "key string, depth int, ordinal long")
-    level, found, count, reason, expanded = nodes, None, 1, "complete", 0
+    extra = [c for c in ("ord", "is_implementation") if c in edges.columns]
+    ways = written(first_branches(edges.select("src_key", "dst_key", "dst_name", *extra), max_branches))
+    mark = F.coalesce("is_implementation", F.lit(False)) if "is_implementation" in extra else F.lit(False)
+    level = nodes = written(seeds.select(F.col("key").alias("seed"), "key").distinct().select("seed", "key", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ordinal")))
+    found, cut_short = [], []
     for depth in range(max_depth):
-        steps = _written(level.select(F.col("key").alias("src_key"), "ordinal").join(ways, "src_key"))
-        expanded += level.count()
-        if steps.isEmpty():
+        steps = written(level.select("seed", F.col("key").alias("src_key"), "ordinal").join(ways, "src_key").select("seed", "src_key", "dst_key", mark.alias("is_implementation"), "ordinal", "branch", "branches"))
+        found.append(steps)
+        fresh = steps.join(nodes.select("seed", F.col("key").alias("dst_key")), ["seed", "dst_key"], "left_anti").groupBy("seed", "dst_key").agg(F.min(F.struct("ordinal", "branch")).alias("o"))
+        have = nodes.groupBy("seed").agg(F.count("*").alias("have"))
+        # a seed's rank never goes far beyond its limit, so Spark keeps few rows a partition before it shuffles them
+        ranked = fresh.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("o"))).where(F.col("n") <= max_nodes + 1).join(have, "seed")
+        told = written(ranked.select("seed", F.col("dst_key").alias("key"), F.lit(depth + 1).alias("depth"), (F.col("have") - 1 + F.col("n")).alias("ordinal")))
+        cut_short.append(told.where(F.col("ordinal") >= max_nodes).select("seed"))
+        level = told.where(F.col("ordinal") < max_nodes)
+        if not level.limit(1).count():
             break
-        if steps.where(F.col("branches") > max_branches).limit(1).count():
-            reason = "branch_cap"
-        found = steps.select("src_key", "dst_key") if found is None else found.union(steps.select("src_key", "dst_key"))
-        fresh = steps.join(nodes.select(F.col("key").alias("dst_key")), "dst_key", "left_anti").groupBy("dst_key").agg(F.min(F.struct("ordinal", "branch")).alias("o"))
-        # bounded by max_nodes, so one ordered window is small
-        room = max_nodes - count
-        level = _written(fresh.orderBy("o").limit(room + 1).withColumn("n", F.row_number().over(Window.orderBy("o"))).select(F.col("dst_key").alias("key"), F.lit(depth + 1).alias("depth"), (F.lit(count) - 1 + F.col("n")).cast("long").alias("ordinal"), "n"))
-        n = level.count()
-        if n > room:
-            reason, n = "max_nodes", room
-        level = level.where(F.col("n") <= room).drop("n")
-        nodes = _written(nodes.union(level))
-        count += n
-        if not n:
-            break
-    edges_out = found.distinct() if found is not None else spark.createDataFrame([], "src_key string, dst_key string")
-    if reason == "complete" and count >= max_nodes:
-        reason = "max_nodes"
-    return nodes, edges_out, {"node_count": count, "edge_count": edges_out.count(), "expanded_count": expanded, "max_depth": max_depth, "max_nodes": max_nodes, "max_branches": max_branches, "stop_reason": reason}
+        nodes = written(nodes.unionByName(level))
+    none = nodes.limit(0)
+    every = none.select("seed", F.col("key").alias("src_key"), F.col("key").alias("dst_key"), F.lit(False).alias("is_implementation"), "ordinal", F.lit(0).alias("branch"), F.lit(0).cast("long").alias("branches"))
+    full = none.select("seed")
+    for f, c in zip(found, cut_short):
+        every, full = every.union(f), full.union(c)
+    edges_out = written(every.groupBy("seed", "src_key", "dst_key").agg(F.max("is_implementation").alias("is_implementation"), F.max("branches").alias("branches")))
+    counted = nodes.groupBy("seed").agg(F.count("*").alias("node_count"), F.count(F.when(F.col("depth") < max_depth, 1)).alias("expanded_count"))
+    called = edges_out.groupBy("seed").agg(F.count("*").alias("edge_count"), F.max(F.col("branches") > max_branches).alias("branchy"))
+    reason = F.when(F.col("full"), "max_nodes").when(F.col("branchy"), "branch_cap").when(F.col("node_count") >= max_nodes, "max_nodes").otherwise("complete")
+    stats = counted.join(called, "seed", "left").join(full.distinct().withColumn("full", F.lit(True)), "seed", "left")
+    return nodes, edges_out.drop("branches"), stats.select("seed", "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"), "expanded_count", reason.alias("stop_reason"))
+
 
+def trace_down(edges: DataFrame, seed: str, spark: SparkSession, max_depth: int = 8, max_nodes: int = 500, max_branches: int = 32) -> tuple[DataFrame, DataFrame, dict]:
+    """(nodes(key, depth, ordinal), edges(src_key, dst_key, is_implementation), stats) of one seed; see trace_down_all."""
+    nodes, found, stats = trace_down_all(edges, spark.createDataFrame([(seed,)], "key string"), max_depth, max_nodes, max_branches)
+    limits = {"max_depth": max_depth, "max_nodes": max_nodes, "max_branches": max_branches}
+    return nodes.drop("seed"), found.drop("seed"), {**stats.drop("seed", "stop_reason").first().asDict(), **limits, "stop_reason": stats.first()["stop_reason"]}
 
-def in_degree(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("dst_key").alias("key")).agg(F.count("*").alias("in_degree"))
+
+def in_degree(edges: DataFrame, by: str | None = None) -> DataFrame:
+    return edges.groupBy(*([by] if by else []), F.col("dst_key").alias("key")).agg(F.count("*").alias("in_degree"))
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,36 +132,57 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst_key").alias("key")).distinct(), "key", "left_anti")
 
 
-def depths(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(key, depth): the fewest calls from any of the starts(key)."""
-    ways = edges.select("src_key", "dst_key").distinct()
-    seen = level = _written(starts.select("key").distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, max_depth + 1):
-        level = _written(level.select(F.col("key").alias("src_key")).join(ways, "src_key").select(F.col("dst_key").alias("key")).distinct().join(seen, "key", "left_anti").withColumn("depth", F.lit(d)))
-        if level.isEmpty():
-            break
+def depths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: str | None = None) -> DataFrame:
+    """(key, depth): the fewest calls from any of the starts(key), level by level until no new node is found. With `by`, a column of edges and starts, within each of its values.
+
+    With max_depth, nodes that are farther away are left out. Each level is written once; what was seen is one table that
+    is written anew whenever it has doubled, so that neither the plan nor the number of files grows with the depth.
+    """
+    keys = [by] if by else []
+    ways = edges.select(*keys, "src_key", "dst_key").distinct()
+    seen = level = written(starts.select(*keys, "key").distinct().withColumn("depth", F.lit(0)))
+    base = size = level.count()
+    n, d = size, 0
+    while n and (max_depth is None or d < max_depth):
+        d += 1
+        ahead = level.select(*keys, F.col("key").alias("src_key")).join(ways, [*keys, "src_key"]).select(*keys, F.col("dst_key").alias("key")).distinct()
+        level = written(ahead.join(seen, [*keys, "key"], "left_anti").withColumn("depth", F.lit(d)))
+        n = level.count()
+        size += n
         seen = seen.union(level)
+        if size >= 2 * base or d % 16 == 0:
+            seen, base = written(seen), size
     return seen
 
 
-def reaching(edges: DataFrame, targets: DataFrame, max_depth: int = 100) -> DataFrame:
+def reaching(edges: DataFrame, targets: DataFrame, max_depth: int | None = None, by: str | None = None) -> DataFrame:
     """(key): all nodes from which a target(key) can be reached, targets included: one search from the targets back."""
-    back = edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))
-    return depths(back, targets, max_depth).select("key")
+    keys = [by] if by else []
+    back = edges.select(*keys, F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))
+    return depths(back, targets, max_depth, by).select(*keys, "key")
 
 
-def business_scores(nodes: DataFrame, edges: DataFrame, root: DataFrame | None = None) -> DataFrame:
+def first_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key) of the first node that nobody calls: in the order of a trace's ordinals, else by key."""
+    order = ["ordinal", "key"] if "ordinal" in nodes.columns else ["key"]
+    return roots(nodes, edges).select("key", *order[:-1]).orderBy(*order).limit(1).select("key")
+
+
+def business_scores(nodes: DataFrame, edges: DataFrame, root: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """nodes(key, class, method, file, is_rest, is_transactional) with business_score, business_signals and business_candidate.
 
     Services count 2, being called twice or more up to 3, reaching a database 3, a transaction 2, standing below the
-    root 1; controllers, persistence and accessors that call nothing count 0. Candidates have 4 or more.
+    root 1; controllers, persistence and accessors that call nothing count 0. Candidates have 4 or more. With `by`, a
+    column of nodes, edges and roots (which then must be given), each of its values is a graph of its own.
     """
+    keys = [by] if by else []
     cls, file, method = F.col("class"), F.col("file"), F.col("method")
     kinds = nodes.withColumn("sink", q.sink_kind(cls, file, method))
-    start = root if root is not None else roots(nodes, edges).select("key").orderBy("key").limit(1)
-    below = depths(edges, start).where("depth >= 1").select("key", F.lit(True).alias("below_root"))
-    reach = reaching(edges, kinds.where("sink = 'database'").select("key")).withColumn("reaches", F.lit(True))
-    told = kinds.join(in_degree(edges), "key", "left").join(below, "key", "left").join(reach, "key", "left")
+    start = root if root is not None else first_root(nodes, edges)
+    below = depths(edges, start, by=by).where("depth >= 1").select(*keys, "key", F.lit(True).alias("below_root"))
+    reach = reaching(edges, kinds.where("sink = 'database'").select(*keys, "key"), by=by).withColumn("reaches", F.lit(True))
+    on = [*keys, "key"]
+    told = kinds.join(in_degree(edges, by), on, "left").join(below, on, "left").join(reach, on, "left")
     degree = F.coalesce("in_degree", F.lit(0))
     none = (F.col("sink") == "database") | q.is_controller_layer(cls, file, F.col("is_rest"))
     accessor = q.is_accessor(method)
@@ -206,6 +227,12 @@ def sink_buckets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "key", "left").groupBy(kind.alias("kind"), F.coalesce("leaf", F.lit(False)).alias("is_leaf")).agg(F.count("*").alias("nodes"), F.array_sort(F.collect_set(F.concat_ws(".", "class", "method"))).alias("methods"))
 
 
+def accessor_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, class, accessors): how many accessors that call nothing each file has, and the first class they belong to."""
+    gone = leaves(nodes, edges).where(q.is_accessor(F.col("method")))
+    return gone.groupBy("file").agg(F.min("class").alias("class"), F.count("*").alias("accessors"))
+
+
 def entry_groups(chains: DataFrame, key: list[Column]) -> DataFrame:
     """Chains(chain_no, ...) with the same entry as one row, with their numbers, in the order of the first."""
     named = [c.alias(f"k{i}") for i, c in enumerate(key)]
@@ -225,7 +252,7 @@ def shown_tree(edges: DataFrame, seed: str, spark: SparkSession, max_depth: int
     rows = level
     for _ in range(max_depth):
         step = level.where("NOT cycle").withColumn("src_key", F.element_at("path", -1)).join(ways, "src_key")
-        level = _written(step.select(F.concat("path", F.array("dst_key")).alias("path"), F.array_contains("path", F.col("dst_key")).alias("cycle")))
+        level = written(step.select(F.concat("path", F.array("dst_key")).alias("path"), F.array_contains("path", F.col("dst_key")).alias("cycle")))
         if level.isEmpty():
             break
         rows = rows.union(level)

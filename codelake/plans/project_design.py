@@ -1,7 +1,8 @@
 """From a source tree to a design bundle: modules, mappings, tables, types, traces, key methods, an index.
 
 Steps write their tables and documents under one folder and hand DataFrames on. A step that fails adds a warning and
-the rest goes on; traces need the tables of a call index, and are left out where there is none.
+the rest goes on; traces need the tables of a call index, and are left out where there is none. A step that is not asked
+for leaves what an earlier run wrote in the folder, and later steps read it from there.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from codelake.functions import names
 from codelake.operators import entry_points, structure, table_refs
-from codelake.plans import call_graph, reports
+from codelake.plans import call_graph, chain_drivers, reports, trace_starts
+from codelake.sources import files as source
 
 
 @dataclass
 class Options:
-    steps: tuple[str, ...] = ("modules", "entrypoints", "rest-map", "db-tables", "symbols", "table-up", "entry-down", "business")
+    steps: tuple[str, ...] = ("modules", "entrypoints", "rest-map", "db-tables", "symbols", "keyword-up", "table-up", "entry-down", "business")
+    queries: tuple[str, ...] = ()  # keywords whose callers are traced
     max_depth_up: int = 20
     max_depth_down: int = 16
     max_nodes: int = 500
@@ -70,39 +73,67 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
     def symbols() -> None:
         keep("symbols", "symbols-by-package", structure.by_package(structure.top_level_types(files)))
 
+    def edges() -> DataFrame:
+        return call_graph.with_implementations(index["call_edges"], index["impl_edges"]) if "impl_edges" in index else index["call_edges"]
+
+    def keyword_up() -> None:
+        starts = None
+        for text in options.queries:
+            found = trace_starts.keyword_starts(index["call_nodes"], text, files).withColumn("query", F.lit(text))
+            starts = found if starts is None else starts.union(found)
+        if starts is not None:
+            chains = call_graph.trace_up(edges(), index["call_nodes"], starts.select("key").distinct(), options.max_depth_up, options.most_chains)
+            told = trace_starts.with_top_entries(chains, index["call_nodes"], source.lines(source.java_files(files)))
+            keep("keyword-up", "keyword-callers", starts.select("query", "way", F.col("key").alias("seed")).join(told, "seed"))
+
+    def saved(name: str) -> DataFrame:
+        """A table of this run, or of an earlier one in the same folder whose step was left out now."""
+        if name not in made:
+            path = f"{folder}/{name}"
+            if not os.path.isdir(path):
+                raise ValueError(f"{name} was not made, and an earlier run left none in {folder}")
+            made[name] = spark.read.json(path)
+        return made[name]
+
     def table_up() -> None:
-        anchors = table_refs.first_per_method(made["tables-hits"]).where("java_method <> ''").select(names.physical_table(F.col("table")).alias("table"), "file", F.col("java_method_line").alias("line")).distinct()
-        seeds = anchors.join(index["call_nodes"].select("key", "file", "line"), ["file", "line"])
-        chains = call_graph.trace_up(index["call_edges"], index["call_nodes"], seeds.select("key").distinct(), options.max_depth_up, options.most_chains)
-        keep("table-up", "table-callers", seeds.select("table", F.col("key").alias("seed")).join(chains, "seed"))
+        hits = saved("tables-hits")
+        for c, kind in (("java_method", "string"), ("java_method_line", "long")):  # a column that is null all over is not in the file
+            hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast(kind))
+        asked = None if user_tables is None else hits.select("project").distinct().crossJoin(F.broadcast(user_tables.select(names.physical_table(F.col("name")).alias("table")).distinct()))
+        anchors, errors = chain_drivers.table_anchors(files, hits, asked)
+        chains, lost = chain_drivers.table_callers(anchors, index["call_nodes"], edges(), options.max_depth_up, options.most_chains)
+        keep("table-up", "table-callers", chains)
+        keep("table-up", "table-errors", errors.union(lost))
+        keep("table-up", "table-error-groups", chain_drivers.error_groups(made["table-errors"]))
+        chain_drivers.anchor_reports(made["table-callers"]).write.mode("overwrite").partitionBy("slug", "anchor_id").text(f"{folder}/table-up")
 
     def entry_down() -> None:
-        starts = made["rest-map"].select("endpoint_id", "slug", "file", "line").join(index["call_nodes"].select("key", "file", "line"), ["file", "line"]).orderBy("slug")
-        starts = starts.limit(options.max_endpoints) if options.max_endpoints else starts
-        scored = None
-        for r in starts.toLocalIterator():
-            nodes, edges, stats = call_graph.trace_down(index["call_edges"], r["key"], spark, options.max_depth_down, options.max_nodes, options.max_branches)
-            full = nodes.join(index["call_nodes"], "key")
-            _document(f"{folder}/entry-down", f"{r['slug']}.md", reports.subgraph_report(r["key"], full, edges, stats, spark))
-            part = call_graph.business_scores(full, edges, spark.createDataFrame([(r["key"],)], "key string")).where("business_candidate")
-            part = part.select(F.lit(r["slug"]).alias("source"), "class", "method", "file", F.col("business_score").alias("score"))
-            scored = part if scored is None else scored.union(part)
-        if scored is not None:
-            keep("entry-down", "key-methods", scored)
+        rest = saved("rest-map").select(F.col("endpoint_id").alias("entry_id"), F.lit("rest").alias("kind"), "file", "line")
+        scanned = saved("entrypoints").where("kind <> 'controller_public_method'").select(F.concat_ws(":", "kind", "file", F.col("line").cast("string")).alias("entry_id"), "kind", "file", "line")
+        entries = rest.union(scanned).distinct().orderBy("file", "line", "entry_id")
+        entries = entries.limit(options.max_endpoints) if options.max_endpoints else entries
+        traced = chain_drivers.entry_callees(entries, index["call_nodes"], edges(), options.max_depth_down, options.max_nodes, options.max_branches)
+        keep("entry-down", "entry-rows", traced["rows"])
+        keep("entry-down", "entry-errors", traced["errors"])
+        keep("entry-down", "entry-controllers", chain_drivers.controller_rows(traced))
+        keep("entry-down", "key-methods", chain_drivers.entry_key_methods(traced))
+        chain_drivers.entry_reports(traced).write.mode("overwrite").partitionBy("entry_id").text(f"{folder}/entry-down")
 
     def business() -> None:
         if "key-methods" in made:
             _document(folder, "business.md", reports.business_report(call_graph.merged_key_methods(made["key-methods"])))
 
-    run = {"modules": modules, "entrypoints": entries, "rest-map": rest_map, "db-tables": tables, "symbols": symbols, "table-up": table_up, "entry-down": entry_down, "business": business}
-    needs_index = {"table-up", "entry-down"}
+    run = {"modules": modules, "entrypoints": entries, "rest-map": rest_map, "db-tables": tables, "symbols": symbols, "keyword-up": keyword_up, "table-up": table_up, "entry-down": entry_down, "business": business}
+    needs_index = {"keyword-up", "table-up", "entry-down"}
     for step in options.steps:
+        if step == "keyword-up" and not options.queries:
+            continue
         if step in needs_index and index is None:
             bundle.warnings.append(f"{step}: no call index given")
             continue
         try:
             run[step]()
-        except Exception as e:  # the other steps still have their use
+        except (ValueError, OSError) as e:  # bad input of one step; the others still have their use
             bundle.warnings.append(f"{step}: {type(e).__name__}: {str(e)[:300]}")
     _document(folder, "index.md", "\n".join(["# Design", "", *[f"- {k}: {v}" for k, v in bundle.summary.items()], "", *[f"- warning: {w}" for w in bundle.warnings], ""]))
     _document(folder, "summary.json", json.dumps({"tables": bundle.summary, "warnings": bundle.warnings}, ensure_ascii=False, indent=1))

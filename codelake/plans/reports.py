@@ -73,17 +73,31 @@ def chain_summary(chains: DataFrame) -> DataFrame:
     return reasons.join(tops)
 
 
+def down_summary(stats: dict, implementation_edges: int = 0, anchor: str | None = None) -> dict:
+    """The short summary of a downward trace: how much it found, how many edges lead to implementations, why it stopped."""
+    out = {"nodeCount": stats["node_count"], "edgeCount": stats["edge_count"], "implementationFallbackEdges": implementation_edges, "stopReason": stats["stop_reason"]}
+    return out | ({"restHitId": anchor} if anchor else {})
+
+
 def _section(title: str, rows: Iterable[str]) -> str:
     return "\n".join([f"## {title}", "", *(rows or ["(none)"]), ""])
 
 
 def chain_report(chains: DataFrame, query: dict, most: int = 200) -> str:
-    """A Markdown report of an upward trace, ending in its rows as JSON. At most `most` chains are shown; the summary counts all."""
+    """A Markdown report of an upward trace, ending in its rows as JSON. At most `most` chains are shown; the summary counts all. Chains with the same entry at the top are named together; with a column top_entry its mapping, comment or markers are told."""
     summary = json.loads(as_json(chain_summary(chains)).first()["value"])
-    shown = chains.orderBy("seed", F.size("chain"), "chain").limit(most).withColumn("drawn", call_graph.shown_chain(F.col("chain"))).collect()
+    few = chains.orderBy("seed", F.size("chain"), "chain").limit(most)
+    # at most `most` rows, so one window over all of them is small
+    shown = few.withColumn("chain_no", F.row_number().over(Window.orderBy("seed", F.size("chain"), "chain")).cast("long")).withColumn("drawn", call_graph.shown_chain(F.col("chain")))
+    has_entry = "top_entry" in chains.columns
+    named = F.coalesce(F.col("top_entry.rest_summary"), F.element_at("chain", -1)) if has_entry else F.element_at("chain", -1)
+    groups = call_graph.entry_groups(shown, [named]).collect()
+    rows = shown.withColumn("entry_json", F.to_json("top_entry") if has_entry else F.lit(None).cast("string")).orderBy("chain_no").collect()
     parts = [f"# Callers of {query.get('query', '')}", "", _section("Summary", [f"- {k}: {v}" for k, v in summary.items()])]
-    parts += [_section(f"Chain {i} ({r['stop_reason']})", ["```", r["drawn"], "```"]) for i, r in enumerate(shown, 1)]
-    payload = {"query": query, "summary": summary, "chains": [{"seed": r["seed"], "chain": r["chain"], "stopReason": r["stop_reason"]} for r in shown]}
+    parts.append(_section("Entries", [f"- {g['k0']}: chains {', '.join(map(str, g['chains']))}" for g in groups]))
+    parts += [_section(f"Chain {r['chain_no']} ({r['stop_reason']})", [*([f"Entry: `{r['entry_json']}`", ""] if r["entry_json"] else []), "```", r["drawn"], "```"]) for r in rows]
+    told = [{"seed": r["seed"], "chain": r["chain"], "stopReason": r["stop_reason"]} | ({"topEntry": json.loads(r["entry_json"])} if r["entry_json"] else {}) for r in rows]
+    payload = {"query": query, "summary": summary, "chains": told}
     return "\n".join([*parts, "## Raw JSON", "", "```json", json.dumps(payload, ensure_ascii=False, indent=1), "```", ""])
 
 
@@ -93,6 +107,8 @@ def subgraph_report(seed: str, nodes: DataFrame, edges: DataFrame, stats: dict,
     buckets = call_graph.sink_buckets(nodes, edges).orderBy("kind", F.desc("is_leaf")).collect()
     tree = call_graph.shown_tree(edges, seed, spark, stats["max_depth"]).limit(REPORT_EDGES).collect()
     folded = call_graph.folded_accessors(nodes, edges, seed)[2].orderBy("key", "bean", "kind").limit(REPORT_BEANS).collect()
+    beans = call_graph.accessor_leaves(nodes, edges).orderBy("file").limit(REPORT_LEAVES).collect()
+    added = edges.where("is_implementation").count() if "is_implementation" in edges.columns else 0
     best = call_graph.key_methods(scored).limit(REPORT_KEY_METHODS).collect()
     few = edges.orderBy("src_key", "dst_key").limit(REPORT_EDGES).collect()
     parts = [
@@ -101,10 +117,11 @@ def subgraph_report(seed: str, nodes: DataFrame, edges: DataFrame, stats: dict,
         _section("Sinks", [f"- {r['kind']}{' (leaf)' if r['is_leaf'] else ''}: {', '.join(r['methods'][:REPORT_LEAVES])}" for r in buckets]),
         _section("Tree", ["```", *[r["line"] for r in tree], "```"]),
         _section("Accessors", [f"- {r['key']}: {r['bean']} {r['kind']} {', '.join(r['accessors'])}" for r in folded]),
+        _section("Accessors by file", [f"- {r['file']} {r['class']}: {r['accessors']}" for r in beans]),
         _section("Key methods", [f"- {r['class']}.{r['method']} ({r['business_score']}): {', '.join(r['business_signals'])}" for r in best]),
-        _section("Edges", [f"- {r['src_key']} -> {r['dst_key']}" for r in few]),
+        _section("Edges", [f"- {r['src_key']} -> {r['dst_key']}{' (implementation)' if r.asDict().get('is_implementation') else ''}" for r in few]),
     ]
-    payload = {"query": {"seed": seed}, "stats": stats, "edges": [r.asDict() for r in few], "keyMethods": [r["key"] for r in best]}
+    payload = {"query": {"seed": seed}, "stats": stats, "summary": down_summary(stats, added), "edges": [r.asDict() for r in few], "keyMethods": [r["key"] for r in best]}
     return "\n".join([*parts, "## Raw JSON", "", "```json", json.dumps(payload, ensure_ascii=False, indent=1), "```", ""])
 
 

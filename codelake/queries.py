@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +10,9 @@ from codelake.functions import names
 from codelake.functions import predicates as q
 from codelake.operators import entry_points, java_context, links, structure, table_refs, text_search
 from codelake.plans import call_graph, reports, symbol_index
+from codelake.registry import QUERIES, SQL, query, table  # noqa: F401  QUERIES and SQL are read from here
 from codelake.sources import files as source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- text search over documents as source files ----------------------------
 
 PATH = "concat(source, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '/OrderServiceImpl' WHEN 1 THEN '/OrderService' WHEN 2 THEN '/OrderRepository' WHEN 3 THEN '/HomeController' ELSE '/Plain' END, CAST(doc_id AS STRING), '.java')"
@@ -49,11 +30,7 @@ CASE WHEN contains(path, 'ServiceImpl') OR contains(path, 'Controller') THEN 25
 
 
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("").alias("project"), F.expr(PATH).alias("path"), "text")
-
-
-def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.lines(_document_files(spark, sf_dir))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("").alias("project"), F.expr(PATH).alias("path"), "text")
 
 
 def _grep_sql(exact: str, loose: str, tail: str) -> str:
@@ -65,13 +42,13 @@ SELECT path AS file, CAST(line_no AS INT) AS line, text, CAST({SQL_SCORE} AS INT
 
 @query(_grep_sql("contains(text, 'License') OR contains(text, '@')", "contains(lower(text), 'license') OR contains(text, '@')", "ORDER BY score DESC, file, line LIMIT 200"))
 def grep_lines_topk(spark, sf_dir):
-    return text_search.search(_document_lines(spark, sf_dir), "License|@")
+    return text_search.search(_document_files(spark, sf_dir), "License|@")
 
 
 @query(_grep_sql("contains(text, 'mit LICENSE') OR contains(text, 'apache LICENSE')", "contains(lower(text), 'mit license') OR contains(lower(text), 'apache license')", ""))
 def grep_case_fallback(spark, sf_dir):
     """Nothing matches as written, so the search falls back to any case."""
-    return text_search.search(_document_lines(spark, sf_dir), "mit LICENSE ｜ apache LICENSE", most=None)
+    return text_search.search(_document_files(spark, sf_dir), "mit LICENSE ｜ apache LICENSE", most=None)
 
 
 @query("""
@@ -79,7 +56,7 @@ WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)
 SELECT needle, count(*) AS hits, count(DISTINCT conv_id) AS conversations FROM t JOIN n ON contains(lower(text), needle) GROUP BY needle
 """)
 def needle_counts(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     needles = text_search.needles_of("the|und｜que|the")
     found = F.array_compact(F.array(*[F.when(q.has_needle(F.col("text"), [n]), F.lit(n)) for n in needles]))
     return turns.select("conv_id", F.explode(found).alias("needle")).groupBy("needle").agg(F.count("*").alias("hits"), F.countDistinct("conv_id").alias("conversations"))
@@ -96,7 +73,7 @@ SELECT page_id, kind, count(*) AS lines FROM lines JOIN k ON regexp_matches(text
 """)
 def line_pattern_scan(spark, sf_dir):
     """The scan of entry points, with patterns of markup instead."""
-    pages = _table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.lit("").alias("project"), F.col("page_id").alias("path"), F.col("html").alias("text"))
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.lit("").alias("project"), F.col("page_id").alias("path"), F.col("html").alias("text"))
     return source.lines(pages).select(F.col("path").alias("page_id"), F.explode(q.line_kinds(F.col("text"), TAGS)).alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("lines"))
 
 
@@ -104,13 +81,13 @@ def line_pattern_scan(spark, sf_dir):
 SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages WHERE html IS NOT NULL
 """)
 def href_extract(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
 # -- windows over ordered lines --------------------------------------------
 
 def _turn_lines(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select(F.lit("").alias("project"), F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), "role", "text")
+    return table(spark, sf_dir, "conversations").select(F.lit("").alias("project"), F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), "role", "text")
 
 
 @query("""
@@ -123,26 +100,32 @@ def window_flag(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn END AS m FROM conversations)
-SELECT conv_id, turn, coalesce(first_value(m IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
-                               last_value(m IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS answer
-FROM t
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn END AS m FROM conversations),
+d AS (SELECT conv_id, turn, coalesce(first_value(m IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING),
+                                     last_value(m IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)) AS answer FROM t)
+SELECT conv_id, turn, CASE WHEN answer IS NULL THEN '_line' || turn ELSE 'answer' || answer END AS java_method, coalesce(answer, turn) AS java_method_line FROM d
 """)
 def enclosing_asof(spark, sf_dir):
-    """The two-way lookup of enclosing methods: the next answer within 3 turns, else the last one within 5."""
-    m = F.when(F.col("role") == "assistant", F.col("line_no"))
-    answer = F.coalesce(F.first(m, True).over(source.by_file().rowsBetween(0, 2)), F.last(m, True).over(source.by_file().rowsBetween(-4, 0)))
-    return _turn_lines(spark, sf_dir).select(F.col("path").alias("conv_id"), F.col("line_no").alias("turn"), answer.alias("answer"))
+    """The two-way lookup of enclosing methods: every answer of a conversation is a declaration, and each turn belongs to the next one below, else to the last one above."""
+    answer = F.when(F.col("role") == "assistant", F.concat(F.lit("public void answer"), F.col("line_no").cast("string"), F.lit("() {"))).otherwise("x = 1;")
+    found = java_context.enclosing_methods(_turn_lines(spark, sf_dir).withColumn("text", answer))
+    return found.select(F.col("path").alias("conv_id"), F.col("line_no").alias("turn"), "java_method", "java_method_line")
 
 
 @query("""
-SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING) AS last_purchase
-FROM events
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS line, CASE WHEN role = 'user' THEN turn END AS m FROM conversations),
+s AS (SELECT conv_id, line, last_value(m IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line ROWS BETWEEN 48 PRECEDING AND CURRENT ROW) AS q FROM t)
+SELECT conv_id, CAST(line AS INT) AS line, 'com.M' || conv_id AS namespace, 'q' || q AS statement_id, CASE WHEN q IS NULL THEN 'no statement id around the line' ELSE 'no source of the interface' END AS reason FROM s
 """)
 def preceding_asof(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-48, -1)
-    return _table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w).alias("last_purchase"))
+    """The look-back for mapper statements: conversations as mapper files in which every question is a statement."""
+    turn = F.when(F.col("role") == "user", F.concat(F.lit('<select id="q'), F.col("turn").cast("string"), F.lit('">'))).otherwise("select 1")
+    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]).alias("turns"))
+    text = F.concat(F.lit('<mapper namespace="com.M'), F.col("conv_id").cast("string"), F.lit('">\n'), F.array_join("turns", "\n"))
+    files = source.as_files(by.select(F.lit("").alias("project"), F.concat(F.lit("src/main/resources/"), F.col("conv_id").cast("string"), F.lit(".xml")).alias("path"), text.alias("text")))
+    asked = source.lines(files).where("line_no > 1").select("project", "path", "line_no")
+    told = links.mapper_methods(asked, files)
+    return told.select(F.regexp_extract("xml_file", r"(\d+)\.xml$", 1).cast("long").alias("conv_id"), F.col("xml_line").alias("line"), "namespace", "statement_id", "reason")
 
 
 RANGES = [("all", 0.0, 1e9), ("small", 0.0, 50000.0), ("tiny", 1000.0, 20000.0), ("large", 100000.0, 400000.0), ("huge", 200000.0, 300000.0)]
@@ -155,9 +138,8 @@ SELECT o_orderkey, arg_min(name, hi - lo) AS bucket FROM orders JOIN r ON o_tota
 def interval_smallest(spark, sf_dir):
     """Each position in the smallest range that holds it."""
     ranges = F.broadcast(spark.createDataFrame([(1, *r) for r in RANGES], "g int, name string, lo double, hi double"))
-    points = _table(spark, sf_dir, "orders").select(F.lit(1).alias("g"), "o_orderkey", "o_totalprice")
-    held = points.join(ranges, "g").where("o_totalprice BETWEEN lo AND hi")
-    return held.groupBy("o_orderkey").agg(F.min_by("name", F.col("hi") - F.col("lo")).alias("bucket"))
+    points = table(spark, sf_dir, "orders").select(F.lit(1).alias("g"), "o_orderkey", "o_totalprice")
+    return links.smallest_around(points, ranges, ["g"], "o_totalprice", "lo", "hi", ["name"]).select("o_orderkey", F.col("name").alias("bucket"))
 
 
 # -- joins and groups of table references -----------------------------------
@@ -166,8 +148,8 @@ def interval_smallest(spark, sf_dir):
 SELECT c_custkey AS ordinal, c_name AS name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000)
 """)
 def unresolved_anti(spark, sf_dir):
-    listed = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"))
-    hits = _table(spark, sf_dir, "orders").where("o_totalprice > 300000").join(listed, F.col("o_custkey") == F.col("ordinal")).select(F.upper("name").alias("table"))
+    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"))
+    hits = table(spark, sf_dir, "orders").where("o_totalprice > 300000").join(listed, F.col("o_custkey") == F.col("ordinal")).select(F.upper("name").alias("table"))
     return table_refs.unresolved(hits, listed)
 
 
@@ -176,16 +158,16 @@ SELECT DISTINCT upper(p_brand) || '-' || p_size AS "table" FROM part WHERE p_par
 """)
 def extracted_only_anti(spark, sf_dir):
     name = F.concat(F.upper("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("table"))
-    hits = parts.join(_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("table"))
+    hits = parts.join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
     listed = parts.where("p_size <= 25").select(F.col("p_partkey").alias("ordinal"), F.lower("table").alias("name"))
     return table_refs.extracted_only(hits, listed)
 
 
 def _brand_hits(spark, sf_dir):
     """Line items as table hits: the brand of the part is the table, the supplier the file."""
-    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_brand", "#", "Type").alias("table"))
-    item = _table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_brand", "#", "Type").alias("table"))
+    item = table(spark, sf_dir, "lineitem")
     return item.join(part, "l_partkey").select(
         F.lit("").alias("project"), "table", F.col("l_returnflag").alias("source"), F.lit("high").alias("confidence"), F.concat(F.lit("s"), "l_suppkey").alias("file"),
         F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("nth"), F.concat(F.lit("m"), (F.col("l_orderkey") % 7).cast("string")).alias("java_method"),
@@ -224,7 +206,7 @@ b AS (SELECT class, method, file, max(score) AS score FROM s GROUP BY class, met
 SELECT class, method, file, score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM s JOIN b USING (class, method, file, score) GROUP BY class, method, file, score
 """)
 def max_merge_sources(spark, sf_dir):
-    scored = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select(
+    scored = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
         "source", F.col("lang").alias("class"), F.col("quality").cast("string").alias("method"), F.substring("source", 1, 4).alias("file"), (F.col("n_chars") % 50).alias("score"))
     return call_graph.merged_key_methods(scored).withColumn("sources", F.array_join("sources", ","))
 
@@ -242,14 +224,14 @@ nodes AS (SELECT 'r' || r_regionkey AS key, 'RegionController' AS class, r_regio
 
 
 def _edges(spark, sf_dir):
-    t = lambda name: _table(spark, sf_dir, name)
+    t = lambda name: table(spark, sf_dir, name)
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     parts = [t("nation").select(key("r", "n_regionkey"), key("n", "n_nationkey"), "n_name"), t("customer").select(key("n", "c_nationkey"), key("c", "c_custkey"), "c_name"), t("orders").select(key("c", "o_custkey"), key("o", "o_orderkey"), "o_orderpriority")]
     return parts[0].union(parts[1]).union(parts[2]).toDF("src_key", "dst_key", "dst_name")
 
 
 def _nodes(spark, sf_dir):
-    t = lambda name: _table(spark, sf_dir, name)
+    t = lambda name: table(spark, sf_dir, name)
     row = lambda df, prefix, c, cls, rest, status: df.select(F.concat(F.lit(prefix), F.col(c).cast("string")), F.lit(cls), rest, status)
     no, blank = F.lit(False), F.lit("")
     out = row(t("region"), "r", "r_regionkey", "RegionController", F.col("r_regionkey") % 2 == 0, blank).union(row(t("nation"), "n", "n_nationkey", "NationService", no, blank))
@@ -323,7 +305,7 @@ FROM orders GROUP BY ALL
 def fold_accessors(spark, sf_dir):
     """Orders as accessors of beans, folded into the customers that call them."""
     name = F.concat(F.expr("CASE o_orderstatus WHEN 'O' THEN 'get' WHEN 'F' THEN 'set' ELSE 'is' END"), F.lit("P"), (F.col("o_orderkey") % 3).cast("string"))
-    orders = _table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("class"), F.concat(name, F.lit("() : Value")).alias("method"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("class"), F.concat(name, F.lit("() : Value")).alias("method"))
     others = _nodes(spark, sf_dir).where("class <> 'OrderDao'").select("key", "class", F.lit("run()").alias("method"))
     return call_graph.folded_accessors(orders.union(others), _edges(spark, sf_dir))[2].withColumn("accessors", F.array_join("accessors", ","))
 
@@ -333,7 +315,7 @@ SELECT CASE WHEN contains(lower(p_name), 'redis') OR p_size % 4 = 1 THEN 'middle
 """)
 def sink_kinds(spark, sf_dir):
     cls = F.expr("CASE CAST(p_size % 4 AS INT) WHEN 1 THEN 'x.KafkaSender' WHEN 2 THEN 'x.RestTemplateClient' WHEN 3 THEN 'x.PartDao' ELSE 'x.Part' END")
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     return part.select(q.sink_kind(cls, F.lit("src/Part.java"), F.col("p_name")).alias("kind")).groupBy("kind").agg(F.count("*").alias("nodes"))
 
 
@@ -341,7 +323,7 @@ def sink_kinds(spark, sf_dir):
 
 @query("""SELECT o_orderkey, 'ma-' || left(sha256(lower('Tab_' || (o_orderkey % 9)) || '|jdbc_sql_literal|src/' || o_custkey || '.java|' || (o_orderkey % 500) || '|'), 16) AS hit_id FROM orders""")
 def stable_hit_id(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders")
     table, file = F.concat(F.lit("Tab_"), (F.col("o_orderkey") % 9).cast("string")), F.concat(F.lit("src\\"), F.col("o_custkey").cast("string"), F.lit(".java"))
     return o.select("o_orderkey", names.table_hit_id(table, F.lit("jdbc_sql_literal"), file, F.col("o_orderkey") % 500).alias("hit_id"))
 
@@ -354,19 +336,22 @@ SELECT p_partkey, pascal, lower(regexp_replace(regexp_replace(pascal, '(.)([A-Z]
 def table_names(spark, sf_dir):
     """Type names as snake-case tables, as entity classes, and back from a qualified name."""
     pascal = names.entity_class(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")))
-    return _table(spark, sf_dir, "part").select("p_partkey", pascal.alias("pascal"), names.physical_table(F.concat(F.lit("app."), pascal)).alias("physical"))
+    return table(spark, sf_dir, "part").select("p_partkey", pascal.alias("pascal"), names.physical_table(F.concat(F.lit("app."), pascal)).alias("physical"))
 
 
 @query("""
 WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(replace(regexp_replace(path, '^/+|/+$', '', 'g'), '/', '_'), '[^a-zA-Z0-9_\\-]+', '_', 'g'), '^_+|_+$', '', 'g') AS body FROM u),
 s AS (SELECT page_id, left('GET_' || CASE WHEN left(body, 72) = '' THEN 'root' ELSE left(body, 72) END, 100) AS slug FROM b)
-SELECT page_id, slug, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS occurrence FROM s
+SELECT page_id, CASE WHEN nth > 1 THEN slug || '_' || nth ELSE slug END AS slug,
+       're-' || left(sha256('GET|' || trim(path) || '|x.Pages|show|' || CASE WHEN nth > 1 THEN slug || '_' || nth ELSE slug END || '|P.java|' || page_id), 16) AS endpoint_id
+FROM (SELECT page_id, slug, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS nth FROM s) JOIN u USING (page_id)
 """)
 def slug_dedup(spark, sf_dir):
+    """Pages as endpoints of one class: equal slugs are numbered, and ids follow from them."""
     path = F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1)
-    slug = _table(spark, sf_dir, "pages").select("page_id", names.endpoint_slug(F.lit("get"), path).alias("slug"))
-    return slug.withColumn("occurrence", F.row_number().over(Window.partitionBy("slug").orderBy("page_id")))
+    pages = table(spark, sf_dir, "pages").select(F.lit("").alias("project"), F.lit("get").alias("http_method"), path.alias("path"), F.lit("x.Pages").alias("class_name"), F.lit("show").alias("method_name"), F.lit("P.java").alias("file"), F.col("page_id").alias("line"))
+    return reports.endpoint_ids(pages).select(F.col("line").alias("page_id"), "slug", "endpoint_id")
 
 
 @query("""
@@ -377,7 +362,7 @@ def sql_tables(spark, sf_dir):
     o = F.concat(F.lit("app.orders_"), (F.col("o_orderkey") % 3).cast("string"))
     plain = F.concat(F.lit("WITH t AS (SELECT 1) SELECT ', nope' FROM "), o, F.lit(" JOIN customer c ON f(a, b), region r WHERE x IN (SELECT 1 FROM t, (VALUES (1)) v)"))
     sql = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("DELETE FROM "), o)).otherwise(plain)
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(table_refs.sql_tables(sql), ",").alias("tables"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(table_refs.sql_tables(sql), ",").alias("tables"))
 
 
 # -- the sample project ------------------------------------------------------
@@ -454,7 +439,7 @@ def sample_trace_up(spark, sf_dir):
 @query("""SELECT * FROM (VALUES ('A', 'B'), ('B', 'D'), ('D', 'B')) t(src_key, dst_key)""")
 def sample_trace_down(spark, sf_dir):
     _, edges = samples.call_graph(spark)
-    return call_graph.trace_down(edges, "A", spark, max_branches=1)[1]
+    return call_graph.trace_down(edges, "A", spark, max_branches=1)[1].select("src_key", "dst_key")
 
 
 @query("""SELECT * FROM (VALUES ('A', 0::BIGINT, ''), ('B', 8::BIGINT, 'service_layer,in_degree_2,reaches_persistence_subgraph,below_root'), ('C', 0::BIGINT, ''), ('D', 4::BIGINT, 'reaches_persistence_subgraph,below_root')) t(key, business_score, signals)""")
@@ -515,7 +500,7 @@ def manifest_physical(spark, sf_dir):
 
 
 @query(f"SELECT * FROM (VALUES ('{HOME}OrderDao.java', 4, 'purge'), ('{HOME}OrderDao.java', 7, 'purge'), ('{HOME}Orders.java', 3, NULL)) t(file, line, java_method)")
-def rows_of_table(spark, sf_dir):
+def rows_oftable(spark, sf_dir):
     return table_refs.rows_of_table(table_refs.table_hits(samples.project(spark)), "app.ORDERS").select("file", "line", "java_method")
 
 
@@ -564,13 +549,20 @@ POINT_QUERIES = {
 }
 
 
-@query("SELECT * FROM (VALUES ('documentSymbol', 3::BIGINT), ('workspaceSymbol', 2::BIGINT), ('definition', 1::BIGINT), ('references', 2::BIGINT), ('hover', 1::BIGINT), ('implementation', 1::BIGINT), ('incomingCalls', 0::BIGINT), ('outgoingCalls', 1::BIGINT), ('typeHierarchy', 2::BIGINT)) t(operation, results)")
+RESULT_OF = {
+    "documentSymbol": "concat_ws(':', name, kind, start_line)", "workspaceSymbol": "concat_ws(':', path, name, kind)", "definition": "sym_id", "references": "concat_ws(':', path, line, character, is_decl)", "hover": "contents", "implementation": "impl_key",
+    "incomingCalls": "src_key", "outgoingCalls": "dst_key", "typeHierarchy": "concat_ws(':', side, other)",
+}
+
+
+@query("""SELECT * FROM (VALUES ('documentSymbol', 'OrderController:5:1'), ('documentSymbol', 'list():6:4'), ('documentSymbol', 'drop():6:7'), ('workspaceSymbol', 'web/OrderController.java:OrderController:5'), ('workspaceSymbol', 'web/OrderController.java:list():6'),
+  ('definition', 'A'), ('references', 'x.java:2:4:false'), ('references', 'web/OrderController.java:4:2:true'), ('hover', 'lists'), ('implementation', 'I'), ('outgoingCalls', 'B'), ('typeHierarchy', 'sub:Sub'), ('typeHierarchy', 'super:Base')) t(operation, result)""")
 def point_queries(spark, sf_dir):
-    """Every operation over the index, and how many results each has."""
+    """Every operation over the index, and its results."""
     index = samples.symbol_index(spark)
     out = None
     for op, where in POINT_QUERIES.items():
-        n = symbol_index.analyze(index, op, **where).agg(F.count("*").alias("results")).select(F.lit(op).alias("operation"), "results")
+        n = symbol_index.analyze(index, op, **where).select(F.lit(op).alias("operation"), F.expr(RESULT_OF[op]).alias("result"))
         out = n if out is None else out.union(n)
     return out
 
@@ -588,3 +580,6 @@ def saved_report(spark, sf_dir):
     text = F.lit("# Report\n\n## Raw JSON\n\n```json\n{\"project\": \"shop\", \"hits\": [1, 2]}\n```\n")
     payload = F.from_json(source.report_payload(text), "project string, hits array<int>")
     return spark.range(1).select(payload.alias("p")).select("p.project", F.size("p.hits").cast("long").alias("hits"))
+
+
+from codelake import source_queries  # noqa: E402, F401  registers its queries

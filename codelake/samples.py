@@ -119,3 +119,20 @@ def symbol_index(spark: SparkSession) -> dict[str, DataFrame]:
         "hover": spark.createDataFrame([("A", "lists")], "key string, contents string"), "call_nodes": nodes, "call_edges": edges, "impl_edges": spark.createDataFrame([("A", "I")], "decl_key string, impl_key string"),
         "type_edges": spark.createDataFrame([("K", "Base"), ("Sub", "K")], "sub_key string, super_key string"),
     }
+
+
+def project_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the calls in the sample project, at the lines where its methods are declared."""
+    rows = [
+        ("ctl.list", "com.example.OrderController", "list()", "OrderController", 9, True, []), ("ctl.create", "com.example.OrderController", "create(Order)", "OrderController", 13, True, []),
+        ("dao.count", "com.example.OrderDao", "count()", "OrderDao", 3, False, []), ("dao.purge", "com.example.OrderDao", "purge()", "OrderDao", 6, False, []),
+        ("map.findAll", "com.example.OrderMapper", "findAll()", "OrderMapper", 4, False, []), ("svc.findAll", "com.example.OrderServiceImpl", "findAll()", "OrderServiceImpl", 4, False, []),
+        ("svc.save", "com.example.OrderServiceImpl", "save(Orders)", "OrderServiceImpl", 8, False, []), ("job.onMessage", "com.example.Jobs", "onMessage(String)", "Jobs", 4, False, ["@KafkaListener"]),
+        ("job.tick", "com.example.Jobs", "tick()", "Jobs", 7, False, []),
+    ]
+    nodes = spark.createDataFrame(
+        [(k, c, m, f"{HOME}{f}.java", n, rest, bool(marks), False, marks) for k, c, m, f, n, rest, marks in rows],
+        "key string, class string, method string, file string, line int, is_rest boolean, is_message_listener boolean, is_transactional boolean, listener_markers array<string>",
+    )
+    calls = [("ctl.list", "svc.findAll"), ("ctl.create", "svc.save"), ("svc.findAll", "map.findAll"), ("svc.save", "dao.count"), ("job.onMessage", "dao.purge"), ("job.tick", "svc.save")]
+    return nodes, spark.createDataFrame([(a, b, b.split(".")[1]) for a, b in calls], "src_key string, dst_key string, dst_name string")

@@ -12,6 +12,7 @@ from codelake.functions import patterns as p
 from codelake.functions.predicates import group, stripped
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
+OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\u0085  ]"
 BUILD_MARKERS = ("pom.xml", "build.gradle", "build.gradle.kts", ".project", ".classpath")
 
 
@@ -69,9 +70,11 @@ def xml_files(files: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def split_lines(text: Column) -> Column:
-    """The lines of a text; a line break at the end begins no other line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    """The lines of a text; a line break at the end begins no other line. Texts with plain line feeds only, which most are, need no regular expression."""
+    at_end = F.when(F.endswith(text, F.lit("\r\n")), 2).when(F.rlike(F.right(text, F.lit(1)), F.lit(f"^(?:{LINE_BREAK})$")), 1).otherwise(0)
+    body = F.substring(text, F.lit(1), F.length(text) - at_end)
+    parts = F.when(F.rlike(text, F.lit(OTHER_BREAK)), F.split(body, LINE_BREAK)).otherwise(F.split(body, "\n"))
+    return F.when(text != "", parts).otherwise(F.array().cast("array<string>"))
 
 
 def lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:

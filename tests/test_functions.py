@@ -68,6 +68,17 @@ def test_sql_tables(spark, sql, tables):
     assert one(spark, table_refs.sql_tables(F.lit(sql))) == tables
 
 
+def test_sql_nested_deeply(spark):
+    deep = "(select 1, " * 20 + "x" + ")" * 20
+    assert one(spark, table_refs.sql_tables(F.lit(f"select * from a, {deep} q, b where f(1, (2)) in (select y from c)"))) == ["a", "c", "b"]
+    assert one(spark, table_refs.sql_tables(F.lit("select * from a where x in (1, 2"))) == ["a"]
+
+
+@pytest.mark.parametrize(("literal", "plain"), [(r"a\nb", "a\nb"), (r"\u0041\x42\103\7", "ABC\x07"), (r"\\u0041", r"\u0041"), (r"\"q\"", '"q"'), ("no escapes", "no escapes"), ("ends\\", "ends\\"), (r"\u00e9\q", "éq")])
+def test_escapes(spark, literal, plain):
+    assert one(spark, table_refs.unescaped(F.lit(literal))) == plain
+
+
 def test_types_in():
     assert [t[0] for t in types_in("package p; /* class X { */ @interface Ann { } public class A extends B { class In {} } record R(int x) {} enum E {A}")] == ["A", "R", "E"]
     assert types_in('class A { String s = "class B {"; }\n@X(a={1})\ninterface C {\n}') == [("A", 5, "class", 1), ("C", 11, "interface", 3)]

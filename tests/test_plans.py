@@ -58,6 +58,25 @@ def test_trace_limits(spark):
     assert {(r["src_key"], r["dst_key"]) for r in implemented.where("is_implementation").collect()} == {("C", "E")}
 
 
+def test_traversals_have_no_depth_of_their_own(spark):
+    n = 150
+    edges = spark.createDataFrame([(f"k{i}", f"k{i + 1}", "f") for i in range(n - 1)], "src_key string, dst_key string, dst_name string")
+    start = spark.createDataFrame([("k0",)], "key string")
+    assert call_graph.depths(edges, start).agg(F.count("*"), F.max("depth")).first()[:] == (n, n - 1)
+    assert call_graph.reaching(edges.where("dst_key < 'k11'"), spark.createDataFrame([("k10",)], "key string")).count() == 2
+    assert call_graph.depths(edges, start, max_depth=3).count() == 4
+
+
+def test_traces_of_several_seeds(spark):
+    nodes, edges = samples.call_graph(spark)
+    n, e, stats = call_graph.trace_down_all(edges, spark.createDataFrame([("A",), ("C",), ("D",)], "key string"), max_nodes=3)
+    assert {r["seed"]: (r["node_count"], r["stop_reason"]) for r in stats.collect()} == {"A": (3, "max_nodes"), "C": (1, "complete"), "D": (3, "max_nodes")}
+    assert [r["key"] for r in n.where("seed = 'A'").orderBy("ordinal").collect()] == ["A", "B", "D"]
+    assert call_graph.trace_down_all(edges, spark.createDataFrame([("A",)], "key string"), max_depth=0)[2].first()["edge_count"] == 0
+    marked = call_graph.with_implementations(edges, spark.createDataFrame([("C", "E")], "decl_key string, impl_key string"))
+    assert [r["dst_key"] for r in call_graph.trace_down(marked, "A", spark)[1].where("is_implementation").collect()] == ["E"]
+
+
 def test_drawings_and_reports(spark):
     nodes, edges = samples.call_graph(spark)
     assert [r["line"] for r in call_graph.shown_tree(edges, "A", spark).collect()] == ["A", "  B", "    C", "    D", "      B (cycle)"]
