@@ -6,7 +6,8 @@ every place where a notice can be; the regex library's bounded-error matching th
 seed and gives the span and the number of edits.
 
 Only A-Z are lower-cased. Null texts count as empty: no words, no labels, a score of 0. Texts are judged one by one,
-so repeated rows, empty tables and extra columns need no care; texts of any length are searched whole.
+so repeated rows, empty tables and extra columns need no care; texts of any length are searched whole. Matches that start
+at the same place come by their end, then in the order of the notices; of the same label each counts once in `labels`.
 """
 
 from __future__ import annotations
@@ -108,19 +109,20 @@ class Scanner:
         return len(begins), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    return Scanner()
+@lru_cache(maxsize=4)
+def scanner(notices: tuple[tuple[str, str], ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES, errors: float = ERRORS) -> Scanner:
+    """One for each Python worker and set of notices."""
+    return Scanner(notices, phrases, errors)
 
 
-def scans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start, end, edits; in characters) of every whole text."""
+def scans(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, phrases: tuple[tuple[str, str], ...] = PHRASES, errors: float = ERRORS) -> DataFrame:
+    """With any (lower-case text, label) notices and phrases, and the share of a notice that may differ: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start, end, edits; in characters) of every whole text."""
     kind = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: long, end: long, edits: int>>"
     names = [c.split()[0] for c in kind.split(", ")[:8]]
 
     @F.pandas_udf(kind)
     def scanned(s: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([scanner().scan(t) for t in s], columns=names)
+        out = pd.DataFrame([scanner(notices, phrases, errors).scan(t) for t in s], columns=names)
         for c in ("first_word", "last_word"):
             out[c] = out[c].astype("Int64")
         return out

@@ -8,7 +8,9 @@ whole; what then remains is filled with the first part of the best neighbour lef
 shard. So all windows but the last of a shard are full.
 
 Null texts are empty: a document of the end id alone. Repeated rows are packed as documents of their own. An empty
-table gives an empty table, very long texts are cut like others, and other columns are not read.
+table gives an empty table, very long texts are cut like others, and other columns are not read. Of neighbours with the
+same score, and of seeds of the same length, the order within the shard decides, which is that of ids and texts. Ids are
+held in 16 bits; a larger vocabulary is an error.
 """
 
 from __future__ import annotations
@@ -147,6 +149,8 @@ PIECE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, se
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of docs(doc_id, text)."""
     path = vocabulary or default_vocabulary()
+    if max(transducer(path).surface) >= 1 << 16:
+        raise ValueError(f"{path} has ids beyond {(1 << 16) - 1}")
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     piece = PIECE.format(kind)
@@ -195,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
     shards = max(1, math.ceil(total / SHARD_TAILS))
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_id", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "start", "tail"], kind="stable", na_position="first").reset_index(drop=True)
         held = [np.frombuffer(t, dtype=np.uint16) for t in pdf["tail"]]
         rows = []
         for n, pieces in enumerate(Shard(held, idf, mean).fill(window)):
@@ -208,6 +212,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -
         out["start"] += pdf["start"].to_numpy()[at]
         return out.assign(doc_id=pdf["doc_id"].to_numpy()[at], doc_tokens=pdf["doc_tokens"].to_numpy()[at])
 
-    shard = F.pmod(F.xxhash64("sequence_id"), F.lit(shards)).cast("int")
+    # by what a tail is, not where it was read, so that windows are the same however the input is cut
+    shard = F.pmod(F.xxhash64("doc_id", "tail"), F.lit(shards)).cast("int")
     near = tails.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, piece)
     return cuts.where("tail IS NULL").drop("tail").unionByName(near)

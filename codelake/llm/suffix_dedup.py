@@ -455,12 +455,11 @@ def open_runs(docs: DataFrame, span: int, stored: Stored) -> DataFrame:
     return runs.join(leads, "lead").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(*RUN))).alias("runs"), F.count("*").alias("n"))
 
 
-def may_repeat(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def may_repeat(docs: DataFrame, span: int, stored: Stored) -> DataFrame:
     """docs(rid, text) -> (rid, spans): the ranges of window starts that step 1 leaves open. All that repeat are in them, and some that do not."""
-    stored = Stored(docs.sparkSession)
     spans = F.transform("runs", lambda r: F.struct(r["a"].alias("lo"), r["b"].alias("hi")))
-    out = cut(open_runs(docs, span, stored).select("rid", spans.alias("spans")))
-    stored.drop()
+    out = stored.keep("open", open_runs(docs, span, stored).select("rid", spans.alias("spans")))
+    stored.drop("runs", "leads")
     return out
 
 
@@ -649,7 +648,8 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS, sort: bool = True) ->
                 if len(got[0]):
                     yield pd.DataFrame(dict(zip(["lo", "hi", "h1", "h2"], got))).assign(rid=rid, hi=got[1] - span)
 
-    each = stored.keep("each", docs.join((repeats if sort else may_repeat)(docs, span), "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
+    found = repeats(docs, span) if sort else may_repeat(docs, span, stored)
+    each = stored.keep("each", docs.join(found, "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
     twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     spans = cut(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     stored.drop()

@@ -50,6 +50,22 @@ def test_equals_all_pairs(spark, rows, monkeypatch, chunk):
     assert sorted(((r["doc_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute(rows)
 
 
+def test_groups_hold_only_what_may_link(spark):
+    # each text shares half of its words with the next: bands may meet now and then, but no pair can reach the threshold
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(k, " ".join(words[20 * k : 20 * k + 40])) for k in range(100)] + [(1000 + k, " ".join(words[2500:2700] + [f"x{k}"])) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = df.mapInPandas(J._sketch, "doc_id long, cls long, bands array<long>, half binary")
+    groups = J.candidate_groups(sketched.select("cls", "bands", "half"), J.THRESHOLD, J.TOLERANCE)
+    alike = {r["cls"] for r in sketched.where("doc_id >= 1000").collect()}
+    assert {r["node"] for r in groups.collect()} == alike and groups.select("root").distinct().count() == 1
+    x = np.arange(2 * J.HASHES, dtype=np.uint32).reshape(2, -1)
+    y = x.copy()
+    y[0, 1] += 1
+    y[1, ::5] += 1
+    assert J.share_a_band(x, y).tolist() == [True, False]
+
+
 def test_one_of_each(spark, rows):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
     kept = J.one_of_each(df).collect()
