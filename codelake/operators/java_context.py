@@ -8,7 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from codelake.functions import patterns as p
 from codelake.functions.names import entry_path
-from codelake.functions.predicates import any_of, group, is_bare_brace, is_method_line, markers, matches, method_at, starts_with_any, stripped
+from codelake.functions.predicates import any_of, group, is_bare_brace, is_method_line, markers, matches, method_at, stripped
 from codelake.sources.files import around, by_file, of_files
 
 FILE_LINE = ["project", "path", "line_no"]
