@@ -577,13 +577,16 @@ def kept_bytes(raw: bytes, spans: list | np.ndarray | None, span: int) -> tuple[
     return b"".join(raw[e:s] for e, (s, _) in zip(ends, runs)) + raw[ends[-1] :], len(runs)
 
 
-def digests(docs: DataFrame, span: int = SPAN, words: int = PASSAGE_WORDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text), and n_passages, n_passage_bytes: maximal runs of strings of `words` words that stand anywhere else too, which span does not always reach, and their bytes. These two columns come from hashes; the others from the sorted suffixes."""
+def digests(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text). With `words` also n_passages, n_passage_bytes: maximal runs of strings of so many words that stand anywhere else too, which span does not always reach, and their bytes; these two come from hashes, the others from the sorted suffixes."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
-    found, again = repeats(texts, span), passages(texts, words, sort=False)
-    marked = rows.join(found, "rid", "left").join(again.withColumnRenamed("spans", "passages"), "rid", "left")
-    short = passage_span(words)
+    marked = rows.join(repeats(texts, span), "rid", "left")
+    if words is None:
+        marked = marked.withColumn("passages", F.array().cast(RANGES))
+    else:
+        marked = marked.join(passages(texts, words, sort=False).withColumnRenamed("spans", "passages"), "rid", "left")
+    short = passage_span(words or PASSAGE_WORDS)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
     def digest(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.DataFrame:
@@ -595,7 +598,8 @@ def digests(docs: DataFrame, span: int = SPAN, words: int = PASSAGE_WORDS) -> Da
             out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), m, len(raw) - len(rest)))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
 
-    return marked.select("doc_id", digest("text", "spans", "passages").alias("d")).select("doc_id", "d.*")
+    out = marked.select("doc_id", digest("text", "spans", "passages").alias("d")).select("doc_id", "d.*")
+    return out if words is not None else out.drop("n_passages", "n_passage_bytes")
 
 
 def passage_span(words: int) -> int:

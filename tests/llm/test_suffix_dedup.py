@@ -64,7 +64,7 @@ def test_equals_every_window(spark, rows, monkeypatch, bucket, slab):
         assert a[0] == 0 and b[-1] == len(raw) - S.SPAN and (a[1:] == b[:-1] + 1).all() and (m >= b).all() and (m <= a + S.SPAN - S.LEAD).all()
         return
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, rid int, m int").repartition(5)
-    got = S.digests(df).collect()
+    got = S.digests(df, words=51).collect()
     assert sorted(tuple(r)[:5] for r in got) == brute(rows, 400)
     assert sorted((r["doc_id"], r["n_passages"], r["n_passage_bytes"]) for r in got) == brute_passages(rows, 51)
 
