@@ -324,8 +324,8 @@ def sink_kinds(spark, sf_dir):
 @query("""SELECT o_orderkey, 'ma-' || left(sha256(lower('Tab_' || (o_orderkey % 9)) || '|jdbc_sql_literal|src/' || o_custkey || '.java|' || (o_orderkey % 500) || '|'), 16) AS hit_id FROM orders""")
 def stable_hit_id(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    table, file = F.concat(F.lit("Tab_"), (F.col("o_orderkey") % 9).cast("string")), F.concat(F.lit("src\\"), F.col("o_custkey").cast("string"), F.lit(".java"))
-    return o.select("o_orderkey", names.table_hit_id(table, F.lit("jdbc_sql_literal"), file, F.col("o_orderkey") % 500).alias("hit_id"))
+    name, file = F.concat(F.lit("Tab_"), (F.col("o_orderkey") % 9).cast("string")), F.concat(F.lit("src\\"), F.col("o_custkey").cast("string"), F.lit(".java"))
+    return o.select("o_orderkey", names.table_hit_id(name, F.lit("jdbc_sql_literal"), file, F.col("o_orderkey") % 500).alias("hit_id"))
 
 
 @query("""
@@ -500,7 +500,7 @@ def manifest_physical(spark, sf_dir):
 
 
 @query(f"SELECT * FROM (VALUES ('{HOME}OrderDao.java', 4, 'purge'), ('{HOME}OrderDao.java', 7, 'purge'), ('{HOME}Orders.java', 3, NULL)) t(file, line, java_method)")
-def rows_oftable(spark, sf_dir):
+def rows_of_table(spark, sf_dir):
     return table_refs.rows_of_table(table_refs.table_hits(samples.project(spark)), "app.ORDERS").select("file", "line", "java_method")
 
 
