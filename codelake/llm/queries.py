@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, packing, prefix_forest, suffix_dedup, url_filter
+from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, merkle_manifest, packing, prefix_forest, suffix_dedup, url_filter
 from codelake.llm.common import table
 
 
@@ -52,8 +52,12 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn)
+    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn, op13_merkle_manifest)
 }
 
 URL_SQL = r"""
@@ -129,4 +133,39 @@ WITH RECURSIVE words AS (
   SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE shared.n::DOUBLE / (a.n + b.n - shared.n) >= 0.8
 )""" + LINKED_SQL.format(id="doc_id", table="documents")
 
-ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL}
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest for sources of up to 16 ** levels rows, level by level; CRC-32 by a table that its polynomial gives."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    record = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    out = [
+        """crc0(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc0 WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM crc0 WHERE k = 8)""",
+        f"""rows AS MATERIALIZED (SELECT doc_id, coalesce(':' || source, '') AS tree, {record("text")} AS leaf,
+  CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0
+       THEN {record("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents, crc)""",
+        "s0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM rows)",
+        "a0 AS MATERIALIZED (SELECT tree, i AS pos, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM s0)",
+        "p0 AS MATERIALIZED (SELECT tree, i, doc_id, leaf, '' AS seen, coalesce(other, leaf) AS f FROM s0)",
+    ]
+
+    def grow(a: str, p: str) -> None:
+        for k in range(levels):
+            out.append(f"{a}{k + 1} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE max(d) END AS d, (max(n) + 15) // 16 AS n FROM {a}{k} GROUP BY tree, pos // 16)")
+            step = 16**k
+            out.append(f"""{p}{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (seen || coalesce(l, '') || coalesce(r, '') AS seen, CASE WHEN n > 1 THEN sha256(coalesce(l, '') || f || coalesce(r, '')) ELSE f END AS f)
+  FROM {p}{k} p JOIN (SELECT x.tree AS t, x.pos AS at, any_value(x.n) AS n, string_agg(y.d, '' ORDER BY y.pos) FILTER (y.pos < x.pos) AS l, string_agg(y.d, '' ORDER BY y.pos) FILTER (y.pos > x.pos) AS r
+    FROM {a}{k} x JOIN {a}{k} y ON x.tree = y.tree AND x.pos // 16 = y.pos // 16 GROUP BY x.tree, x.pos) s ON p.tree = s.t AND p.i // {step} = s.at)""")
+
+    grow("a", "p")
+    out += [
+        f"b0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, d, count(*) OVER () AS n, tree AS source FROM a{levels})",
+        f"q0 AS MATERIALIZED (SELECT '' AS tree, pos AS i, doc_id, leaf, d AS subroot, seen, f FROM p{levels} p JOIN b0 ON p.tree = b0.source)",
+    ]
+    grow("b", "q")
+    return f"""WITH RECURSIVE {", ".join(out)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(seen) AS proof_sha256, f AS folded_root, f = d AS verified FROM q{levels}, b{levels}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL, "op13_merkle_manifest": merkle_sql()}
