@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, merkle_manifest, packing, prefix_forest, suffix_dedup, url_filter
+from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, line_dedup, merkle_manifest, packing, prefix_forest, suffix_dedup, url_filter
 from codelake.llm.common import table
 
 
@@ -52,12 +52,16 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn, op13_merkle_manifest)
+    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn, op11_line_dedup, op13_merkle_manifest)
 }
 
 URL_SQL = r"""
@@ -134,6 +138,16 @@ WITH RECURSIVE words AS (
 )""" + LINKED_SQL.format(id="doc_id", table="documents")
 
 
+COMMON_LINES_SQL = r"""
+WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT rid, doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM numbered),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY rid
+"""
+
 
 def merkle_sql(levels: int = 6) -> str:
     """The manifest for sources of up to 16 ** levels rows, level by level; CRC-32 by a table that its polynomial gives."""
@@ -168,4 +182,4 @@ crc AS (SELECT list(c ORDER BY i) AS t FROM crc0 WHERE k = 8)""",
 SELECT doc_id, leaf, subroot, d AS root, sha256(seen) AS proof_sha256, f AS folded_root, f = d AS verified FROM q{levels}, b{levels}"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL, "op13_merkle_manifest": merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL, "op11_line_dedup": COMMON_LINES_SQL, "op13_merkle_manifest": merkle_sql()}
