@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, line_dedup, merkle_manifest, packing, prefix_forest, suffix_dedup, url_filter
+from codelake.llm import bpe_stream, byte_cnn, cross_polytope, importance, jaccard_join, license_scan, line_dedup, merkle_manifest, packing, prefix_forest, suffix_dedup, url_filter, vector_codes
 from codelake.llm.common import table
 
 
@@ -56,12 +56,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn, op11_line_dedup, op13_merkle_manifest)
+    f.__name__: f for f in (op1_prefix_forest, op2_url_filter, op3_cross_polytope, op4_jaccard_join, op5_bpe_stream, op6_suffix_dedup, op7_importance, op8_license_scan, op9_packing, op10_byte_cnn, op11_line_dedup, op12_vector_codes, op13_merkle_manifest)
 }
 
 URL_SQL = r"""
@@ -149,6 +153,25 @@ FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY rid
 """
 
 
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one by one, with the distances of all parts to all entries; a distance and its index in one number."""
+    out = [
+        f"""good AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0)""",
+        f"pieces AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM good, range({parts}) t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM pieces WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {entries} + e) AS m FROM pieces JOIN c{k} USING (p) GROUP BY r, p)")
+        if k < rounds:
+            out.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM c{k} LEFT JOIN (
+  SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM (SELECT p, m % {entries} AS e, i, sum(y) AS s, count(*) AS n FROM (SELECT p, m, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY p, e) USING (p, e))""")
+    return f"""WITH {", ".join(out)},
+coded AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM good JOIN coded USING (r), book"""
+
+
 def merkle_sql(levels: int = 6) -> str:
     """The manifest for sources of up to 16 ** levels rows, level by level; CRC-32 by a table that its polynomial gives."""
     field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
@@ -182,4 +205,4 @@ crc AS (SELECT list(c ORDER BY i) AS t FROM crc0 WHERE k = 8)""",
 SELECT doc_id, leaf, subroot, d AS root, sha256(seen) AS proof_sha256, f AS folded_root, f = d AS verified FROM q{levels}, b{levels}"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL, "op11_line_dedup": COMMON_LINES_SQL, "op13_merkle_manifest": merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_prefix_forest": NEAREST_SQL, "op2_url_filter": URL_SQL, "op3_cross_polytope": NEAR_VECTORS_SQL, "op4_jaccard_join": JACCARD_SQL, "op11_line_dedup": COMMON_LINES_SQL, "op12_vector_codes": codes_sql(), "op13_merkle_manifest": merkle_sql()}
