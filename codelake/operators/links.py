@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codelake.functions import patterns as p
 from codelake.functions.names import entity_class
 from codelake.functions.predicates import group, is_entity_of, matches, repository_call_score, starts_with_any, stripped
-from codelake.sources.files import by_file, java_files, lines
+from codelake.operators import intervals
+from codelake.sources.files import LINE_BREAK, by_file, java_files, lines
 
 
 def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -17,8 +18,7 @@ def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
     The statement is the last id within 48 lines up, also where its tag runs over several lines.
     """
     xml = files.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi")
-    window = F.array_join(F.collect_list("text").over(by_file().rowsBetween(-48, 0)), "\n")
-    each = lines(xml).withColumn("ids", F.regexp_extract_all(window, F.lit(p.STATEMENT_ID), 1)).select("project", "path", "line_no", F.trim(F.try_element_at("ids", F.lit(-1))).alias("statement_id"))
+    each = statements_at(asked, xml)
     spaces = xml.select("project", "path", F.trim(group(F.col("text"), p.MAPPER_NAMESPACE)).alias("namespace"))
     told = asked.select("project", "path", "line_no").join(spaces, ["project", "path"], "left").join(each, ["project", "path", "line_no"], "left").withColumn("rel", F.concat(F.translate("namespace", ".", "/"), F.lit(".java")))
     sources = java_files(files)
@@ -38,6 +38,29 @@ def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("project", F.col("path").alias("xml_file"), F.col("line_no").alias("xml_line"), "namespace", "statement_id", F.when(F.col("statement_id").isNotNull(), F.col("java_file")).alias("java_file"), F.col("at.line_no").alias("line"), F.when(F.col("at").isNotNull(), character).alias("character"), reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def statements(files: DataFrame) -> DataFrame:
+    """(project, path, first, last, statement_id): where the tag of each statement with an id begins, and where its id ends, as line numbers.
+
+    The text is cut at the tags, and their lines are running sums of the line breaks before them.
+    """
+    tag, breaks = F.lit(p.STATEMENT_ID), lambda c: F.size(F.regexp_extract_all(c, F.lit(LINE_BREAK), 0))
+    tagged = files.where(F.rlike("text", tag)).select("project", "path", F.split("text", p.STATEMENT_ID).alias("between"), F.regexp_extract_all("text", tag, 0).alias("tags"), F.regexp_extract_all("text", tag, 1).alias("ids"))
+    each = tagged.select("project", "path", F.posexplode(F.arrays_zip(F.slice("between", 1, F.size("ids")).alias("between"), F.col("tags"), F.col("ids"))).alias("i", "t"))
+    each = each.select("project", "path", "i", breaks(F.col("t.between")).alias("above"), breaks(F.col("t.tags")).alias("within"), F.trim("t.ids").alias("statement_id"))
+    so_far = F.sum(F.col("above") + F.col("within")).over(Window.partitionBy("project", "path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return each.select("project", "path", (so_far - F.col("within") + 1).cast("int").alias("first"), (so_far + 1).cast("int").alias("last"), "statement_id")
+
+
+def statements_at(asked: DataFrame, files: DataFrame, most: int = 48) -> DataFrame:
+    """asked(project, path, line_no) -> the last statement whose id ends at the line or above, if its tag begins within `most` lines up: one pass over statements and lines in order."""
+    found = statements(files).select("project", "path", F.col("last").alias("line_no"), F.struct("first", "statement_id").alias("s"))
+    both = found.withColumn("ask", F.lit(0)).unionByName(asked.select("project", "path", "line_no", F.lit(None).cast("struct<first: int, statement_id: string>").alias("s"), F.lit(1).alias("ask")))
+    # of statements that end on one line the last begins last
+    order = Window.partitionBy("project", "path").orderBy("line_no", "ask", "s.first").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("s", F.last("s", True).over(order)).where("ask = 1")
+    return told.select("project", "path", "line_no", F.when(F.col("s.first") >= F.col("line_no") - most, F.col("s.statement_id")).alias("statement_id")).distinct()
+
+
 def repository_calls(tables: DataFrame, files: DataFrame) -> DataFrame:
     """tables(project, table) -> the service method that works most on the table's repository: class file, field, method, line, score."""
     named = tables.select("project", "table", F.concat(entity_class(F.col("table")), F.lit("Repository")).alias("repository"))
@@ -69,18 +92,20 @@ def entity_files(tables: DataFrame, files: DataFrame, hits: DataFrame | None = N
 
 
 def smallest_around(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, order: list[str]) -> DataFrame:
-    """Each point with the shortest range of its group that holds it (an interval join, then an arg-min)."""
+    """Each point with the shortest range of its group that holds it; by blocks where places are whole numbers, else (few ranges, such as classes of prices) by an interval join and an arg-min."""
+    kinds = dict(points.dtypes) | dict(ranges.dtypes)
+    if all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in (at, start, end)):
+        return intervals.innermost(points, ranges, by, F.col(at), F.col(start), F.col(end), [F.col(end) - F.col(start), *map(F.col, order)])
     held = points.join(ranges, by).where(F.col(at).between(F.col(start), F.col(end)))
     keys = [*by, *[c for c in points.columns if c not in by]]
     return held.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(end) - F.col(start), *order))).where("r = 1").drop("r")
 
 
 def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """points(path, line, character) -> the innermost symbol there."""
-    spot = F.struct(F.col("line").alias("l"), F.col("character").alias("c"))
-    held = points.join(symbols, "path").where((spot >= F.struct(F.col("start_line").alias("l"), F.col("start_char").alias("c"))) & (spot <= F.struct(F.col("end_line").alias("l"), F.col("end_char").alias("c"))))
-    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("end_char") - F.col("start_char"))
-    return held.withColumn("r", F.row_number().over(Window.partitionBy("path", "line", "character").orderBy(size, "sym_id"))).where("r = 1").drop("r")
+    """points(path, line, character) -> the innermost symbol there. A character beyond the first million of a line counts as that."""
+    place = lambda line, c: F.col(line).cast("long") * (1 << 20) + F.least(F.col(c).cast("long"), F.lit((1 << 20) - 1))
+    size = [F.col("end_line") - F.col("start_line"), F.col("end_char") - F.col("start_char"), F.col("sym_id")]
+    return intervals.innermost(points, symbols, ["path"], place("line", "character"), place("start_line", "start_char"), place("end_line", "end_char"), size)
 
 
 def mapper_anchors(hits: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

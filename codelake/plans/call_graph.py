@@ -245,16 +245,26 @@ def shown_chain(chain: Column) -> Column:
     return F.array_join(F.transform(top, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit("  "), i), F.lit("└─ "), x))), "\n")
 
 
-def shown_tree(edges: DataFrame, seed: str, spark: SparkSession, max_depth: int = 8) -> DataFrame:
-    """(path, line) of the calls below a seed as an indented tree; callees in order, `(cycle)` where a path meets itself."""
+def shown_tree(edges: DataFrame, seed: str, spark: SparkSession, max_depth: int = 8, most: int | None = None) -> DataFrame:
+    """(path, line) of the calls below a seed as an indented tree; callees in order, `(cycle)` where a path meets itself.
+
+    With `most`, the first so many rows of it: of each level only the first `most` paths are made, since a path among the
+    first of the tree is among the first of its level, as are those above it; so the work is bounded by the rows shown
+    and the levels, however many paths there are.
+    """
     ways = edges.select("src_key", "dst_key").distinct()
+    if most is not None:
+        first = F.row_number().over(Window.partitionBy("src_key").orderBy("dst_key"))
+        ways = written(ways.withColumn("r", first).where(F.col("r") <= most).drop("r"))
     level = spark.createDataFrame([([seed], False)], "path array<string>, cycle boolean")
     rows = level
     for _ in range(max_depth):
         step = level.where("NOT cycle").withColumn("src_key", F.element_at("path", -1)).join(ways, "src_key")
-        level = written(step.select(F.concat("path", F.array("dst_key")).alias("path"), F.array_contains("path", F.col("dst_key")).alias("cycle")))
+        told = step.select(F.concat("path", F.array("dst_key")).alias("path"), F.array_contains("path", F.col("dst_key")).alias("cycle"))
+        level = written(told if most is None else told.orderBy("path").limit(most))
         if level.isEmpty():
             break
         rows = rows.union(level)
     depth = F.size("path") - 1
-    return rows.select("path", F.concat(F.repeat(F.lit("  "), depth), F.element_at("path", -1), F.when(F.col("cycle"), " (cycle)").otherwise("")).alias("line")).orderBy("path")
+    out = rows.select("path", F.concat(F.repeat(F.lit("  "), depth), F.element_at("path", -1), F.when(F.col("cycle"), " (cycle)").otherwise("")).alias("line")).orderBy("path")
+    return out if most is None else out.limit(most)

@@ -125,12 +125,18 @@ def entry_reports(traced: dict[str, DataFrame]) -> DataFrame:
     beans = ends.groupBy("seed", "file").agg(F.min("class").alias("class"), F.count("*").alias("n")).groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.concat("file", F.lit(" "), "class", F.lit(": "), F.col("n").cast("string")))), 1, reports.REPORT_BEANS).alias("beans"))
     best = scored.where("business_candidate").groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("business_score")).alias("o"), shown.alias("m"), F.col("business_score").alias("score")))), 1, reports.REPORT_KEY_METHODS).alias("best"))
     calls = edges.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.concat("src_key", F.lit(" -> "), "dst_key", F.when(F.col("is_implementation"), " (implementation)").otherwise("")))), 1, reports.REPORT_EDGES).alias("calls"))
+    # the graph itself, in the order in which nodes were found, as saved_reports reads it
+    node = F.struct("class", "method", "file", "line", *[F.col(c).alias(n) for c, n in (("is_rest", "isRest"), ("is_transactional", "isTransactional")) if c in nodes.columns])
+    listed = nodes.groupBy("seed").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "key", node.alias("n")))), lambda x: F.struct(x["key"], x["n"]))).alias("nodes"))
+    arrows = edges.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct(F.col("src_key").alias("from"), F.col("dst_key").alias("to"), F.col("is_implementation").alias("syntheticImplementation")))).alias("edges"))
+    ranked = scored.where("business_candidate").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct((-F.col("business_score")).alias("o"), "class", "method", "key", "file", "business_signals"))).alias("r"))
+    named = ranked.select("seed", F.transform("r", lambda x: F.struct(x["key"].alias("nodeKey"), x["class"].alias("class"), x["method"].alias("method"), x["file"].alias("file"), (-x["o"]).alias("score"), x["business_signals"].alias("signals"))).alias("keyMethods"))
     each = traced["rows"]
-    for part in (sinks, beans, best, calls):
+    for part in (sinks, beans, best, calls, listed, arrows, named):
         each = each.join(part, "seed", "left")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     ranked = F.coalesce(F.transform("best", lambda x: F.concat(x["m"], F.lit(" ("), x["score"].cast("string"), F.lit(")"))), F.array().cast("array<string>"))
     counts = F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("node_count", "edge_count", "implementation_edges", "stop_reason")])
-    payload = reports.with_anchor(F.struct(F.struct("seed").alias("query"), F.struct("node_count", "edge_count", "implementation_edges", "stop_reason").alias("stats")), "restMapAnchor", F.struct("entry_id", "kind", "file", "line"))
+    payload = reports.with_anchor(F.struct(F.struct("seed").alias("query"), F.struct("node_count", "edge_count", "implementation_edges", "stop_reason").alias("stats"), "nodes", "edges", F.coalesce("keyMethods", F.expr("CAST(array() AS array<struct<nodeKey: string, class: string, method: string, file: string, score: bigint, signals: array<string>>>)")).alias("keyMethods")), "restMapAnchor", F.struct("entry_id", "kind", "file", "line"))
     text = F.concat(F.lit("# Calls below "), F.col("seed"), F.lit("\n\n"), _bullets("Summary", counts), _bullets("Sinks", empty("sinks")), _bullets("Accessors", empty("beans")), _bullets("Key methods", ranked), _bullets("Edges", empty("calls")), _fenced(payload))
     return each.select("entry_id", text.alias("value"))

@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codelake.functions import names
 from codelake.operators import entry_points, structure, table_refs
-from codelake.plans import call_graph, chain_drivers, reports, trace_starts
+from codelake.plans import call_graph, chain_drivers, reports, saved_reports, trace_starts
 from codelake.sources import files as source
 
 
@@ -53,6 +54,7 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
     def keep(step: str, name: str, df: DataFrame) -> None:
         path = f"{folder}/{name}"
         reports.write_json(df, path)
+        _document(os.path.join(folder, "schemas"), f"{name}.json", df.schema.json())
         made[name] = spark.read.schema(df.schema).json(path)
         bundle.summary[name] = made[name].count()
 
@@ -92,13 +94,12 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
             path = f"{folder}/{name}"
             if not os.path.isdir(path):
                 raise ValueError(f"{name} was not made, and an earlier run left none in {folder}")
-            made[name] = spark.read.json(path)
+            with open(os.path.join(folder, "schemas", f"{name}.json"), encoding="utf-8") as f:
+                made[name] = spark.read.schema(StructType.fromJson(json.load(f))).json(path)
         return made[name]
 
     def table_up() -> None:
         hits = saved("tables-hits")
-        for c, kind in (("java_method", "string"), ("java_method_line", "long")):  # a column that is null all over is not in the file
-            hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast(kind))
         asked = None if user_tables is None else hits.select("project").distinct().crossJoin(F.broadcast(user_tables.select(names.physical_table(F.col("name")).alias("table")).distinct()))
         anchors, errors = chain_drivers.table_anchors(files, hits, asked)
         chains, lost = chain_drivers.table_callers(anchors, index["call_nodes"], edges(), options.max_depth_up, options.most_chains)
@@ -120,8 +121,16 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
         chain_drivers.entry_reports(traced).write.mode("overwrite").partitionBy("entry_id").text(f"{folder}/entry-down")
 
     def business() -> None:
+        """From this run's traces, else from the reports that earlier runs, or others, saved in the folder."""
         if "key-methods" in made:
-            _document(folder, "business.md", reports.business_report(call_graph.merged_key_methods(made["key-methods"])))
+            merged = call_graph.merged_key_methods(made["key-methods"])
+        else:
+            told = saved_reports.payloads(spark, folder)
+            if told.isEmpty():
+                raise ValueError(f"no trace of this run, and no saved report in {folder}")
+            merged = saved_reports.key_methods(told, files)
+        keep("business", "merged-key-methods", merged)
+        _document(folder, "business.md", reports.business_report(made["merged-key-methods"]))
 
     run = {"modules": modules, "entrypoints": entries, "rest-map": rest_map, "db-tables": tables, "symbols": symbols, "keyword-up": keyword_up, "table-up": table_up, "entry-down": entry_down, "business": business}
     needs_index = {"keyword-up", "table-up", "entry-down"}

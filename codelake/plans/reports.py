@@ -27,9 +27,9 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+def read_reports(spark: SparkSession, folder: str, globs: str = "*.{json,md}") -> DataFrame:
     """(path, payload) of the saved reports below a folder, JSON and Markdown, each file once."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,md}").text(folder, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", globs).text(folder, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), report_payload(F.col("value")).alias("payload")).where("payload IS NOT NULL").dropDuplicates(["path"])
 
 
@@ -105,7 +105,7 @@ def subgraph_report(seed: str, nodes: DataFrame, edges: DataFrame, stats: dict,
     """A Markdown report of a downward trace: sinks by kind, the tree, folded accessors, key methods, edges; each list capped as noted."""
     scored = call_graph.business_scores(nodes, edges, spark.createDataFrame([(seed,)], "key string"))
     buckets = call_graph.sink_buckets(nodes, edges).orderBy("kind", F.desc("is_leaf")).collect()
-    tree = call_graph.shown_tree(edges, seed, spark, stats["max_depth"]).limit(REPORT_EDGES).collect()
+    tree = call_graph.shown_tree(edges, seed, spark, stats["max_depth"], REPORT_EDGES).collect()
     folded = call_graph.folded_accessors(nodes, edges, seed)[2].orderBy("key", "bean", "kind").limit(REPORT_BEANS).collect()
     beans = call_graph.accessor_leaves(nodes, edges).orderBy("file").limit(REPORT_LEAVES).collect()
     added = edges.where("is_implementation").count() if "is_implementation" in edges.columns else 0

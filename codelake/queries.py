@@ -582,4 +582,4 @@ def saved_report(spark, sf_dir):
     return spark.range(1).select(payload.alias("p")).select("p.project", F.size("p.hits").cast("long").alias("hits"))
 
 
-from codelake import source_queries  # noqa: E402, F401  registers its queries
+from codelake import graph_queries, source_queries  # noqa: E402, F401  register their queries

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once: lineage ends, and a lost executor costs nothing. Only a local session gets a folder of its own where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a local session gets one of its own where none is set."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder there that nobody has used yet."""
+    return f"{shared_folder(spark).rstrip('/')}/codelake-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once: lineage ends, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
