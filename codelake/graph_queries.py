@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.plans import call_graph, chain_counts, saved_reports
+from codelake.plans import call_graph, chain_counts, saved_reports, symbol_index
 from codelake.registry import query, table
+from codelake.sources import files as source
 from codelake.sources.store import new_folder
 
 
@@ -99,3 +100,44 @@ def report_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelake.queries import _edges
 
     return call_graph.shown_tree(_edges(spark, sf_dir), "r1", spark, 8, 200).select("line", F.array_join("path", "/").alias("path"))
+
+
+# -- calls that scopes resolve, over sources that orders give ----------------------
+
+SQL_WORKERS = """
+o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER w - 1 AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+m AS (SELECT *, 'src/main/java/com/shop/p' || (c % 7) || '/Svc' || c || '.java:' || (5 + 6 * i) || ':get' || k AS src FROM o)"""
+
+
+def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files: for each customer a class whose methods, one an order, call a field's, a parent's, a parameter's and an unknown type's methods; what they call is in other packages, or in the same one."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
+    c, place = F.col("c"), lambda *parts: text("src/main/java/com/shop/", *parts, ".java")
+    by = orders.groupBy("c").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    head = F.array(
+        text("package com.shop.p", c % 7, ";"), F.when(c % 2 == 0, F.lit("import com.shop.q.*;")).otherwise(text("import com.shop.q.Repo", c % 10, ";")), text("public class Svc", c, " extends Base implements Listed {"),
+        text("  private final Repo", c % 10, " repo = new Repo", c % 10, "();"),
+    )
+    body = F.flatten(F.transform("keys", lambda k: F.array(text("  public void get", k, "(final Task task, int n) {"), F.lit('    repo.save(n, "a,b(");'), F.lit("    log(max(n, (1 + 2)));"), F.lit("    task.done(); // log(n, n)"), F.lit("    other.flush();"), F.lit("  }"))))
+    sources = by.select(place("p", c % 7, "/Svc", c).alias("path"), F.array_join(F.concat(head, body, F.array(F.lit("}"))), "\n").alias("text"))
+    r = F.col("r")
+    repos = orders.select((c % 10).alias("r")).distinct().select(place("q/Repo", r).alias("path"), text("package com.shop.q;\npublic class Repo", r, " {\n  public void save(int a) { }\n  public void save(int a, String b) { }\n  public void flush() { }\n}\n").alias("text"))
+    shared = orders.select((c % 7).alias("r")).distinct()
+    bases = shared.select(place("p", r, "/Base").alias("path"), text("package com.shop.p", r, ";\nabstract class Base {\n  protected void log(int n) {\n    flush();\n  }\n}\n").alias("text"))
+    tasks = shared.select(place("p", r, "/Task").alias("path"), text("package com.shop.p", r, ";\npublic interface Task {\n}\n").alias("text"))
+    done = shared.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("r") % 3))).select(place("p", r, "/Task", F.col("x")).alias("path"), text("package com.shop.p", r, ";\nclass Task", F.col("x"), " implements Task {\n  public void done() {\n  }\n}\n").alias("text"))
+    return source.as_files(sources.union(repos).union(bases).union(tasks).union(done).select(F.lit("shop").alias("project"), "path", "text"))
+
+
+@query(f"""WITH {SQL_WORKERS}, p AS (SELECT DISTINCT c % 7 AS p FROM o), q AS (SELECT DISTINCT c % 10 AS q FROM o), t AS (SELECT p, unnest(range(p % 3 + 1)) AS x FROM p),
+done AS (SELECT p, 'src/main/java/com/shop/p' || p || '/Task' || x || '.java:3:done' AS key FROM t),
+e AS (
+  SELECT src, 'src/main/java/com/shop/q/Repo' || (c % 10) || '.java:4:save' AS dst, 'save' AS name, 'resolved' AS how FROM m
+  UNION ALL SELECT src, 'src/main/java/com/shop/p' || (c % 7) || '/Base.java:3:log', 'log', 'resolved' FROM m
+  UNION ALL SELECT src, CASE WHEN c % 7 % 3 = 0 THEN 'src/main/java/com/shop/p' || (c % 7) || '/Task0.java:3:done' ELSE 'com.shop.p' || (c % 7) || '.Task#done/0' END, 'done', CASE WHEN c % 7 % 3 = 0 THEN 'resolved' ELSE 'implementation' END FROM m
+  UNION ALL SELECT 'com.shop.p' || p || '.Task#done/0', key, 'done', 'implementation' FROM done WHERE p % 3 > 0
+  UNION ALL SELECT src, '*#flush/0', 'flush', 'ambiguous' FROM m
+  UNION ALL SELECT '*#flush/0', 'src/main/java/com/shop/q/Repo' || q || '.java:5:flush', 'flush', 'ambiguous' FROM q)
+SELECT 'shop' AS project, src AS src_key, dst AS dst_key, name AS dst_name, how AS edge_source FROM e""")
+def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbol_index.derived_edges(source.lines(workers(spark, sf_dir)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codelake.functions.predicates import entry_tier, method_at, matches
 from codelake.operators.links import symbol_at
-from codelake.plans import call_graph
+from codelake.plans import call_graph, scope_calls
 
 CLASS_KINDS = [5, 10, 11]
 METHOD_KIND = 6
@@ -132,14 +132,8 @@ def derived_symbols(lines: DataFrame) -> DataFrame:
 
 
 def derived_edges(lines: DataFrame) -> DataFrame:
-    """Approximate calls from the text: a name before `(` inside a method, joined to declarations of that name. It takes overloads together and sees no reflection."""
-    methods = derived_symbols(lines)
-    inside = lines.join(methods, ["project", "path"]).where("line_no > start_line AND (end_line IS NULL OR line_no <= end_line)")
-    called = inside.select("project", "path", "name", "start_line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\w+)\s*\("), 1))).alias("callee"))
-    known = methods.select("project", F.col("name").alias("callee"), F.col("path").alias("callee_path"), F.col("start_line").alias("callee_line"))
-    key = lambda path, line, name: F.concat_ws(":", path, line.cast("string"), name)
-    out = called.join(known, ["project", "callee"]).select(key(F.col("path"), F.col("start_line"), F.col("name")).alias("src_key"), key(F.col("callee_path"), F.col("callee_line"), F.col("callee")).alias("dst_key"), F.col("callee").alias("dst_name"), F.lit("heuristic").alias("edge_source"))
-    return out.distinct()
+    """Approximate calls from the text: receivers are resolved by scopes, imports and types, and calls are joined by type, name and number of arguments; see scope_calls."""
+    return scope_calls.scoped_edges(lines)
 
 
 def analyze(index: dict[str, DataFrame], operation: str, path: str = "", line: int = 0, character: int = 0, query: str = "") -> DataFrame:

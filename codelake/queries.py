@@ -525,9 +525,9 @@ def node_flags(spark, sf_dir):
     return flagged.select("key", F.substring_index("file", "/", -1).alias("name"), "line", "is_rest", "is_message_listener", "is_async_method", F.array_join("listener_markers", ",").alias("listeners"))
 
 
-@query("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll'), ('findAll', 'findAll'), ('save', 'save'), ('count', 'count')) t(caller, callee)")
+@query("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll')) t(caller, callee)")
 def derived_calls(spark, sf_dir):
-    """Calls guessed from the text: names before a bracket that some source declares."""
+    """Calls guessed from the text: of receivers whose type some source declares or implements."""
     edges = symbol_index.derived_edges(source.lines(source.java_files(samples.project(spark))))
     return edges.select(F.substring_index("src_key", ":", -1).alias("caller"), F.col("dst_name").alias("callee")).distinct()
 
