@@ -70,7 +70,7 @@ def _output(spark: SparkSession, a: argparse.Namespace):
         if a.command == "analyze":
             return symbol_index.analyze(index, a.operation, a.file, a.line, a.char, a.query)
         edges = call_graph.with_implementations(index["call_edges"], index["impl_edges"])
-        files = source.read_files(spark, source.project_root(a.path))
+        files = source.read_tree(spark, [source.project_root(a.path)])
         seeds = _seeds(index, a, files)
         if a.command == "callchain-up":
             chains = call_graph.trace_up(edges, index["call_nodes"], seeds, a.max_depth if a.max_depth is not None else 20)
@@ -86,7 +86,7 @@ def _output(spark: SparkSession, a: argparse.Namespace):
             if a.format != "markdown":
                 return found.select("src_key", "dst_key", "is_implementation", F.lit(None).cast("string").alias("bean"), F.lit(None).cast("array<string>").alias("accessors")).union(folded.select("key", F.lit(None).cast("string"), F.lit(None).cast("boolean"), "bean", "accessors"))
         return reports.subgraph_report(starts[0], full, found, stats, spark) if a.format == "markdown" else found
-    files = source.read_files(spark, source.project_root(a.path))
+    files = source.read_tree(spark, [source.project_root(a.path)])
     if a.command == "java-grep":
         hits = text_search.search(source.java_files(files), a.query, a.max_hits)
         return reports.hit_text(hits) if a.format == "text" else hits

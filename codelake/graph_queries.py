@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelake.plans import call_graph, chain_counts, saved_reports, symbol_index
-from codelake.registry import query, table
+from codelake.operators import search_index
+from codelake.registry import SQL, query, table
 from codelake.sources import files as source
 from codelake.sources.store import new_folder
 
@@ -141,3 +142,37 @@ e AS (
 SELECT 'shop' AS project, src AS src_key, dst AS dst_key, name AS dst_name, how AS edge_source FROM e""")
 def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbol_index.derived_edges(source.lines(workers(spark, sf_dir)))
+
+
+# -- a search by an index ------------------------------------------------------------
+
+@query(SQL["grep_lines_topk"])
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of a search over all documents, of which only those that an index names are read."""
+    from codelake.queries import _document_files
+
+    folder = new_folder(spark)
+    search_index.write_index(_document_files(spark, sf_dir), folder)
+    return search_index.search(spark, folder, "License|@")
+
+
+# -- the scores of many traces --------------------------------------------------------
+
+@query("""
+WITH c AS (SELECT c_custkey AS c, n_regionkey AS r, n_nationkey AS n, count(o_orderkey) AS orders FROM nation JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+s AS (
+  SELECT r, 0 AS score, sum(orders) + 1 AS n FROM c GROUP BY r
+  UNION ALL SELECT r, CASE WHEN orders > 0 THEN 4 ELSE 1 END, count(*) FROM c GROUP BY ALL
+  UNION ALL SELECT r, CASE WHEN orders > 0 THEN 6 ELSE 3 END, count(*) FROM (SELECT r, n, sum(orders) AS orders FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT 'r' || r AS seed, CAST(score AS BIGINT) AS score, CAST(sum(n) AS BIGINT) AS methods FROM s GROUP BY ALL
+""")
+def trace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods below every region by their score; what reaches a database is found once for all of them."""
+    from codelake.queries import _edges, _nodes
+
+    edges = _edges(spark, sf_dir)
+    nodes = _nodes(spark, sf_dir).select("key", "class", F.lit("run(x)").alias("method"), F.lit("src/X.java").alias("file"), F.startswith("key", F.lit("r")).alias("is_rest"), F.lit(False).alias("is_transactional"))
+    seeds = table(spark, sf_dir, "region").select(text("r", F.col("r_regionkey")).alias("key"))
+    found, called, stats = call_graph.trace_down_all(edges, seeds, max_depth=8, max_nodes=10**9, max_branches=10**9)
+    scored = call_graph.trace_scores(found.join(nodes, "key"), called, stats, nodes, edges)
+    return scored.groupBy("seed", F.col("business_score").alias("score")).agg(F.count("*").alias("methods"))

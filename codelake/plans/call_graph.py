@@ -168,21 +168,24 @@ def first_root(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return roots(nodes, edges).select("key", *order[:-1]).orderBy(*order).limit(1).select("key")
 
 
-def business_scores(nodes: DataFrame, edges: DataFrame, root: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def business_scores(nodes: DataFrame, edges: DataFrame, root: DataFrame | None = None, by: str | None = None, below: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
     """nodes(key, class, method, file, is_rest, is_transactional) with business_score, business_signals and business_candidate.
 
     Services count 2, being called twice or more up to 3, reaching a database 3, a transaction 2, standing below the
     root 1; controllers, persistence and accessors that call nothing count 0. Candidates have 4 or more. With `by`, a
-    column of nodes, edges and roots (which then must be given), each of its values is a graph of its own.
+    column of nodes, edges and roots (which then must be given), each of its values is a graph of its own. What stands
+    below the root, and what reaches a database, are searched for where they are not given, as tables of keys.
     """
     keys = [by] if by else []
     cls, file, method = F.col("class"), F.col("file"), F.col("method")
     kinds = nodes.withColumn("sink", q.sink_kind(cls, file, method))
-    start = root if root is not None else first_root(nodes, edges)
-    below = depths(edges, start, by=by).where("depth >= 1").select(*keys, "key", F.lit(True).alias("below_root"))
-    reach = reaching(edges, kinds.where("sink = 'database'").select(*keys, "key"), by=by).withColumn("reaches", F.lit(True))
-    on = [*keys, "key"]
-    told = kinds.join(in_degree(edges, by), on, "left").join(below, on, "left").join(reach, on, "left")
+    if below is None:
+        below = depths(edges, root if root is not None else first_root(nodes, edges), by=by).where("depth >= 1")
+    if reach is None:
+        reach = reaching(edges, kinds.where("sink = 'database'").select(*keys, "key"), by=by)
+    below, on = below.select(*keys, "key", F.lit(True).alias("below_root")), [*keys, "key"]
+    within = [c for c in on if c in reach.columns]
+    told = kinds.join(in_degree(edges, by), on, "left").join(below, on, "left").join(reach.select(*within, F.lit(True).alias("reaches")), within, "left")
     degree = F.coalesce("in_degree", F.lit(0))
     none = (F.col("sink") == "database") | q.is_controller_layer(cls, file, F.col("is_rest"))
     accessor = q.is_accessor(method)
@@ -199,6 +202,23 @@ def business_scores(nodes: DataFrame, edges: DataFrame, root: DataFrame | None =
     return out.withColumn("business_candidate", F.col("business_score") >= 4)
 
 
+def trace_scores(found: DataFrame, called: DataFrame, stats: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """business_scores of many downward traces: found (nodes by seed, with their depth and what is known of them), called and stats as `trace_down_all` gives them; nodes and edges are the whole graph.
+
+    All of a trace stands below its seed. A trace that was not cut holds all that its nodes reach, so one search back
+    from the databases of the whole graph serves all of these; only those that limits cut are searched one by one.
+    """
+    whole = stats.where("stop_reason = 'complete' AND expanded_count = node_count").select("seed")
+    part = lambda df, how: df.join(whole, "seed", how)
+    below = found.where("depth >= 1").select("seed", "key")
+    sinks = nodes.where(q.sink_kind(F.col("class"), F.col("file"), F.col("method")) == "database").select("key")
+    complete = business_scores(part(found, "left_semi"), part(called, "left_semi"), by="seed", below=below, reach=reaching(edges, sinks))
+    cut = stats.join(whole, "seed", "left_anti")
+    if cut.isEmpty():
+        return complete
+    return complete.unionByName(business_scores(part(found, "left_anti"), part(called, "left_anti"), by="seed", below=below))
+
+
 def key_methods(scored: DataFrame) -> DataFrame:
     return scored.where("business_candidate").orderBy(F.desc("business_score"), "class", "method")
 

@@ -99,8 +99,7 @@ def entry_callees(entries: DataFrame, nodes: DataFrame, edges: DataFrame, max_de
     added = called.where("is_implementation").groupBy("seed").agg(F.count("*").alias("implementation_edges"))
     rows = placed.join(stats, "seed").join(added, "seed", "left").withColumn("implementation_edges", F.coalesce("implementation_edges", F.lit(0)))
     lost = entries.join(placed.select("entry_id").distinct(), "entry_id", "left_anti").withColumn("reason", F.lit("no method in the call index"))
-    roots = found.where("depth = 0").select("seed", "key")
-    return {"nodes": full, "edges": called, "rows": rows, "errors": lost, "scored": call_graph.business_scores(full, called, roots, by="seed")}
+    return {"nodes": full, "edges": called, "rows": rows, "errors": lost, "scored": call_graph.trace_scores(full, called, written(stats), nodes, edges)}
 
 
 def entry_key_methods(traced: dict[str, DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from codelake.functions import patterns as p
 from codelake.functions.predicates import group, stripped
+from codelake.sources import tree
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\u0085  ]"
@@ -32,11 +33,18 @@ def project_root(path: str) -> str:
         at = up
 
 
+def read_tree(spark: SparkSession, roots: list[str], globs: str = tree.GLOBS, project: str = "") -> DataFrame:
+    """files(project, path, name, ext, text) below folders that all executors see, walked in parallel; folders of build output are never listed, and what lies under several roots comes once."""
+    spark.dataSource.register(tree.SourceTree)
+    raw = spark.read.format(tree.NAME).option("globs", globs).load(os.pathsep.join(roots))
+    return as_files(raw.select(F.lit(project).alias("project"), "path", "text"), overlapping=len(roots) > 1)
+
+
 def read_files(spark: SparkSession, root: str, globs: str = "*.{java,xml,gradle,kts,kt}", project: str = "") -> DataFrame:
-    """files(project, path, name, ext, text): every file under a root, whole, by its path below the root; folders of build output are left out."""
+    """files(project, path, name, ext, text): every file under a root, whole, by its path below the root; folders of build output are left out. By Spark's own reader, for stores that are not mounted as folders."""
     raw = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", globs).option("ignoreCorruptFiles", "true").text(root, wholetext=True)
-        .select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")).alias("full"), F.regexp_replace("value", r"^﻿", "").alias("text"))
+        .select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")).alias("full"), F.regexp_replace("value", r"^\ufeff", "").alias("text"))
     )
     base = os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
     return as_files(raw.select(F.lit(project).alias("project"), F.when(F.startswith("full", F.lit(base)), F.substring("full", len(base) + 1, 1 << 20)).otherwise(F.col("full")).alias("path"), "text"))

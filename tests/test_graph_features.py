@@ -137,3 +137,18 @@ def test_saved_reports_of_many_shapes(spark, tmp_path):
     # a service that a database stands below, called twice: 2 + 2 + 3
     assert got == {("a.X", "m()", "X.java"): (9, ["sub/b.md"]), ("a.OrderService", "run()", "S.java"): (8, ["sub/b.md"]), ("a.Y", "", ""): (0, ["sub/b.md"])}
     assert [(r["class"], r["score"]) for r in saved_reports.scored_key_methods(told.where("source = 'a.json'")).collect()] == [("a.OrderService", 7)]
+
+
+@pytest.mark.parametrize("most,depth", [(10**6, 50), (6, 50), (10**6, 2)])
+def test_scores_of_many_traces_equal_those_of_each(spark, most, depth):
+    """Whether or not limits cut the traces."""
+    rows, _ = graph(11, 24, 40)
+    edges = spark.createDataFrame(rows, "src_key string, dst_key string, dst_name string")
+    kinds = ["OrderService", "OrderDao", "Helper", "OrderController"]
+    nodes = spark.createDataFrame([(f"k{i}", f"a.{kinds[i * 7 % 4] if i % 5 else 'Helper'}", "run(x)", f"a/F{i}.java", False, i % 6 == 0) for i in range(24)], "key string, class string, method string, file string, is_rest boolean, is_transactional boolean")
+    found, called, stats = call_graph.trace_down_all(edges, nodes.select("key").where("key < 'k16'"), depth, most, 10**6)
+    full = found.join(nodes, "key")
+    want = call_graph.business_scores(full, called, found.where("depth = 0").select("seed", "key"), by="seed")
+    pick = lambda df: sorted((r["seed"], r["key"], r["business_score"], tuple(r["business_signals"])) for r in df.collect())
+    got = pick(call_graph.trace_scores(full, called, stats, nodes, edges))
+    assert got == pick(want) and len(got) == found.count()
