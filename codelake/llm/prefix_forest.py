@@ -10,12 +10,12 @@ are merged by a ranking that keeps k rows a partition before it shuffles.
 
 `WANTED` is a number for each query and shard, whatever the shard holds; a shard with fewer entries than that is
 searched whole. Independent directions in 64 dimensions have no near neighbours to speak of (the fifth best of 50 000 is
-at about 58 degrees), so a high recall of these takes about a quarter of a full shard; data with close neighbours find
-them among the longest prefixes and can do with a far smaller number.
+at about 58 degrees), so a high recall of these takes about 40 % of a full shard; data with close neighbours find
+them among the longest prefixes and could do with a far smaller number, which is an argument.
 
 Null vectors, and those that are zero or hold null or non-finite components, neither ask nor answer. Vectors of
-different lengths are not compared. Repeated rows stay separate rows, but a query never returns its own id. Ties go to
-the smaller id. An empty table gives an empty table; other columns of the input are not read.
+different lengths are not compared. Repeated rows stay separate rows: each asks on its own, and all but itself answer,
+rows of its own id and equal ones too. Ties go to the smaller id. An empty table gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ SHARD_VALUES = 1 << 20
 QUERY_ROWS = 8192
 WANTED = 6144
 SEED = 11
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "dim int, block int, query_row long, query_id long, vec_id long, score double"
 
 
 class Forest:
@@ -82,8 +82,16 @@ def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.cumsum(x * y, axis=1)[:, -1]
 
 
-def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, wanted: int, trees: int = TREES) -> pd.DataFrame:
-    """The k best candidates of one shard for each query."""
+def in_order(df: pd.DataFrame, side: str) -> tuple[pd.DataFrame, np.ndarray, list[tuple]]:
+    """Rows by id and vector, their vectors, and a name for each: id, vector, and the how-manieth equal row it is."""
+    keys = [f"{side}_id", "bits"]
+    named = df.assign(bits=[np.asarray(v, dtype=np.float64).tobytes() for v in df[f"{side}_vector"]]).sort_values(keys, kind="stable", ignore_index=True)
+    nth = named.groupby(keys, sort=False).cumcount()
+    return named, np.frombuffer(b"".join(named["bits"]), dtype=np.float64).reshape(len(named), -1), list(zip(named[keys[0]], named["bits"], nth))
+
+
+def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, wanted: int, trees: int = TREES, own: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best candidates of one shard for each query; own: the row that is the query itself, or -1 (without it, all rows of the query's id)."""
     squares, qsquares = dots(vectors, vectors), dots(queries, queries)
     unit, qunit = ((v / np.sqrt(s)[:, None]).astype(np.float32) for v, s in ((vectors, squares), (queries, qsquares)))
     forest = Forest(unit, trees)
@@ -95,7 +103,7 @@ def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
             seen[order[a:b]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
-        found = found[ids[found] != query_ids[i]]
+        found = found[(ids[found] != query_ids[i]) if own is None else (found != own[i])]
         near = unit[found] @ qunit[i]
         if len(found) > k:  # what rounding, or a tie that the ids decide, could put among the k best
             found = found[near >= np.partition(near, -k)[-k] - 1e-4]
@@ -103,27 +111,33 @@ def nearest_in_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
         size = np.where((both > 0) & np.isfinite(both), np.sqrt(both), np.sqrt(squares[found]) * np.sqrt(qsquares[i]))
         score = dots(vectors[found], queries[i][None]) / size
         best = np.lexsort((ids[found], -score))[:k]
-        got.append((np.full(len(best), query_ids[i]), ids[found][best], score[best]))
-    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_id", "vec_id", "score"], zip(*got))})
+        got.append((np.full(len(best), i), np.full(len(best), query_ids[i]), ids[found][best], score[best]))
+    return pd.DataFrame({c: np.concatenate(x) for c, x in zip(["query_row", "query_id", "vec_id", "score"], zip(*got))})
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, wanted: int = WANTED, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row of queries(vec_id, embedding) among vectors(vec_id, embedding)."""
-    take = lambda df: df.where(usable_vector("embedding") & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    queries, vectors = take(queries), take(vectors)
+    # names of their own for both sides: where both come from one table, the plan else takes the columns of one for the other's
+    take = lambda df, side: df.where(usable_vector("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_vector"), F.size("embedding").alias("dim"))
+    queries, vectors = take(queries, "q"), take(vectors, "v")
     n, longest = vectors.agg(F.count("*"), F.max("dim")).first()
     shards = max(1, math.ceil(n / max(1, min(SHARD_ROWS, SHARD_VALUES // (longest or 1)))))
     blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    v = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("q_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    v = vectors.withColumn("shard", F.pmod(F.xxhash64("v_id", F.lit(2)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    # rows of one id share a block and a shard, so all that equal a query are at hand wherever its own row is, and a
+    # block's rows have the same order, and so the same numbers, in every shard
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, y = (np.stack(df["embedding"]).astype(np.float64) for df in (left, right))
-        return nearest_in_shard(left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), y, k, max((k + 1) * trees, wanted), trees)
+            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+        (left, x, names), (right, y, there) = in_order(left, "q"), in_order(right, "v")
+        place = {name: i for i, name in enumerate(there)}
+        own = np.array([place.get(name, -1) for name in names])
+        best = nearest_in_shard(left["q_id"].to_numpy(), x, right["v_id"].to_numpy(), y, k, max((k + 1) * trees, wanted), trees, own)
+        return best.assign(dim=left["dim"].iloc[0], block=left["block"].iloc[0])
 
     keys = ["dim", "block", "shard"]
     best = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("dim", "block", "query_row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

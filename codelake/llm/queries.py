@@ -98,17 +98,17 @@ FROM own
 #: All pairs: an oracle for small tables. Vectors that take part, and their cosines.
 VECTORS_SQL = """
 WITH RECURSIVE good AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) AS dim FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS v, len(embedding) AS dim FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
     AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 )"""
 
 NEAREST_SQL = f"""{VECTORS_SQL}
 , pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
-  FROM good q JOIN good c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.dim = c.dim AND q.rid <> c.rid WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM pairs
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM pairs
 )
 SELECT * FROM ranked WHERE rank <= 5
 """

@@ -263,9 +263,14 @@ def _segments(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFra
     """Texts with their open runs, in order -> segments: the bytes of neighbouring runs, and what the document alone confirms (done)."""
     every = max(2, 1344 // max(1, (span - LEAD) // 2))  # a segment is cut at one anchor in so many
     rows, size = [], 0
+    repeated: set[int] = set()  # equal rows meet here by their rid; one of them is enough, as all that they hold is sure
     columns = ["rid", "m", "a", "b", "body", *(f"r{c}" for c in RUN), "done"]
     for pdf in batches:
         for rid, text, again, *runs in pdf[["rid", "text", "again", *(f"r{c}" for c in RUN)]].itertuples(index=False):
+            if again:
+                if rid in repeated:
+                    continue
+                repeated.add(rid)
             raw = text.encode("utf-8", "surrogatepass")
             a, m, b, lead, whole = runs
             left = np.ones(len(a), dtype=bool)

@@ -101,3 +101,21 @@ def test_recall_with_the_axes_of_large_tables(spark, axes):
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     assert np.allclose((cross_polytope.hadamard(x) ** 2).sum(1), (x * x).sum(1))
+
+
+def test_forest_repeated_ids(spark):
+    """Each row asks on its own; rows of its id, and equal rows, answer like any other."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 0.1]), (50, [1.0, 0.1]), (3, [-1.0, 0.0])]
+    df = table(spark, rows)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in prefix_forest.search(df.where("vec_id <> 3"), df).collect())
+    x = np.array([v for _, v in table_values(rows)])
+    c = (x @ x.T) / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None]
+    want = []
+    for q in range(4):
+        order = sorted((j for j in range(5) if j != q), key=lambda j: (-c[q, j], rows[j][0]))
+        want += [(rows[q][0], rank + 1, rows[j][0], round(c[q, j], 6)) for rank, j in enumerate(order)]
+    assert got == sorted(want)
+
+
+def table_values(rows):
+    return [(i, np.array(v, dtype=np.float32).astype(np.float64)) for i, v in rows]
