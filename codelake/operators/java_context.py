@@ -123,7 +123,8 @@ def top_entries(asked: DataFrame, lines: DataFrame) -> DataFrame:
 
 def flagged_nodes(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """Call-graph nodes(key, class, method, file, line, ...) with the flags of the lines they stand on; false where the source is not at hand."""
-    flags = node_flags(lines).withColumnsRenamed({"path": "file", "line_no": "line"}).drop("project")
-    names = [c for c in flags.columns if c not in ("file", "line")]
-    joined = nodes.drop(*names).join(flags, ["file", "line"], "left")
+    flags = node_flags(lines).withColumnsRenamed({"path": "file", "line_no": "line"})
+    at = ["project", "file", "line"] if "project" in nodes.columns else ["file", "line"]
+    names = [c for c in flags.columns if c not in ("project", "file", "line")]
+    joined = nodes.drop(*names).join(flags.select(*at, *names), at, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in names if c.startswith("is_")})

@@ -10,7 +10,7 @@ from codelake.functions import names
 from codelake.functions import predicates as q
 from codelake.operators import entry_points, java_context, links, structure, table_refs, text_search
 from codelake.plans import call_graph, reports, symbol_index
-from codelake.registry import QUERIES, SQL, query, table  # noqa: F401  QUERIES and SQL are read from here
+from codelake.registry import QUERIES, SQL, each_supplier, query, table  # noqa: F401  QUERIES and SQL are read from here
 from codelake.sources import files as source
 
 # -- text search over documents as source files ----------------------------
@@ -370,177 +370,197 @@ def sql_tables(spark, sf_dir):
 HOME = samples.HOME
 
 
-@query(f"""SELECT * FROM (VALUES
+def _asked(spark, sf_dir, path, lines):
+    return samples.suppliers(spark, sf_dir).select(F.concat(F.lit("shop"), "s").alias("project"), F.lit(path).alias("path"), F.explode(F.array(*map(F.lit, lines))).alias("line_no"))
+
+
+@query(each_supplier(f"""SELECT * FROM (VALUES
   ('controller_public_method', '{HOME}OrderController.java', 9), ('controller_public_method', '{HOME}OrderController.java', 13),
-  ('kafka_listener', '{HOME}Jobs.java', 3), ('spring_async', '{HOME}Jobs.java', 3), ('main', '{HOME}Jobs.java', 5), ('scheduled', '{HOME}Jobs.java', 6)) t(kind, file, line)""")
+  ('kafka_listener', '{HOME}Jobs.java', 3), ('spring_async', '{HOME}Jobs.java', 3), ('main', '{HOME}Jobs.java', 5), ('scheduled', '{HOME}Jobs.java', 6)) t(kind, file, line)"""))
 def java_entry_points(spark, sf_dir):
-    return entry_points.entry_points(samples.project(spark)).select("kind", "file", "line")
+    return entry_points.entry_points(samples.projects(spark, sf_dir)).select("project", "kind", "file", "line")
 
 
-@query(f"""SELECT * FROM (VALUES
+@query(each_supplier(f"""SELECT * FROM (VALUES
   ('GET', '/api/orders', 'com.example.OrderController', 'list', '{HOME}OrderController.java', 9, '@GetMapping'),
-  ('POST', '/api/orders', 'com.example.OrderController', 'create', '{HOME}OrderController.java', 13, '@PostMapping')) t(http_method, path, class_name, method_name, file, line, annotation)""")
+  ('POST', '/api/orders', 'com.example.OrderController', 'create', '{HOME}OrderController.java', 13, '@PostMapping')) t(http_method, path, class_name, method_name, file, line, annotation)"""))
 def java_rest_map(spark, sf_dir):
-    return entry_points.rest_map(samples.project(spark)).select("http_method", "path", "class_name", "method_name", "file", "line", "annotation")
+    return entry_points.rest_map(samples.projects(spark, sf_dir)).select("project", "http_method", "path", "class_name", "method_name", "file", "line", "annotation")
 
 
-@query(f"""SELECT * FROM (VALUES
+@query(each_supplier(f"""SELECT * FROM (VALUES
   ('orders', 'entity_annotation', '{HOME}Orders.java', 3, NULL, NULL), ('orders', 'jdbc_sql_literal', '{HOME}OrderDao.java', 4, 'purge', 6), ('customer', 'jdbc_sql_literal', '{HOME}OrderDao.java', 4, 'purge', 6),
   ('region', 'jdbc_sql_literal', '{HOME}OrderDao.java', 4, 'purge', 6), ('stale', 'jdbc_sql_literal', '{HOME}OrderDao.java', 7, 'purge', 6), ('orders', 'jdbc_sql_literal', '{HOME}OrderDao.java', 7, 'purge', 6),
-  ('customer', 'mybatis_xml', 'src/main/resources/OrderMapper.xml', 5, NULL, NULL)) t("table", source, file, line, java_method, java_method_line)""")
+  ('customer', 'mybatis_xml', 'src/main/resources/OrderMapper.xml', 5, NULL, NULL)) t("table", source, file, line, java_method, java_method_line)"""))
 def java_table_hits(spark, sf_dir):
-    return table_refs.table_hits(samples.project(spark)).select("table", "source", "file", "line", "java_method", "java_method_line")
+    return table_refs.table_hits(samples.projects(spark, sf_dir)).select("project", "table", "source", "file", "line", "java_method", "java_method_line")
 
 
-@query(f"""SELECT * FROM (VALUES
+@query(each_supplier(f"""SELECT * FROM (VALUES
   ('com.example', '{HOME}OrderController.java', 'OrderController', 5, 5), ('com.example', '{HOME}OrderDao.java', 'OrderDao', 5, 2), ('com.example', '{HOME}OrderMapper.java', 'OrderMapper', 11, 2),
   ('com.example', '{HOME}Jobs.java', 'Jobs', 5, 2), ('com.example', '{HOME}Orders.java', 'Orders', 5, 4), ('com.example', '{HOME}OrdersRepository.java', 'OrdersRepository', 11, 2),
-  ('com.example', '{HOME}OrderServiceImpl.java', 'OrderServiceImpl', 5, 2), ('p', '{HOME}Kinds.java', 'A', 5, 1), ('p', '{HOME}Kinds.java', 'R', 5, 1), ('p', '{HOME}Kinds.java', 'E', 10, 1)) t(package, file, name, kind, line)""")
+  ('com.example', '{HOME}OrderServiceImpl.java', 'OrderServiceImpl', 5, 2), ('p', '{HOME}Kinds.java', 'A', 5, 1), ('p', '{HOME}Kinds.java', 'R', 5, 1), ('p', '{HOME}Kinds.java', 'E', 10, 1)) t(package, file, name, kind, line)"""))
 def java_top_level_types(spark, sf_dir):
-    return structure.top_level_types(samples.project(spark)).select("package", "file", "name", "kind", "line")
+    return structure.top_level_types(samples.projects(spark, sf_dir)).select("project", "package", "file", "name", "kind", "line")
 
 
-@query("""SELECT * FROM (VALUES ('shop', 'core', 'core', 'root-pom-modules', true, 'shop-core', 'jar'), ('shop', 'web', 'web', 'root-pom-modules', false, NULL, NULL),
-  ('other', 'api', 'api', 'settings-include', false, NULL, NULL), ('other', 'admin', 'web/admin', 'settings-include', false, NULL, NULL), ('other', 'tools', 'tools', 'settings-include', false, NULL, NULL)) t(project, name, path, source, has_pom, artifact_id, packaging)""")
+@query(each_supplier("""SELECT * FROM (VALUES ('shop', 'core', 'core', 'root-pom-modules', true, 'shop-core', 'jar'), ('shop', 'web', 'web', 'root-pom-modules', false, NULL, NULL),
+  ('other', 'api', 'api', 'settings-include', false, NULL, NULL), ('other', 'admin', 'web/admin', 'settings-include', false, NULL, NULL), ('other', 'tools', 'tools', 'settings-include', false, NULL, NULL)) t(project, name, path, source, has_pom, artifact_id, packaging)""", 'q.* REPLACE (project || s_suppkey AS project)'))
 def project_modules(spark, sf_dir):
-    return structure.modules(samples.project(spark))
+    return structure.modules(samples.projects(spark, sf_dir))
 
 
-@query(f"""SELECT * FROM (VALUES ('{HOME}OrderController.java', 9, '/api', 'GET', '/api/orders', 'GET /api/orders', 'List orders.'), ('{HOME}OrderController.java', 13, '/api', 'POST', '/api/orders', 'POST /api/orders', NULL)) t(file, line, class_base_path, http_method, rest_path, rest_summary, javadoc)""")
+@query(each_supplier(f"""SELECT * FROM (VALUES ('{HOME}OrderController.java', 9, '/api', 'GET', '/api/orders', 'GET /api/orders', 'List orders.'), ('{HOME}OrderController.java', 13, '/api', 'POST', '/api/orders', 'POST /api/orders', NULL)) t(file, line, class_base_path, http_method, rest_path, rest_summary, javadoc)"""))
 def java_top_entries(spark, sf_dir):
-    asked = spark.createDataFrame([("shop", f"{HOME}OrderController.java", n) for n in (9, 13)], "project string, path string, line_no int")
-    return java_context.top_entries(asked, source.lines(samples.project(spark))).select(F.col("path").alias("file"), F.col("line_no").alias("line"), "class_base_path", "http_method", "rest_path", "rest_summary", "javadoc")
+    asked = _asked(spark, sf_dir, f"{HOME}OrderController.java", (9, 13))
+    return java_context.top_entries(asked, source.lines(samples.projects(spark, sf_dir))).select("project", F.col("path").alias("file"), F.col("line_no").alias("line"), "class_base_path", "http_method", "rest_path", "rest_summary", "javadoc")
 
 
-@query(f"""SELECT * FROM (VALUES (5, 'com.example.OrderMapper', 'findAll', '{HOME}OrderMapper.java', 4, 15, true), (1, 'com.example.OrderMapper', NULL, NULL, NULL, NULL, false)) t(xml_line, namespace, statement_id, java_file, line, "character", ok)""")
+@query(each_supplier(f"""SELECT * FROM (VALUES (5, 'com.example.OrderMapper', 'findAll', '{HOME}OrderMapper.java', 4, 15, true), (1, 'com.example.OrderMapper', NULL, NULL, NULL, NULL, false)) t(xml_line, namespace, statement_id, java_file, line, "character", ok)"""))
 def mybatis_links(spark, sf_dir):
-    asked = spark.createDataFrame([("shop", "src/main/resources/OrderMapper.xml", n) for n in (5, 1)], "project string, path string, line_no int")
-    return links.mapper_methods(asked, samples.project(spark)).select("xml_line", "namespace", "statement_id", "java_file", "line", "character", "ok")
+    asked = _asked(spark, sf_dir, "src/main/resources/OrderMapper.xml", (5, 1))
+    return links.mapper_methods(asked, samples.projects(spark, sf_dir)).select("project", "xml_line", "namespace", "statement_id", "java_file", "line", "character", "ok")
 
 
-@query(f"""SELECT * FROM (VALUES ('orders', 'OrdersRepository', '{HOME}OrderServiceImpl.java', 'repo', 'save', 8, 105)) t("table", repository, service_file, field, method, method_line, score)""")
+@query(each_supplier(f"""SELECT * FROM (VALUES ('orders', 'OrdersRepository', '{HOME}OrderServiceImpl.java', 'repo', 'save', 8, 105)) t("table", repository, service_file, field, method, method_line, score)"""))
 def repository_links(spark, sf_dir):
-    tables = spark.createDataFrame([("shop", "orders")], "project string, table string")
-    return links.repository_calls(tables, samples.project(spark)).select("table", "repository", "service_file", "field", "method", "method_line", "score")
+    tables = samples.suppliers(spark, sf_dir).select(F.concat(F.lit("shop"), "s").alias("project"), F.lit("orders").alias("table"))
+    return links.repository_calls(tables, samples.projects(spark, sf_dir)).select("project", "table", "repository", "service_file", "field", "method", "method_line", "score")
 
 
-@query(f"""SELECT * FROM (VALUES ('orders', '{HOME}Orders.java', 4, 14)) t("table", entity_file, class_line, class_character)""")
+@query(each_supplier(f"""SELECT * FROM (VALUES ('orders', '{HOME}Orders.java', 4, 14)) t("table", entity_file, class_line, class_character)"""))
 def entity_links(spark, sf_dir):
-    tables = spark.createDataFrame([("shop", "orders")], "project string, table string")
-    return links.entity_files(tables, samples.project(spark)).select("table", "entity_file", "class_line", "class_character")
+    tables = samples.suppliers(spark, sf_dir).select(F.concat(F.lit("shop"), "s").alias("project"), F.lit("orders").alias("table"))
+    return links.entity_files(tables, samples.projects(spark, sf_dir)).select("project", "table", "entity_file", "class_line", "class_character")
 
 
-@query("""SELECT * FROM (VALUES ('C', 'C<B<A', 'rest_endpoint'), ('C', 'C<B<D<B', 'cycle'), ('A', 'A', 'rest_endpoint')) t(seed, chain, stop_reason)""")
+@query(each_supplier("SELECT * FROM (VALUES ('C', '.C<.B<.A', 'rest_endpoint'), ('C', '.C<.B<.D<.B', 'cycle'), ('A', '.A', 'rest_endpoint')) t(seed, chain, stop_reason)", "s_suppkey || ':' || seed AS seed, replace(chain, '.', s_suppkey || ':') AS chain, stop_reason"))
 def sample_trace_up(spark, sf_dir):
-    nodes, edges = samples.call_graph(spark)
-    return call_graph.trace_up(edges, nodes, spark.createDataFrame([("C",), ("A",)], "key string")).withColumn("chain", F.array_join("chain", "<"))
+    nodes, edges = samples.call_graphs(spark, sf_dir)
+    return call_graph.trace_up(edges, nodes, nodes.where("key LIKE '%:C' OR key LIKE '%:A'").select("key")).withColumn("chain", F.array_join("chain", "<"))
 
 
-@query("""SELECT * FROM (VALUES ('A', 'B'), ('B', 'D'), ('D', 'B')) t(src_key, dst_key)""")
+@query(each_supplier("SELECT * FROM (VALUES ('A', 'B'), ('B', 'D'), ('D', 'B')) t(a, b)", "s_suppkey || ':' || a AS src_key, s_suppkey || ':' || b AS dst_key"))
 def sample_trace_down(spark, sf_dir):
-    _, edges = samples.call_graph(spark)
-    return call_graph.trace_down(edges, "A", spark, max_branches=1)[1].select("src_key", "dst_key")
+    nodes, edges = samples.call_graphs(spark, sf_dir)
+    return call_graph.trace_down_all(edges, nodes.where("key LIKE '%:A'").select("key"), max_branches=1)[1].select("src_key", "dst_key")
 
 
-@query("""SELECT * FROM (VALUES ('A', 0::BIGINT, ''), ('B', 8::BIGINT, 'service_layer,in_degree_2,reaches_persistence_subgraph,below_root'), ('C', 0::BIGINT, ''), ('D', 4::BIGINT, 'reaches_persistence_subgraph,below_root')) t(key, business_score, signals)""")
+@query(each_supplier("SELECT * FROM (VALUES ('A', 0::BIGINT, ''), ('B', 8::BIGINT, 'service_layer,in_degree_2,reaches_persistence_subgraph,below_root'), ('C', 0::BIGINT, ''), ('D', 4::BIGINT, 'reaches_persistence_subgraph,below_root')) t(key, business_score, signals)", "q.* REPLACE (s_suppkey || ':' || key AS key)"))
 def sample_business(spark, sf_dir):
-    nodes, edges = samples.call_graph(spark)
-    return call_graph.business_scores(nodes, edges).select("key", "business_score", F.array_join("business_signals", ",").alias("signals"))
+    nodes, edges = samples.call_graphs(spark, sf_dir)
+    scored = call_graph.business_scores(nodes, edges, nodes.where("key LIKE '%:A'").select("s", "key"), by="s")
+    return scored.select("key", "business_score", F.array_join("business_signals", ",").alias("signals"))
 
 
-@query("SELECT * FROM (VALUES ('database', true, 1::BIGINT, 'OrderStore.load()'), ('other', false, 3::BIGINT, 'Helper.go(),OrderController.list(),OrderService.find()')) t(kind, is_leaf, nodes, methods)")
+@query("""SELECT kind, is_leaf, nodes * (SELECT count(*) FROM supplier) AS nodes, methods FROM (VALUES ('database', true, 1::BIGINT, 'OrderStore.load()'), ('other', false, 3::BIGINT, 'Helper.go(),OrderController.list(),OrderService.find()')) t(kind, is_leaf, nodes, methods)""")
 def sample_sinks(spark, sf_dir):
-    return call_graph.sink_buckets(*samples.call_graph(spark)).withColumn("methods", F.array_join("methods", ","))
+    return call_graph.sink_buckets(*samples.call_graphs(spark, sf_dir)).withColumn("methods", F.array_join("methods", ","))
 
 
-@query("SELECT * FROM (VALUES ('A'), ('  B'), ('    C'), ('    D'), ('      B (cycle)')) t(line)")
+@query("""SELECT replace(line, '.', k || ':') AS line FROM (SELECT min(s_suppkey) AS k FROM supplier), (VALUES ('.A'), ('  .B'), ('    .C'), ('    .D'), ('      .B (cycle)')) t(line)""")
 def sample_tree(spark, sf_dir):
-    return call_graph.shown_tree(samples.call_graph(spark)[1], "A", spark).select("line")
+    """The tree of one supplier's graph among those of all."""
+    first = samples.suppliers(spark, sf_dir).agg(F.min(F.col("s").cast("long"))).first()[0]
+    return call_graph.shown_tree(samples.call_graphs(spark, sf_dir)[1], f"{first}:A", spark).select("line")
 
 
-@query("SELECT * FROM (VALUES ('A', 0, 0::BIGINT), ('B', 1, 1::BIGINT), ('D', 2, 2::BIGINT)) t(key, depth, ordinal)")
+@query(each_supplier("SELECT * FROM (VALUES ('A', 0, 0::BIGINT), ('B', 1, 1::BIGINT), ('D', 2, 2::BIGINT)) t(key, depth, ordinal)", "q.* REPLACE (s_suppkey || ':' || key AS key)"))
 def sample_node_cap(spark, sf_dir):
-    return call_graph.trace_down(samples.call_graph(spark)[1], "A", spark, max_nodes=3)[0]
+    nodes, edges = samples.call_graphs(spark, sf_dir)
+    return call_graph.trace_down_all(edges, nodes.where("key LIKE '%:A'").select("key"), max_nodes=3)[0].drop("seed")
 
 
-@query("SELECT 2::BIGINT AS chain_count, 'cycle=1,rest_endpoint=1' AS stop_reasons, 'A,B' AS tops")
+@query("""SELECT 2 * count(*) AS chain_count, 'cycle=' || count(*) || ',rest_endpoint=' || count(*) AS stop_reasons, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT s_suppkey || ':' || k AS t FROM supplier, (VALUES ('A'), ('B')) v(k) ORDER BY t LIMIT 12)) AS tops FROM supplier""")
 def sample_chain_summary(spark, sf_dir):
-    nodes, edges = samples.call_graph(spark)
-    s = reports.chain_summary(call_graph.trace_up(edges, nodes, spark.createDataFrame([("C",)], "key string")))
+    nodes, edges = samples.call_graphs(spark, sf_dir)
+    s = reports.chain_summary(call_graph.trace_up(edges, nodes, nodes.where("key LIKE '%:C'").select("key")))
     return s.select("chain_count", F.array_join(F.transform(F.map_entries("stop_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("stop_reasons"), F.array_join("tops", ",").alias("tops"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Orders'), (2, 'ghost'), (3, 'extra')) t(ordinal, name)")
+@query("""
+WITH n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type END AS name FROM part WHERE p_partkey % 5 <> 0),
+f AS (SELECT min(k) AS k, arg_min(name, k) AS name FROM n GROUP BY lower(name))
+SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS ordinal, name FROM f
+""")
 def listed_tables(spark, sf_dir):
-    return source.listed_tables(spark, "Orders # main\n# all\n\nghost\n", "ORDERS，extra, ghost")
+    """Types of parts as a list of tables: every fifth line is a comment, names come in two spellings."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.col("p_type"))
+    line = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("# "), name)).otherwise(F.concat(F.lit(" "), name, F.lit(" # a type")))
+    return source.listed_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), line.alias("text")))
 
 
-def _manifest(spark):
-    return table_refs.manifest(samples.project(spark), source.listed_tables(spark, "", "ORDERS,ghost"))
+def _manifest(spark, sf_dir):
+    return table_refs.manifest(samples.projects(spark, sf_dir), source.listed_tables(spark, "", "ORDERS,ghost"))
 
 
-@query("SELECT 'ghost' AS name")
+@query("SELECT 'ghost' AS name FROM supplier LIMIT 1")
 def manifest_unresolved(spark, sf_dir):
-    return _manifest(spark)["unresolved"].select("name")
+    return _manifest(spark, sf_dir)["unresolved"].select("name")
 
 
 @query("SELECT * FROM (VALUES ('customer'), ('region'), ('stale')) t(\"table\")")
 def manifest_extracted_only(spark, sf_dir):
-    return _manifest(spark)["extracted_only"]
+    return _manifest(spark, sf_dir)["extracted_only"]
 
 
-@query("SELECT * FROM (VALUES ('ORDERS', 3::BIGINT), ('customer', 2::BIGINT), ('region', 1::BIGINT), ('stale', 1::BIGINT)) t(canonical, anchors)")
+@query("SELECT canonical, anchors FROM supplier, (VALUES ('ORDERS', 3::BIGINT), ('customer', 2::BIGINT), ('region', 1::BIGINT), ('stale', 1::BIGINT)) t(canonical, anchors)")
 def manifest_by_name(spark, sf_dir):
-    return _manifest(spark)["anchors_by_table"].select("canonical", F.size("anchors").cast("long").alias("anchors"))
+    return _manifest(spark, sf_dir)["anchors_by_table"].select("canonical", F.size("anchors").cast("long").alias("anchors"))
 
 
-@query("SELECT * FROM (VALUES (1, 'orders'), (2, 'ghost')) t(ordinal, physical_table)")
+@query("""
+WITH n AS (SELECT p_partkey AS k, lower(replace(p_type, ' ', '_')) AS name FROM part), f AS (SELECT min(k) AS k, name FROM n GROUP BY name)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS ordinal, name AS physical_table FROM f
+""")
 def manifest_physical(spark, sf_dir):
-    return _manifest(spark)["canonical_physical"]
+    """The physical tables of a list of types of parts, as a manifest of every supplier's project has them."""
+    listed = source.listed_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("APP."), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("text")))
+    return table_refs.manifest(samples.projects(spark, sf_dir), listed)["canonical_physical"]
 
 
-@query(f"SELECT * FROM (VALUES ('{HOME}OrderDao.java', 4, 'purge'), ('{HOME}OrderDao.java', 7, 'purge'), ('{HOME}Orders.java', 3, NULL)) t(file, line, java_method)")
+@query(each_supplier(f"SELECT * FROM (VALUES ('{HOME}OrderDao.java', 4, 'purge'), ('{HOME}OrderDao.java', 7, 'purge'), ('{HOME}Orders.java', 3, NULL)) t(file, line, java_method)"))
 def rows_of_table(spark, sf_dir):
-    return table_refs.rows_of_table(table_refs.table_hits(samples.project(spark)), "app.ORDERS").select("file", "line", "java_method")
+    return table_refs.rows_of_table(table_refs.table_hits(samples.projects(spark, sf_dir)), "app.ORDERS").select("project", "file", "line", "java_method")
 
 
-@query(f"SELECT * FROM (VALUES (true, 'customer', '{HOME}OrderMapper.java', 'findAll', 4, 5)) t(ok, \"table\", java_file, statement_id, line, xml_line)")
+@query(each_supplier(f"SELECT * FROM (VALUES (true, 'customer', '{HOME}OrderMapper.java', 'findAll', 4, 5)) t(ok, \"table\", java_file, statement_id, line, xml_line)"))
 def mapper_anchors(spark, sf_dir):
-    files = samples.project(spark)
+    files = samples.projects(spark, sf_dir)
     found, lost = links.mapper_anchors(table_refs.xml_hits(files), files)
     none = F.lit(None)
-    return found.select(F.lit(True).alias("ok"), "table", "java_file", "statement_id", "line", "xml_line").union(lost.select(F.lit(False), "table", none.cast("string"), none.cast("string"), none.cast("int"), "xml_line"))
+    return found.select("project", F.lit(True).alias("ok"), "table", "java_file", "statement_id", "line", "xml_line").union(lost.select("project", F.lit(False), "table", none.cast("string"), none.cast("string"), none.cast("int"), "xml_line"))
 
 
-@query("SELECT * FROM (VALUES (5, 1), (8, 2), (4, 3)) t(candidate, \"rank\")")
+@query(each_supplier("SELECT * FROM (VALUES (5, 1), (8, 2), (4, 3)) t(candidate, \"rank\")"))
 def method_candidates(spark, sf_dir):
-    lines = source.lines(samples.project(spark).where("name = 'OrderServiceImpl.java'"))
-    return text_search.method_candidates(lines.where("line_no = 5"), lines).select("candidate", "rank")
+    lines = source.lines(samples.projects(spark, sf_dir).where("name = 'OrderServiceImpl.java'"))
+    return text_search.method_candidates(lines.where("line_no = 5"), lines).select("project", "candidate", "rank")
 
 
-@query("""SELECT * FROM (VALUES ('k1', 'Jobs.java', 4, false, true, true, '@KafkaListener'), ('k2', 'OrderController.java', 9, true, false, false, ''), ('k3', 'Gone.java', 1, false, false, false, NULL)) t(key, name, line, is_rest, is_message_listener, is_async_method, listeners)""")
+@query(each_supplier("""SELECT * FROM (VALUES ('k1', 'Jobs.java', 4, false, true, true, '@KafkaListener'), ('k2', 'OrderController.java', 9, true, false, false, ''), ('k3', 'Gone.java', 1, false, false, false, NULL)) t(key, name, line, is_rest, is_message_listener, is_async_method, listeners)"""))
 def node_flags(spark, sf_dir):
-    nodes = spark.createDataFrame([("k1", f"{HOME}Jobs.java", 4), ("k2", f"{HOME}OrderController.java", 9), ("k3", "Gone.java", 1)], "key string, file string, line int")
-    flagged = java_context.flagged_nodes(nodes, source.lines(samples.project(spark).where("project = 'shop'")))
-    return flagged.select("key", F.substring_index("file", "/", -1).alias("name"), "line", "is_rest", "is_message_listener", "is_async_method", F.array_join("listener_markers", ",").alias("listeners"))
+    nodes = samples.each(spark, sf_dir, [("k1", f"{HOME}Jobs.java", 4), ("k2", f"{HOME}OrderController.java", 9), ("k3", "Gone.java", 1)], ["key", "file", "line"]).withColumn("project", F.concat(F.lit("shop"), "s"))
+    flagged = java_context.flagged_nodes(nodes, source.lines(samples.projects(spark, sf_dir)))
+    return flagged.select("project", "key", F.substring_index("file", "/", -1).alias("name"), "line", "is_rest", "is_message_listener", "is_async_method", F.array_join("listener_markers", ",").alias("listeners"))
 
 
-@query("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll')) t(caller, callee)")
+@query(each_supplier("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll')) t(caller, callee)"))
 def derived_calls(spark, sf_dir):
     """Calls guessed from the text: of receivers whose type some source declares or implements."""
-    edges = symbol_index.derived_edges(source.lines(source.java_files(samples.project(spark))))
-    return edges.select(F.substring_index("src_key", ":", -1).alias("caller"), F.col("dst_name").alias("callee")).distinct()
+    edges = symbol_index.derived_edges(source.lines(source.java_files(samples.projects(spark, sf_dir))))
+    return edges.select("project", F.substring_index("src_key", ":", -1).alias("caller"), F.col("dst_name").alias("callee")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('GET_api_orders', 'GET /api/orders (OrderController.list)'), ('POST_api_orders', 'POST /api/orders (OrderController.create)')) t(slug, shown)")
+@query(each_supplier("SELECT * FROM (VALUES ('GET_api_orders', 'GET /api/orders (OrderController.list)'), ('POST_api_orders', 'POST /api/orders (OrderController.create)')) t(slug, shown)"))
 def endpoint_names(spark, sf_dir):
-    e = reports.endpoint_ids(entry_points.rest_map(samples.project(spark)))
-    return e.select("slug", names.shown_endpoint(*[F.col(c) for c in ("http_method", "path", "class_name", "method_name")]).alias("shown"))
+    e = reports.endpoint_ids(entry_points.rest_map(samples.projects(spark, sf_dir)))
+    return e.select("project", "slug", names.shown_endpoint(*[F.col(c) for c in ("http_method", "path", "class_name", "method_name")]).alias("shown"))
 
 
-@query(f"SELECT * FROM (VALUES ('{HOME}Jobs.java', 'com.example.Jobs'), ('{HOME}Kinds.java', 'p.A'), ('{HOME}OrderController.java', 'com.example.OrderController'), ('{HOME}OrderDao.java', 'com.example.OrderDao'), ('{HOME}OrderMapper.java', 'com.example.OrderMapper'), ('{HOME}OrderServiceImpl.java', 'com.example.OrderServiceImpl'), ('{HOME}Orders.java', 'com.example.Orders'), ('{HOME}OrdersRepository.java', 'com.example.OrdersRepository')) t(path, fqcn)")
+@query(each_supplier(f"SELECT * FROM (VALUES ('{HOME}Jobs.java', 'com.example.Jobs'), ('{HOME}Kinds.java', 'p.A'), ('{HOME}OrderController.java', 'com.example.OrderController'), ('{HOME}OrderDao.java', 'com.example.OrderDao'), ('{HOME}OrderMapper.java', 'com.example.OrderMapper'), ('{HOME}OrderServiceImpl.java', 'com.example.OrderServiceImpl'), ('{HOME}Orders.java', 'com.example.Orders'), ('{HOME}OrdersRepository.java', 'com.example.OrdersRepository')) t(path, fqcn)"))
 def file_type_names(spark, sf_dir):
-    return structure.file_type_names(samples.project(spark)).select("path", "fqcn")
+    return structure.file_type_names(samples.projects(spark, sf_dir)).select("project", "path", "fqcn")
 
 
 POINT_QUERIES = {
@@ -555,31 +575,43 @@ RESULT_OF = {
 }
 
 
-@query("""SELECT * FROM (VALUES ('documentSymbol', 'OrderController:5:1'), ('documentSymbol', 'list():6:4'), ('documentSymbol', 'drop():6:7'), ('workspaceSymbol', 'web/OrderController.java:OrderController:5'), ('workspaceSymbol', 'web/OrderController.java:list():6'),
-  ('definition', 'A'), ('references', 'x.java:2:4:false'), ('references', 'web/OrderController.java:4:2:true'), ('hover', 'lists'), ('implementation', 'I'), ('outgoingCalls', 'B'), ('typeHierarchy', 'sub:Sub'), ('typeHierarchy', 'super:Base')) t(operation, result)""")
+@query("""SELECT operation, replace(result, '@', k || ':') AS result FROM (SELECT min(s_suppkey) AS k FROM supplier), (VALUES ('documentSymbol', 'OrderController:5:1'), ('documentSymbol', 'list():6:4'), ('documentSymbol', 'drop():6:7'),
+  ('definition', '@A'), ('references', '@x.java:2:4:false'), ('references', '@web/OrderController.java:4:2:true'), ('hover', 'lists'), ('implementation', '@I'), ('outgoingCalls', '@B'), ('typeHierarchy', 'sub:@Sub'), ('typeHierarchy', 'super:@Base')) t(operation, result)""")
 def point_queries(spark, sf_dir):
-    """Every operation over the index, and its results."""
-    index = samples.symbol_index(spark)
+    """Operations at a place of the first supplier's files, over the index of all, and their results."""
+    index = samples.symbol_indexes(spark, sf_dir)
+    first = samples.suppliers(spark, sf_dir).agg(F.min(F.col("s").cast("long"))).first()[0]
     out = None
     for op, where in POINT_QUERIES.items():
-        n = symbol_index.analyze(index, op, **where).select(F.lit(op).alias("operation"), F.expr(RESULT_OF[op]).alias("result"))
+        if op == "workspaceSymbol":  # by name, over all files: workspace_symbols is a query of its own below
+            continue
+        n = symbol_index.analyze(index, op, **where | {"path": f"{first}:{where['path']}"}).select(F.lit(op).alias("operation"), F.expr(RESULT_OF[op]).alias("result"))
         out = n if out is None else out.union(n)
     return out
 
 
-@query("SELECT * FROM (VALUES ('list', 5, 0), ('OrderController', 5, 1)) t(needle, method_line, way)")
+@query("""SELECT c_custkey || '.java' AS path, c_name AS name FROM customer WHERE contains(lower(c_name), '7') OR contains(lower(c_name), 'omer#00000001')""")
+def workspace_symbols(spark, sf_dir):
+    """Customers as classes of an index, searched by two needles without a limit."""
+    c = table(spark, sf_dir, "customer")
+    symbols = c.select(F.col("c_custkey").cast("string").alias("sym_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".java")).alias("path"), F.col("c_name").alias("name"), F.lit(5).alias("kind"), F.lit("").alias("container"), F.lit(1).alias("sel_line"), F.lit(0).alias("sel_char"))
+    return symbol_index.workspace_symbols(symbols, ["7", "omer#00000001"], most=None).select("path", "name")
+
+
+@query(each_supplier("SELECT * FROM (VALUES ('list', 5, 0), ('OrderController', 5, 1)) t(needle, method_line, way)", "s_suppkey || ':web/OrderController.java' AS path, q.*"))
 def resolved_keywords(spark, sf_dir):
-    symbols = samples.symbol_index(spark)["symbols"]
-    found = [symbol_index.resolved_keyword(symbols, n).select(F.lit(n).alias("needle"), "method_line", "way") for n in ("list", "OrderController", "nothing")]
+    symbols = samples.symbol_indexes(spark, sf_dir)["symbols"]
+    found = [symbol_index.resolved_keyword(symbols, n).select("path", F.lit(n).alias("needle"), "method_line", "way") for n in ("list", "OrderController", "nothing")]
     return found[0].union(found[1]).union(found[2])
 
 
-@query("SELECT 'shop' AS project, count(*) AS hits FROM (VALUES (1), (2)) t")
+@query("""SELECT c_name AS project, count(o_orderkey) AS hits FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
 def saved_report(spark, sf_dir):
-    """The JSON inside a Markdown report, read back."""
-    text = F.lit("# Report\n\n## Raw JSON\n\n```json\n{\"project\": \"shop\", \"hits\": [1, 2]}\n```\n")
-    payload = F.from_json(source.report_payload(text), "project string, hits array<int>")
-    return spark.range(1).select(payload.alias("p")).select("p.project", F.size("p.hits").cast("long").alias("hits"))
+    """The JSON inside Markdown reports, one of each customer, read back."""
+    told = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("hits")), "c_custkey", "left")
+    payload = F.to_json(F.struct(F.col("c_name").alias("project"), F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits")))
+    text = F.concat(F.lit("# Report\n\n## Raw JSON\n\n```json\n"), payload, F.lit("\n```\n"))
+    return told.select(F.from_json(source.report_payload(text), "project string, hits array<long>").alias("p")).select("p.project", F.size("p.hits").cast("long").alias("hits"))
 
 
 from codelake import graph_queries, source_queries  # noqa: E402, F401  register their queries

@@ -22,3 +22,8 @@ def query(sql: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def each_supplier(sql: str, columns: str = "'shop' || s_suppkey AS project, q.*") -> str:
+    """The rows of a query for every supplier."""
+    return f"WITH q AS ({sql}) SELECT {columns} FROM supplier, q"

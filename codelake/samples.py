@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codelake.registry import table
 from codelake.sources.files import as_files
 
 CONTROLLER = """package com.example;
@@ -97,6 +99,46 @@ def project(spark: SparkSession) -> DataFrame:
     return as_files(spark.createDataFrame([("shop", *f) for f in PROJECT] + [("other", "settings.gradle", GRADLE)], "project string, path string, text string"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s"))
+
+
+def each(spark: SparkSession, sf_dir: str, rows: list[tuple], names: list[str]) -> DataFrame:
+    """(s, ...): the rows for every supplier."""
+    literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    return suppliers(spark, sf_dir).select("s", F.explode(literal).alias("x")).select("s", "x.*")
+
+
+def projects(spark: SparkSession, sf_dir: str, own_paths: bool = False) -> DataFrame:
+    """The sample's files as a project of every supplier, `shop` and `other` with its key; with `own_paths`, paths begin with the project."""
+    files = each(spark, sf_dir, [("shop", *f) for f in PROJECT] + [("other", "settings.gradle", GRADLE)], ["kind", "path", "text"])
+    project = F.concat("kind", "s")
+    return as_files(files.select(project.alias("project"), F.concat_ws("/", project, "path").alias("path") if own_paths else "path", "text"))
+
+
+def copies(spark: SparkSession, sf_dir: str, df: DataFrame, keys: list[str], files: list[str] = []) -> DataFrame:
+    """A small table for every supplier: keys begin with its key and a colon, files with its project; `s` tells them apart."""
+    each_ = df.crossJoin(suppliers(spark, sf_dir))  # df is a handful of rows of the sample
+    changed = {c: F.concat("s", F.lit(":"), c) for c in keys} | {c: F.concat(F.lit("shop"), "s", F.lit("/"), c) for c in files}
+    return each_.withColumns(changed)
+
+
+def call_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = call_graph(spark)
+    return copies(spark, sf_dir, nodes, ["key"]), copies(spark, sf_dir, edges, ["src_key", "dst_key"])
+
+
+def project_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = project_graph(spark)
+    return copies(spark, sf_dir, nodes, ["key"], ["file"]), copies(spark, sf_dir, edges, ["src_key", "dst_key"])
+
+
+def symbol_indexes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The index of every supplier in one: its paths and keys begin with the supplier's."""
+    keys = {"symbols": ["sym_id", "path"], "refs": ["path", "target_key"], "hover": ["key"], "call_nodes": ["key"], "call_edges": ["src_key", "dst_key"], "impl_edges": ["decl_key", "impl_key"], "type_edges": ["sub_key", "super_key"]}
+    return {name: copies(spark, sf_dir, df, keys[name]).drop("s") for name, df in symbol_index(spark).items()}
+
+
 def call_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): a controller A calls a service B, B a store C and a helper D, D calls B again."""
     nodes = spark.createDataFrame(

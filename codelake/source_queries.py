@@ -9,7 +9,7 @@ from codelake import samples
 from codelake.functions import names
 from codelake.operators import entry_points, java_context, links, structure, table_refs, text_search
 from codelake.plans import call_graph, chain_drivers, reports, symbol_index, trace_starts
-from codelake.registry import query, table
+from codelake.registry import each_supplier, query, table
 from codelake.sources import files as source
 
 # -- every customer as a controller with one method an order ------------------
@@ -144,83 +144,118 @@ def trace_down_seeds(spark, sf_dir):
     return call_graph.trace_down_all(_edges(spark, sf_dir), seeds, max_depth=2, max_nodes=10**9, max_branches=10**9)[2]
 
 
-@query("SELECT * FROM (VALUES ('list', 'ctl.list', 'symbol', NULL), ('OrderDao', 'dao.count', 'class_first_method', NULL), ('app.orders', 'dao.count', 'java_text', 4), ('repo.save|stale', 'svc.save', 'java_text', 9), ('repo.save|stale', 'dao.purge', 'java_text', 7)) t(query, key, way, hit_line)")
+def _shops(spark, sf_dir):
+    """(files, nodes, edges) of the sample project for every supplier; paths begin with the project."""
+    nodes, edges = samples.project_graphs(spark, sf_dir)
+    return samples.projects(spark, sf_dir, own_paths=True).where("project LIKE 'shop%'"), nodes, edges
+
+
+def _seeds(nodes, *keys):
+    return nodes.where(F.substring_index("key", ":", -1).isin(*keys)).select("key")
+
+
+def _keyed(sql: str, columns: str) -> str:
+    """For every supplier; `@` stands for its key and a colon."""
+    return each_supplier(sql, columns.replace("@", "s_suppkey || ':'"))
+
+
+@query("""SELECT query, replace(key, '@', k || ':') AS key, way, hit_line FROM (SELECT min(s_suppkey) AS k FROM supplier), (VALUES ('list', '@ctl.list', 'symbol', NULL), ('OrderDao', '@dao.count', 'class_first_method', NULL), ('app.orders', '@dao.count', 'java_text', 4), ('repo.save|stale', '@svc.save', 'java_text', 9), ('repo.save|stale', '@dao.purge', 'java_text', 7)) t(query, key, way, hit_line)""")
 def sample_keyword_starts(spark, sf_dir):
-    nodes, _ = samples.project_graph(spark)
-    files = samples.project(spark).where("project = 'shop'")
+    """What keywords mean in the first supplier's project."""
+    first = samples.suppliers(spark, sf_dir).agg(F.min(F.col("s").cast("long"))).first()[0]
+    files, nodes, _ = _shops(spark, sf_dir)
+    files, nodes = files.where(F.col("project") == f"shop{first}"), nodes.where(F.col("s") == str(first))
     out = None
-    for text in ("list", "OrderDao", "app.orders", "repo.save|stale", "nothing at all"):
-        part = trace_starts.keyword_starts(nodes, text, files).select(F.lit(text).alias("query"), "key", "way", "hit_line")
+    for words in ("list", "OrderDao", "app.orders", "repo.save|stale", "nothing at all"):
+        part = trace_starts.keyword_starts(nodes, words, files).select(F.lit(words).alias("query"), "key", "way", "hit_line")
         out = part if out is None else out.union(part)
     return out
 
 
-@query("""SELECT * FROM (VALUES ('dao.count<svc.save<ctl.create', 'POST /api/orders', NULL), ('dao.count<svc.save<job.tick', NULL, NULL), ('dao.purge<job.onMessage', NULL, '@KafkaListener'), ('map.findAll<svc.findAll<ctl.list', 'GET /api/orders', NULL)) t(chain, rest_summary, markers)""")
+@query(f"""WITH {SQL_CONTROLLERS}, m AS (SELECT 'get' || k AS key, c, k, file, 6 + 3 * i AS line FROM ctl), hits AS (SELECT * FROM m ORDER BY file, line LIMIT 40),
+picked AS (SELECT 'a method' AS query, key, 'symbol' AS way, NULL::INT AS hit_line FROM m WHERE k = (SELECT min(o_orderkey) FROM orders)
+  UNION ALL SELECT 'a class', arg_min(key, line), 'class_first_method', NULL FROM m WHERE c = (SELECT min(o_custkey) FROM orders)
+  UNION ALL SELECT 'a text', arg_min(key, line), 'java_text', CAST(min(line) + 1 AS INT) FROM hits GROUP BY file)
+SELECT * FROM picked""")
+def controllers_keyword_starts(spark, sf_dir):
+    """A method's name, a class's name and a text, over the controllers of all customers: the one method, the first of the class, and one of each of the best files."""
+    orders = table(spark, sf_dir, "orders")
+    files = controllers(spark, sf_dir)
+    found = symbol_index.derived_symbols(source.lines(files))
+    nodes = found.select(F.col("name").alias("key"), F.regexp_extract("path", r"(\w+)\.java", 1).alias("class"), F.concat("name", F.lit("()")).alias("method"), F.col("path").alias("file"), F.col("start_line").alias("line"))
+    k, c = orders.agg(F.min("o_orderkey"), F.min("o_custkey")).first()
+    parts = [trace_starts.keyword_starts(nodes, words, files).select(F.lit(name).alias("query"), "key", "way", "hit_line") for name, words in (("a method", f"get{k}"), ("a class", f"C{c}Controller"), ("a text", "FROM app.orders"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(_keyed("""SELECT * FROM (VALUES ('@dao.count<@svc.save<@ctl.create', 'POST /api/orders', NULL), ('@dao.count<@svc.save<@job.tick', NULL, NULL), ('@dao.purge<@job.onMessage', NULL, '@KafkaListener'), ('@map.findAll<@svc.findAll<@ctl.list', 'GET /api/orders', NULL)) t(chain, rest_summary, markers)""", "replace(chain, '%', @) AS chain, rest_summary, markers").replace("'@dao", "'%dao").replace("<@", "<%").replace("'@map", "'%map"))
 def sample_top_entries(spark, sf_dir):
     """What stands at the top of each chain."""
-    nodes, edges = samples.project_graph(spark)
-    chains = call_graph.trace_up(edges, nodes, spark.createDataFrame([("dao.count",), ("dao.purge",), ("map.findAll",)], "key string"))
-    told = trace_starts.with_top_entries(chains, nodes, source.lines(source.java_files(samples.project(spark).where("project = 'shop'"))))
+    files, nodes, edges = _shops(spark, sf_dir)
+    chains = call_graph.trace_up(edges, nodes, _seeds(nodes, "dao.count", "dao.purge", "map.findAll"))
+    told = trace_starts.with_top_entries(chains, nodes, source.lines(source.java_files(files)))
     return told.select(F.array_join("chain", "<").alias("chain"), F.col("top_entry.rest_summary").alias("rest_summary"), F.array_join("top_entry.markers", ",").alias("markers"))
 
 
-@query("""SELECT * FROM (VALUES ('ctl.create', '1'), ('job.tick', '2'), ('job.onMessage', '3'), ('ctl.list', '4')) t(entry, chains)""")
+@query(_keyed("""SELECT * FROM (VALUES ('ctl.create', '1'), ('job.tick', '2'), ('job.onMessage', '3'), ('ctl.list', '4')) t(entry, chains)""", "@ || entry AS entry, chains"))
 def sample_entry_groups(spark, sf_dir):
-    nodes, edges = samples.project_graph(spark)
-    chains = call_graph.trace_up(edges, nodes, spark.createDataFrame([("dao.count",), ("dao.purge",), ("map.findAll",)], "key string"))
-    numbered = chains.withColumn("chain_no", F.expr("CASE array_join(chain, '<') WHEN 'dao.count<svc.save<ctl.create' THEN 1 WHEN 'dao.count<svc.save<job.tick' THEN 2 WHEN 'dao.purge<job.onMessage' THEN 3 ELSE 4 END"))
+    _, nodes, edges = _shops(spark, sf_dir)
+    chains = call_graph.trace_up(edges, nodes, _seeds(nodes, "dao.count", "dao.purge", "map.findAll"))
+    bare = F.array_join(F.transform("chain", lambda x: F.substring_index(x, ":", -1)), "<")
+    numbered = chains.withColumn("chain_no", F.when(bare == "dao.count<svc.save<ctl.create", 1).when(bare == "dao.count<svc.save<job.tick", 2).when(bare == "dao.purge<job.onMessage", 3).otherwise(4))
     return call_graph.entry_groups(numbered, [F.element_at("chain", -1)]).select(F.col("k0").alias("entry"), F.array_join(F.transform("chains", lambda x: x.cast("string")), ",").alias("chains"))
 
 
-@query("""SELECT * FROM (VALUES ('orders', 'service_impl', 'svc.save<ctl.create'), ('orders', 'service_impl', 'svc.save<job.tick'), ('orders', 'jdbc_sql_literal', 'dao.purge<job.onMessage'),
-  ('customer', 'jdbc_sql_literal', 'dao.purge<job.onMessage'), ('region', 'jdbc_sql_literal', 'dao.purge<job.onMessage'), ('stale', 'jdbc_sql_literal', 'dao.purge<job.onMessage'), ('customer', 'mybatis_mapper_method', 'map.findAll<svc.findAll<ctl.list')) t("table", kind, chain)""")
+@query(_keyed("""SELECT * FROM (VALUES ('orders', 'service_impl', '%svc.save<%ctl.create'), ('orders', 'service_impl', '%svc.save<%job.tick'), ('orders', 'jdbc_sql_literal', '%dao.purge<%job.onMessage'),
+  ('customer', 'jdbc_sql_literal', '%dao.purge<%job.onMessage'), ('region', 'jdbc_sql_literal', '%dao.purge<%job.onMessage'), ('stale', 'jdbc_sql_literal', '%dao.purge<%job.onMessage'), ('customer', 'mybatis_mapper_method', '%map.findAll<%svc.findAll<%ctl.list')) t("table", kind, chain)""", """'shop' || s_suppkey AS project, "table", kind, replace(chain, '%', @) AS chain"""))
 def sample_table_callers(spark, sf_dir):
-    files, (nodes, edges) = samples.project(spark).where("project = 'shop'"), samples.project_graph(spark)
+    files, nodes, edges = _shops(spark, sf_dir)
     anchors, _ = chain_drivers.table_anchors(files, table_refs.table_hits(files))
-    return chain_drivers.table_callers(anchors, nodes, edges)[0].select("table", "kind", F.array_join("chain", "<").alias("chain"))
+    return chain_drivers.table_callers(anchors, nodes, edges)[0].select("project", "table", "kind", F.array_join("chain", "<").alias("chain"))
 
 
-@query("""SELECT * FROM (VALUES ('table', 'no service of its repository and no entity', 3::BIGINT, 'customer,region,stale'), ('entity', 'no method in the call index', 1::BIGINT, 'orders')) t(kind, reason, errors, tables)""")
+@query("""SELECT kind, reason, errors * (SELECT count(*) FROM supplier) AS errors, tables FROM (VALUES ('table', 'no service of its repository and no entity', 3::BIGINT, 'customer,region,stale'), ('entity', 'no method in the call index', 1::BIGINT, 'orders')) t(kind, reason, errors, tables)""")
 def sample_table_errors(spark, sf_dir):
-    files, (nodes, edges) = samples.project(spark).where("project = 'shop'"), samples.project_graph(spark)
+    files, nodes, edges = _shops(spark, sf_dir)
     anchors, errors = chain_drivers.table_anchors(files, table_refs.table_hits(files))
     lost = chain_drivers.table_callers(anchors, nodes, edges)[1]
     return chain_drivers.error_groups(errors.union(lost)).withColumn("tables", F.array_join("tables", ","))
 
 
-def _traced_entries(spark):
-    nodes, edges = samples.project_graph(spark)
-    files = samples.project(spark).where("project = 'shop'")
-    entries = reports.endpoint_ids(entry_points.rest_map(files)).select(F.col("slug").alias("entry_id"), F.lit("rest").alias("kind"), "file", "line")
-    scanned = entry_points.entry_points(files).where("kind <> 'controller_public_method'").select(F.col("kind").alias("entry_id"), "kind", "file", "line")
+def _traced_entries(spark, sf_dir):
+    files, nodes, edges = _shops(spark, sf_dir)
+    named = lambda c: F.concat_ws(":", "project", c).alias("entry_id")
+    entries = reports.endpoint_ids(entry_points.rest_map(files)).select(named("slug"), F.lit("rest").alias("kind"), "file", "line")
+    scanned = entry_points.entry_points(files).where("kind <> 'controller_public_method'").select(named("kind"), "kind", "file", "line")
     return chain_drivers.entry_callees(entries.union(scanned), nodes, edges)
 
 
-@query("""SELECT * FROM (VALUES ('GET_api_orders', 'ctl.list', 3::BIGINT, 2::BIGINT, 'complete'), ('POST_api_orders', 'ctl.create', 3, 2, 'complete'), ('kafka_listener', 'job.onMessage', 2, 1, 'complete'), ('spring_async', 'job.onMessage', 2, 1, 'complete'),
-  ('scheduled', 'job.tick', 3, 2, 'complete'), ('main', 'job.tick', 3, 2, 'complete')) t(entry_id, seed, node_count, edge_count, stop_reason)""")
+@query(_keyed("""SELECT * FROM (VALUES ('GET_api_orders', 'ctl.list', 3::BIGINT, 2::BIGINT, 'complete'), ('POST_api_orders', 'ctl.create', 3, 2, 'complete'), ('kafka_listener', 'job.onMessage', 2, 1, 'complete'), ('spring_async', 'job.onMessage', 2, 1, 'complete'),
+  ('scheduled', 'job.tick', 3, 2, 'complete'), ('main', 'job.tick', 3, 2, 'complete')) t(entry_id, seed, node_count, edge_count, stop_reason)""", "q.* REPLACE ('shop' || @ || entry_id AS entry_id, @ || seed AS seed)"))
 def sample_entry_rows(spark, sf_dir):
-    return _traced_entries(spark)["rows"].select("entry_id", "seed", "node_count", "edge_count", "stop_reason")
+    return _traced_entries(spark, sf_dir)["rows"].select("entry_id", "seed", "node_count", "edge_count", "stop_reason")
 
 
-@query("""SELECT * FROM (VALUES ('POST_api_orders', 'save(Orders)', 6::BIGINT), ('scheduled', 'save(Orders)', 6), ('main', 'save(Orders)', 6)) t(source, method, score)""")
+@query(_keyed("""SELECT * FROM (VALUES ('POST_api_orders', 'save(Orders)', 6::BIGINT), ('scheduled', 'save(Orders)', 6), ('main', 'save(Orders)', 6)) t(source, method, score)""", "q.* REPLACE ('shop' || @ || source AS source)"))
 def sample_entry_methods(spark, sf_dir):
-    return chain_drivers.entry_key_methods(_traced_entries(spark)).select("source", "method", "score")
+    return chain_drivers.entry_key_methods(_traced_entries(spark, sf_dir)).select("source", "method", "score")
 
 
-@query(f"""SELECT * FROM (VALUES ('{samples.HOME}Jobs.java', 4::BIGINT, 10::BIGINT), ('{samples.HOME}OrderController.java', 2, 6)) t(file, entries, nodes)""")
+@query(each_supplier(f"""SELECT * FROM (VALUES ('{samples.HOME}Jobs.java', 4::BIGINT, 10::BIGINT), ('{samples.HOME}OrderController.java', 2, 6)) t(file, entries, nodes)""", "q.* REPLACE ('shop' || s_suppkey || '/' || file AS file)"))
 def sample_controller_rows(spark, sf_dir):
-    return chain_drivers.controller_rows(_traced_entries(spark)).select("file", F.size("entries").cast("long").alias("entries"), "nodes")
+    return chain_drivers.controller_rows(_traced_entries(spark, sf_dir)).select("file", F.size("entries").cast("long").alias("entries"), "nodes")
 
 
-@query("""SELECT * FROM (VALUES ('GET_api_orders', true, true, true), ('POST_api_orders', true, true, true), ('kafka_listener', true, true, true), ('spring_async', true, true, true), ('scheduled', true, true, true), ('main', true, true, true)) t(entry_id, anchored, counted, titled)""")
+@query(_keyed("""SELECT * FROM (VALUES ('GET_api_orders', true, true, true), ('POST_api_orders', true, true, true), ('kafka_listener', true, true, true), ('spring_async', true, true, true), ('scheduled', true, true, true), ('main', true, true, true)) t(entry_id, anchored, counted, titled)""", "q.* REPLACE ('shop' || @ || entry_id AS entry_id)"))
 def sample_entry_reports(spark, sf_dir):
     """The reports' payload, read back: it has the anchor of its entry, and the counts."""
-    r = chain_drivers.entry_reports(_traced_entries(spark))
+    r = chain_drivers.entry_reports(_traced_entries(spark, sf_dir))
     payload = F.from_json(source.report_payload(F.col("value")), "query struct<seed: string, restMapAnchor: struct<entry_id: string>>, stats struct<node_count: long>")
     return r.select("entry_id", payload.alias("p"), "value").select("entry_id", (F.col("p.query.restMapAnchor.entry_id") == F.col("entry_id")).alias("anchored"), (F.col("p.stats.node_count") > 0).alias("counted"), F.startswith("value", F.lit("# Calls below ")).alias("titled"))
 
 
-@query("""SELECT * FROM (VALUES ('a/Bean.java', 'Bean', 2::BIGINT)) t(file, class, accessors)""")
+@query(each_supplier("SELECT * FROM (VALUES ('a/Bean.java', 'Bean', 2::BIGINT)) t(file, class, accessors)", "q.* REPLACE ('shop' || s_suppkey || '/' || file AS file)"))
 def sample_accessor_leaves(spark, sf_dir):
     nodes = spark.createDataFrame([("A", "S", "run()", "s"), ("G", "Bean", "getX() : int", "a/Bean.java"), ("S", "Bean", "setX(int)", "a/Bean.java")], "key string, class string, method string, file string")
-    return call_graph.accessor_leaves(nodes, spark.createDataFrame([("A", "G"), ("A", "S")], "src_key string, dst_key string"))
+    edges = spark.createDataFrame([("A", "G"), ("A", "S")], "src_key string, dst_key string")
+    return call_graph.accessor_leaves(samples.copies(spark, sf_dir, nodes, ["key"], ["file"]), samples.copies(spark, sf_dir, edges, ["src_key", "dst_key"]))

@@ -113,6 +113,11 @@ def _named_once(names: DataFrame) -> DataFrame:
     return first.select("n.ordinal", "n.name").withColumn("ordinal", F.row_number().over(Window.orderBy("ordinal")))
 
 
+def listed_lines(listed: DataFrame) -> DataFrame:
+    """user_tables(ordinal, name) from the lines(ordinal, text) of a list: `#` begins a comment."""
+    return _named_once(listed.select("ordinal", stripped(F.regexp_replace("text", "#.*$", "")).alias("name")))
+
+
 def listed_tables(spark: SparkSession, text: str = "", inline: str = "") -> DataFrame:
     """user_tables(ordinal, name) from a list file's text (one a line, `#` begins a comment), then an inline list (`,` or its full-width form)."""
     both = spark.createDataFrame([(0, text.removeprefix("﻿")), (1, inline)], "part int, text string")
