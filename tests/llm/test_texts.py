@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -327,3 +328,33 @@ def test_pipeline_on_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_packing_deals_near_tails_together():
+    """Of the nearest tails of all, more are in the seed's shard than by chance, and copies are next to each other."""
+    rng = np.random.default_rng(9)
+    topics = [rng.choice(40_000, 300, replace=False) for _ in range(8)]
+    tails = [rng.choice(topics[i % 8], 120).astype(np.uint16) for i in range(800)]
+    order = np.argsort([packing.nearness(t) for t in tails], kind="stable")
+    shard = np.empty(800, dtype=int)
+    shard[order] = np.arange(800) // 100
+    share = np.mean([(shard[[j for j in range(i % 8, 800, 8) if j != i]] == shard[i]).mean() for i in range(200)])
+    assert share > 0.25  # 0.125 by chance
+    assert packing.nearness(tails[5]) == packing.nearness(tails[5][::-1])
+
+
+def test_packing_walks_on_past_the_first_neighbours():
+    """A seed whose nearest tails are all short takes the next best, not the longest of the rest."""
+    tails = [np.arange(100, 150, dtype=np.uint16)] + [np.array([100 + i % 16], dtype=np.uint16) for i in range(200)] + [np.full(40, 9, dtype=np.uint16)]
+    idf = np.ones(1 << 16, dtype=np.float32)
+    first = next(packing.Shard(tails, idf, 5.0).fill(window=200))
+    assert sum(n for _, _, n in first) == 200 and 201 not in {i for i, _, _ in first}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 9, 10, 11, 14, 15, 16, 40])
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_packing_chunks(n, batch):
+    rows = pd.DataFrame({"a": range(n)})
+    got = list(packing.chunks((rows.iloc[i : i + batch] for i in range(0, n, batch)), 10))
+    assert [x for g in got for x in g["a"]] == list(range(n)) and all(0 < len(g) <= 15 for g in got)
+    assert all(len(g) >= 5 for g in got) or n < 10
