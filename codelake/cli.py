@@ -34,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--operation", choices=symbol_index.OPERATIONS, default="documentSymbol")
         c.add_argument("--max-depth", type=int)
         c.add_argument("--max-nodes", type=int, default=500)
-        c.add_argument("--max-branches", type=int, default=32)
+        c.add_argument("--max-branches", type=int)
         c.add_argument("--tables-file")
         c.add_argument("--tables", default="")
         c.add_argument("--out", default="design")
@@ -43,6 +43,13 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--max-entries", type=int, help="the most starts from text hits")
         c.add_argument("--fold-accessors", action="store_true", help="downward: accessors that call nothing are listed with their callers")
         c.add_argument("--keywords", nargs="*", default=[], help="bundle: keywords whose callers are traced")
+        c.add_argument("--steps", nargs="*", choices=project_design.Options.steps, help="bundle: only these steps; others are read from an earlier run where they are needed")
+        c.add_argument("--skip", nargs="*", choices=project_design.Options.steps, default=[], help="bundle: all steps but these")
+        c.add_argument("--depth-down", type=int, default=16, help="bundle: levels below an entry")
+        c.add_argument("--max-endpoints", type=int, default=0, help="bundle: the most entries that are traced (0: all)")
+        c.add_argument("--max-chains", type=int, default=1_000_000, help="upward: more open chains than this are an error; a bundle then counts them")
+        c.add_argument("--max-anchors", type=int, default=24, help="bundle: literals and mapper methods of a table, each (0: all)")
+        c.add_argument("--strict-tables", action="store_true", help="bundle: no list of tables that only the sources name")
     return top
 
 
@@ -73,13 +80,13 @@ def _output(spark: SparkSession, a: argparse.Namespace):
         files = source.read_tree(spark, [source.project_root(a.path)])
         seeds = _seeds(index, a, files)
         if a.command == "callchain-up":
-            chains = call_graph.trace_up(edges, index["call_nodes"], seeds, a.max_depth if a.max_depth is not None else 20)
+            chains = call_graph.trace_up(edges, index["call_nodes"], seeds, a.max_depth if a.max_depth is not None else 20, a.max_chains)
             chains = trace_starts.with_top_entries(chains, index["call_nodes"], source.lines(source.java_files(files)))
             return reports.chain_report(chains, {"query": a.query or f"{a.class_name}.{a.method}"}) if a.format == "markdown" else chains
         starts = [r["key"] for r in seeds.limit(2).collect()]
         if len(starts) != 1:
             raise ValueError("a downward trace needs exactly one start; found " + ("several" if starts else "none"))
-        nodes, found, stats = call_graph.trace_down(edges, starts[0], spark, a.max_depth if a.max_depth is not None else 8, a.max_nodes, a.max_branches)
+        nodes, found, stats = call_graph.trace_down(edges, starts[0], spark, a.max_depth if a.max_depth is not None else 8, a.max_nodes, a.max_branches if a.max_branches is not None else 32)
         full = nodes.join(index["call_nodes"], "key")
         if a.fold_accessors:
             full, found, folded = call_graph.folded_accessors(full, found, starts[0])
@@ -105,7 +112,11 @@ def _output(spark: SparkSession, a: argparse.Namespace):
     if a.command == "db-tables":
         hits = table_refs.table_hits(files)
         return reports.anchor_ids(table_refs.canonical_names(hits, listed) if listed is not None else hits).orderBy("file", "line", "nth")
-    options = project_design.Options(queries=tuple(a.keywords))
+    options = project_design.Options(
+        steps=tuple(s for s in project_design.Options.steps if s in (a.steps or project_design.Options.steps) and s not in a.skip), queries=tuple(a.keywords), max_depth_up=a.max_depth if a.max_depth is not None else 20,
+        max_depth_down=a.depth_down, max_nodes=a.max_nodes, max_branches=a.max_branches if a.max_branches is not None else 48, max_endpoints=a.max_endpoints, most_chains=a.max_chains, most_anchors=a.max_anchors,
+        most_files=a.max_files, strict_tables=a.strict_tables, skip_interfaces=a.skip_interfaces, skip_rest=a.skip_rest, most_starts=a.max_entries,
+    )
     bundle = project_design.write_bundle(spark, files, a.out, listed, _index(spark, a.index) if a.index else None, options)
     return "\n".join([f"{k}: {v}" for k, v in bundle.summary.items()] + [f"warning: {w}" for w in bundle.warnings])
 

@@ -12,19 +12,19 @@ from codelake.operators.java_context import enclosing_methods
 from codelake.sources.files import java_files, lines, xml_files
 
 HIDDEN = "\x01"
-ESCAPE = r"\\u+[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|(?s)\\.|[^\\]+|\\$"
+ESCAPE = r"\\U[0-9a-fA-F]{8}|\\u+[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|(?s)\\.|[^\\]+|\\$"
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "a": "\x07", "v": "\x0b", "\n": ""}
 
 
 def unescaped(literal: Column) -> Column:
-    """A string literal as the program sees it: characters by number (four or two hexadecimal or up to three octal digits), control characters, and quotes and backslashes."""
+    """A string literal as the program sees it: characters by number (eight, four or two hexadecimal or up to three octal digits), control characters, and quotes and backslashes."""
 
     def one(x: Column) -> Column:
-        digits = F.coalesce(*[F.nullif(F.regexp_extract(x, e, 1), F.lit("")) for e in (r"^\\u+([0-9a-fA-F]{4})$", r"^\\x([0-9a-fA-F]{2})$")], F.conv(F.nullif(F.regexp_extract(x, r"^\\([0-7]{1,3})$", 1), F.lit("")), 8, 16))
+        digits = F.coalesce(*[F.nullif(F.regexp_extract(x, e, 1), F.lit("")) for e in (r"^\\U([0-9a-fA-F]{8})$", r"^\\u+([0-9a-fA-F]{4})$", r"^\\x([0-9a-fA-F]{2})$")], F.conv(F.nullif(F.regexp_extract(x, r"^\\([0-7]{1,3})$", 1), F.lit("")), 8, 16))
         named = F.substring(x, 2, 1)
         for code, plain in PLAIN.items():
             named = F.when(F.substring(x, 2, 1) == code, plain).otherwise(named)
-        return F.when(~F.startswith(x, F.lit("\\")) | (F.length(x) < 2), x).when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 4, "0")), "UTF-16BE")).otherwise(named)
+        return F.when(~F.startswith(x, F.lit("\\")) | (F.length(x) < 2), x).when(F.length(digits) == 8, F.decode(F.unhex(digits), "UTF-32")).when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 4, "0")), "UTF-16BE")).otherwise(named)
 
     pieces = F.regexp_extract_all(literal, F.lit(ESCAPE), 0)
     return F.when(F.contains(literal, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(literal)

@@ -21,6 +21,14 @@ ERROR = ["project", "table", "kind", "file", "line", "reason"]
 REPORT_CHAINS = 200
 
 
+def capped_anchors(anchors: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(anchors, counts(project, table, kind, found, kept)): of literals and of mapper methods the first `most` of each table, in the order of their places; 0: all."""
+    ranked = anchors.withColumn("_r", F.row_number().over(Window.partitionBy("project", "table", "kind").orderBy("file", "line", "detail", "anchor_id")))
+    stays = ~F.col("kind").isin("jdbc_sql_literal", "mybatis_mapper_method") | (F.col("_r") <= most) if most else F.lit(True)
+    counts = ranked.groupBy("project", "table", "kind").agg(F.count("*").alias("found"), F.count(F.when(stays, 1)).alias("kept"))
+    return ranked.where(stays).drop("_r"), counts
+
+
 def table_anchors(files: DataFrame, hits: DataFrame, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(anchors, errors): the places in the source that work on each table(project, table), physical names; all tables of the hits where none are given.
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from codelake.functions import names
 from codelake.operators import entry_points, structure, table_refs
-from codelake.plans import call_graph, chain_drivers, reports, saved_reports, trace_starts
+from codelake.plans import call_graph, chain_counts, chain_drivers, reports, saved_reports, trace_starts
 from codelake.sources import files as source
 
 
@@ -31,6 +31,12 @@ class Options:
     max_branches: int = 48
     max_endpoints: int = 0  # 0: all
     most_chains: int = 1_000_000
+    most_anchors: int = 24  # of a table's literals, and of its mapper methods; 0: all
+    most_files: int | None = None  # Java files that are read for types
+    strict_tables: bool = False  # no list of tables that only the sources name
+    skip_interfaces: bool = False  # starts from text hits
+    skip_rest: bool = False
+    most_starts: int | None = None
 
 
 @dataclass
@@ -46,6 +52,35 @@ def _document(folder: str, name: str, text: str) -> None:
         f.write(text)
 
 
+STEP_OF = {
+    "modules": ["modules"], "entrypoints": ["entrypoints"], "rest-map": ["rest-map"], "symbols": ["symbols-by-package"], "keyword-up": ["keyword-callers", "keyword-counts"], "table-up": ["table-callers", "table-errors", "table-error-groups", "table-anchor-counts"],
+    "entry-down": ["entry-rows", "entry-errors", "entry-controllers", "key-methods"], "business": ["merged-key-methods"],
+}
+SHOWN = 200
+
+
+def _index(made: dict[str, DataFrame], bundle: Bundle, options: Options) -> str:
+    """What a bundle holds, step by step, with links to tables and reports; lists show their first rows."""
+    lines, left = ["# Design", ""], dict(bundle.summary)
+    for step in options.steps:
+        named = [n for n in left if n in STEP_OF.get(step, ()) or (step == "db-tables" and n.startswith("tables-"))]
+        lines += [f"## {step}", "", *([f"- [{n}]({n}/): {left[n]}" for n in named] or ["(nothing)"]), ""]
+        if step == "rest-map" and "rest-map" in named:
+            few = made["rest-map"].orderBy("file", "line", "slug").limit(SHOWN).collect()
+            lines += ["[diagram](rest-map.mmd)", "", *[f"- `{r['http_method']} {r['path']}` {r['simple_class_name']}.{r['method_name']} ({r['file']}:{r['line']})" for r in few], ""]
+        if step == "entry-down" and "entry-controllers" in named:
+            stem = names.safe_name(F.regexp_replace(F.substring_index("file", "/", -1), r"\.java$", ""), 80, "file")
+            few = made["entry-controllers"].select("file", stem.alias("stem"), F.size("entries").alias("n"), "nodes").orderBy("file").limit(SHOWN).collect()
+            lines += [*[f"- [{r['file']}](entry-down/controller={r['stem']}/): {r['n']} entries, {r['nodes']} methods" for r in few], ""]
+        if step == "table-up" and "table-callers" in named:
+            slug = names.safe_name(F.col("table"), 80, "table")
+            few = made["table-callers"].groupBy("table", slug.alias("slug")).agg(F.count("*").alias("n"), F.count_distinct("anchor_id").alias("anchors")).orderBy("table").limit(SHOWN).collect()
+            lines += [*[f"- [{r['table']}](table-up/slug={r['slug']}/): {r['anchors']} anchors, {r['n']} chains" for r in few], ""]
+        if step == "business" and named:
+            lines += ["[key methods](business.md)", ""]
+    return "\n".join([*lines, *(["## Warnings", "", *[f"- {w}" for w in bundle.warnings], ""] if bundle.warnings else [])])
+
+
 def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables: DataFrame | None = None, index: dict[str, DataFrame] | None = None, options: Options = Options()) -> Bundle:
     """Run the steps in order. Tables are written by executors under `folder`; index and reports, which are small, by the driver."""
     bundle = Bundle(folder)
@@ -70,10 +105,12 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
 
     def tables() -> None:
         for name, df in table_refs.manifest(files, user_tables).items():
+            if options.strict_tables and name == "extracted_only":
+                continue
             keep("db-tables", f"tables-{name.replace('_', '-')}", reports.anchor_ids(df) if name == "hits" else df)
 
     def symbols() -> None:
-        keep("symbols", "symbols-by-package", structure.by_package(structure.top_level_types(files)))
+        keep("symbols", "symbols-by-package", structure.by_package(structure.top_level_types(files, options.most_files)))
 
     def edges() -> DataFrame:
         return call_graph.with_implementations(index["call_edges"], index["impl_edges"]) if "impl_edges" in index else index["call_edges"]
@@ -81,10 +118,16 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
     def keyword_up() -> None:
         starts = None
         for text in options.queries:
-            found = trace_starts.keyword_starts(index["call_nodes"], text, files).withColumn("query", F.lit(text))
+            found = trace_starts.keyword_starts(index["call_nodes"], text, files, options.skip_interfaces, options.skip_rest, options.most_starts).withColumn("query", F.lit(text))
             starts = found if starts is None else starts.union(found)
         if starts is not None:
-            chains = call_graph.trace_up(edges(), index["call_nodes"], starts.select("key").distinct(), options.max_depth_up, options.most_chains)
+            seeds = starts.select("key").distinct()
+            try:
+                chains = call_graph.trace_up(edges(), index["call_nodes"], seeds, options.max_depth_up, options.most_chains)
+            except ValueError as e:  # too many to list; they can still be counted
+                bundle.warnings.append(f"keyword-up: {e}; counted instead")
+                keep("keyword-up", "keyword-counts", chain_counts.summary(chain_counts.chain_counts(edges(), index["call_nodes"], seeds, options.max_depth_up)))
+                return
             told = trace_starts.with_top_entries(chains, index["call_nodes"], source.lines(source.java_files(files)))
             keep("keyword-up", "keyword-callers", starts.select("query", "way", F.col("key").alias("seed")).join(told, "seed"))
 
@@ -102,6 +145,8 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
         hits = saved("tables-hits")
         asked = None if user_tables is None else hits.select("project").distinct().crossJoin(F.broadcast(user_tables.select(names.physical_table(F.col("name")).alias("table")).distinct()))
         anchors, errors = chain_drivers.table_anchors(files, hits, asked)
+        anchors, counts = chain_drivers.capped_anchors(anchors, options.most_anchors)
+        keep("table-up", "table-anchor-counts", counts)
         chains, lost = chain_drivers.table_callers(anchors, index["call_nodes"], edges(), options.max_depth_up, options.most_chains)
         keep("table-up", "table-callers", chains)
         keep("table-up", "table-errors", errors.union(lost))
@@ -118,7 +163,9 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
         keep("entry-down", "entry-errors", traced["errors"])
         keep("entry-down", "entry-controllers", chain_drivers.controller_rows(traced))
         keep("entry-down", "key-methods", chain_drivers.entry_key_methods(traced))
-        chain_drivers.entry_reports(traced).write.mode("overwrite").partitionBy("entry_id").text(f"{folder}/entry-down")
+        stem = names.safe_name(F.regexp_replace(F.substring_index("file", "/", -1), r"\.java$", ""), 80, "file")
+        placed = chain_drivers.entry_reports(traced).join(traced["rows"].select("entry_id", stem.alias("controller")).distinct(), "entry_id")
+        placed.write.mode("overwrite").partitionBy("controller", "entry_id").text(f"{folder}/entry-down")
 
     def business() -> None:
         """From this run's traces, else from the reports that earlier runs, or others, saved in the folder."""
@@ -144,6 +191,6 @@ def write_bundle(spark: SparkSession, files: DataFrame, folder: str, user_tables
             run[step]()
         except (ValueError, OSError) as e:  # bad input of one step; the others still have their use
             bundle.warnings.append(f"{step}: {type(e).__name__}: {str(e)[:300]}")
-    _document(folder, "index.md", "\n".join(["# Design", "", *[f"- {k}: {v}" for k, v in bundle.summary.items()], "", *[f"- warning: {w}" for w in bundle.warnings], ""]))
+    _document(folder, "index.md", _index(made, bundle, options))
     _document(folder, "summary.json", json.dumps({"tables": bundle.summary, "warnings": bundle.warnings}, ensure_ascii=False, indent=1))
     return bundle

@@ -19,8 +19,8 @@ NODE = {"class": "class", "method": "method", "file": "file", "line": "line", "i
 
 
 def payloads(spark: SparkSession, folder: str, globs: str = "*.{json,md,txt}") -> DataFrame:
-    """(source, payload): the JSON of every saved report below a folder, by its path there."""
-    told = reports.read_reports(spark, folder, globs)
+    """(source, payload): the JSON of every saved report of a downward trace below a folder, by its path there."""
+    told = reports.read_reports(spark, folder, globs).where(F.arrays_overlap(F.json_object_keys("payload"), F.array(F.lit("keyMethods"), F.lit("nodes"))))
     base = folder.rstrip("/").rpartition("://")[2] + "/"
     return told.select(F.substring_index("path", base, -1).alias("source"), "payload")
 

@@ -39,9 +39,9 @@ def nodes_at(points: DataFrame, nodes: DataFrame, below: int | None = 16, above:
 
 
 def method_starts(nodes: DataFrame, needle: str) -> DataFrame:
-    """(key, file, line) of the methods that a keyword may mean, the best first: of that name, then those that hold it, shorter names first."""
+    """(key, file, line) of the methods that a keyword may mean, the best first: of that name, then those that hold it, then those that hold it elsewhere in their signature, shorter names first."""
     bare = bare_method()
-    tier = F.when(bare == needle, 0).when(F.contains(F.lower(bare), F.lit(needle.lower())), 1)
+    tier = F.when(bare == needle, 0).when(F.contains(F.lower(bare), F.lit(needle.lower())), 1).when(F.contains(F.lower("method"), F.lit(needle.lower())), 2)
     return nodes.where(tier.isNotNull()).orderBy(tier, F.when(tier == 0, 0).otherwise(F.length(bare)), "file", "line", "key").select("key", "file", "line")
 
 
@@ -54,12 +54,8 @@ def class_starts(nodes: DataFrame, needle: str) -> DataFrame:
     return first.orderBy(tier, -F.length(name), "file", "key").select("key", "file", "line")
 
 
-def text_starts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_interfaces: bool = False, skip_rest: bool = False, most: int | None = None) -> DataFrame:
-    """The methods around the best text hits of some needles, likelier files first (ordinal).
-
-    One needle gives each file one start, by its best hit that lies in a method; several give every method one. Of a
-    hit's candidate lines the first that lies in a method counts.
-    """
+def _marked_starts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_interfaces: bool, skip_rest: bool) -> DataFrame:
+    """The starts that text hits give, and why some are not wanted (gone: interface or rest)."""
     several = len(needles) > 1
     java = source.java_files(files)
     found = text_search.search(java, "|".join(needles), MANY_NEEDLE_HITS if several else ONE_FILE_HITS)
@@ -71,12 +67,27 @@ def text_starts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_int
     inside = tried.join(spans, "path").where("candidate >= line AND (end IS NULL OR candidate < end)")
     first = inside.withColumn("r", F.row_number().over(Window.partitionBy("nth").orderBy("rank", "key"))).where("r = 1")
     once = first.withColumn("r", F.row_number().over(Window.partitionBy("key" if several else "path").orderBy("nth"))).where("r = 1")
-    if skip_interfaces:
-        stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.java$", "")
-        own = lines.where(q.is_interface_file(stem, F.col("text"))).select("path").distinct()
-        once = once.join(own, "path", "left_anti")
-    if skip_rest and "is_rest" in nodes.columns:
-        once = once.where(~F.coalesce("is_rest", F.lit(False)))
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.java$", "")
+    own = lines.where(q.is_interface_file(stem, F.col("text"))).select("path").distinct().withColumn("interface", F.lit(True)) if skip_interfaces else lines.select("path").limit(0).withColumn("interface", F.lit(True))
+    rest = F.coalesce("is_rest", F.lit(False)) if skip_rest and "is_rest" in nodes.columns else F.lit(False)
+    return once.join(own, "path", "left").withColumn("gone", F.when(F.col("interface"), "interface").when(rest, "rest"))
+
+
+def start_counts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_interfaces: bool = False, skip_rest: bool = False, most: int | None = None) -> DataFrame:
+    """(found, skipped_interfaces, skipped_rest, before_cap, kept): how many starts text hits give, and what becomes of them."""
+    n = lambda c: F.count(F.when(c, 1))
+    told = _marked_starts(nodes, files, needles, skip_interfaces, skip_rest).agg(F.count("*").alias("found"), n(F.col("gone") == "interface").alias("skipped_interfaces"), n(F.col("gone") == "rest").alias("skipped_rest"))
+    left = F.col("found") - F.col("skipped_interfaces") - F.col("skipped_rest")
+    return told.select("*", left.alias("before_cap"), (left if most is None else F.least(left, F.lit(most))).cast("long").alias("kept"))
+
+
+def text_starts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_interfaces: bool = False, skip_rest: bool = False, most: int | None = None) -> DataFrame:
+    """The methods around the best text hits of some needles, likelier files first (ordinal).
+
+    One needle gives each file one start, by its best hit that lies in a method; several give every method one. Of a
+    hit's candidate lines the first that lies in a method counts.
+    """
+    once = _marked_starts(nodes, files, needles, skip_interfaces, skip_rest).where("gone IS NULL")
     ordered = once.withColumn("ordinal", F.row_number().over(Window.orderBy(q.entry_tier(F.col("path")), "path", "nth")))
     out = ordered.select("key", F.col("path").alias("file"), "line", "ordinal", F.col("hit").alias("hit_line"))
     return out if most is None else out.where(F.col("ordinal") <= most)

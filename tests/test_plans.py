@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codelake import cli, samples
 from codelake.operators import java_context, table_refs, text_search
-from codelake.plans import call_graph, project_design, reports, symbol_index
+from codelake.plans import call_graph, chain_drivers, project_design, reports, symbol_index, trace_starts
 from codelake.sources import files as source
 from codelake.streaming import scans
 
@@ -136,7 +136,7 @@ def test_derived_calls(spark):
 
 def test_bundle_and_command_line(spark, tree, tmp_path, capsys):
     made = project_design.write_bundle(spark, source.read_files(spark, str(tree)), str(tmp_path / "design"))
-    assert made.summary["rest-map"] == 2 and made.summary["tables-hits"] == 7 and len(made.warnings) == 2
+    assert made.summary["rest-map"] == 2 and made.summary["tables-hits"] == 7 and len(made.warnings) == 3 and "no saved report" in made.warnings[-1]
     assert (tmp_path / "design/index.md").exists() and "list" in (tmp_path / "design/rest-map.mmd").read_text()
     assert cli.main(["java-grep", str(tree), "-q", "repo.save"]) == 0
     assert json.loads(capsys.readouterr().out)["line"] == 9
@@ -151,6 +151,40 @@ def test_bundle_and_command_line(spark, tree, tmp_path, capsys):
     assert "Calls below B" in capsys.readouterr().out
     full = project_design.write_bundle(spark, source.read_files(spark, str(tree)), str(tmp_path / "full"), index={**index(spark), "call_nodes": samples.call_graph(spark)[0].withColumn("line", F.lit(9)).withColumn("file", F.when(F.col("key") == "A", f"{samples.HOME}OrderController.java").otherwise(F.col("file")))})
     assert not full.warnings and full.summary["key-methods"] == 2 and "OrderService" in (tmp_path / "full/business.md").read_text()
+    index_md = (tmp_path / "full/index.md").read_text()
+    assert "(entry-down/controller=OrderController/)" in index_md and "`GET /api/orders` OrderController.list" in index_md and (tmp_path / "full/entry-down/controller=OrderController").is_dir()
+    # a later run of one step reads the reports that this one saved
+    want = (tmp_path / "full/business.md").read_text().split("\n")[4:]
+    assert cli.main(["bundle", str(tree), "--out", str(tmp_path / "full"), "--steps", "business"]) == 0
+    assert "warning" not in capsys.readouterr().out
+    got = (tmp_path / "full/business.md").read_text().split("\n")[4:]
+    assert [r.split("|")[1:5] for r in got if r] == [r.split("|")[1:5] for r in want if r] and len([r for r in got if r]) == 2
+    assert cli.main(["bundle", str(tree), "--out", str(tmp_path / "part"), "--skip", "symbols", "business", "table-up", "entry-down", "rest-map", "--strict-tables"]) == 0
+    assert not (tmp_path / "part/tables-extracted-only").exists() and (tmp_path / "part/modules").exists() and not (tmp_path / "part/rest-map").exists()
+
+
+def test_anchor_caps_and_start_counts(spark):
+    files = samples.project(spark).where("project = 'shop'")
+    nodes, _ = samples.project_graph(spark)
+    anchors, _ = chain_drivers.table_anchors(files, table_refs.table_hits(files))
+    kept, counts = chain_drivers.capped_anchors(anchors.union(anchors.where("kind = 'jdbc_sql_literal'").withColumn("line", F.col("line") + 100)), 1)
+    told = {(r["table"], r["kind"]): (r["found"], r["kept"]) for r in counts.collect()}
+    assert told["customer", "jdbc_sql_literal"] == (2, 1) and told["orders", "service_impl"] == (1, 1)
+    assert kept.count() == sum(k for _, k in told.values()) and kept.where("line > 100").count() == 0
+    assert chain_drivers.capped_anchors(anchors, 0)[0].count() == anchors.count()
+    one = trace_starts.start_counts(nodes, files, ["repo.save", "stale"], most=1).first()
+    assert (one["found"], one["skipped_interfaces"], one["before_cap"], one["kept"]) == (2, 0, 2, 1)
+
+
+def test_keyword_in_a_signature(spark):
+    nodes = spark.createDataFrame([("a", "X", "run(Invoice) : void", "X.java", 3), ("b", "X", "invoiceOf(int)", "X.java", 9), ("c", "X", "go(Ledger)", "X.java", 12)], "key string, class string, method string, file string, line int")
+    assert [r["key"] for r in trace_starts.method_starts(nodes, "Invoice").collect()] == ["b", "a"]
+    assert [r["key"] for r in trace_starts.method_starts(nodes, "ledger").collect()] == ["c"]
+
+
+def test_escapes_of_eight_digits(spark):
+    text = r"a\U0001F600b\u0041\x42\103" + "\\\\"
+    assert spark.createDataFrame([(text,)], "t string").select(table_refs.unescaped(F.col("t")).alias("u")).first()["u"] == "a\N{GRINNING FACE}bABC\\"
 
 
 def test_streams(spark, tree, tmp_path):
