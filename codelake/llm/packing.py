@@ -9,7 +9,7 @@ is filled with the first part of the best neighbour left, whose rest goes back i
 up do the next best follow, until none shares a term. So all windows but the last of a shard are full.
 
 Sorting is range partitioning, so a word that all tails have, a group of copies or of equal rows is cut like any other
-stretch. A seed sees its shard only: of the ten nearest of all tails it sees three to four times as many as it would in
+stretch. A seed sees its shard only: of the ten nearest of all tails it sees two to three times as many as it would in
 shards dealt at random (README).
 
 Null texts are empty: a document of the end id alone. Repeated rows are packed as documents of their own. An empty

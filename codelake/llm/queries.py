@@ -41,7 +41,8 @@ def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scans(table(spark, sf_dir, "documents")).drop("spans")
+    scans = license_scan.scans(table(spark, sf_dir, "documents"))
+    return scans.withColumn("spans", F.to_json("spans"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
