@@ -101,7 +101,8 @@ def modified_method(text: Column) -> Column:
 
 
 def method_at(text: Column) -> Column:
-    return F.coalesce(declared_method(text), modified_method(text))
+    """The name of the method that a line declares, by either rule, else null. Both need a bracket, which most lines have not, so that is asked first."""
+    return F.when(F.contains(text, F.lit("(")), F.coalesce(declared_method(text), modified_method(text)))
 
 
 def is_method_line(text: Column) -> Column:

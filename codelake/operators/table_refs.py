@@ -87,7 +87,8 @@ def java_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     notes = each.where(F.contains(text, F.lit("@Table(")) & ~F.contains(text, F.lit("@TableField"))).select("project", *_hit(annotated_tables(text), "entity_annotation", "high"))
     literals = F.concat(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), F.regexp_extract_all(text, F.lit(p.SINGLE_QUOTED), 1))
     # the cheap test of the line comes first; most lines have no SQL in them
-    named = tables_of_each(F.transform(literals, unescaped))
+    told = F.filter(literals, lambda x: F.contains(x, F.lit("\\")) | matches(x, p.SQL_HINT))
+    named = tables_of_each(F.transform(told, unescaped))
     sql = enclosing_methods(each).where(matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
     return notes.unionByName(sql, allowMissingColumns=True)
 

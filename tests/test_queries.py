@@ -40,3 +40,15 @@ def test_every_core_query_has_sql():
 def test_search_and_filters_stay_in_the_engine(spark, sf_dir):
     plan = core.QUERIES["grep_lines_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "TakeOrdered" in plan
+
+
+def test_queries_are_registered_under_the_names_that_are_told():
+    import re
+    from pathlib import Path
+
+    import bench
+
+    told = re.findall(r"`((?:sample|java|manifest|controllers|op\d+)_\w+|point_queries|scoped_calls)`", (Path(bench.__file__).parent / "README.md").read_text(encoding="utf-8"))
+    known = bench.entry.queries()
+    assert set(bench.CORE) <= set(core.QUERIES) and {n for n in told if not n.startswith("op") or bench.LLM} <= set(known)
+    assert all(f.__name__ == name for name, f in core.QUERIES.items())
