@@ -29,10 +29,12 @@ def bare_method(c: str = "method"):
 def nodes_at(points: DataFrame, nodes: DataFrame, below: int | None = 16, above: int | None = 0) -> DataFrame:
     """points(file, line, ...) -> each with the key of the node there: the one that begins at the line, else the last within `above` lines over it, else the first within `below` lines under it (null: any number). Points without such a node are left out.
 
-    Annotations stand above the signature at which a node begins, so looking down a little is the default.
+    Annotations stand above the signature at which a node begins, so looking down a little is the default. Points and
+    nodes that both have a `project` meet within it only.
     """
-    each = points.withColumn("_point", F.monotonically_increasing_id())
-    held = each.join(nodes.select("file", "key", F.col("line").alias("_line")), "file").withColumn("_down", F.col("_line") - F.col("line"))
+    each = written(points.withColumn("_point", F.monotonically_increasing_id()))  # numbered once, so that a lost task numbers nothing anew
+    at = [c for c in ("project", "file") if c in points.columns and c in nodes.columns]  # equal paths of two projects are told apart where nodes name theirs
+    held = each.join(nodes.select(*at, "key", F.col("line").alias("_line")), at).withColumn("_down", F.col("_line") - F.col("line"))
     near = (F.col("_down") == 0) | ((F.col("_down") > 0) & (F.col("_down") <= below if below is not None else F.lit(True))) | ((F.col("_down") < 0) & (-F.col("_down") <= above if above is not None else F.lit(True)))
     nearest = F.row_number().over(Window.partitionBy("_point").orderBy(F.col("_down") > 0, F.abs("_down"), "key"))
     return held.where(near).withColumn("_r", nearest).where("_r = 1").drop("_r", "_line", "_point", "_down")

@@ -193,3 +193,10 @@ def test_streams(spark, tree, tmp_path):
     assert {r["kind"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"kafka_listener", "spring_async", "main", "scheduled"}
     scans.run(scans.hit_stream(files, "repo.save"), str(tmp_path / "hits"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "hits")).count() == 1
+
+
+def test_equal_paths_of_two_projects(spark):
+    nodes = spark.createDataFrame([("p", "a", "X.java", 3), ("q", "b", "X.java", 3)], "project string, key string, file string, line int")
+    points = spark.createDataFrame([("p", "X.java", 2), ("q", "X.java", 3), ("r", "X.java", 3)], "project string, file string, line int")
+    assert sorted((r["project"], r["key"]) for r in trace_starts.nodes_at(points, nodes).collect()) == [("p", "a"), ("q", "b")]
+    assert trace_starts.nodes_at(points.drop("project"), nodes).count() == 3
