@@ -49,6 +49,8 @@ NOT_METHODS = ["if", "for", "while", "switch", "catch", "try", "new"]
 
 # Methods and declarations.
 METHOD_LIKE = r"^\s*(public|private|protected|static)\s+.+\([^)]*\)"
+# whatever the two patterns of declarations match, matches this
+LIKELY_DECLARATION = r"^\s*[\w.<>,?\[\]][\w.<>,?\[\]\s]*\s\w+\s*\("
 NOT_NAMES = ["if", "for", "while", "switch", "catch", "new", "return", "super", "this", "synchronized"]
 STATEMENT_STARTS = ["if (", "if(", "for (", "for(", "while (", "while(", "switch (", "catch (", "try {"]
 TYPE_WORDS = r"[<>\[\]]|\b(void|int|long|boolean|byte|short|float|double|var)\b"

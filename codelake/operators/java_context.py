@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -22,16 +22,24 @@ def up_to() -> WindowSpec:
     return by_file().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def enclosing_methods(lines: DataFrame) -> DataFrame:
+def enclosing_methods(lines: DataFrame, asked: Column | None = None) -> DataFrame:
     """lines with java_method and java_method_line: the first declaration from the line down within 48 lines, else the nearest one up within 160.
 
     Looking down first suits annotations above signatures; a line inside a body can so be given to the next method.
+    Lines are numbered without gaps. With `asked` only the lines where it holds are returned, and only they and likely
+    declarations are moved and sorted. Both lookups carry the last declaration along, once in each direction.
     """
-    found = F.when(method_at(F.col("text")).isNotNull(), F.struct("line_no", method_at(F.col("text")).alias("name")))
-    down = F.first(found, ignorenulls=True).over(by_file().rowsBetween(0, 47))
-    up = F.last(F.when(~F.startswith(stripped(F.col("text")), F.lit("//")), found), ignorenulls=True).over(by_file().rowsBetween(-159, 0))
-    placed = lines.withColumn("m", F.coalesce(down, up))
-    return placed.select(*lines.columns, F.coalesce("m.name", F.concat(F.lit("_line"), "line_no")).alias("java_method"), F.coalesce("m.line_no", "line_no").alias("java_method_line"))
+    text = F.col("text")
+    if asked is not None:
+        lines = lines.withColumn("asked", F.coalesce(asked, F.lit(False))).where(F.col("asked") | F.contains(text, F.lit("(")) & matches(text, p.LIKELY_DECLARATION))
+    told = lines.withColumn("name", method_at(text)).withColumn("found", F.when(F.col("name").isNotNull(), F.struct("line_no", "name")))
+    nearest = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy("project", "path").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    told = told.withColumn("down", nearest(F.col("found"), F.desc("line_no"))).withColumn("up", nearest(F.when(~F.startswith(stripped(text), F.lit("//")), F.col("found")), F.asc("line_no")))
+    if asked is not None:
+        told = told.where("asked")
+    m = F.coalesce(F.when(F.col("down.line_no") < F.col("line_no") + 48, F.col("down")), F.when(F.col("up.line_no") > F.col("line_no") - 160, F.col("up")))
+    kept = [c for c in lines.columns if c != "asked"]
+    return told.withColumn("m", m).select(*kept, F.coalesce("m.name", F.concat(F.lit("_line"), "line_no")).alias("java_method"), F.coalesce("m.line_no", "line_no").alias("java_method_line"))
 
 
 def node_flags(lines: DataFrame) -> DataFrame:

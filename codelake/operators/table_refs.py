@@ -46,15 +46,24 @@ def outer_sql(sql: Column) -> Column:
     return F.when(F.rlike(sql, F.lit("[()]")), told).otherwise(sql)
 
 
-def _named(sql: Column, outer: Column) -> Column:
+def _defined(outer: Column) -> Column:
+    """The names that WITH defines, in lower case."""
     with_list = F.regexp_extract(outer, rf"(?i)\bWITH\s+(?:RECURSIVE\s+)?((?:[\s,]*\w+\s+AS\s*{HIDDEN})+)", 1)
-    defined = F.transform(F.regexp_extract_all(with_list, F.lit(rf"(?i)(\w+)\s+AS\s*{HIDDEN}"), 1), F.lower)
+    names = F.transform(F.regexp_extract_all(with_list, F.lit(rf"(?i)(\w+)\s+AS\s*{HIDDEN}"), 1), F.lower)
+    return F.when(F.contains(outer, F.lit(HIDDEN)), names).otherwise(F.array().cast("array<string>"))
+
+
+def _named(sql: Column, outer: Column) -> Column:
+    """The names after FROM, JOIN, INTO and UPDATE, then those after commas of the outer FROM."""
     body = F.regexp_extract(outer, r"(?is)\bFROM\s+(.*)$", 1)
     clause = F.get(F.split(body, p.END_OF_FROM), F.lit(0))
     listed = F.transform(F.slice(F.split(clause, ","), 2, 1 << 20), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)", 1))
-    named = F.concat(F.regexp_extract_all(sql, F.lit(p.SQL_TABLE), 1), F.filter(listed, lambda x: x != ""))
-    real = F.filter(named, lambda x: ~F.upper(x).isin(p.SQL_RESERVED) & (F.contains(x, F.lit(".")) | ~F.array_contains(defined, F.lower(x))))
-    return F.transform(real, lambda x: F.substring_index(x, ".", -1))
+    behind = F.when(F.contains(outer, F.lit(",")), F.filter(listed, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.regexp_extract_all(sql, F.lit(p.SQL_TABLE), 1), behind)
+
+
+def _real(name: Column, defined: Column) -> Column:
+    return ~F.upper(name).isin(p.SQL_RESERVED) & (F.contains(name, F.lit(".")) | ~F.array_contains(defined, F.lower(name)))
 
 
 def tables_of_each(statements: Column) -> Column:
@@ -62,7 +71,9 @@ def tables_of_each(statements: Column) -> Column:
     # pieces without a trace of SQL go first; the outer statement is an array of its own, so that it is made once for each
     likely = F.filter(statements, lambda x: matches(x, p.SQL_HINT))
     both = F.transform(likely, lambda x: F.struct(x.alias("sql"), outer_sql(x).alias("outer")))
-    return F.flatten(F.transform(both, lambda s: _named(s["sql"], s["outer"])))
+    told = F.transform(both, lambda s: F.struct(_named(s["sql"], s["outer"]).alias("names"), _defined(s["outer"]).alias("defined")))
+    real = F.transform(told, lambda s: F.filter(s["names"], lambda x: _real(x, s["defined"])))
+    return F.transform(F.flatten(real), lambda x: F.substring_index(x, ".", -1))
 
 
 def sql_tables(sql: Column) -> Column:
@@ -88,7 +99,7 @@ def java_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     literals = F.concat(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), F.regexp_extract_all(text, F.lit(p.SINGLE_QUOTED), 1))
     # the cheap test of the line comes first; most lines have no SQL in them
     named = tables_of_each(F.transform(literals, unescaped))
-    sql = enclosing_methods(each).where(matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
+    sql = enclosing_methods(each, matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
     return notes.unionByName(sql, allowMissingColumns=True)
 
 

@@ -24,7 +24,9 @@ def controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files: for each customer with orders a controller; each of its methods is mapped, and selects from a table."""
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     c = F.col("c")
-    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    # the texts are many times larger than their keys, so the keys stay in as many partitions as they are dealt to; coalescing goes by the size of the keys
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    by = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
     head = F.array(
         text("package com.shop.p", c % 7, ";"), F.when(c % 2 == 1, "@RestController @Transactional").otherwise("@RestController"), text('@RequestMapping("/c', c, '")'),
         F.concat(F.when(c % 3 == 0, "public abstract class ").otherwise("public class "), text("C", c, "Controller {")),

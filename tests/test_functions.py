@@ -95,3 +95,26 @@ def test_query_parts():
         one_entry()
     with pytest.raises(ValueError):
         one_entry(query="x", file="y", line=1)
+
+
+def test_enclosing_methods_look_down_first_and_stop_at_their_distances(spark):
+    from codelake.operators.java_context import enclosing_methods
+
+    plain = {n: f"x = {n};" for n in range(1, 471)}
+    texts = plain | {60: "  public void a() {", 90: "\tprotected List<Map<String, int[]>> b (", 140: "  // public void c() {", 300: "@Override public int d() {", 301: "static  String e(", 302: "if (x) {", 303: "return f(1);"}
+    declared = {60: "a", 90: "b", 301: "e"}
+    lines = spark.createDataFrame([("p", path, n, t) for path in ("A.java", "B.java") for n, t in texts.items()] + [("p", "C.java", 1, None)], "project string, path string, line_no int, text string")
+
+    def want(n):
+        below = [m for m in declared if n <= m <= n + 47]
+        above = [m for m in declared if n - 159 <= m <= n]
+        m = min(below) if below else max(above) if above else n
+        return declared.get(m, f"_line{n}"), m
+
+    for asked in (None, F.col("text").rlike("x = |return"), F.col("line_no") > 0):
+        found = enclosing_methods(lines, asked)
+        got = {(r.path, r.line_no): (r.java_method, r.java_method_line) for r in found.collect()}
+        kept = [n for n, t in texts.items() if asked is None or "line_no" in str(asked) or "x = " in t or "return" in t]
+        assert found.columns == [*lines.columns, "java_method", "java_method_line"]
+        assert {k: v for k, v in got.items() if k[0] != "C.java"} == {(path, n): want(n) for path in ("A.java", "B.java") for n in kept}
+        assert got.get(("C.java", 1), ("_line1", 1)) == ("_line1", 1)
