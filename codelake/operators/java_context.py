@@ -10,6 +10,7 @@ from codelake.functions import patterns as p
 from codelake.functions.names import entry_path
 from codelake.functions.predicates import any_of, group, is_bare_brace, is_method_line, markers, matches, method_at, stripped
 from codelake.sources.files import around, by_file, of_files
+from codelake.sources.store import large
 
 FILE_LINE = ["project", "path", "line_no"]
 
@@ -91,8 +92,8 @@ def javadocs(asked: DataFrame, lines: DataFrame) -> DataFrame:
     joined = block.groupBy(*FILE_LINE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("raw"))
     body = F.regexp_replace(stripped(F.regexp_replace("raw", r"(?s)^\s*/\*\*?\s*", "")), r"\s*\*/\s*$", "")
     clean = F.array_join(F.transform(F.split(body, "\n"), lambda x: F.rtrim(F.regexp_replace(x, r"^\s*\*\s?", ""))), "\n")
-    found = joined.select(*FILE_LINE, F.nullif(stripped(clean), F.lit("")).alias("javadoc"))
-    return asked.select(*FILE_LINE).join(found, FILE_LINE, "left")
+    found = large(joined.select(*FILE_LINE, F.nullif(stripped(clean), F.lit("")).alias("javadoc")))
+    return large(asked.select(*FILE_LINE).join(found, FILE_LINE, "left"))
 
 
 def top_entries(asked: DataFrame, lines: DataFrame) -> DataFrame:
@@ -116,12 +117,13 @@ def top_entries(asked: DataFrame, lines: DataFrame) -> DataFrame:
         verb = F.when(note == name, v).otherwise(verb)
     literal = lambda key, c: group(c, rf"""{key}\s*["']([^"']+)["']""")
     sub = F.coalesce(literal(r"\(", F.col("s")), literal(r"value\s*=", F.col("s")), literal(r"path\s*=", F.col("s")), F.lit(""))
-    mapped = first.select(*FILE_LINE, verb.alias("http_method"), sub.alias("sub"))
+    mapped = large(first.select(*FILE_LINE, verb.alias("http_method"), sub.alias("sub")))
     public = lines.where(matches(text, r"^\s*public\s+class\s+")).groupBy(*by).agg(F.min("line_no").alias("class_line"))
     opened = lambda key: literal(r"@RequestMapping\s*\(\s*" + key, text)
     base = F.coalesce(opened(r"path\s*="), opened(r"value\s*="), opened(""))
-    bases = lines.join(public, by, "left").where("class_line IS NULL OR line_no < class_line").withColumn("base", base).where("base IS NOT NULL").groupBy(*by).agg(F.trim(F.max_by("base", "line_no")).alias("base"))
-    out = asked.select(*FILE_LINE).join(mapped, FILE_LINE, "left").join(bases, by, "left").join(javadocs(spots.select(*by, F.col("signature").alias("line_no")).distinct(), lines).withColumnRenamed("line_no", "signature").join(spots, [*by, "signature"]).select(*FILE_LINE, "javadoc"), FILE_LINE, "left")
+    bases = large(lines.join(public, by, "left").where("class_line IS NULL OR line_no < class_line").withColumn("base", base).where("base IS NOT NULL").groupBy(*by).agg(F.trim(F.max_by("base", "line_no")).alias("base")))
+    notes_of = javadocs(large(spots).select(*by, F.col("signature").alias("line_no")).distinct(), lines).withColumnRenamed("line_no", "signature").join(spots, [*by, "signature"]).select(*FILE_LINE, "javadoc")
+    out = asked.select(*FILE_LINE).join(mapped, FILE_LINE, "left").join(bases, by, "left").join(large(notes_of), FILE_LINE, "left")
     path = F.nullif(entry_path(F.coalesce("base", F.lit("")), F.coalesce("sub", F.lit(""))), F.lit(""))
     return out.select(
         *FILE_LINE, F.concat(F.lit("/"), F.regexp_replace(F.nullif(F.col("base"), F.lit("")), "^/+", "")).alias("class_base_path"), "http_method", path.alias("rest_path"),

@@ -11,6 +11,7 @@ from pyspark.sql.window import WindowSpec
 from codelake.functions import patterns as p
 from codelake.functions.predicates import group, stripped
 from codelake.sources import tree
+from codelake.sources.store import large
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\u0085  ]"
@@ -56,7 +57,7 @@ def as_files(df: DataFrame, overlapping: bool = False) -> DataFrame:
     named = df.where(~skipped)
     named = named.dropDuplicates(["project", "path"]) if overlapping else named
     name = F.substring_index("path", "/", -1)
-    return named.select("project", "path", name.alias("name"), F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("").alias("ext"), "text")
+    return large(named.select("project", "path", name.alias("name"), F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("").alias("ext"), "text"))
 
 
 def main_sources(files: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def main_sources(files: DataFrame) -> DataFrame:
     inside = F.rlike(F.concat(F.lit("/"), F.col("path")), F.lit("/src/main/"))
     standard = files.where(inside).select("project").distinct()
     # only texts outside `src/main` meet the list of projects; the rest passes without a shuffle
-    return files.where(inside).unionByName(files.where(~inside).join(standard, "project", "left_anti"))
+    return large(files.where(inside).unionByName(files.where(~inside).join(standard, "project", "left_anti")))
 
 
 def java_files(files: DataFrame, name: str = r".*\.java", most: int | None = None) -> DataFrame:
@@ -88,7 +89,7 @@ def split_lines(text: Column) -> Column:
 def lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """lines(project, path, line_no, text), numbered from 1, with the columns of the file to `keep`."""
     kept = keep or []
-    return files.select("project", "path", *kept, F.posexplode(split_lines(F.col("text"))).alias("n", "text")).select("project", "path", (F.col("n") + 1).alias("line_no"), "text", *kept)
+    return large(files.select("project", "path", *kept, F.posexplode(split_lines(F.col("text"))).alias("n", "text")).select("project", "path", (F.col("n") + 1).alias("line_no"), "text", *kept))
 
 
 def package_name(text: Column, most_lines: int) -> Column:
@@ -99,7 +100,7 @@ def package_name(text: Column, most_lines: int) -> Column:
 
 def of_files(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """The lines of the files that are asked about, before windows move them."""
-    return lines.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi")
+    return large(lines.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi"))
 
 
 def around(c: Column, before: int, after: int, how=F.max) -> Column:

@@ -23,7 +23,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/codelake-{uuid.uuid4().hex}"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting on both sides. Spark estimates what texts and arrays are cut into by the size of the keys they are made from, and would send tables of any size through the driver to all executors."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once: lineage ends, and a lost executor costs nothing."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return large(df.checkpoint(eager=True))
