@@ -1,6 +1,11 @@
 """What texts are cut into is joined by sorting: Spark's estimate of its size goes by the keys that the texts are made from."""
 
+from pyspark.sql import functions as F
+
+from codelake import samples
+from codelake.operators import links
 from codelake.queries import QUERIES
+from codelake.sources.store import written
 
 
 def broadcasts(df) -> int:
@@ -9,3 +14,15 @@ def broadcasts(df) -> int:
 
 def test_mappings_of_lines_are_not_broadcast(spark, sf_dir):
     assert broadcasts(QUERIES["controllers_top_entries"](spark, sf_dir)) == 0
+
+
+def test_flags_of_lines_are_not_broadcast(spark, sf_dir):
+    assert broadcasts(QUERIES["node_flags"](spark, sf_dir)) == 0
+
+
+def test_sources_of_tables_are_not_broadcast(spark, sf_dir):
+    files = samples.projects(spark, sf_dir)
+    tables = written(files.select("project", F.lit("orders").alias("table")).distinct())
+    assert broadcasts(links.repository_calls(tables, files)) == broadcasts(links.entity_files(tables, files)) == 0
+    asked = files.where("ext = 'xml'").select("project", "path", F.lit(5).alias("line_no"))
+    assert broadcasts(links.mapper_methods(asked, files)) == 0
