@@ -10,6 +10,7 @@ from codelake.functions.names import entity_class
 from codelake.functions.predicates import group, is_entity_of, matches, repository_call_score, starts_with_any, stripped
 from codelake.operators import intervals
 from codelake.sources.files import LINE_BREAK, by_file, java_files, lines
+from codelake.sources.store import large
 
 
 def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
 
     The statement is the last id within 48 lines up, also where its tag runs over several lines.
     """
-    xml = files.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi")
+    xml = large(files.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi"))
     each = statements_at(asked, xml)
     spaces = xml.select("project", "path", F.trim(group(F.col("text"), p.MAPPER_NAMESPACE)).alias("namespace"))
     told = asked.select("project", "path", "line_no").join(spaces, ["project", "path"], "left").join(each, ["project", "path", "line_no"], "left").withColumn("rel", F.concat(F.translate("namespace", ".", "/"), F.lit(".java")))
@@ -28,7 +29,7 @@ def mapper_methods(asked: DataFrame, files: DataFrame) -> DataFrame:
     placed = told.join(homes, ["project", "rel"], "left")
     called = placed.where("statement_id IS NOT NULL").select("project", "java_file", "statement_id").distinct()
     spots = called.join(lines(sources).withColumnRenamed("path", "java_file"), ["project", "java_file"]).where(~starts_with_any(stripped(F.col("text")), ["//", "*"]) & F.rlike("text", F.concat(F.lit(r"\b\Q"), "statement_id", F.lit(r"\E\s*\("))))
-    first = spots.groupBy("project", "java_file", "statement_id").agg(F.min(F.struct("line_no", F.length(F.regexp_extract("text", r"^(.*?)\b\w+\s*\(", 1)).alias("c"), "text")).alias("at"))
+    first = large(spots.groupBy("project", "java_file", "statement_id").agg(F.min(F.struct("line_no", F.length(F.regexp_extract("text", r"^(.*?)\b\w+\s*\(", 1)).alias("c"), "text")).alias("at")))
     character = F.regexp_instr("at.text", F.concat(F.lit(r"\b\Q"), "statement_id", F.lit(r"\E\s*\(")))
     out = placed.join(first, ["project", "java_file", "statement_id"], "left")
     reason = (
@@ -58,7 +59,7 @@ def statements_at(asked: DataFrame, files: DataFrame, most: int = 48) -> DataFra
     # of statements that end on one line the last begins last
     order = Window.partitionBy("project", "path").orderBy("line_no", "ask", "s.first").rowsBetween(Window.unboundedPreceding, 0)
     told = both.withColumn("s", F.last("s", True).over(order)).where("ask = 1")
-    return told.select("project", "path", "line_no", F.when(F.col("s.first") >= F.col("line_no") - most, F.col("s.statement_id")).alias("statement_id")).distinct()
+    return large(told.select("project", "path", "line_no", F.when(F.col("s.first") >= F.col("line_no") - most, F.col("s.statement_id")).alias("statement_id")).distinct())
 
 
 def repository_calls(tables: DataFrame, files: DataFrame) -> DataFrame:

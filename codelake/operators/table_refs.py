@@ -10,6 +10,7 @@ from codelake.functions.names import physical_table
 from codelake.functions.predicates import matches, stripped
 from codelake.operators.java_context import enclosing_methods
 from codelake.sources.files import java_files, lines, xml_files
+from codelake.sources.store import large
 
 HIDDEN = "\x01"
 ESCAPE = r"\\U[0-9a-fA-F]{8}|\\u+[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|(?s)\\.|[^\\]+|\\$"
@@ -114,7 +115,7 @@ def xml_hits(files: DataFrame, most: int | None = None) -> DataFrame:
 
 def table_hits(files: DataFrame) -> DataFrame:
     """project, table, source, confidence, file, line, nth, snippet, java_method, java_method_line."""
-    return java_hits(files).unionByName(xml_hits(files), allowMissingColumns=True)
+    return large(java_hits(files).unionByName(xml_hits(files), allowMissingColumns=True))
 
 
 def canonical_names(hits: DataFrame, user_tables: DataFrame) -> DataFrame:

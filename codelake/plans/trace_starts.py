@@ -62,7 +62,7 @@ def _marked_starts(nodes: DataFrame, files: DataFrame, needles: list[str], skip_
     java = source.java_files(files)
     found = text_search.search(java, "|".join(needles), MANY_NEEDLE_HITS if several else ONE_FILE_HITS)
     ranked = written(found.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("score"), "file", "line"))))
-    lines = written(source.lines(java.join(ranked.select(F.col("file").alias("path")).distinct(), "path", "left_semi").select("project", "path", "text")))
+    lines = written(source.lines(java.join(F.broadcast(ranked.select(F.col("file").alias("path")).distinct()), "path", "left_semi").select("project", "path", "text")))
     asked = ranked.join(lines.select("project", F.col("path").alias("file"), F.col("line_no").alias("line")), ["file", "line"]).select("project", F.col("file").alias("path"), F.col("line").alias("line_no"), "nth")
     tried = text_search.method_candidates(asked, lines).where(F.col("rank") <= MOST_TRIES).join(asked.withColumnRenamed("line_no", "hit"), ["project", "path", "hit"])
     spans = nodes.withColumn("end", F.lead("line").over(Window.partitionBy("file").orderBy("line", "key"))).select(F.col("file").alias("path"), "key", "line", "end", *[c for c in ("is_rest",) if c in nodes.columns])
