@@ -126,9 +126,13 @@ def hit_methods(candidates: DataFrame, symbols: DataFrame, skip_rest: DataFrame
 
 def derived_symbols(lines: DataFrame) -> DataFrame:
     """Approximate method symbols: each declaration up to the line before the next one."""
-    declared = lines.withColumn("name", method_at(F.col("text"))).where(F.col("name").isNotNull() & ~matches(F.col("text"), r"^\s*(return|throw|else)\b"))
-    w = Window.partitionBy("project", "path").orderBy("line_no")
-    return declared.select("project", "path", "name", F.col("line_no").alias("start_line"), (F.lead("line_no").over(w) - 1).alias("end_line"))
+    text, no_word = F.col("text"), ~matches(F.col("text"), r"^\s*(return|throw|else)\b")
+    # a filter on the name would be pushed below it and find it anew, each of its patterns several times; so it waits until the window is done
+    told = lines.where(F.contains(text, F.lit("("))).select("project", "path", "line_no", method_at(text).alias("name"), no_word.alias("declares"))
+    below = Window.partitionBy("project", "path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    declared = F.col("name").isNotNull() & F.col("declares")
+    told = told.withColumn("next", F.last(F.when(declared, F.col("line_no")), True).over(below))
+    return told.where(declared).select("project", "path", "name", F.col("line_no").alias("start_line"), (F.col("next") - 1).alias("end_line"))
 
 
 def derived_edges(lines: DataFrame) -> DataFrame:
