@@ -99,17 +99,17 @@ def keyword_starts(nodes: DataFrame, query: str, files: DataFrame | None = None,
     """(key, file, line, ordinal, way, hit_line) that a keyword means: the best method of that name, else the first method of the best class, else methods around text hits. Several keywords (`a|b`) go to the text at once."""
     needles = text_search.needles_of(query)
     none = F.lit(None).cast("int")
-    ways: list[DataFrame] = []
-    if len(needles) == 1:
-        ways = [f(nodes, needles[0]).limit(1).select("*", F.lit(1).alias("ordinal"), F.lit(i).alias("w"), none.alias("hit_line")) for i, f in enumerate((method_starts, class_starts))]
-    if files is not None and needles:
-        ways.append(text_starts(nodes, files, needles, skip_interfaces, skip_rest, most).select("key", "file", "line", "ordinal", F.lit(2).alias("w"), "hit_line"))
-    if not ways:
+    ways = (method_starts, class_starts) if len(needles) == 1 else ()
+    best = None
+    for i, f in enumerate(ways):  # one row each; only the best way counts, so texts are searched where no name says it
+        best = written(f(nodes, needles[0]).limit(1).select("*", F.lit(1).alias("ordinal"), F.lit(i).alias("w"), none.alias("hit_line")))
+        if not best.isEmpty():
+            break
+    else:
+        if files is not None and needles:
+            best = text_starts(nodes, files, needles, skip_interfaces, skip_rest, most).select("key", "file", "line", "ordinal", F.lit(2).alias("w"), "hit_line")
+    if best is None:
         return nodes.select("key", "file", "line", F.lit(0).alias("ordinal"), F.lit("").alias("way"), none.alias("hit_line")).limit(0)
-    every = ways[0]
-    for w in ways[1:]:
-        every = every.unionByName(w)
-    best = every.join(F.broadcast(every.agg(F.min("w").alias("best"))), F.col("w") == F.col("best"))
     way = F.element_at(F.array(*map(F.lit, ("symbol", "class_first_method", "java_text"))), F.col("w") + 1)
     return best.select("key", "file", "line", "ordinal", way.alias("way"), "hit_line")
 

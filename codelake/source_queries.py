@@ -11,6 +11,7 @@ from codelake.operators import entry_points, java_context, links, structure, tab
 from codelake.plans import call_graph, chain_drivers, reports, symbol_index, trace_starts
 from codelake.registry import each_supplier, query, table
 from codelake.sources import files as source
+from codelake.sources.store import written
 
 # -- every customer as a controller with one method an order ------------------
 
@@ -184,7 +185,7 @@ def controllers_keyword_starts(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     files = controllers(spark, sf_dir)
     found = symbol_index.derived_symbols(source.lines(files))
-    nodes = found.select(F.col("name").alias("key"), F.regexp_extract("path", r"(\w+)\.java", 1).alias("class"), F.concat("name", F.lit("()")).alias("method"), F.col("path").alias("file"), F.col("start_line").alias("line"))
+    nodes = written(found.select(F.col("name").alias("key"), F.regexp_extract("path", r"(\w+)\.java", 1).alias("class"), F.concat("name", F.lit("()")).alias("method"), F.col("path").alias("file"), F.col("start_line").alias("line")))  # every search reads them
     k, c = orders.agg(F.min("o_orderkey"), F.min("o_custkey")).first()
     parts = [trace_starts.keyword_starts(nodes, words, files).select(F.lit(name).alias("query"), "key", "way", "hit_line") for name, words in (("a method", f"get{k}"), ("a class", f"C{c}Controller"), ("a text", "FROM app.orders"))]
     return parts[0].union(parts[1]).union(parts[2])

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from codelake import samples
 from codelake.operators import links
+from codelake.plans import trace_starts
 from codelake.queries import QUERIES
+from codelake.sources.files import as_files
 from codelake.sources.store import written
 
 
@@ -26,3 +28,17 @@ def test_sources_of_tables_are_not_broadcast(spark, sf_dir):
     assert broadcasts(links.repository_calls(tables, files)) == broadcasts(links.entity_files(tables, files)) == 0
     asked = files.where("ext = 'xml'").select("project", "path", F.lit(5).alias("line_no"))
     assert broadcasts(links.mapper_methods(asked, files)) == 0
+
+
+def test_names_of_symbols_are_found_once(spark, sf_dir):
+    """No filter finds the names of declarations a second time."""
+    plan = QUERIES["controllers_symbols"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract" in x]
+
+
+def test_keywords_that_names_answer_search_no_text(spark, monkeypatch):
+    nodes = spark.createDataFrame([("k", "A", "run()", "src/A.java", 3)], "key string, class string, method string, file string, line int")
+    files = as_files(spark.createDataFrame([("p", "src/A.java", "class A {\n\n  public void run() {\n  }\n}\n")], "project string, path string, text string"))
+    monkeypatch.setattr(trace_starts, "text_starts", lambda *_: 1 / 0)
+    assert [tuple(r) for r in trace_starts.keyword_starts(nodes, "run", files).select("key", "way").collect()] == [("k", "symbol")]
+    assert [tuple(r) for r in trace_starts.keyword_starts(nodes, "A", files).select("key", "way").collect()] == [("k", "class_first_method")]
