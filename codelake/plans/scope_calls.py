@@ -61,7 +61,9 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     bare = F.regexp_extract("code", r"^\s*(?:[\w.\[\]]+\s+)+(\w+)\s*\([^)]*(?:\)[\w\s,.]*;)?\s*$", 1)
     no_word = ~matches(F.col("code"), r"^\s*(return|throw|else|new|assert|case|package|import)\b|=")
     name = F.coalesce(F.when(F.contains("code", F.lit("(")) & (no_word | matches(F.col("code"), r"\)\s*\{")), method_at(F.col("code"))), F.when(F.col("_interface") & no_word & (bare != ""), bare))
-    return lines.withColumn("_interface", interface).withColumn("name", F.when(~name.isin(NO_CALLS) & ~matches(F.col("code"), r"^\s*(return|throw|else)\b"), name)).drop("_interface")
+    # the name is a column of its own first, else each of its uses would find it anew
+    told = lines.withColumn("_interface", interface).withColumn("name", name)
+    return told.withColumn("name", F.when(~F.col("name").isin(NO_CALLS) & ~matches(F.col("code"), r"^\s*(return|throw|else)\b"), F.col("name"))).drop("_interface")
 
 
 def scoped_lines(lines: DataFrame) -> DataFrame:
