@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.functions import predicates as q
-from codelake.sources.store import written
+from codelake.sources.store import dealt, written
 
 STOPS = [("is_rest", "rest_endpoint"), ("is_message_listener", "message_listener"), ("is_scheduled_task", "scheduled_task"), ("is_async_method", "async_method"), ("is_abstract_class", "abstract_class")]
 
@@ -139,7 +139,8 @@ def depths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by
     is written anew whenever it has doubled, so that neither the plan nor the number of files grows with the depth.
     """
     keys = [by] if by else []
-    ways = edges.select(*keys, "src_key", "dst_key").distinct()
+    # every level reads them, so they are made once, and dealt and sorted as each level meets them
+    ways = written(dealt(edges.select(*keys, "src_key", "dst_key").distinct(), *keys, "src_key").sortWithinPartitions(*keys, "src_key"))
     seen = level = written(starts.select(*keys, "key").distinct().withColumn("depth", F.lit(0)))
     base = size = level.count()
     n, d = size, 0

@@ -85,7 +85,9 @@ def chain_counts(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth
     """seeds(key) -> (seed, top, stop_reason, length, chains): what `trace_up` would list, counted by where chains end, why, and how many keys they have."""
     stops = [F.when(F.coalesce(c, F.lit(False)), r) for c, r in call_graph.STOPS if c in nodes.columns]
     flags = nodes.select("key", (F.coalesce(*stops) if stops else F.lit(None).cast("string")).alias("node_stop")).where("node_stop IS NOT NULL")
-    back = edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key")).distinct()
+    # what every level reads is made once, however it is derived
+    flags, seeds = written(flags), written(seeds.select("key").distinct())
+    back = written(edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key")).distinct())
     near = call_graph.depths(back, seeds, max_depth).select("key")
     back = written(back.join(near.withColumnRenamed("key", "src_key"), "src_key", "left_semi"))
     ways = back.select(F.col("src_key").alias("at"), F.col("dst_key").alias("next"))

@@ -28,6 +28,11 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions, by keys. Spark joins small partitions together by their compressed bytes, and texts and keys that are made from each other are ten times smaller compressed than sorted."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once: lineage ends, and a lost executor costs nothing."""
     shared_folder(df.sparkSession)
