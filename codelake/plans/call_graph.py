@@ -14,6 +14,8 @@ from codelake.sources.store import dealt, written
 
 STOPS = [("is_rest", "rest_endpoint"), ("is_message_listener", "message_listener"), ("is_scheduled_task", "scheduled_task"), ("is_async_method", "async_method"), ("is_abstract_class", "abstract_class")]
 
+CALLERS_A_BLOCK = 256  # whose callees are ranked together
+
 
 def with_implementations(edges: DataFrame, implementations: DataFrame) -> DataFrame:
     """edges, and for declarations that call nothing themselves edges to what implements them."""
@@ -90,9 +92,14 @@ def trace_down_all(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, max_n
         steps = written(level.select("seed", F.col("key").alias("src_key"), "ordinal").join(ways, "src_key").select("seed", "src_key", "dst_key", mark.alias("is_implementation"), "ordinal", "branch", "branches"))
         found.append(steps)
         fresh = steps.join(nodes.select("seed", F.col("key").alias("dst_key")), ["seed", "dst_key"], "left_anti").groupBy("seed", "dst_key").agg(F.min(F.struct("ordinal", "branch")).alias("o"))
+        fresh = written(fresh.withColumn("block", F.expr(f"o.ordinal DIV {CALLERS_A_BLOCK}")))
+        # a seed's nodes are ranked block by block, and blocks are added up, so that no seed is sorted in one task
+        above = Window.partitionBy("seed").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         have = nodes.groupBy("seed").agg(F.count("*").alias("have"))
-        # a seed's rank never goes far beyond its limit, so Spark keeps few rows a partition before it shuffles them
-        ranked = fresh.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("o"))).where(F.col("n") <= max_nodes + 1).join(have, "seed")
+        blocks = fresh.groupBy("seed", "block").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(above), F.lit(0))).join(have, "seed")
+        # a block's rank never goes far beyond the limit, so Spark keeps few rows a partition before it shuffles them
+        ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy("seed", "block").orderBy("o"))).where(F.col("r") <= max_nodes + 1).join(blocks, ["seed", "block"])
+        ranked = ranked.withColumn("n", F.col("before") + F.col("r")).where(F.col("n") <= max_nodes + 1)
         told = written(ranked.select("seed", F.col("dst_key").alias("key"), F.lit(depth + 1).alias("depth"), (F.col("have") - 1 + F.col("n")).alias("ordinal")))
         cut_short.append(told.where(F.col("ordinal") >= max_nodes).select("seed"))
         level = told.where(F.col("ordinal") < max_nodes)
