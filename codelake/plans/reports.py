@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codelake.functions import names
 from codelake.plans import call_graph
 from codelake.sources.files import report_payload
+from codelake.sources.store import dealt
 
 DIAGRAM_ENDPOINTS = 48
 REPORT_EDGES, REPORT_KEY_METHODS, REPORT_BEANS, REPORT_LEAVES = 200, 28, 60, 40
@@ -33,6 +34,17 @@ def read_reports(spark: SparkSession, folder: str, globs: str = "*.{json,md}") -
     return raw.select(F.col("_metadata.file_path").alias("path"), report_payload(F.col("value")).alias("payload")).where("payload IS NOT NULL").dropDuplicates(["path"])
 
 
+def write_reports(rows: DataFrame, folder: str) -> None:
+    """Reports(entry_id, value) as a table, many a file."""
+    rows.select("entry_id", "value").write.parquet(folder)
+
+
+def read_report_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(entry_id, payload) of the reports that `write_reports` keeps."""
+    kept = dealt(spark.read.schema("entry_id string, value string").parquet(folder), "entry_id")
+    return kept.select("entry_id", report_payload(F.col("value")).alias("payload")).where("payload IS NOT NULL")
+
+
 def hit_text(hits: DataFrame) -> DataFrame:
     """`file:line:text`, long lines cut at 200 characters."""
     return hits.select(F.concat_ws(":", "file", F.col("line").cast("string"), F.substring(F.rtrim("text"), 1, 200)).alias("value"))

@@ -20,9 +20,17 @@ NODE = {"class": "class", "method": "method", "file": "file", "line": "line", "i
 
 def payloads(spark: SparkSession, folder: str, globs: str = "*.{json,md,txt}") -> DataFrame:
     """(source, payload): the JSON of every saved report of a downward trace below a folder, by its path there."""
-    told = reports.read_reports(spark, folder, globs).where(F.arrays_overlap(F.json_object_keys("payload"), F.array(F.lit("keyMethods"), F.lit("nodes"))))
     base = folder.rstrip("/").rpartition("://")[2] + "/"
-    return told.select(F.substring_index("path", base, -1).alias("source"), "payload")
+    return _of_traces(reports.read_reports(spark, folder, globs).select(F.substring_index("path", base, -1).alias("source"), "payload"))
+
+
+def table_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of a table of reports, as `reports.write_reports` keeps it: a file holds many reports, so that neither writing, listing nor opening goes report by report."""
+    return _of_traces(reports.read_report_table(spark, folder).withColumnRenamed("entry_id", "source"))
+
+
+def _of_traces(told: DataFrame) -> DataFrame:
+    return told.where(F.arrays_overlap(F.json_object_keys("payload"), F.array(F.lit("keyMethods"), F.lit("nodes"))))
 
 
 def _field(v, name: str, kind: str = "string"):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelake.operators import intervals, links
-from codelake.plans import call_graph, chain_counts, saved_reports
+from codelake.plans import call_graph, chain_counts, reports, saved_reports
 
 
 def nearest(ranges, group, at):
@@ -152,3 +152,53 @@ def test_scores_of_many_traces_equal_those_of_each(spark, most, depth):
     pick = lambda df: sorted((r["seed"], r["key"], r["business_score"], tuple(r["business_signals"])) for r in df.collect())
     got = pick(call_graph.trace_scores(full, called, stats, nodes, edges))
     assert got == pick(want) and len(got) == found.count()
+
+
+def made(spark, rows, names):
+    """The rows as a table, and a count of how many of them were made so far."""
+    count = spark.sparkContext.accumulator(0)
+
+    def tell(parts):
+        for p in parts:
+            count.add(len(p))
+            yield p
+
+    schema = ", ".join(f"{n} string" for n in names)
+    return spark.createDataFrame(rows, schema).mapInPandas(tell, schema), count
+
+
+def test_levels_of_a_search_do_not_make_the_calls_anew(spark):
+    edges, count = made(spark, [(f"k{i}", f"k{i + 1}") for i in range(6)], ["src_key", "dst_key"])
+    found = call_graph.depths(edges, spark.createDataFrame([("k0",)], "key string"))
+    assert sorted((r["key"], r["depth"]) for r in found.collect()) == [(f"k{i}", i) for i in range(7)]
+    assert count.value == 6
+
+
+def test_counted_chains_do_not_make_calls_and_nodes_anew(spark):
+    edges, calls = made(spark, [(f"k{i}", f"k{i + 1}") for i in range(5)], ["src_key", "dst_key"])
+    nodes, keys = made(spark, [(f"k{i}",) for i in range(6)], ["key"])
+    counts = chain_counts.chain_counts(edges, nodes.withColumn("is_rest", F.col("key") == "k1"), spark.createDataFrame([("k5",)], "key string"))
+    assert [(r["top"], r["stop_reason"], r["length"], int(r["chains"])) for r in counts.collect()] == [("k1", "rest_endpoint", 5, 1)]
+    assert (calls.value, keys.value) == (5, 6)
+
+
+@pytest.mark.parametrize("most", [10**6, 9])
+def test_nodes_of_one_seed_are_ranked_in_blocks(spark, monkeypatch, most):
+    """In the order of (caller, branch), over many blocks of callers."""
+    monkeypatch.setattr(call_graph, "CALLERS_A_BLOCK", 2)
+    kids = {"r": [f"a{i}" for i in range(7)], **{f"a{i}": [f"b{j}" for j in range(i, i + 3)] for i in range(7)}}
+    edges = spark.createDataFrame([(a, b, b) for a, bs in kids.items() for b in bs], "src_key string, dst_key string, dst_name string")
+    want = ["r"]
+    for k in want:
+        want += [b for b in kids.get(k, []) if b not in want]
+    nodes = call_graph.trace_down_all(edges, spark.createDataFrame([("r",)], "key string"), 8, most, 100)[0]
+    assert [(r["ordinal"], r["key"]) for r in nodes.orderBy("ordinal").collect()] == list(enumerate(want))[:most]
+
+
+def test_reports_are_kept_many_a_file(spark, tmp_path):
+    given = [{"class": "a.X", "method": "m()", "file": "X.java", "score": 9}]
+    rows = [(f"S{i}", json.dumps({"keyMethods": given})) for i in range(50)] + [("odd", "nothing here"), ("md", f"# Calls\n\n## Raw JSON\n\n```json\n{json.dumps({'keyMethods': given})}\n```\n")]
+    reports.write_reports(spark.createDataFrame(rows, "entry_id string, value string").coalesce(2), str(tmp_path / "kept"))
+    assert len(list((tmp_path / "kept").glob("*.parquet"))) == 2
+    found = saved_reports.key_methods(saved_reports.table_payloads(spark, str(tmp_path / "kept"))).collect()
+    assert [(r["class"], r["score"], len(r["sources"]), "odd" in r["sources"]) for r in found] == [("a.X", 9, 51, False)]
