@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.functions import predicates as q
-from codelake.sources.store import dealt, written
+from codelake.sources.store import dealt, large, written
 
 STOPS = [("is_rest", "rest_endpoint"), ("is_message_listener", "message_listener"), ("is_scheduled_task", "scheduled_task"), ("is_async_method", "async_method"), ("is_abstract_class", "abstract_class")]
 
@@ -130,13 +130,19 @@ def in_degree(edges: DataFrame, by: str | None = None) -> DataFrame:
     return edges.groupBy(*([by] if by else []), F.col("dst_key").alias("key")).agg(F.count("*").alias("in_degree"))
 
 
+def _without(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """nodes whose key is not among keys(key). An anti join would be pushed into each part of a union, and every task would sort the keys once for each part."""
+    known = large(dealt(keys, "key").distinct().withColumn("_known", F.lit(True)))
+    return dealt(nodes, "key").join(known, "key", "left").where("_known IS NULL").select(*nodes.columns)
+
+
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("src_key").alias("key")).distinct(), "key", "left_anti")
+    return _without(nodes, edges.select(F.col("src_key").alias("key")))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nobody calls."""
-    return nodes.join(edges.select(F.col("dst_key").alias("key")).distinct(), "key", "left_anti")
+    return _without(nodes, edges.select(F.col("dst_key").alias("key")))
 
 
 def depths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, by: str | None = None) -> DataFrame:

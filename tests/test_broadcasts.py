@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codelake import samples
 from codelake.operators import links
-from codelake.plans import trace_starts
+from codelake.plans import call_graph, trace_starts
 from codelake.queries import QUERIES
 from codelake.sources.files import as_files
 from codelake.sources.store import written
@@ -42,3 +42,28 @@ def test_keywords_that_names_answer_search_no_text(spark, monkeypatch):
     monkeypatch.setattr(trace_starts, "text_starts", lambda *_: 1 / 0)
     assert [tuple(r) for r in trace_starts.keyword_starts(nodes, "run", files).select("key", "way").collect()] == [("k", "symbol")]
     assert [tuple(r) for r in trace_starts.keyword_starts(nodes, "A", files).select("key", "way").collect()] == [("k", "class_first_method")]
+
+
+def test_calls_meet_nodes_once(spark):
+    """Not once for each part of a union of nodes."""
+    one = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "key string, class string")
+    edges = spark.createDataFrame([("a", "b"), ("c", "b")], "src_key string, dst_key string")
+    for f, want in ((call_graph.roots, [("a", "x"), (None, "z")]), (call_graph.leaves, [("b", "y"), (None, "z")])):
+        found = f(one.union(one).union(one), edges)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want * 3, key=str)
+
+
+def dealt_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_of_suppliers_are_dealt_before_they_become_texts(spark, sf_dir):
+    nodes, edges = samples.project_graphs(spark, sf_dir)
+    assert all("REPARTITION_BY_NUM" in dealt_plan(x) for x in (samples.projects(spark, sf_dir), nodes, edges))
+
+
+def test_mapped_sources_are_dealt_once_and_whole(spark, sf_dir):
+    """No line moves again for the windows of its file."""
+    plan = dealt_plan(QUERIES["controllers_rest_map"](spark, sf_dir))
+    assert "hashpartitioning(project" in plan and not [x for x in plan.splitlines() if "hashpartitioning(project" in x and "REPARTITION_BY_NUM" not in x]
