@@ -9,6 +9,7 @@ from codelake.functions import patterns as p
 from codelake.functions.names import mapping_path
 from codelake.functions.predicates import entry_kinds, group, has_mappings, is_controller_text, matches, starts_with_any, stripped
 from codelake.sources.files import by_file, java_files, lines, package_name
+from codelake.sources.store import dealt
 
 
 def entry_points(files: DataFrame, most_files: int | None = None) -> DataFrame:
@@ -37,7 +38,8 @@ def rest_map(files: DataFrame, most_files: int | None = None) -> DataFrame:
     what belongs to it is one group: a running count of segment ends, and an aggregate per segment.
     """
     sources = java_files(files, most=most_files).where(has_mappings(F.col("text"))).withColumn("package", package_name(F.col("text"), 120))
-    each = lines(sources, keep=["package"]).withColumn("s", stripped(F.col("text")))
+    # dealt as whole texts, once for all windows of a file
+    each = lines(dealt(sources, "project", "path"), keep=["package"]).withColumn("s", stripped(F.col("text")))
     annotation = F.startswith("s", F.lit("@"))
     kind = (
         F.when(annotation, "annotation")
