@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelake.registry import table
 from codelake.sources.files import as_files
-from codelake.sources.store import large
+from codelake.sources.store import dealt, large
 
 CONTROLLER = """package com.example;
 
@@ -107,7 +107,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def each(spark: SparkSession, sf_dir: str, rows: list[tuple], names: list[str]) -> DataFrame:
     """(s, ...): the rows for every supplier."""
     literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
-    return large(suppliers(spark, sf_dir).select("s", F.explode(literal).alias("x")).select("s", "x.*"))
+    return large(dealt(suppliers(spark, sf_dir), "s").select("s", F.explode(literal).alias("x")).select("s", "x.*"))  # texts are many times larger than keys, of which one task would read all
 
 
 def projects(spark: SparkSession, sf_dir: str, own_paths: bool = False) -> DataFrame:
@@ -119,7 +119,7 @@ def projects(spark: SparkSession, sf_dir: str, own_paths: bool = False) -> DataF
 
 def copies(spark: SparkSession, sf_dir: str, df: DataFrame, keys: list[str], files: list[str] = []) -> DataFrame:
     """A small table for every supplier: keys begin with its key and a colon, files with its project; `s` tells them apart."""
-    each_ = df.crossJoin(suppliers(spark, sf_dir))  # df is a handful of rows of the sample
+    each_ = F.broadcast(df).crossJoin(dealt(suppliers(spark, sf_dir), "s"))  # df is a handful of rows of the sample
     changed = {c: F.concat("s", F.lit(":"), c) for c in keys} | {c: F.concat(F.lit("shop"), "s", F.lit("/"), c) for c in files}
     return large(each_.withColumns(changed))
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 from codelake.functions import patterns as p
 from codelake.functions.predicates import group, stripped
 from codelake.sources import tree
-from codelake.sources.store import large
+from codelake.sources.store import dealt, large
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\u0085  ]"
@@ -100,7 +100,8 @@ def package_name(text: Column, most_lines: int) -> Column:
 
 def of_files(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """The lines of the files that are asked about, before windows move them."""
-    return large(lines.join(asked.select("project", "path").distinct(), ["project", "path"], "left_semi"))
+    # dealt once, for the join and for the windows of each file
+    return large(dealt(lines, "project", "path").join(large(dealt(asked.select("project", "path"), "project", "path")), ["project", "path"], "left_semi"))
 
 
 def around(c: Column, before: int, after: int, how=F.max) -> Column:
