@@ -59,11 +59,13 @@ ACCESSOR = r"^(get|set|is)[A-Za-z_]\w*\s*\("
 # Tables in source code.
 TABLE_ANNOTATION = r"""@Table\s*\(\s*(?:name\s*=\s*)?["']([^"']+)["']"""
 TABLE_ATTRIBUTE = r"""(?i)\btable\s*=\s*["']([^"']+)["']"""
-DOUBLE_QUOTED = r'"((?:[^"\\]|\\.)*)"'
-SINGLE_QUOTED = r"'((?:[^'\\]|\\.)*)'"
-SQL_HINT = r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|FROM)\b"
-SQL_TABLE = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+(?!\()\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)"
-END_OF_FROM = r"(?i)\b(WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|LIMIT|UNION|OFFSET|FETCH|FOR\s+UPDATE)\b"
+# runs are taken whole and never given back: what may follow one cannot stand in it
+DOUBLE_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+SINGLE_QUOTED = r"'([^'\\]*+(?:\\.[^'\\]*+)*+)'"
+# the first letter is looked at before anything else, since most places fail there
+SQL_HINT = r"(?i)(?=[SIUDF])\b(SELECT|INSERT|UPDATE|DELETE|FROM)\b"
+SQL_TABLE = r"(?i)(?=[FJIU])\b(?:FROM|JOIN|INTO|UPDATE)\s+(?!\()\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)"
+END_OF_FROM = r"(?i)(?=[WGOHLUF])\b(WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|LIMIT|UNION|OFFSET|FETCH|FOR\s+UPDATE)\b"
 SQL_RESERVED = ["DUAL", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "SET", "VALUES", "SELECT", "DISTINCT", "INNER", "LEFT", "RIGHT", "OUTER", "FULL", "CROSS", "ON", "AS", "AND", "OR", "NOT", "NULL", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END", "BY", "ASC", "DESC", "UNION", "ALL", "BETWEEN", "LIKE", "IN", "EXISTS", "INTO", "FROM", "JOIN", "UPDATE"]
 MAPPER_NAMESPACE = r"""(?is)<mapper\b[^>]*\bnamespace\s*=\s*["']([^"']+)["']"""
 STATEMENT_ID = r"""(?i)<(?:select|insert|update|delete)\b[^>]*\bid\s*=\s*["']([^"']+)["']"""

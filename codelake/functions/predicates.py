@@ -36,7 +36,9 @@ def group(c: Column, pattern: str, i: int = 1) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without the white space at both ends. Trimmed, which costs a tenth of the pattern; only before a last line break of another kind does the pattern see an end."""
+    before_break = any_of([F.endswith(c, F.lit(x)) for x in "\u0085\u2028\u2029"])
+    return F.when(before_break, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.trim(c, F.lit(" \t\n\x0b\f\r")))
 
 
 def has_needle(text: Column, needles: list[str], case_sensitive: bool = False) -> Column:
@@ -89,7 +91,7 @@ def declared_method(text: Column) -> Column:
     s = stripped(text)
     shape = r"^([\w.<>,?\[\]\s]+?)\s+(\w+)\s*\("
     kind, name = stripped(F.regexp_extract(s, shape, 1)), group(s, shape, 2)
-    typed = matches(kind, p.TYPE_WORDS) | matches(F.element_at(F.split(kind, r"\s+"), -1), r"^\p{Lu}")
+    typed = matches(kind, p.TYPE_WORDS) | matches(kind, r"(?:^|\s)\p{Lu}\S*\z")
     skipped = (s == "") | starts_with_any(s, ["@", "//", "*", "/*", *p.STATEMENT_STARTS])
     return F.when(~skipped & ~name.isin(p.NOT_NAMES) & typed, name)
 

@@ -35,7 +35,7 @@ def enclosing_methods(lines: DataFrame, asked: Column | None = None) -> DataFram
         lines = lines.withColumn("asked", F.coalesce(asked, F.lit(False))).where(F.col("asked") | F.contains(text, F.lit("(")) & matches(text, p.LIKELY_DECLARATION))
     told = lines.withColumn("name", method_at(text)).withColumn("found", F.when(F.col("name").isNotNull(), F.struct("line_no", "name")))
     nearest = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy("project", "path").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    told = told.withColumn("down", nearest(F.col("found"), F.desc("line_no"))).withColumn("up", nearest(F.when(~F.startswith(stripped(text), F.lit("//")), F.col("found")), F.asc("line_no")))
+    told = told.withColumn("down", nearest(F.col("found"), F.desc("line_no"))).withColumn("up", nearest(F.when(F.col("found").isNotNull() & ~F.startswith(stripped(text), F.lit("//")), F.col("found")), F.asc("line_no")))
     if asked is not None:
         told = told.where("asked")
     m = F.coalesce(F.when(F.col("down.line_no") < F.col("line_no") + 48, F.col("down")), F.when(F.col("up.line_no") > F.col("line_no") - 160, F.col("up")))

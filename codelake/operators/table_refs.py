@@ -10,10 +10,12 @@ from codelake.functions.names import physical_table
 from codelake.functions.predicates import matches, stripped
 from codelake.operators.java_context import enclosing_methods
 from codelake.sources.files import java_files, lines, xml_files
-from codelake.sources.store import large
+from codelake.sources.store import dealt, large
 
 HIDDEN = "\x01"
 ESCAPE = r"\\U[0-9a-fA-F]{8}|\\u+[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|(?s)\\.|[^\\]+|\\$"
+# brackets with at most one more level inside
+SHALLOW = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "a": "\x07", "v": "\x0b", "\n": ""}
 
 
@@ -21,19 +23,24 @@ def unescaped(literal: Column) -> Column:
     """A string literal as the program sees it: characters by number (eight, four or two hexadecimal or up to three octal digits), control characters, and quotes and backslashes."""
 
     def one(x: Column) -> Column:
-        digits = F.coalesce(*[F.nullif(F.regexp_extract(x, e, 1), F.lit("")) for e in (r"^\\U([0-9a-fA-F]{8})$", r"^\\u+([0-9a-fA-F]{4})$", r"^\\x([0-9a-fA-F]{2})$")], F.conv(F.nullif(F.regexp_extract(x, r"^\\([0-7]{1,3})$", 1), F.lit("")), 8, 16))
-        named = F.substring(x, 2, 1)
+        # ESCAPE has checked the digits: a letter with more behind it is a number
+        kind, numbered = F.substring(x, 2, 1), F.length(x) > 2
+        unit = lambda digits: F.decode(F.unhex(F.lpad(digits, 4, "0")), "UTF-16BE")
+        named = kind
         for code, plain in PLAIN.items():
-            named = F.when(F.substring(x, 2, 1) == code, plain).otherwise(named)
-        return F.when(~F.startswith(x, F.lit("\\")) | (F.length(x) < 2), x).when(F.length(digits) == 8, F.decode(F.unhex(digits), "UTF-32")).when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 4, "0")), "UTF-16BE")).otherwise(named)
+            named = F.when(kind == code, plain).otherwise(named)
+        return (
+            F.when(~F.startswith(x, F.lit("\\")) | (F.length(x) < 2), x).when(numbered & (kind == "u"), unit(F.right(x, F.lit(4)))).when(numbered & (kind == "x"), unit(F.right(x, F.lit(2))))
+            .when(numbered & (kind == "U"), F.decode(F.unhex(F.right(x, F.lit(8))), "UTF-32")).when(kind.between("0", "7"), unit(F.conv(F.substring(x, 2, 3), 8, 16))).otherwise(named)
+        )
 
     pieces = F.regexp_extract_all(literal, F.lit(ESCAPE), 0)
     return F.when(F.contains(literal, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(literal)
 
 
 def outer_sql(sql: Column) -> Column:
-    """A statement without its string literals and with what stands in parentheses hidden, however deep: the depth is counted from bracket to bracket."""
-    sql = F.regexp_replace(sql, r"'(?:[^']|'')*'|\"[^\"]*\"", "''")
+    """A statement without its string literals and with what stands in parentheses hidden, however deep: where one level inside another is not all, the depth is counted from bracket to bracket."""
+    sql = F.when(F.contains(sql, F.lit("'")) | F.contains(sql, F.lit('"')), F.regexp_replace(sql, r"'(?:[^']|'')*'|\"[^\"]*\"", "''")).otherwise(sql)
     state = lambda depth, out: F.struct(depth.alias("depth"), out.alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -43,8 +50,15 @@ def outer_sql(sql: Column) -> Column:
             F.when(outside & (x == "("), F.concat(s["out"], F.lit(HIDDEN))).when(outside & (x != ")"), F.concat(s["out"], x)).otherwise(s["out"]),
         )
 
-    told = F.aggregate(F.regexp_extract_all(sql, F.lit(r"[()]|[^()]+"), 0), state(F.lit(0), F.lit("")), step)["out"]
-    return F.when(F.rlike(sql, F.lit("[()]")), told).otherwise(sql)
+    def counted(s: Column) -> Column:
+        return F.aggregate(F.regexp_extract_all(s, F.lit(r"[()]|[^()]+"), 0), state(F.lit(0), F.lit("")), step)["out"]
+
+    # each form is made once for the next: an array of one is a name for it
+    def hidden(s: Column) -> Column:
+        flat = F.transform(F.array(F.regexp_replace(s, SHALLOW, HIDDEN)), lambda x: F.when(F.rlike(x, F.lit("[()]")), counted(s)).otherwise(x))
+        return F.get(flat, F.lit(0))
+
+    return F.get(F.transform(F.array(sql), lambda s: F.when(F.rlike(s, F.lit("[()]")), hidden(s)).otherwise(s)), F.lit(0))
 
 
 def _defined(outer: Column) -> Column:
@@ -57,7 +71,8 @@ def _defined(outer: Column) -> Column:
 def _named(sql: Column, outer: Column) -> Column:
     """The names after FROM, JOIN, INTO and UPDATE, then those after commas of the outer FROM."""
     body = F.regexp_extract(outer, r"(?is)\bFROM\s+(.*)$", 1)
-    clause = F.get(F.split(body, p.END_OF_FROM), F.lit(0))
+    # not by splitting, which compiles its pattern anew for every statement
+    clause = F.regexp_replace(body, f"(?s)(?:{p.END_OF_FROM}).*", "")
     listed = F.transform(F.slice(F.split(clause, ","), 2, 1 << 20), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)", 1))
     behind = F.when(F.contains(outer, F.lit(",")), F.filter(listed, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
     return F.concat(F.regexp_extract_all(sql, F.lit(p.SQL_TABLE), 1), behind)
@@ -95,12 +110,14 @@ def java_hits(files: DataFrame, most: int | None = None) -> DataFrame:
     """Tables in entity annotations and in SQL of string literals, these with the method around them."""
     # whole files without a trace of SQL or of an entity are left out before windows move any line
     text = F.col("text")
-    each = lines(java_files(files, most=most).where(matches(text, p.SQL_HINT) | F.contains(text, F.lit("@Table("))))
-    notes = each.where(F.contains(text, F.lit("@Table(")) & ~F.contains(text, F.lit("@TableField"))).select("project", *_hit(annotated_tables(text), "entity_annotation", "high"))
+    noted = F.contains(text, F.lit("@Table("))
+    # dealt as whole texts, once for both kinds of hits and for the windows of each file
+    found = dealt(java_files(files, most=most).where(matches(text, p.SQL_HINT) | noted), "project", "path")
+    notes = lines(found.where(noted)).where(F.contains(text, F.lit("@Table(")) & ~F.contains(text, F.lit("@TableField"))).select("project", *_hit(annotated_tables(text), "entity_annotation", "high"))
     literals = F.concat(F.regexp_extract_all(text, F.lit(p.DOUBLE_QUOTED), 1), F.regexp_extract_all(text, F.lit(p.SINGLE_QUOTED), 1))
     # the cheap test of the line comes first; most lines have no SQL in them
     named = tables_of_each(F.transform(literals, unescaped))
-    sql = enclosing_methods(each, matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
+    sql = enclosing_methods(lines(found.where(matches(text, p.SQL_HINT))), matches(text, p.SQL_HINT)).select("project", *_hit(named, "jdbc_sql_literal", "medium"), "java_method", "java_method_line")
     return notes.unionByName(sql, allowMissingColumns=True)
 
 

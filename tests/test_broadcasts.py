@@ -67,3 +67,10 @@ def test_mapped_sources_are_dealt_once_and_whole(spark, sf_dir):
     """No line moves again for the windows of its file."""
     plan = dealt_plan(QUERIES["controllers_rest_map"](spark, sf_dir))
     assert "hashpartitioning(project" in plan and not [x for x in plan.splitlines() if "hashpartitioning(project" in x and "REPARTITION_BY_NUM" not in x]
+
+
+def test_sources_of_table_hits_are_dealt_once_and_whole(spark, sf_dir):
+    """Both kinds of hits and the windows of a file read them from one shuffle; no line moves."""
+    plan = dealt_plan(QUERIES["controllers_table_hits"](spark, sf_dir))
+    moved = [x for x in plan.splitlines() if "hashpartitioning(project" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)

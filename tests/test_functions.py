@@ -6,6 +6,7 @@ from codelake.operators import table_refs
 from codelake.operators.structure import types_in
 from codelake.operators.text_search import needles_of
 from codelake.plans.symbol_index import one_entry, query_parts
+from codelake.sources.files import as_files
 
 
 def one(spark, value):
@@ -79,6 +80,19 @@ def test_escapes(spark, literal, plain):
     assert one(spark, table_refs.unescaped(F.lit(literal))) == plain
 
 
+def test_tables_of_a_long_literal(spark):
+    """No pattern goes deeper with every character of a literal, nor with every bracket."""
+    sql = "select * from a, " + "(x, (y)), " * 3000 + "b where t = " + r"\'z\' and " * 3000 + "1 = 1"
+    files = spark.createDataFrame([("p", "A.java", f'class A {{\n  void f() {{\n    q("{sql}");\n  }}\n}}\n')], "project string, path string, text string")
+    assert [tuple(r) for r in table_refs.table_hits(as_files(files)).select("table", "line", "java_method").collect()] == [("a", 3, "f"), ("b", 3, "f")]
+
+
+def test_stripped(spark):
+    texts = ["", " a b ", "\t\x0b\f\r\na\n", "\u00a0 a \u00a0", "a \u2028", "a \u0085\u0085", "a \x1c", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(q.stripped(F.col("t")), F.regexp_replace("t", r"^\s+|\s+$", "")).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
 def test_types_in():
     assert [t[0] for t in types_in("package p; /* class X { */ @interface Ann { } public class A extends B { class In {} } record R(int x) {} enum E {A}")] == ["A", "R", "E"]
     assert types_in('class A { String s = "class B {"; }\n@X(a={1})\ninterface C {\n}') == [("A", 5, "class", 1), ("C", 11, "interface", 3)]
