@@ -27,6 +27,7 @@ hash of id and text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -41,6 +42,7 @@ from codelake.llm.common import Stored, cut, shuffle_partitions
 
 SPAN = 400
 PASSAGE_WORDS = 51
+LEAD_WORDS = 12
 LEAD = 64
 SLAB = 1 << 17
 TOGETHER = 1 << 15  # bytes of short texts that are worked through at once: arrays of that size stay in the cache
@@ -95,14 +97,18 @@ def _places(part: np.ndarray, span: int, lead: int) -> tuple[Hashes, np.ndarray,
     """The hashes of some bytes, those of all their strings of `lead` bytes, and the anchor of every window."""
     h = Hashes(part)
     heads = h.all(lead)
-    low = (heads & ~PLACE) | np.arange(len(heads), dtype=np.uint64)
-    width, size = span - lead + 1, 1
+    return h, heads, _least(heads, span - lead + 1)
+
+
+def _least(heads: np.ndarray, width: int) -> np.ndarray:
+    """Of any `width` neighbouring hashes the place of the smallest."""
+    low, size = (heads & ~PLACE) | np.arange(len(heads), dtype=np.uint64), 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    return h, heads, (low & PLACE).astype(np.int64)
+    return (low & PLACE).astype(np.int64)
 
 
 def anchors(raw: np.ndarray, span: int = SPAN, lead: int = LEAD) -> tuple[np.ndarray, ...]:
@@ -460,14 +466,6 @@ def open_runs(docs: DataFrame, span: int, stored: Stored) -> DataFrame:
     return runs.join(leads, "lead").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct(*RUN))).alias("runs"), F.count("*").alias("n"))
 
 
-def may_repeat(docs: DataFrame, span: int, stored: Stored) -> DataFrame:
-    """docs(rid, text) -> (rid, spans): the ranges of window starts that step 1 leaves open. All that repeat are in them, and some that do not."""
-    spans = F.transform("runs", lambda r: F.struct(r["a"].alias("lo"), r["b"].alias("hi")))
-    out = stored.keep("open", open_runs(docs, span, stored).select("rid", spans.alias("spans")))
-    stored.drop("runs", "leads")
-    return out
-
-
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs(rid, text) -> (rid, spans): for each rid that has any, the ranges lo to hi of window starts whose bytes also start elsewhere."""
     stored = Stored(docs.sparkSession)
@@ -590,7 +588,7 @@ def digests(docs: DataFrame, span: int = SPAN, words: int | None = None) -> Data
     if words is None:
         marked = marked.withColumn("passages", F.array().cast(RANGES))
     else:
-        marked = marked.join(passages(texts, words, sort=False).withColumnRenamed("spans", "passages"), "rid", "left")
+        marked = marked.join(repeated_strings(texts, words).withColumnRenamed("spans", "passages"), "rid", "left")
     short = passage_span(words or PASSAGE_WORDS)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
@@ -620,6 +618,69 @@ def may_be_terse(raw: np.ndarray, words: int, span: int) -> bool:
     return bool((at[words - 1 :] - at[: max(0, len(at) - words + 1)] < span).any())
 
 
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Whether each code point is a word character, as WORDS has it."""
+    return np.array([chr(i).isalnum() or chr(i) == "_" for i in range(0x110000)])
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word and the one behind it."""
+    edges, at, before = [], 0, False
+    for lo in range(0, len(text), SLAB):
+        part = text[lo : lo + SLAB]
+        if part.isascii():
+            is_word, place = IS_WORD[np.frombuffer(part.encode(), dtype=np.uint8)], np.arange(len(part) + 1)
+        else:
+            point = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            is_word = _word_characters()[point]
+            place = np.concatenate([[0], np.cumsum(1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF), dtype=np.int64)])
+        edges.append(at + place[np.flatnonzero(np.concatenate([[before], is_word[:-1]]) != is_word)])
+        at, before = at + int(place[-1]), bool(is_word[-1])
+    edge = np.concatenate([*edges, np.full(int(before), at)]).astype(np.int64)
+    return edge[::2], edge[1::2]
+
+
+def strings_of_words(texts: list[str], words: int, lead: int | None = None) -> tuple[np.ndarray, ...]:
+    """The strings of so many words of each text: number of the text, first byte, end, two hashes. With `lead`, runs of neighbouring strings whose smallest hash of `lead` words stands in the same place: where the run begins and ends, that hash, and a hash of its bytes."""
+    out = [tuple(np.zeros(0, dtype=np.int64) for _ in range(5))]
+    few: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        few.append(i)
+        held += len(text)
+        if held > TOGETHER or i == len(texts) - 1:
+            out += _strings_together([texts[k] for k in few], np.array(few), words, lead)
+            few, held = [], 0
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _strings_together(texts: list[str], numbers: np.ndarray, words: int, lead: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts one below the other; strings that reach into the next text are left out."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(r) + 1 for r in raw])
+    begin = np.cumsum(size) - size
+    whole = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
+    start, end = word_places("\n".join(texts))
+    owner = np.searchsorted(begin, start, side="right") - 1
+    for at in range(0, len(start) - words + 1, SLAB):
+        s, e, own = (x[at : at + SLAB + words - 1] for x in (start, end, owner))
+        base = int(s[0])
+        s, e, part = s - base, e - base, whole[base : e[-1]]
+        first = np.flatnonzero(own[: len(own) - words + 1] == own[words - 1 :])
+        if not len(first):
+            continue
+        last, h, key = first, [Hashes(part, k) for k in (0, 1)], None
+        if lead is not None:
+            heads = h[0].of(s[: len(s) - lead + 1], e[lead - 1 :])
+            place = _least(heads, words - lead + 1)[first]
+            new = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0) | (np.diff(own[first]) != 0)) + 1])
+            last, first, key = first[np.append(new[1:], len(first)) - 1], first[new], heads[place[new]]
+        lo, hi, own = s[first], e[last + words - 1], own[first]
+        key = h[0].of(lo, hi) if key is None else key
+        yield numbers[own], lo + base - begin[own], hi + base - begin[own], key.view(np.int64), h[1].of(lo, hi).view(np.int64)
+
+
 def word_windows(text: str, spans: list | None, words: int, span: int) -> tuple[np.ndarray, ...]:
     """Start, end and two hashes of the strings from one word to the `words`-th of which all windows of span bytes are in spans, or that are shorter."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -640,12 +701,11 @@ def word_windows(text: str, spans: list | None, words: int, span: int) -> tuple[
     return start, end, *(Hashes(raw, k).of(start, end).view(np.int64) for k in (0, 1))
 
 
-def passages(docs: DataFrame, words: int = PASSAGE_WORDS, sort: bool = True) -> DataFrame:
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     """docs(rid, text) -> (rid, spans): the strings of `words` words that stand anywhere else too, as ranges of windows of passage_span bytes (lo to hi + span).
 
     A string whose windows of passage_span bytes do not all repeat, by the sorted suffix table, cannot repeat. Those that
-    are left, and the terse ones, are told apart by 128-bit hashes. Without `sort` step 1 alone says which windows may
-    repeat: less work, more strings to tell apart, the same result.
+    are left, and the terse ones, are told apart by 128-bit hashes.
     """
     span = passage_span(words)
     stored = Stored(docs.sparkSession)
@@ -657,14 +717,59 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS, sort: bool = True) ->
                 if len(got[0]):
                     yield pd.DataFrame(dict(zip(["lo", "hi", "h1", "h2"], got))).assign(rid=rid, hi=got[1] - span)
 
-    found = repeats(docs, span) if sort else may_repeat(docs, span, stored)
-    each = stored.keep("each", docs.join(found, "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
+    each = stored.keep("each", docs.join(repeats(docs, span), "rid", "left").mapInPandas(hashed, "lo int, hi int, h1 long, h2 long, rid long"))
     twice = stored.keep("twice", each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     spans = cut(each.join(twice, ["h1", "h2"]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     stored.drop()
     return spans
 
 
+def repeated_strings(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs(rid, text) -> (rid, spans): what passages() gives, without sorting.
+
+    As in step 1, strings fall into runs with a common anchor, here the smallest hash of LEAD_WORDS words, and those whose
+    anchor stands nowhere else are done. Equal runs (by two hashes) confirm each other. Only runs that no other equals,
+    and one of each class of equal runs with their anchor, are taken apart into strings, told apart by 128-bit hashes.
+    """
+    span = passage_span(words)
+    stored = Stored(docs.sparkSession)
+    kind = "rid long, lo int, hi int, h1 long, h2 long"
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2000):
+                part = pdf.iloc[lo : lo + 2000]
+                n, *got = strings_of_words(part["text"].tolist(), words, min(words, LEAD_WORDS))
+                yield pd.DataFrame({"rid": part["rid"].to_numpy()[n], **dict(zip(["lo", "hi", "h1", "h2"], got))})
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                parts = []
+                for rid, text, runs in pdf.iloc[lo : lo + 500][["rid", "text", "runs"]].itertuples(index=False):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    parts += [(rid, r["lo"], raw[r["lo"] : r["hi"]].decode("utf-8", "surrogatepass")) for r in runs]
+                rid, at, text = zip(*parts)
+                n, start, end, h1, h2 = strings_of_words(list(text), words)
+                yield pd.DataFrame({"rid": np.array(rid)[n], "lo": np.array(at)[n] + start, "hi": np.array(at)[n] + end, "h1": h1, "h2": h2})
+
+    # counts are stored before they are joined back, as in open_runs
+    runs = stored.keep("strings", docs.where(F.octet_length("text") >= 2 * words - 1).mapInPandas(scan, kind))
+    leads = stored.keep("anchors", runs.groupBy("h1").count().where("count > 1").select("h1"))
+    held = stored.keep("held", runs.join(leads, "h1"))
+    stored.drop("strings", "anchors")
+    classes = stored.keep("classes", held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("r")))
+    asking = stored.keep("alone", classes.groupBy("h1").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1 AND n = 1").select("h1"))
+    needed = classes.join(asking, "h1", "left_semi").groupBy("r.rid").agg(F.collect_list(F.struct("r.lo", "r.hi")).alias("runs"))
+    each = stored.keep("each", docs.join(needed, "rid").mapInPandas(apart, kind))
+    twice = stored.keep("twice", each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
+    equal = stored.keep("equal", classes.where("n > 1").select("h1", "h2"))
+    found = held.join(equal, ["h1", "h2"]).select("rid", "lo", "hi").union(each.join(twice, ["h1", "h2"]).select("rid", "lo", "hi"))
+    spans = cut(found.groupBy("rid").agg(F.collect_set(F.struct("lo", (F.col("hi") - span).alias("hi"))).alias("spans")))
+    stored.drop()
+    return spans
+
+
 def without_repeats(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
     """docs with their repeated bytes gone from text, and n_chars counted anew where there is such a column; a character cut in two goes whole. With words, what goes is every passage of at least so many whole words that stands elsewhere too, however few bytes it has; at least 17, as its windows have to be longer than LEAD."""
     if words is not None:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from codelake.llm import queries
 from codelake.llm import suffix_dedup as S
 
 
@@ -117,3 +118,36 @@ def test_multikey_quicksort():
     padded = lambda k: k.ljust(40, b"\0")
     assert [padded(k) for k in got] == sorted(padded(k) for k in keys)
     assert all(S.common_prefix(x, y) == c for x, y, c in zip(got, got[1:], common))
+
+
+def test_query_catches_passages_shorter_than_the_span(spark, tmp_path):
+    random.seed(11)
+    own = lambda n: " ".join("".join(random.choice("abcdefghijklmnop") for _ in range(random.randrange(3, 9))) for _ in range(n))
+    passages = [own(51 + k) for k in range(5)] + [own(50), "é—ü " * 25 + "x"]
+    assert all(len(p.encode()) < 400 for p in passages)
+    rows = [(10 * k + i, f"{own(40 + 30 * i)} {p} {own(90 - 20 * i)}") for k, p in enumerate(passages) for i in range(3)]
+    rows += [(100 + i, own(200)) for i in range(10)] + [(200, None), (201, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == brute(rows, 400) and not any(r["n_removed"] for r in got)
+    assert sorted((r["doc_id"], r["n_passages"], r["n_passage_bytes"]) for r in got) == brute_passages(rows, 51)
+    assert {r["doc_id"] for r in got if r["n_passages"]} == {10 * k + i for k in (0, 1, 2, 3, 4, 6) for i in range(3)}  # one has 50 words
+
+
+@pytest.mark.parametrize(("slab", "together"), [(1 << 17, 1 << 15), (7, 1 << 15), (1 << 17, 10)])
+def test_strings_of_words(monkeypatch, slab, together):
+    monkeypatch.setattr(S, "SLAB", slab)
+    monkeypatch.setattr(S, "TOGETHER", together)
+    random.seed(13)
+    texts = ["".join(random.choice("ab_é日½ -\n\0😀") for _ in range(random.randrange(200))) for _ in range(40)] + ["", "a", "-" * 30, "ab " * 30]
+    words = [[(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(r"\w+", t)] for t in texts]
+    want = [(i, w[j][0], w[j + 4][1]) for i, w in enumerate(words) for j in range(len(w) - 4)]
+    n, lo, hi, h1, h2 = S.strings_of_words(texts, 5)
+    assert list(zip(n.tolist(), lo.tolist(), hi.tolist())) == want
+    strings = [texts[i].encode()[a:b] for i, a, b in want]
+    assert len(set(zip(h1.tolist(), h2.tolist()))) == len(set(strings)) == len(set(zip(strings, h1.tolist(), h2.tolist())))
+    # runs cover the same strings, each once
+    n, lo, hi, *_ = S.strings_of_words(texts, 5, 2)
+    m, a, b, *_ = S.strings_of_words([texts[i].encode()[x:y].decode() for i, x, y in zip(n, lo, hi)], 5)
+    assert list(zip(n[m].tolist(), (lo[m] + a).tolist(), (lo[m] + b).tolist())) == want
+    assert all(len(x) == 0 for x in S.strings_of_words([], 5))
