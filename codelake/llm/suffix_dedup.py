@@ -586,22 +586,21 @@ def digests(docs: DataFrame, span: int = SPAN, words: int | None = None) -> Data
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     marked = rows.join(repeats(texts, span), "rid", "left")
     if words is None:
-        marked = marked.withColumn("passages", F.array().cast(RANGES))
+        marked = marked.withColumn("places", F.array().cast("array<long>"))
     else:
-        marked = marked.join(repeated_strings(texts, words).withColumnRenamed("spans", "passages"), "rid", "left")
-    short = passage_span(words or PASSAGE_WORDS)
+        marked = marked.join(repeated_strings(texts, words), "rid", "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
-    def digest(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    def digest(text: pd.Series, spans: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s, p in zip(text, spans, passages):
+        for t, s, p in zip(text, spans, places):
             raw = (t or "").encode("utf-8", "surrogatepass")
             kept, n = kept_bytes(raw, s, span)
-            rest, m = kept_bytes(raw, p, short)
-            out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), m, len(raw) - len(rest)))
+            runs = [] if p is None else _merged_runs(p >> 32, p & 0xFFFFFFFF, 0)
+            out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(runs), sum(e - b for b, e in runs)))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
 
-    out = marked.select("doc_id", digest("text", "spans", "passages").alias("d")).select("doc_id", "d.*")
+    out = marked.select("doc_id", digest("text", "spans", "places").alias("d")).select("doc_id", "d.*")
     return out if words is not None else out.drop("n_passages", "n_passage_bytes")
 
 
@@ -725,13 +724,12 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
-    """docs(rid, text) -> (rid, spans): what passages() gives, without sorting.
+    """docs(rid, text) -> (rid, places): the strings that passages() finds, without sorting; first byte and end in one number, the first in its upper half.
 
     As in step 1, strings fall into runs with a common anchor, here the smallest hash of LEAD_WORDS words, and those whose
     anchor stands nowhere else are done. Equal runs (by two hashes) confirm each other. Only runs that no other equals,
     and one of each class of equal runs with their anchor, are taken apart into strings, told apart by 128-bit hashes.
     """
-    span = passage_span(words)
     stored = Stored(docs.sparkSession)
     kind = "rid long, lo int, hi int, h1 long, h2 long"
 
@@ -758,16 +756,16 @@ def repeated_strings(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     leads = stored.keep("anchors", runs.groupBy("h1").count().where("count > 1").select("h1"))
     held = stored.keep("held", runs.join(leads, "h1"))
     stored.drop("strings", "anchors")
-    classes = stored.keep("classes", held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("r")))
+    classes = stored.keep("classes", held.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "lo", "hi")]))
     asking = stored.keep("alone", classes.groupBy("h1").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1 AND n = 1").select("h1"))
-    needed = classes.join(asking, "h1", "left_semi").groupBy("r.rid").agg(F.collect_list(F.struct("r.lo", "r.hi")).alias("runs"))
+    needed = classes.join(asking, "h1", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     each = stored.keep("each", docs.join(needed, "rid").mapInPandas(apart, kind))
     twice = stored.keep("twice", each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
     equal = stored.keep("equal", classes.where("n > 1").select("h1", "h2"))
     found = held.join(equal, ["h1", "h2"]).select("rid", "lo", "hi").union(each.join(twice, ["h1", "h2"]).select("rid", "lo", "hi"))
-    spans = cut(found.groupBy("rid").agg(F.collect_set(F.struct("lo", (F.col("hi") - span).alias("hi"))).alias("spans")))
+    places = cut(found.groupBy("rid").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("places")))
     stored.drop()
-    return spans
+    return places
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
