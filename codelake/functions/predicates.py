@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def ends_with_any(c: Column, words: list[str]) -> Column:
     return any_of([F.endswith(c, F.lit(w)) for w in words])
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once, however often f uses it; inside arrays too, where Spark computes each use anew. An array of one element would do as well, but its element's type is worked out for every row."""
+    return F.aggregate(F.array().cast("array<int>"), c, lambda x, _: x, f)
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(pattern))
 
@@ -86,16 +92,21 @@ def markers(text: Column, labels: list[tuple[str, str]], most: int) -> Column:
     return F.slice(F.array_compact(F.array(*[F.when(matches(text, p.BY_KIND[k]), F.lit(label)) for label, k in labels])), 1, most)
 
 
-def declared_method(text: Column) -> Column:
-    """The name of the method that a line seems to declare, else null."""
-    s = stripped(text)
-    shape = r"^([\w.<>,?\[\]\s]+?)\s+(\w+)\s*\("
-    kind, name = stripped(F.regexp_extract(s, shape, 1)), group(s, shape, 2)
+def _declared(s: Column, kind: Column, name: Column) -> Column:
     typed = matches(kind, p.TYPE_WORDS) | matches(kind, r"(?:^|\s)\p{Lu}\S*\z")
     skipped = (s == "") | starts_with_any(s, ["@", "//", "*", "/*", *p.STATEMENT_STARTS])
     return F.when(~skipped & ~name.isin(p.NOT_NAMES) & typed, name)
 
 
+DECLARED = r"^([\w.<>,?\[\]\s]+?)\s+(\w+)\s*\("
+
+
+def declared_method(text: Column) -> Column:
+    """The name of the method that a line seems to declare, else null."""
+    s = stripped(text)
+    return _declared(s, stripped(F.regexp_extract(s, DECLARED, 1)), group(s, DECLARED, 2))
+
+
 def modified_method(text: Column) -> Column:
     """The name in a line that begins with a modifier and goes on like a signature, else null."""
     name = group(text, r"^\s*(?:public|protected|private|static)\s+[\w.<>,?\[\]\s]+\s+(\w+)\s*\(")
@@ -106,6 +117,13 @@ def method_at(text: Column) -> Column:
     return F.coalesce(declared_method(text), modified_method(text))
 
 
+def method_once(text: Column) -> Column:
+    """method_at where text is an element of an array: there each use of an expression computes it anew."""
+    kind = lambda s: bound(F.regexp_extract(s, DECLARED, 1), stripped)
+    declared = bound(stripped(text), lambda s: bound(F.struct(kind(s).alias("kind"), group(s, DECLARED, 2).alias("name")), lambda m: _declared(s, m["kind"], m["name"])))
+    return F.coalesce(declared, modified_method(text))
+
+
 def is_method_line(text: Column) -> Column:
     """A line that a documentation comment may stand above."""
     t = stripped(text)

@@ -140,6 +140,11 @@ def derived_edges(lines: DataFrame) -> DataFrame:
     return scope_calls.scoped_edges(lines)
 
 
+def derived_file_edges(files: DataFrame) -> DataFrame:
+    """derived_edges of files(project, path, text), which need no shuffle to get their lines together."""
+    return scope_calls.file_edges(files)
+
+
 def analyze(index: dict[str, DataFrame], operation: str, path: str = "", line: int = 0, character: int = 0, query: str = "") -> DataFrame:
     """One of OPERATIONS over the index tables; line and character count from 1, as people do."""
     l, c = line - 1, character - 1

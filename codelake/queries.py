@@ -548,7 +548,7 @@ def node_flags(spark, sf_dir):
 @query(each_supplier("SELECT * FROM (VALUES ('create', 'save'), ('list', 'findAll')) t(caller, callee)"))
 def derived_calls(spark, sf_dir):
     """Calls guessed from the text: of receivers whose type some source declares or implements."""
-    edges = symbol_index.derived_edges(source.lines(source.java_files(samples.projects(spark, sf_dir))))
+    edges = symbol_index.derived_file_edges(source.java_files(samples.projects(spark, sf_dir)))
     return edges.select("project", F.substring_index("src_key", ":", -1).alias("caller"), F.col("dst_name").alias("callee")).distinct()
 
 

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codelake import queries  # noqa: F401 (before graph_queries, which it registers)
+from codelake import graph_queries
 from codelake.plans import scope_calls
 from codelake.sources import files as source
 
@@ -86,3 +88,27 @@ def test_calls_of_a_line(spark):
     for text, calls in rows:
         got = spark.createDataFrame([(text,)], "t string").select(scope_calls.calls_in(scope_calls.plain_code(F.col("t"))).alias("c")).first()["c"]
         assert [c.replace(" ", "") for c in got] == [c.replace(" ", "") for c in calls], got
+
+
+def test_files_with_very_many_calls(spark, found, monkeypatch):
+    """Rows for each call and rows for each file give the same, each edge once."""
+    monkeypatch.setattr(scope_calls, "MOST_MEETINGS", 0)
+    files = source.as_files(spark.createDataFrame([("p", k, v) for k, v in SOURCES.items()], "project string, path string, text string"))
+    rows = [(r["src_key"], r["dst_key"], r["edge_source"]) for r in scope_calls.file_edges(files).collect()]
+    assert len(rows) == len(found) and set(rows) == found
+
+
+def test_long_literals(spark):
+    """A literal of many characters is skipped without a call for each of them."""
+    text = 'class Z {\n  void a() {\n    b("' + "x(" * 20000 + "\", '" + "y" * 20000 + "');\n  }\n  void b(String s, String t) { }\n}\n"
+    assert edges(spark, {"z.java": text}) == {("z.java:2:a", "z.java:5:b", "resolved")}
+
+
+def test_sources_are_asked_once_a_file(spark, sf_dir, monkeypatch):
+    """However many methods call, and no line is a row of its own; sources are dealt before they become texts."""
+    files = graph_queries.workers(spark, sf_dir)
+    assert "REPARTITION_BY_NUM" in files._jdf.queryExecution().executedPlan().toString()
+    asked, targets = [], scope_calls.targets
+    monkeypatch.setattr(scope_calls, "targets", lambda wanted, *rest: asked.append(wanted.count()) or targets(wanted, *rest))
+    found = scope_calls.file_edges(files).count()
+    assert asked[0] < 5 * files.count() < found
